@@ -10,7 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdantflow.llm import jaccard
+from verdantflow.llm import jaccard, language, lengths, lm, media, mixing, packing, tokenfiles, topk, urls
+from verdantflow.llm.shared import new_path
+
+#: Weights of the sources in order, repeating.
+MIX_WEIGHTS = (3, 1, 2)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+BROADCAST_LABELS = 500_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +28,86 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("representative").alias("representative_id"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", kind="byte", end_id=2, capacity=1024)
+
+
+def quality_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, target boolean``: labelled documents; the target corpus is those of good quality."""
+    marks = _table(spark, sf_dir, "labels").filter("doc_id is not null and quality is not null")
+    return marks.groupBy("doc_id").agg((F.min("quality") == 1).alias("target"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, marks = _table(spark, sf_dir, "documents"), quality_marks(spark, sf_dir).filter("target")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
+    models = lm.train(docs.select("doc_id", "text").join(marks, "doc_id", "left"), F.col("target"))
+    return lm.score(docs, models).withColumnRenamed("id", "doc_id")
+
+
+def op4_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.text_media(_table(spark, sf_dir, "documents"))
+    return media.media_digests(files).withColumnRenamed("id", "doc_id")
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", kind="word", end_id=2)
+    return tokenfiles.token_digests(spark, path)
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    found = topk.exact_top_k(vectors.filter("id % 50 = 0"), vectors, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), lambda i: MIX_WEIGHTS[i % 3])
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken")
+
+
+def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histogram = lengths.length_histogram(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", kind="byte")
+    return lengths.context_limits(histogram)
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    blocked = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    judged = urls.filter_urls(_table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("id"), blocked.alias("blocked")), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
+    model = language.train(docs.filter("not held_out"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_best_fit_packing, op3_lm_scoring, op4_avi_motion_jpeg, op5_token_output,
+        op6_exact_top_k, op7_source_mixing, op8_length_histogram, op9_url_filters, op10_language_id,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id,
+                   cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+            where q.vec_id % 50 = 0
+        ), r as (
+            select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+        )
+        select query_id, rank, vec_id, score from r where rank <= 5
+    """,
+}
