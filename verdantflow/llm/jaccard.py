@@ -31,9 +31,9 @@ from verdantflow.llm.components import connected_components
 from verdantflow.llm.shared import dense, slices, sum_vectors, vector_rows, written
 from verdantflow.llm.words import shingle_sets
 
-SKETCH_BITS = 21
+SKETCH_BITS = 23
 BLOCK = 256
-BROADCAST_IDS = 500_000
+BROADCAST_ROLES = 500_000
 _U = np.uint64
 
 
@@ -117,6 +117,10 @@ def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(rows, pa.binary())], names=["f1", "f2", "tokens"])
 
 
+def _hint(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which values of the sorted distinct ``b`` are in the sorted distinct ``a``."""
     at = np.searchsorted(a, b)
@@ -125,8 +129,11 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _answers(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, block, role), the hub's set first in each: each member against the hub."""
-    hub = None
+    """Rows sorted by (hub, block, role, id), the hub's set first in each: each member against the hub.
+
+    A member comes more than once, one after the other, where its document is repeated.
+    """
+    hub = seen = None
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("hub", pa.int64()), ("block", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("less", pa.int64()), ("hub_n", pa.int64()), ("linked", pa.bool_()), ("diff", pa.binary())])
     for piece in slices(batches, "tokens"):
         rows = []
@@ -134,7 +141,9 @@ def _answers(batches, percent: int) -> Iterator[pa.RecordBatch]:
             own = np.frombuffer(tokens, _U)
             if role == 0:
                 hub = own
+            if role == 0 or seen == (h1, h2, block, i):
                 continue
+            seen = (h1, h2, block, i)
             within = _common(hub, own)
             both = int(within.sum())
             linked = 100 * both >= percent * (len(own) + len(hub) - both)
@@ -236,18 +245,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = classes.select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), F.col("representative").alias("hub"))
     edges = written(edges.join(hubs, ["h1", "h2"]).select("h1", "h2", "hub", "f1", "f2", "id"), "edges")
 
-    # the texts of the classes that have an edge only
-    wanted = written(edges.select("id").unionByName(edges.select(F.col("hub").alias("id"))).distinct(), "wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
-    sets = texts.mapInArrow(lambda b: _sets(b, n), "f1 long, f2 long, tokens binary").dropDuplicates(["f1", "f2"])
-
     group = ["h1", "h2"]
     sized = edges.groupBy(*group, "hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = edges.join(sized.drop("hub"), group).select(*group, "hub", F.pmod(F.xxhash64("f1", "f2"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "id", "f1", "f2")
     heads = sized.select(*group, "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("hub").alias("id"), F.col("h1").alias("f1"), F.col("h2").alias("f2"))
-    faced = members.unionByName(heads).join(sets, ["f1", "f2"]).select(*group, "hub", "block", "role", "id", "tokens")
-    faced = faced.repartition(*group, "block").sortWithinPartitions(*group, "block", "role")
+    # each role with the set of its class; the text of a class is that of its representative
+    roles = written(members.unionByName(heads), "roles")
+    small = roles.count() <= BROADCAST_ROLES
+    texts = rows.join(_hint(roles.select("id").distinct(), small), "id", "left_semi")
+    sets = texts.mapInArrow(lambda b: _sets(b, n), "f1 long, f2 long, tokens binary")
+    faced = sets.join(_hint(roles, small), ["f1", "f2"]).select(*group, "hub", "block", "role", "id", "tokens")
+    faced = faced.repartition(*group, "block").sortWithinPartitions(*group, "block", "role", "id")
     answers = written(faced.mapInArrow(lambda b: _answers(b, percent), "h1 long, h2 long, hub long, block int, id long, n long, less long, hub_n long, linked boolean, diff binary"), "answers")
 
     # pairs of blocks of one hub of which at least one member hasn't answered the hub
