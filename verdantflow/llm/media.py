@@ -425,7 +425,7 @@ def clip_rows(files: DataFrame, id_col: str = "id", media_col: str = "media") ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "clip", "begin_frame", "end_frame", "begin_s", "end_s", "mean_level"])
 
     rows = files.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    schema = rows.select("id").schema.add("clip", "int").add("begin_frame", "int").add("end_frame", "int").add("begin_s", "double").add("end_s", "double").add("mean_level", "double")
+    schema = rows.select("id").schema.add("clip", "integer").add("begin_frame", "integer").add("end_frame", "integer").add("begin_s", "double").add("end_s", "double").add("mean_level", "double")
     return rows.mapInArrow(clips, schema)
 
 
