@@ -53,4 +53,4 @@ def test_query_matches_sql(spark, duck, name):
 def test_query_without_sql_runs(spark, name):
     if name.startswith("op") or name == "pipeline":
         pytest.skip("tested with the corpus operators")
-    assert QUERIES[name](spark, DATA).columns
+    assert QUERIES[name](spark, DATA).count() >= 0
