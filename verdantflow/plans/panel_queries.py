@@ -317,17 +317,17 @@ def _targets(spark, d):
     return b.select("portfolio_id", "firm_id", (1 / F.count("*").over(Window.partitionBy("portfolio_id"))).alias("w"), "total")
 
 
-@query(bridge.sql("""select portfolio_id, firm_id, round(wb, 6) + 0.0::double as w_before, round(wa, 6) + 0.0::double as w_after, round(wa - wb, 6) + 0.0::double as dw, round((wa - wb) * total, 4) + 0.0::double as d_capital, case when wa - wb >= 0.005::double then 'buy' when wa - wb <= -0.005::double then 'sell' else 'hold' end as side from (
+@query(bridge.sql("""select portfolio_id, firm_id, round(wb, 6) + 0.0::double as w_before, round(wa, 6) + 0.0::double as w_after, round(wa - wb, 6) + 0.0::double as dw, round((wa - wb) * total, 8) + 0.0::double as d_capital, case when wa - wb >= 0.005::double then 'buy' when wa - wb <= -0.005::double then 'sell' else 'hold' end as side from (
     select portfolio_id, firm_id, coalesce(b.capital / t.total, 0) as wb, coalesce(a.w, 0) as wa, t.total from holdings b full join targets a using (portfolio_id, firm_id) join (select portfolio_id, max(total) as total from targets group by 1) t using (portfolio_id))""", "holdings", books=BOOKS, targets=TARGETS))
 def trade_list(spark, d):
     t = portfolio.trades(bridge.holdings(spark, d), _targets(spark, d))
-    return t.select("portfolio_id", "firm_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("w_before", "w_after", "dw")), (F.round("d_capital", 4) + 0.0).alias("d_capital"), "side")
+    return t.select("portfolio_id", "firm_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("w_before", "w_after", "dw")), (F.round("d_capital", 8) + 0.0).alias("d_capital"), "side")
 
 
-@query(bridge.sql("select portfolio_id, firm_id, round(w * total, 4) as capital, cast(floor(w * total / price) as bigint) as shares from targets join (select cast(s_suppkey as varchar) as firm_id, 10 + s_suppkey % 17 as price from supplier) using (firm_id)", "holdings", books=BOOKS, targets=TARGETS))
+@query(bridge.sql("select portfolio_id, firm_id, round(w * total, 8) as capital, cast(floor(w * total / price) as bigint) as shares from targets join (select cast(s_suppkey as varchar) as firm_id, 10 + s_suppkey % 17 as price from supplier) using (firm_id)", "holdings", books=BOOKS, targets=TARGETS))
 def share_positions(spark, d):
     closes = bridge.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("firm_id"), (10 + F.col("s_suppkey") % 17).alias("close"))
-    return portfolio.positions(_targets(spark, d), closes).select("portfolio_id", "firm_id", F.round("capital", 4).alias("capital"), "shares")
+    return portfolio.positions(_targets(spark, d), closes).select("portfolio_id", "firm_id", F.round("capital", 8).alias("capital"), "shares")
 
 
 SCORED = "select firm_id, g, case when g > 8 then 1 else 0 end as greenwasher from annual where year = 1998 and cast(firm_id as bigint) % 3 <> 0"
@@ -421,7 +421,7 @@ def preference_anchors(spark, d):
     return rounded(portfolio.anchors(annual(spark, d).filter("year = 1998"), 3, 3))
 
 
-@query(bridge.sql("""select portfolio_id, metric, round(before, 4) as before, round(after, 4) as after, round(after - before, 4) + 0.0::double as change from (
+@query(bridge.sql("""select portfolio_id, metric, round(before, 8) as before, round(after, 8) as after, round(after - before, 8) + 0.0::double as change from (
     select portfolio_id, 'n' as metric, count(*)::double as before from holdings group by 1 union all select portfolio_id, 'top', max(capital) from holdings group by 1) full join (
     select portfolio_id, 'n' as metric, count(*)::double as after from targets group by 1 union all select portfolio_id, 'top', max(w * total) from targets group by 1) using (portfolio_id, metric)""", "holdings", books=BOOKS, targets=TARGETS))
 def portfolio_comparison(spark, d):
@@ -430,7 +430,7 @@ def portfolio_comparison(spark, d):
 
     after = _targets(spark, d).select("portfolio_id", "firm_id", (F.col("w") * F.col("total")).alias("capital"))
     out = portfolio.comparison_rows(stats(bridge.holdings(spark, d)), stats(after), ["n", "top"])
-    return out.select("portfolio_id", "metric", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), (F.round("change", 4) + 0.0).alias("change"))
+    return out.select("portfolio_id", "metric", F.round("before", 8).alias("before"), F.round("after", 8).alias("after"), (F.round("change", 8) + 0.0).alias("change"))
 
 
 @query(bridge.sql("select portfolio_id, firm_id, round(case when cur = 'HKD' then capital else capital * rate end, 2) as value_base, case when cur <> 'HKD' and rate is null then 'no rate for ' || cur || 'HKD' end as error from (select *, case cast(firm_id as bigint) % 4 when 0 then 'HKD' when 1 then 'EUR' when 2 then 'USD' else 'TWD' end as cur from holdings) left join (select pair, arg_max(rate, month) as rate from fx group by 1) on pair = cur || 'HKD'", "holdings", "fx"))
