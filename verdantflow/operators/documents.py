@@ -194,3 +194,58 @@ def catalogue(*kinds: DataFrame) -> DataFrame:
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key, the first in an explicit order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def candidate_pages(pages: DataFrame, category: str = "ghg", k: int = 6, patterns=words.KPI_PATTERNS) -> DataFrame:
+    """The best pages of one category, in page order."""
+    return kpi_pages(pages, k, 1 << 30, {category: patterns[category]}).orderBy("id", "page")
+
+
+def pages_of(kpi: DataFrame, report: str, category: str) -> DataFrame:
+    """Picked pages of one report and category as one text, in page order."""
+    own = kpi.filter((F.col("id") == report) & (F.col("category") == category))
+    return joined_pages(own.select("id", "page", "text"))
+
+
+def score_ready(pages: DataFrame, picked: DataFrame, firms: list[str] | None = None) -> DataFrame:
+    """Picked reports (``firm_id, url, doc_type, filing_date, fiscal_year, title``) with their whole text, as documents to score."""
+    picked = picked if firms is None else picked.filter(F.col("firm_id").isin(*firms))
+    df = picked.drop("text").join(joined_pages(pages).withColumnRenamed("id", "url"), "url")
+    period = F.make_date("fiscal_year", F.lit(12), F.lit(31))
+    return df.select("firm_id", F.col("doc_type").alias("form"), "filing_date", period.alias("period"), F.col("url").alias("accession"), F.lit("full_report").alias("section"), "text", "title", "fiscal_year")
+
+
+def filtered_documents(docs: DataFrame, firm_id: str | None = None, sections: tuple[str, ...] = (), least_relevance: float | None = None, order: str = "filing_date") -> DataFrame:
+    """Documents of a firm, of some sections, of a relevance, in order."""
+    if firm_id is not None:
+        docs = docs.filter(F.col("firm_id") == firm_id)
+    if sections:
+        docs = docs.filter(F.col("section").isin(*sections))
+    if least_relevance is not None:
+        docs = docs.filter(F.col("relevance") >= least_relevance)
+    return docs.orderBy(order)
+
+
+def mean_climate_share(docs: DataFrame, n: int = 50, order: str = "accession", **passages) -> DataFrame:
+    """Mean share of climate paragraphs over the first documents in an explicit order."""
+    first = docs.orderBy(order).limit(n)
+    return first.agg(F.avg(tx.climate_passages(F.col("text"), **passages)[1]).alias("share"))
+
+
+def review_flags(scored: DataFrame, hard: DataFrame, limit: float = 2.0) -> DataFrame:
+    """Firm-years with a memo: a mean gap beyond the limit, and emissions that rose, from scored documents and hard data."""
+    mean = scored.filter("not skipped").groupBy("firm_id", "year").agg(F.avg("gap").alias("gap"), F.count("*").alias("n_docs"))
+    df = mean.join(hard.select("firm_id", "year", "scope12_change_pct"), ["firm_id", "year"], "left")
+    flags = F.array_compact(F.array(F.when(F.col("gap") > limit, F.lit("talk exceeds walk")), F.when(F.col("scope12_change_pct") > 0, F.lit("emissions rose"))))
+    return df.withColumns({"flags": flags, "memo": F.concat_ws("; ", flags)})
+
+
+def hard_data_status(hard: DataFrame) -> DataFrame:
+    """Firm-years, and how many have emissions."""
+    return hard.agg(F.count("*").alias("firm_years"), F.count_if(F.col("n_years") > 0).alias("with_scope12"))
+
+
+def largest(df: DataFrame, column: str, n: int = 10, absolute: bool = False) -> DataFrame:
+    """The rows with the n largest values; a partial sort in each task, then of their results."""
+    x = F.abs(column) if absolute else F.col(column)
+    return df.orderBy(x.desc_nulls_last(), *(c for c in df.columns if c != column)).limit(n)

@@ -246,3 +246,32 @@ def performance(returns: DataFrame, benchmark: DataFrame | None = None, by: str
         te = F.stddev_samp(active) * math.sqrt(12)
         out += [(F.avg(active) * 12).alias("active"), te.alias("tracking_error"), F.when(te > 0, F.avg(active) * 12 / te).alias("information_ratio")]
     return df.groupBy(by).agg(*out)
+
+
+def market_inputs(prices: DataFrame, factors: DataFrame, annual: DataFrame, names: list[str], least: int = 24) -> dict[str, DataFrame]:
+    """Model inputs of one market: long betas (GMB among them where it has months enough), idiosyncratic variance, latest g, factors.
+
+    Only months that both tables have count; g is known as of each month.
+    """
+    prices, factors = panels.common_months(prices, factors)
+    green = panels.annual_to_months(annual, prices.select("month").distinct()).select("firm_id", "month", "g")
+    panel = prices.join(green, ["firm_id", "month"], "left")
+    gmb = gmb_regression(panel, factors, least=5)
+    with_gmb = gmb.count() >= least
+    if with_gmb:
+        factors = factors.join(F.broadcast(gmb.select("month", "gmb")), "month")
+        names = [*names, "gmb"]
+    fits = exposures(prices, factors, names, least=least)
+    betas = fits.unpivot(["firm_id"], [f"b_{n}" for n in names], "factor", "beta").withColumn("factor", F.substring("factor", 3, 50))
+    last = green.join(F.broadcast(green.agg(F.max("month").alias("month"))), "month").select("firm_id", "g")
+    return {"betas": betas, "idio": fits.select("firm_id", "idio_var"), "g": fits.select("firm_id").join(last, "firm_id", "left"), "factors": factors, "moments": panels.factor_moments(factors, names)}
+
+
+def covariances(betas: DataFrame, factor_cov: DataFrame, idio: DataFrame) -> DataFrame:
+    """``firm_a, firm_b, cov`` of the firms given: B F B' + D in long form, for a screened candidate set."""
+    c = F.broadcast(factor_cov.select("factor_a", "factor_b", "cov"))
+    loaded = betas.withColumnRenamed("factor", "factor_a").join(c, "factor_a").groupBy("firm_id", "factor_b").agg(F.sum(F.col("beta") * F.col("cov")).alias("l"))
+    right = betas.select(F.col("firm_id").alias("firm_b"), F.col("factor").alias("factor_b"), "beta")
+    out = loaded.join(right, "factor_b").groupBy(F.col("firm_id").alias("firm_a"), "firm_b").agg(F.sum(F.col("l") * F.col("beta")).alias("cov"))
+    own = idio.select(F.col("firm_id").alias("firm_a"), F.col("firm_id").alias("firm_b"), "idio_var")
+    return out.join(own, ["firm_a", "firm_b"], "left").select("firm_a", "firm_b", (F.col("cov") + F.coalesce("idio_var", F.lit(0.0))).alias("cov"))

@@ -288,3 +288,12 @@ def rebalance(accounts: DataFrame, model: dict[str, pd.DataFrame], vol_target: f
 
     kind = dict(accounts.dtypes)["portfolio_id"]
     return accounts.groupBy("portfolio_id").applyInPandas(run, f"portfolio_id {kind}, firm_id string, w_before double, w double, ann_vol double")
+
+
+def recommendations(holdings: DataFrame, targets: DataFrame, closes: DataFrame, stats: DataFrame) -> DataFrame:
+    """A record for each portfolio: its trades with whole shares, one-way turnover, and the statistics of its target."""
+    t = trades(holdings, targets).join(closes.select("firm_id", "close"), "firm_id", "left")
+    t = t.withColumn("shares", numbers.whole_shares(F.abs("d_capital"), F.col("close")))
+    moved = F.filter(F.array_sort(F.collect_list(F.struct("dw", "firm_id", "side", "d_capital", "shares"))), lambda x: x["side"] != "hold")
+    out = t.groupBy("portfolio_id").agg((F.sum(F.abs("dw")) / 2).alias("turnover"), moved.alias("trades"))
+    return out.join(stats, "portfolio_id", "left")

@@ -191,3 +191,23 @@ def date_ranges(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         one = df.agg(F.lit(name).alias("table"), F.min(F.col(c).cast("date")).alias("first"), F.max(F.col(c).cast("date")).alias("last"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def quote_firms(prices: DataFrame, universe: DataFrame, market: str, home: str = "hk", each: int = 3) -> DataFrame:
+    """Firms to fetch closes for: all that have prices in the home market; elsewhere three a sector, by turns."""
+    from verdantflow.operators.portfolio import round_robin
+
+    priced = prices.select("firm_id").distinct()
+    if market == home:
+        return priced
+    known = universe.join(prices.groupBy("firm_id").agg(F.count("ret").alias("n"), F.max_by("mktcap", "month").alias("mktcap")).filter("n >= 24"), "firm_id")
+    n = each * known.select("sector").distinct().count()
+    return round_robin(known, known, n)
+
+
+def balanced_pool(home: DataFrame, added: DataFrame, caps: DataFrame) -> DataFrame:
+    """All eligible home firms, and as many of the added market, picked by turns over its sectors."""
+    from verdantflow.operators.portfolio import round_robin
+
+    n = home.count()
+    return home.select("firm_id").unionByName(round_robin(added, caps, n))
