@@ -81,15 +81,18 @@ def _pieces(batches, tokenizer: str, kind: str, end: int, capacity: int) -> Iter
     last = end.to_bytes(4, "little")
     for batch in slices(batches, "text", 2 << 20):
         rows = []
-        for doc, ids in zip(batch.column("id").to_pylist(), encode.ids(batch.column("text").to_pylist())):
-            ids += last
-            n = len(ids) // 4
+        ids, at = encode.ids(batch.column("text"))
+        data = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
+        for doc, begin, stop in zip(batch.column("id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+            n = stop - begin + 1
             cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-            rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                crc = zlib.crc32(data[4 * (begin + a) : 4 * min(begin + b, stop)])
+                rows.append((doc, k, a, b - a, zlib.crc32(last, crc) if b == n else crc))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def _pack(batches, capacity: int, turn: int, last: bool) -> Iterator[pa.RecordBatch]:
+def _pack(batches, capacity: int, turn: int, alone: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by seat; each seat is packed on its own and holds about GROUP pieces."""
 
     def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +100,11 @@ def _pack(batches, capacity: int, turn: int, last: bool) -> Iterator[pa.RecordBa
         length, seat = table.column("length").to_numpy(), table.column("seat")[0].as_py()
         bins, offset, room = best_fit_decreasing(length, capacity)
         bound = lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
-        done = last or len(room) <= bound
-        kept = np.full(len(length), True) if done else np.array(room)[bins] == 0
+        room = np.array(room)
+        if len(room) > bound or len(room) > -(-int(length.sum()) // capacity) and not alone:
+            kept = room[bins] == 0
+        else:
+            kept = (bins != room.argmax()) | alone
         own = (turn << 56) + (seat << 24)
         more = [pa.array(own + bins), pa.array(offset), pa.array(kept), pa.array(np.full(len(length), len(room))), pa.array(np.full(len(length), bound))]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "kept", "bins", "bound", "seat"]
@@ -120,7 +126,7 @@ def _pack(batches, capacity: int, turn: int, last: bool) -> Iterator[pa.RecordBa
         yield from out(rows)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, capacity: int = 1024, group: int = GROUP, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, capacity: int = 1024, group: int = GROUP, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A document is its ids and ``end_id``. Only a document longer than ``capacity`` is cut: its first piece
@@ -135,25 +141,24 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     done = numbered.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("number"), "offset": F.lit(0).cast("long")}).select(columns)
     left = numbered.filter(F.col("length") < capacity)
-    count, before = left.count(), None
+    count, best, fewest = left.count(), None, None
     for turn in range(1, rounds + 1):
-        seats = max(1, -(-count // group))
+        if not count:
+            break
+        seats = -(-count // group)
         dealt = left.withColumn("seat", F.pmod(F.xxhash64("number", F.lit(turn)), F.lit(seats)).cast("int")).drop("number")
         dealt = dealt.repartition("seat").sortWithinPartitions("seat", "doc_id", "piece", "ids_crc32", "length")
-        final = turn == rounds or (turn > 1 and seats == 1)
-        packed = written(dealt.mapInArrow(lambda b, turn=turn, final=final: _pack(b, capacity, turn, final), _PACKED), "packed")
+        packed = written(dealt.mapInArrow(lambda b, turn=turn, alone=seats == 1: _pack(b, capacity, turn, alone), _PACKED), "packed")
+        bins = packed.agg(F.count_distinct("sequence_id")).first()[0]
+        if best is not None and bins >= fewest:  # nothing saved: what these documents had stands
+            if seats == 1:
+                break
+            continue
         done = done.unionByName(packed.filter("kept").select(columns))
-        rest = packed.filter("not kept")
-        # a round's bins against the bins that the exchanged documents had before
-        count, bins = packed.agg(F.count_if(~F.col("kept")), F.count_distinct(F.when(~F.col("kept"), F.col("sequence_id")))).first()
-        if not count:
-            break
-        if before is not None and bins >= before:
-            done = done.unionByName(rest.select(columns))
-            break
-        before = bins
-        left = rest.select(*_names(_PIECE)).withColumn("number", F.monotonically_increasing_id())
-    return done
+        best = packed.filter("not kept")
+        count, fewest = best.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        left = best.select(*_names(_PIECE)).withColumn("number", F.monotonically_increasing_id())
+    return done if best is None else done.unionByName(best.select(columns))
 
 
 def _names(schema: str) -> list[str]:

@@ -24,12 +24,15 @@ SCHEMA = "doc_id long, at long, n_tokens long, ids array<int>"
 
 def _encode(batches, tokenizer: str, kind: str, end: int) -> Iterator[pa.RecordBatch]:
     encode, at = encoder(tokenizer, kind), 0
-    last = end.to_bytes(4, "little")
     for batch in slices(batches, "text", 2 << 20):
-        ids = [x + last for x in encode.ids(batch.column("text").to_pylist())]
-        ends = np.cumsum([len(x) // 4 for x in ids])
+        ids, cuts = encode.ids(batch.column("text"))
+        ends = cuts[1:] + np.arange(1, len(cuts))
         begins = np.concatenate(([0], ends[:-1]))
-        values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        with_end = np.full(int(ends[-1]), end, np.int32)
+        own = np.ones(len(with_end), bool)
+        own[ends - 1] = False
+        with_end[own] = ids.view(np.int32)
+        values = pa.array(with_end)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), values)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(begins + at), pa.array(ends - begins), lists], names=["doc_id", "at", "n_tokens", "ids"])
         at += int(ends[-1])

@@ -15,6 +15,7 @@ _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64)
+_CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = _U(0x9E3779B97F4A7C15)
 _UNBASE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -54,10 +55,10 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the n + 1 places where each text's words begin."""
-    raw, at = buffers(texts)
-    begins, hashes, done = [], [], 0
+def word_spans(raw: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of the texts in a buffer begins and ends, and its hash; ``fold`` takes A-Z as a-z."""
+    begins, ends, hashes, done = [], [], [], 0
+    byte = _BYTE if fold else _CASED
     while done < len(raw):
         to = min(done + _PIECE, len(raw))
         while to < len(raw):  # no word is cut
@@ -75,14 +76,23 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         last[:-1] &= ~word[1:] | fresh[1:-1]
         first, last = np.flatnonzero(first), np.flatnonzero(last)
         up, down = _power(len(piece))
-        value = _BYTE[piece] * up[: len(piece)]
+        value = byte[piece] * up[: len(piece)]
         total = np.cumsum(value)
         begins.append(first + done)
+        ends.append(last + 1 + done)
         hashes.append(mixed((total[last] - total[first] + value[first]) * down[first] + (last - first).astype(_U)))
         done = to
     if not begins:
-        return np.zeros(0, _U), np.zeros(len(at), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), at)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, _U)
+    return np.concatenate(begins), np.concatenate(ends), np.concatenate(hashes)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the n + 1 places where each text's words begin."""
+    raw, at = buffers(texts)
+    begins, _, hashes = word_spans(raw, at)
+    return hashes, np.searchsorted(begins, at)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
