@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdantflow.llm.components import connected_components
-from verdantflow.llm.shared import dense, slices, sum_vectors, vector_rows, written
+from verdantflow.llm.shared import slices, sum_vectors, unpacked, vector_rows, written
 from verdantflow.llm.words import shingle_sets
 
 SKETCH_BITS = 23
@@ -38,13 +38,13 @@ _U = np.uint64
 
 
 def _fingerprints(batches, n: int, bits: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << bits, np.int64)
+    counts = np.zeros(1 << bits, np.uint32)
     waiting: list[np.ndarray] = []
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
 
     def count() -> None:
         if waiting:
-            np.add(counts, np.bincount(np.concatenate(waiting), minlength=1 << bits), out=counts)
+            np.add(counts, np.bincount(np.concatenate(waiting), minlength=1 << bits), out=counts, casting="unsafe")
             waiting.clear()
 
     for piece in slices(batches, "text"):
@@ -232,9 +232,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     both = written(rows.mapInArrow(lambda b: _fingerprints(b, n, sketch_bits), "id long, n long, f1 long, f2 long, part int, data binary"), "fingerprints")
     sketch = sum_vectors(both.filter("part is not null").select(F.lit("").alias("name"), "part", "data"))
-    counts = dense(sketch.collect(), 1 << sketch_bits, 1 << 16).get("", np.zeros(1 << sketch_bits, np.int64))
-    # bounded: 2^sketch_bits bytes at any input size; levels are counts on a log scale, below 128 so that keys stay positive
-    levels = spark.sparkContext.broadcast(np.minimum(127, 3 * np.log2(counts + 1)).astype(np.uint8))
+    level = np.zeros(1 << sketch_bits, np.uint8)  # counts on a log scale, below 128 so that keys stay positive
+    for row in sketch.collect():
+        piece = unpacked(bytes(row["data"]))
+        level[row["part"] << 16 : (row["part"] << 16) + len(piece)] = np.minimum(127, 3 * np.log2(piece + 1))
+    levels = spark.sparkContext.broadcast(level)  # 2^sketch_bits bytes at any input size
     prints = both.filter("part is null").select("id", "n", "f1", "f2")
     classes = prints.filter("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("representative"))
 
