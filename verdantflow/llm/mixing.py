@@ -19,7 +19,7 @@ from verdantflow.llm.shared import written
 
 BLOCKS = 1 << 20
 SHARD_WORDS = 8_000_000
-SHARD_BLOCKS = 64
+SHARD_BLOCKS = (64, 8192)
 BROADCAST_SOURCES = 50_000
 
 
@@ -92,7 +92,8 @@ def mix_sources(docs: DataFrame, weights: Callable[[int], float], total_share: f
         all_words = int(size.sum())
         block = max(1, all_words // blocks)
         target = capped_targets(size, [weights(i) for i in range(len(size))], total_share * all_words, most_repeats)
-        shards = np.maximum(1, -(-size // max(shard_words, SHARD_BLOCKS * block)))
+        words = min(max(shard_words, SHARD_BLOCKS[0] * block), SHARD_BLOCKS[1] * block)  # so neither words nor blocks of a shard pile up
+        shards = np.maximum(1, -(-size // words))
         # a source can give each of its blocks most_repeats times; each shard may end in a part of a block
         quota = sainte_lague(target, round(float(target.sum()) / block), most_repeats * (size // block + shards))
         return frame.assign(target=target, block=block, shards=shards, quota=quota)
