@@ -136,8 +136,8 @@ def flatten_extraction(rows: DataFrame, json_col: str = "json") -> DataFrame:
     return x.select(*(c for c in rows.columns if c != json_col), F.col("_s.fiscal_year").alias("year"), F.col("_s.scope1_tco2e").alias("scope1"), F.col("_s.scope2_tco2e").alias("scope2"), "_s.scope2_basis", listed.alias("pages"), F.try_element_at("_x.evidence", F.lit(1))["quote"].alias("quote"), "_x.confidence", F.col("_x.third_party_assured").alias("assured"))
 
 
-def site_links(pages: DataFrame, most: int = 40) -> DataFrame:
-    """``page_id, pos, url, text``: links of a page to its own site, in order, each address once, no fragments."""
+def site_links(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """``page_id, pos, url, text``: links of a page to its own site (the first ``most``, or all), in order, each address once, no fragments."""
     anchor = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), 1).alias("href"), F.regexp_extract_all("html", F.lit(anchor), 2).alias("text"))
     rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(pairs).alias("pos", "a")).select("page_id", "base", "pos", F.trim("a.href").alias("href"), F.col("a.text").alias("text"))
@@ -151,6 +151,8 @@ def site_links(pages: DataFrame, most: int = 40) -> DataFrame:
     first = rows.groupBy("page_id", "link").agg(F.min_by(F.struct("pos", "text"), "pos").alias("f"))
     label = F.left(F.trim(F.regexp_replace(F.regexp_replace("f.text", r"(?s)<[^>]+>", " "), r"\s+", " ")), F.lit(80))
     out = first.select("page_id", "f.pos", F.col("link").alias("url"), label.alias("text"))
+    if most is None:
+        return out
     return out.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("_n") <= most).drop("_n")
 
 
