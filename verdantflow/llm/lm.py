@@ -1,10 +1,12 @@
 """Cross-entropy difference of matched n-gram models.
 
 A target model and a background model are interpolated bigram models of one order and one smoothing over one
-vocabulary: the most frequent words of all documents and a symbol for the rest. Word and bigram counts are
-summed over all documents; the tables of log-probabilities have a size fixed by the vocabulary and are
-broadcast. A document's score is the mean over its words of the target's loss less the background's loss:
-the lower, the more it is like the target.
+vocabulary: all words of all documents, and a symbol for words that no document of the training has. Counts of
+words and bigrams are Spark tables that grow with the input: each task sums its own before a shuffle. Losses are
+computed once for each distinct bigram and joined to the bigrams of each text; those of the most frequent
+bigrams, a table of fixed size, are broadcast and added up in the task that reads the text, so no key is hot.
+A document's score is the mean over its words of the target's loss less the background's loss: the lower, the
+more it is like the target.
 """
 
 from __future__ import annotations
@@ -17,125 +19,168 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdantflow.llm.shared import dense, slices, sum_vectors, vector_rows
-from verdantflow.llm.words import word_hashes
+from verdantflow.llm.mixing import word_count
+from verdantflow.llm.shared import slices, written
+from verdantflow.llm.words import mixed, word_hashes
 
-VOCABULARY = 2048
-_PART = 1 << 16
+HEAD = 1 << 17
+UNIT = 1 << 24
+_U = np.uint64
+_START, _OTHER = 0, 1
+_STEP = _U(0x9E3779B97F4A7C15)
+_COUNTS = "pair long, before long, word long, background long, target long"
 
 
 @dataclass(frozen=True)
 class Models:
-    """``words``: sorted hashes of the vocabulary; ``target`` and ``background``: loss of (previous, word), flat."""
+    """Tables of counts over the whole training, and of losses (in 1 / ``UNIT`` bits) of its bigrams.
+
+    ``words``: sorted hashes of the vocabulary if the caller bounded it, else None; ``losses``: ``pair, target,
+    background``; ``befores``: totals and kinds of successors of a word; ``singles``: counts of a word;
+    ``head``: sorted pairs and losses of the most frequent bigrams.
+    """
+
+    words: np.ndarray | None
+    losses: DataFrame
+    befores: DataFrame
+    singles: DataFrame
+    totals: tuple[int, int, int]
+    head: tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    words: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
+
+def _sequences(texts: pa.Array, words: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bigram, previous word and word at every place, and where each text's words begin."""
+    word, at = word_hashes(texts)
+    if words is not None:
+        place = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
+        word = np.where(words[place] == word, word, _U(_OTHER)) if len(words) else np.full(len(word), _OTHER, _U)
+    before = np.concatenate((word[:0], [_U(_START)], word[:-1])).astype(_U) if len(word) else word
+    before[at[:-1][at[:-1] < at[1:]]] = _START
+    return mixed(before * _STEP + mixed(word)), before, word, at
 
 
 def _word_counts(batches) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for piece in slices(batches, "text"):
+        word, n = np.unique(word_hashes(piece.column("text"))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        word, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        return word, np.bincount(back, np.concatenate([h[1] for h in held]), len(word)).astype(np.int64)
+
+def _bigrams(batches, words) -> Iterator[pa.RecordBatch]:
+    """Distinct bigrams of a task with their counts, in several parts if there are very many."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        pair, before, word, n, t = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(pair[order]) != 0))) if len(order) else order
+        sums = [np.add.reduceat(x[order], first) if len(first) else x for x in (n, t)]
+        return pair[order][first], before[order][first], word[order][first], *sums
 
     def rows() -> pa.RecordBatch:
-        word, count = merged()
+        pair, before, word, n, t = merged()
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (pair, before, word)), pa.array(n), pa.array(t)], names=["pair", "before", "word", "background", "target"])
 
     for piece in slices(batches, "text"):
-        held.append(np.unique(word_hashes(piece.column("text"))[0], return_counts=True))
-        if sum(len(h[0]) for h in held) > 1 << 21:
+        pair, before, word, at = _sequences(piece.column("text"), words.value)
+        chosen = np.repeat(piece.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
+        held.append((pair, before, word, np.ones(len(pair), np.int64), chosen.astype(np.int64)))
+        if sum(len(x[0]) for x in held) > 1 << 20:
             held[:] = [merged()]
-            if len(held[0][0]) > 1 << 20:
+            if len(held[0][0]) > 1 << 19:
                 yield rows()
     if held:
         yield rows()
 
 
-def _codes(texts: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram number of every word (previous * (V + 2) + word), and where each text's words begin.
-
-    Word numbers: 0 to V - 1 the vocabulary, V any other word, V + 1 (as previous only) the start of a text.
-    """
-    hashes, at = word_hashes(texts)
-    v = len(words)
-    if v:
-        place = np.searchsorted(words, hashes)
-        place[place == v] = 0
-        code = np.where(words[place] == hashes, place, v)
-    else:
-        code = np.zeros(len(hashes), np.int64)
-    before = np.concatenate(([v + 1], code[:-1])) if len(code) else code
-    before[at[:-1][at[:-1] < at[1:]]] = v + 1
-    return before * (v + 2) + code, at
+def _bigram_counts(rows: DataFrame, words) -> DataFrame:
+    counted = rows.mapInArrow(lambda b: _bigrams(b, words), _COUNTS)
+    return counted.groupBy("pair").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def _bigrams(batches, words) -> Iterator[pa.RecordBatch]:
-    size = (len(words.value) + 2) ** 2
-    counts = {"background": np.zeros(size, np.int64), "target": np.zeros(size, np.int64)}
-    for piece in slices(batches, "text"):
-        code, at = _codes(piece.column("text"), words.value)
-        counts["background"] += np.bincount(code, minlength=size)
-        chosen = np.repeat(piece.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-        counts["target"] += np.bincount(code[chosen], minlength=size)
-    for name, c in counts.items():
-        for row in vector_rows(name, c, _PART):
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("name", pa.string()), ("part", pa.int32()), ("data", pa.binary())]))
+def _losses(pairs: DataFrame, befores: DataFrame, singles: DataFrame, totals: tuple[int, int, int]) -> DataFrame:
+    """``pair, target, background, often``: -log2 p(word | previous), Witten-Bell interpolation with add-one word frequencies."""
+    v = totals[2]
+    joined = pairs.join(singles, "word", "left").join(befores, "before", "left")
+    out = []
+    for name, all_words in zip(("target", "background"), totals):
+        c, total, kinds, alone = (F.coalesce(x, F.lit(0)).cast("double") for x in (name, f"{name}_total", f"{name}_kinds", f"{name}_alone"))
+        kinds = F.greatest(kinds, F.lit(1.0))
+        p = (c + kinds * (alone + 1) / float(all_words + v + 1)) / (total + kinds)
+        out.append(F.round(-F.log2(p) * UNIT).cast("long").alias(f"{name}_loss"))
+    return joined.select("pair", *out, F.col("background").alias("often"))
 
 
-def losses(counts: np.ndarray, v: int) -> np.ndarray:
-    """-log2 p(word | previous) by Witten-Bell interpolation with add-one word frequencies, flat."""
-    c = counts.reshape(v + 2, v + 2).astype(np.float32)
-    word = c[:, : v + 1].sum(0, dtype=np.float64) + 1
-    word /= word.sum()
-    total, kinds = c.sum(1, dtype=np.float64)[:, None], (c > 0).sum(1)[:, None]
-    p = np.zeros((v + 2, v + 2), np.float32)
-    p[:, : v + 1] = (c[:, : v + 1] + np.maximum(kinds, 1) * word) / (total + np.maximum(kinds, 1))
-    p[:, v + 1] = 1  # never scored
-    return -np.log2(p).ravel()
-
-
-def train(docs: DataFrame, target: Column, text_col: str = "text", vocabulary: int = VOCABULARY) -> Models:
+def train(docs: DataFrame, target: Column, text_col: str = "text", vocabulary: int | None = None) -> Models:
     """Models from every row; ``target`` tells the rows of the target corpus (null: not one).
 
-    The tables take 8 * (vocabulary + 2)^2 bytes at any input size. Ties for the last words of the vocabulary
-    go to the smaller hash. Null and empty texts teach nothing.
+    Every word of the training counts, unless the caller bounds the ``vocabulary`` to the most frequent words
+    (ties go to the smaller hash); others are then one symbol. Null and empty texts teach nothing.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    counted = rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    words = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    summed = sum_vectors(rows.mapInArrow(lambda b: _bigrams(b, shared), "name string, part int, data binary"))
-    size = (len(words) + 2) ** 2
-    counts = dense(summed.collect(), size, _PART)
-    return Models(words, *(losses(counts.get(x, np.zeros(size, np.int64)), len(words)) for x in ("target", "background")))
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    words = None
+    if vocabulary is not None:
+        counted = rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+        words = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+    pairs = written(_bigram_counts(rows, docs.sparkSession.sparkContext.broadcast(words)), "bigrams")
+    both = ("target", "background")
+    befores = written(pairs.groupBy("before").agg(*(F.sum(x).alias(f"{x}_total") for x in both), *(F.count_if(F.col(x) > 0).alias(f"{x}_kinds") for x in both)), "befores")
+    singles = written(pairs.groupBy("word").agg(*(F.sum(x).alias(f"{x}_alone") for x in both)), "singles")
+    t = singles.agg(*(F.coalesce(F.sum(f"{x}_alone"), F.lit(0)) for x in both), F.count_if(F.col("word") != _OTHER)).first()
+    totals = (t[0], t[1], t[2])
+    losses = written(_losses(pairs, befores, singles, totals), "losses")
+    head = losses.filter("often > 1").orderBy(F.desc("often"), "pair").limit(HEAD).select("pair", "target_loss", "background_loss").toArrow()
+    pair, one, two = (head.column(k).to_numpy() for k in range(3))
+    order = np.argsort(pair.view(np.uint64))
+    return Models(words, losses.drop("often"), befores, singles, totals, (pair.view(np.uint64)[order], one[order], two[order]))
+
+
+def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", trained: bool = False) -> DataFrame:
     """One row for each row of ``docs``: ``id, n_words, target_loss, background_loss, score`` (bits a word).
 
-    Null, empty and blank texts have ``n_words`` 0 and null losses. Repeated rows score alike.
+    Null, empty and blank texts have ``n_words`` 0 and null losses. Repeated rows score alike. Losses are summed
+    as integers, so the result doesn't depend on the order. ``trained`` says that the training had every text of
+    ``docs``; else bigrams that it didn't have are looked for, and their losses added.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    context = docs.sparkSession.sparkContext
+    words, head = context.broadcast(models.words), context.broadcast(models.head)
 
     def scored(batches):
-        m = shared.value
+        """Rows of a text: one for each bigram beyond the head, and one (``n`` 0) with the sums of the head."""
+        often, *known = head.value
         for piece in slices(batches, "text"):
-            code, at = _codes(piece.column("text"), m.words)
-            n = np.diff(at)
-            out = []
-            for table in (m.target, m.background):
-                total = np.zeros(len(n))
-                if len(code):
-                    total[n > 0] = np.add.reduceat(table[code], at[:-1][n > 0], dtype=np.float64)
-                out.append(total / np.maximum(n, 1))
-            none = n == 0
-            arrays = [pa.array(x, mask=none) for x in (*out, out[0] - out[1])]
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(n), *arrays], names=["id", "n_words", "target_loss", "background_loss", "score"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scored, rows.select("id").schema.add("n_words", "long").add("target_loss", "double").add("background_loss", "double").add("score", "double"))
+            pair, _, _, at = _sequences(piece.column("text"), words.value)
+            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            place = np.minimum(np.searchsorted(often, pair), max(len(often) - 1, 0))
+            inside = often[place] == pair if len(often) else np.zeros(len(pair), bool)
+            size = len(at) - 1
+            sums = [np.bincount(doc[inside], x, size).astype(np.int64) for x in (None, *(k[place[inside]] for k in known))]
+            pair, doc = pair[~inside], doc[~inside]
+            order = np.lexsort((pair, doc))
+            pair, doc = pair[order], doc[order]
+            first = np.flatnonzero(np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(doc) != 0)))) if len(pair) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate((first, [len(pair)])))
+            key = piece.column("key").to_numpy(zero_copy_only=False)
+            none, zero = np.zeros(len(first), np.int64), np.zeros(size, np.int64)
+            arrays = [np.concatenate((key[doc[first]], key)), np.concatenate((pair[first].view(np.int64), key)), np.concatenate((n, zero))]
+            arrays += [np.concatenate((none, x)) for x in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["key", "pair", "n", "m", "t", "b"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    losses = models.losses
+    if not trained:
+        own = _bigram_counts(rows.select("text", F.lit(False).alias("target")), words).select("pair", "before", "word", F.lit(0).alias("target"), F.lit(0).alias("background"))
+        fresh = own.join(losses.select("pair"), "pair", "left_anti")
+        losses = losses.unionByName(_losses(fresh, models.befores, models.singles, models.totals).drop("often"))
+    parts = rows.filter("text is not null").select("key", "text").mapInArrow(scored, "key long, pair long, n long, m long, t long, b long")
+    met = parts.join(losses, "pair", "left")
+    lost = lambda c: F.when(F.col("n") == 0, F.lit(0)).otherwise(F.coalesce(c, F.raise_error(F.lit("a bigram without a loss")).cast("long")))
+    # copies of a text meet under one key; the means are the same
+    sums = met.groupBy("key").agg(F.sum(F.col("n") + F.col("m")).alias("all"), *(F.sum(F.col(x) + F.col("n") * lost(f"{y}_loss")).alias(y) for x, y in (("t", "target"), ("b", "background"))))
+    mean = lambda c: F.try_divide(F.col(c).cast("double"), F.col("all") * float(UNIT))
+    means = sums.select("key", mean("target").alias("target_loss"), mean("background").alias("background_loss"))
+    out = rows.select("id", "key", word_count(F.col("text")).alias("n_words")).join(means, "key", "left")
+    some = lambda c: F.when(F.col("n_words") > 0, c)
+    return out.select("id", "n_words", some(F.col("target_loss")).alias("target_loss"), some(F.col("background_loss")).alias("background_loss"), some(F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -42,7 +42,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, marks = _table(spark, sf_dir, "documents"), quality_marks(spark, sf_dir).filter("target")
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
     models = lm.train(docs.select("doc_id", "text").join(marks, "doc_id", "left"), F.col("target"))
-    return lm.score(docs, models).withColumnRenamed("id", "doc_id")
+    return lm.score(docs, models, trained=True).withColumnRenamed("id", "doc_id")
 
 
 def op4_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
