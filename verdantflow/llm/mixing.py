@@ -1,8 +1,9 @@
 """Mix sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-The mix is cut into blocks of an equal number of words. Blocks go to sources by highest quotients, then to
-the shards of a source in the same way, so each shard has an integer quota; within a shard a seeded order
-picks the blocks. Only sizes are shuffled, never texts.
+The words of the mix go to sources by highest quotients, then to the shards of a source in the same way, so
+each shard has an integer quota of words. A shard is cut into blocks of an equal number of words, bounded at
+any input size; a seeded order picks them, and the last one picked is taken in part, so quotas are met to the
+word. Only sizes are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 from verdantflow.llm.shared import written
 
 BLOCKS = 1 << 20
+BLOCK_WORDS = 256
 SHARD_WORDS = 8_000_000
 SHARD_BLOCKS = (64, 8192)
 BROADCAST_SOURCES = 50_000
@@ -90,20 +92,18 @@ def mix_sources(docs: DataFrame, weights: Callable[[int], float], total_share: f
         frame = frame.sort_values("key", ignore_index=True)
         size = frame["source_size"].to_numpy(np.int64)
         all_words = int(size.sum())
-        block = max(1, all_words // blocks)
+        block = min(max(1, all_words // blocks), BLOCK_WORDS)
         target = capped_targets(size, [weights(i) for i in range(len(size))], total_share * all_words, most_repeats)
         words = min(max(shard_words, SHARD_BLOCKS[0] * block), SHARD_BLOCKS[1] * block)  # so neither words nor blocks of a shard pile up
         shards = np.maximum(1, -(-size // words))
-        # a source can give each of its blocks most_repeats times; each shard may end in a part of a block
-        quota = sainte_lague(target, round(float(target.sum()) / block), most_repeats * (size // block + shards))
+        quota = sainte_lague(target, round(float(target.sum())), most_repeats * size)
         return frame.assign(target=target, block=block, shards=shards, quota=quota)
 
     def deal(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("shard", ignore_index=True)
         words, block = frame["words"].to_numpy(np.int64), int(frame["block"].iloc[0])
-        number = -(-words // block)
-        got = sainte_lague(words, int(frame["quota"].iloc[0]), most_repeats * number)
-        return frame.assign(number=number, passes=got // np.maximum(number, 1), extra=got % np.maximum(number, 1))[["key", "shard", "number", "passes", "extra"]]
+        got = sainte_lague(words, int(frame["quota"].iloc[0]), most_repeats * words)
+        return frame.assign(number=-(-words // block), passes=got // np.maximum(words, 1), extra=got % np.maximum(words, 1))[["key", "shard", "words", "block", "number", "passes", "extra"]]
 
     planned = base.groupBy("key").agg(F.sum("size").alias("source_size")).groupBy().applyInPandas(plan, "key string, source_size long, target double, block long, shards long, quota long")
     planned = written(planned, "sources")
@@ -113,14 +113,16 @@ def mix_sources(docs: DataFrame, weights: Callable[[int], float], total_share: f
     placed = Window.partitionBy("key", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = written(rows.withColumn("begin", F.coalesce(F.sum("size").over(placed), F.lit(0))), "placed")
     cells = rows.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("quota").alias("quota"))
-    cells = written(cells.groupBy("key").applyInPandas(deal, "key string, shard long, number long, passes long, extra long"), "cells")
-
-    # blocks of a cell in a seeded order: the first ``extra`` of them are taken once more
-    spans = cells.filter("extra > 0").select("key", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("number") - 1)).alias("k"))
-    drawn = Window.partitionBy("key", "shard").orderBy(F.xxhash64("key", "shard", "k", F.lit(seed + 2)), "k")
-    chosen = spans.withColumn("place", F.row_number().over(drawn)).filter("place <= extra").select("key", "shard", "k")
+    cells = written(cells.groupBy("key").applyInPandas(deal, "key string, shard long, words long, block long, number long, passes long, extra long"), "cells")
+
+    # blocks of a cell in a seeded order: the first ``extra`` words of them are taken once more
+    spans = cells.filter("extra > 0").select("key", "shard", "extra", "words", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("number") - 1)).alias("k"))
+    spans = spans.select("key", "shard", "extra", "k", F.least("block", F.col("words") - F.col("k") * F.col("block")).alias("length"))
+    drawn = Window.partitionBy("key", "shard").orderBy(F.xxhash64("key", "shard", "k", F.lit(seed + 2)), "k").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("rest", F.col("extra") - F.coalesce(F.sum("length").over(drawn), F.lit(0))).filter("rest > 0")
+    chosen = spans.select("key", "shard", "k", F.least("length", "rest").alias("given"))
     cut = rows.filter("size > 0").select("key", "shard", "begin", "size", "block", F.explode(F.expr("sequence(begin div block, (begin + size - 1) div block)")).alias("k"))
-    overlap = F.least(F.col("begin") + F.col("size"), (F.col("k") + 1) * F.col("block")) - F.greatest(F.col("begin"), F.col("k") * F.col("block"))
-    more = cut.join(chosen, ["key", "shard", "k"]).groupBy("key", "shard", "begin", "size").agg(F.sum(overlap).alias("more"))
+    overlap = F.least(F.col("begin") + F.col("size"), F.col("k") * F.col("block") + F.col("given")) - F.greatest(F.col("begin"), F.col("k") * F.col("block"))
+    more = cut.join(chosen, ["key", "shard", "k"]).groupBy("key", "shard", "begin", "size").agg(F.sum(F.greatest(overlap, F.lit(0))).alias("more"))
     rows = rows.join(cells.select("key", "shard", "passes"), ["key", "shard"]).join(more, ["key", "shard", "begin", "size"], "left")
     return rows.select("id", "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce("more", F.lit(0))).alias("taken"))
