@@ -15,6 +15,8 @@ join is exact, and never lists the pairs of a group:
    Two members that both answer the hub are in one class already and are skipped; the others are compared
    in blocks of bounded size, and only links that join classes leave the task.
 4. Classes are the components of these links.
+5. If links are counted, no two members are skipped, and each link counts at the least of the hubs that its
+   two sets share, so once; a set's links leave the task as a sum, copies added by the size of their class.
 """
 
 from __future__ import annotations
@@ -129,26 +131,32 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _answers(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, block, role, id), the hub's set first in each: each member against the hub.
+    """Rows sorted by (hub, block, role, id, f1, f2), the hub's set first in each: each member against the hub.
 
-    A member comes more than once, one after the other, where its document is repeated.
+    A member comes more than once, one after the other, where its document is repeated. ``lower``: the hubs of
+    a member that come before this one; ``owned``: a link of which no lower hub knows.
     """
     hub = seen = None
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("hub", pa.int64()), ("block", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("less", pa.int64()), ("hub_n", pa.int64()), ("linked", pa.bool_()), ("diff", pa.binary())])
+    hub_lower, hub_copies = np.zeros(0, np.int64), 0
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("hub", pa.int64()), ("block", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("less", pa.int64()), ("hub_n", pa.int64()), ("linked", pa.bool_()), ("diff", pa.binary()),
+                        ("f1", pa.int64()), ("f2", pa.int64()), ("copies", pa.int64()), ("hub_copies", pa.int64()), ("owned", pa.bool_()), ("lower", pa.binary())])
     for piece in slices(batches, "tokens"):
         rows = []
-        for h1, h2, h, block, role, i, tokens in zip(*(piece.column(c).to_pylist() for c in ("h1", "h2", "hub", "block", "role", "id", "tokens"))):
+        for h1, h2, h, block, role, i, tokens, f1, f2, copies, known in zip(*(piece.column(c).to_pylist() for c in ("h1", "h2", "hub", "block", "role", "id", "tokens", "f1", "f2", "copies", "known"))):
             own = np.frombuffer(tokens, _U)
+            lower = np.array(known or (), np.int64)
+            lower = lower[lower < h1]
             if role == 0:
-                hub = own
-            if role == 0 or seen == (h1, h2, block, i):
+                hub, hub_lower, hub_copies = own, lower, copies
+            if role == 0 or seen == (h1, h2, block, f1, f2):
                 continue
-            seen = (h1, h2, block, i)
+            seen = (h1, h2, block, f1, f2)
             within = _common(hub, own)
             both = int(within.sum())
             linked = 100 * both >= percent * (len(own) + len(hub) - both)
             diff = np.sort(np.concatenate([own[~within], hub[~_common(own, hub)]]))
-            rows.append((h1, h2, h, block, i, len(own), len(hub) - both, len(hub), linked, diff.tobytes()))
+            owned = linked and not np.isin(lower, hub_lower).any()
+            rows.append((h1, h2, h, block, i, len(own), len(hub) - both, len(hub), linked, diff.tobytes(), f1, f2, copies, hub_copies, owned, lower.tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
@@ -175,11 +183,15 @@ def _forest(x: np.ndarray, y: np.ndarray, size: int, joined: np.ndarray) -> list
     return kept
 
 
-def _compare(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, left, right): links between the members of two blocks, from their differences."""
+def _compare(batches, percent: int, counted: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hub, left, right): links between the members of two blocks, from their differences.
 
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        ids, n, less, linked, block, diffs = zip(*rows)
+    Links (a, b) that join classes and, if ``counted``, for each member (f1, f2) the documents that it links to.
+    """
+    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "f1", "f2", "n")])
+
+    def links(rows: list[tuple]) -> tuple[list[tuple[int, int]], np.ndarray | None]:
+        ids, n, less, linked, block, diffs, _, _, copies, lower = zip(*rows)
         n, less, linked, block = np.array(n), np.array(less), np.array(linked), np.array(block)
         token, count = np.concatenate([np.frombuffer(d, _U) for d in diffs]), np.array([len(d) // 8 for d in diffs])
         value, code, times = np.unique(token, return_inverse=True, return_counts=True)
@@ -197,20 +209,35 @@ def _compare(batches, percent: int) -> Iterator[pa.RecordBatch]:
             both += m @ m.T
         inter = rows_hub_n - less[:, None] - less[None, :] + both
         good = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
-        good &= ~(linked[:, None] & linked[None, :])
         if block[0] != block[-1]:
             good &= block[:, None] != block[None, :]
+        np.fill_diagonal(good, False)
+        sums = None
+        if counted:
+            hubs = [np.frombuffer(x, np.int64) for x in lower]
+            value, code = np.unique(np.concatenate(hubs), return_inverse=True)
+            row, known = np.repeat(np.arange(len(ids)), [len(x) for x in hubs]), np.zeros((len(ids), len(ids)), bool)
+            for low in range(0, len(value), 4096):
+                m = np.zeros((len(ids), 4096), np.float32)
+                at = (code >= low) & (code < low + 4096)
+                m[row[at], code[at] - low] = 1
+                known |= m @ m.T > 0
+            sums = (good & ~known) @ np.array(copies, np.int64)
+        good &= ~(linked[:, None] & linked[None, :])
         x, y = np.nonzero(np.triu(good, 1))
-        return [(ids[a], ids[b]) for a, b in _forest(x, y, len(ids), linked)]
+        return [(ids[a], ids[b]) for a, b in _forest(x, y, len(ids), linked)], sums
 
     def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = links(rows) if len(rows) > 1 else []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        found, sums = links(rows) if len(rows) > 1 else ([], None)
+        made = [(a, b, None, None, None) for a, b in found]
+        if sums is not None:
+            made += [(None, None, x[6], x[7], k) for x, k in zip(rows, sums.tolist()) if k]
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], schema=schema)
 
     key, rows, rows_hub_n = None, [], 0
     for batch in batches:
-        for h1, h2, left, right, *row, hub_n in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "left", "right", "id", "n", "less", "linked", "block", "diff", "hub_n"))):
+        for h1, h2, left, right, *row, hub_n in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "left", "right", "id", "n", "less", "linked", "block", "diff", "f1", "f2", "copies", "lower", "hub_n"))):
             if key != (h1, h2, left, right):
                 yield from out(rows)
                 key, rows, rows_hub_n = (h1, h2, left, right), [], hub_n
@@ -218,7 +245,7 @@ def _compare(batches, percent: int) -> Iterator[pa.RecordBatch]:
     yield from out(rows)
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, block: int = BLOCK) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, block: int = BLOCK, count_links: bool = False) -> DataFrame:
     """One row for each row of ``docs``: ``id, n_shingles long, representative long, component long``.
 
     ``representative`` is the smallest id with exactly this set, ``component`` the smallest id that links
@@ -226,7 +253,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component. A text of fewer than ``n`` words is one shingle. Rows that repeat an id are kept, each with
     the class of its own text (rows of one id count as linked); ids are cast to long, and a null id is kept
     with a null class and links nothing. Other columns
-    of ``docs`` play no part, whatever their names.
+    of ``docs`` play no part, whatever their names. With ``count_links`` there is a column ``n_links long``: with
+    how many other rows this one's text links, equal texts among them.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -238,12 +266,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         level[row["part"] << 16 : (row["part"] << 16) + len(piece)] = np.minimum(127, 3 * np.log2(piece + 1))
     levels = spark.sparkContext.broadcast(level)  # 2^sketch_bits bytes at any input size
     prints = both.filter("part is null").select("id", "n", "f1", "f2")
-    classes = prints.filter("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("representative"))
+    classes = prints.filter("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("representative"), F.count("*").alias("copies"))
 
     posted = rows.filter("id is not null and text is not null").mapInArrow(lambda b: _postings(b, n, percent, sketch_bits, levels), "token long, n long, f1 long, f2 long, most long")
     lists = posted.repartition("token").sortWithinPartitions("token", "n", "f1", "f2")
     edges = lists.mapInArrow(lambda b: _hubs(b, percent), "h1 long, h2 long, f1 long, f2 long").distinct()
-    edges = edges.join(classes.withColumnRenamed("representative", "id"), ["f1", "f2"])
+    edges = edges.join(classes.select("f1", "f2", F.col("representative").alias("id")), ["f1", "f2"])
     hubs = classes.select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), F.col("representative").alias("hub"))
     edges = written(edges.join(hubs, ["h1", "h2"]).select("h1", "h2", "hub", "f1", "f2", "id"), "edges")
 
@@ -256,23 +284,41 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = roles.count() <= BROADCAST_ROLES
     texts = rows.join(_hint(roles.select("id").distinct(), small), "id", "left_semi")
     sets = texts.mapInArrow(lambda b: _sets(b, n), "f1 long, f2 long, tokens binary")
-    faced = sets.join(_hint(roles, small), ["f1", "f2"]).select(*group, "hub", "block", "role", "id", "tokens")
-    faced = faced.repartition(*group, "block").sortWithinPartitions(*group, "block", "role", "id")
-    answers = written(faced.mapInArrow(lambda b: _answers(b, percent), "h1 long, h2 long, hub long, block int, id long, n long, less long, hub_n long, linked boolean, diff binary"), "answers")
-
-    # pairs of blocks of one hub of which at least one member hasn't answered the hub
-    state = answers.groupBy(*group, "block").agg(F.sum((~F.col("linked")).cast("long")).alias("open"), F.count("*").alias("rows"))
+    if count_links:  # the hubs that know a set, itself if it is one
+        known = edges.select("f1", "f2", "h1").unionByName(sized.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "h1"))
+        known = known.groupBy("f1", "f2").agg(F.sort_array(F.collect_set("h1")).alias("known")).join(classes.select("f1", "f2", "copies"), ["f1", "f2"])
+        # as many hubs in all as there are roles, so small where these are
+        sets = sets.join(_hint(written(known, "known"), small), ["f1", "f2"])
+    else:
+        sets = sets.select("*", F.lit(None).cast("array<long>").alias("known"), F.lit(0).cast("long").alias("copies"))
+    faced = sets.join(_hint(roles, small), ["f1", "f2"]).select(*group, "hub", "block", "role", "id", "f1", "f2", "tokens", "known", "copies")
+    faced = faced.repartition(*group, "block").sortWithinPartitions(*group, "block", "role", "id", "f1", "f2")
+    answers = written(faced.mapInArrow(lambda b: _answers(b, percent), "h1 long, h2 long, hub long, block int, id long, n long, less long, hub_n long, linked boolean, diff binary, f1 long, f2 long, copies long, hub_copies long, owned boolean, lower binary"), "answers")
+
+    # pairs of blocks of one hub of which at least one member hasn't answered the hub; all pairs to count links
+    still = F.lit(True) if count_links else ~F.col("linked")
+    state = answers.groupBy(*group, "block").agg(F.sum(still.cast("long")).alias("open"), F.count("*").alias("rows"))
     unsettled = state.groupBy(*group).agg(F.sum("open").alias("open"), F.sum("rows").alias("rows")).filter("open > 0 and rows > 1").select(*group)
     state = state.join(unsettled, group, "left_semi")
     other = state.select(*group, F.col("block").alias("right"), F.col("open").alias("open2"))
     pairs = state.select(*group, F.col("block").alias("left"), "open").join(other, group).filter("left <= right and open + open2 > 0").select(*group, "left", "right")
     ends = pairs.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    compared = answers.join(ends, [*group, "block"]).select(*group, "left", "right", "id", "n", "less", "linked", "block", "diff", "hub_n")
+    compared = answers.join(ends, [*group, "block"]).select(*group, "left", "right", "id", "n", "less", "linked", "block", "diff", "f1", "f2", "copies", "lower", "hub_n")
     compared = compared.repartition(*group, "left", "right").sortWithinPartitions(*group, "left", "right", "block")
-    derived = compared.mapInArrow(lambda b: _compare(b, percent), "a long, b long")
-    links = answers.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(derived)
+    derived = compared.mapInArrow(lambda b: _compare(b, percent, count_links), "a long, b long, f1 long, f2 long, n long")
+    if count_links:
+        derived = written(derived, "derived")
+    links = answers.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(derived.filter("a is not null").select("a", "b"))
     found = connected_components(links).withColumnRenamed("node", "representative")
-    classes = classes.join(found, "representative", "left").select("f1", "f2", "representative", F.coalesce("component", "representative").alias("component"))
+    classes = classes.join(found, "representative", "left").select("f1", "f2", "representative", "copies", F.coalesce("component", "representative").alias("component"))
+    if count_links:
+        direct = answers.filter("owned").select("f1", "f2", F.col("hub_copies").alias("n")).unionByName(answers.filter("owned").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("copies").alias("n")))
+        others = direct.unionByName(derived.filter("n is not null").select("f1", "f2", "n")).groupBy("f1", "f2").agg(F.sum("n").alias("others"))
+        classes = classes.join(others, ["f1", "f2"], "left")
     done = prints.join(classes, ["f1", "f2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")
-    return done.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("representative", "id")).alias("representative"), own)
+    columns = ["id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("representative", "id")).alias("representative"), own]
+    if count_links:
+        count = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
+        columns.append(F.when(F.col("id").isNotNull(), F.coalesce(count, F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return done.select(*columns)

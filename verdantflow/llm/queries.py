@@ -24,8 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=5, percent=80)
-    return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("representative").alias("representative_id"))
+    joined = jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=5, percent=80, count_links=True)
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("representative").alias("representative_id"), "n_links")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
