@@ -1,4 +1,4 @@
-"""Media, mixing, top-k, URL filters, language ID and LM scoring against brute force on small tables."""
+"""Media, mixing, top-k, URL filters, and language ID against brute force on small tables."""
 
 import hashlib
 import math
@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from verdantflow.llm import language, lm, media, mixing, topk, urls
+from verdantflow.llm import language, media, mixing, topk, urls
 
 
 # Media
@@ -217,45 +217,3 @@ def test_scores_match_plain_naive_bayes(spark):
         best = max(total, key=total.get)
         [label], [score] = language.score_texts([text], model)
         assert label == best and math.isclose(score, 1 / sum(math.exp(v - total[best]) for v in total.values()), rel_tol=1e-3)
-
-
-# LM scoring
-def test_losses_match_a_plain_bigram_model(spark):
-    rng = random.Random(8)
-    rows = [(i, " ".join(rng.choice("abcdefgh" if i % 2 else "AbcXYZ") for _ in range(rng.randrange(0, 30))), i % 2 == 1, "x") for i in range(60)] + [(99, None, True, "x"), (98, " \n", None, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean, target string")
-    models = lm.train(df, lm.F.col("good"), vocabulary=6)
-    got = {r.id: r for r in lm.score(df, models).collect()}
-    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for i, t, *_ in rows}
-    v = len(models.words)
-    assert v == 6
-    codes = {}
-    for w in {x for ws in words.values() for x in ws}:
-        h = lm.word_hashes(lm.pa.array([w]))[0][0]
-        at = int(np.searchsorted(models.words, h))
-        codes[w] = at if at < v and models.words[at] == h else v
-
-    def plain(ids):
-        pair, word, prev = Counter(), Counter(), Counter()
-        for i in ids:
-            seq = [v + 1, *(codes[w] for w in words[i])]
-            for a, b in zip(seq, seq[1:]):
-                pair[a, b] += 1
-                word[b] += 1
-                prev[a] += 1
-        kinds = Counter(a for a, _ in pair)
-        all_words = sum(word.values()) + v + 1
-        return lambda a, b: -math.log2((pair[a, b] + max(kinds[a], 1) * (word[b] + 1) / all_words) / (prev[a] + max(kinds[a], 1)))
-
-    t, b = plain([i for i, _, good, _ in rows if good]), plain(list(words))
-    for i, ws in words.items():
-        r = got[i]
-        assert r.n_words == len(ws)
-        if not ws:
-            assert r.target_loss is r.background_loss is r.score is None
-            continue
-        seq = [v + 1, *(codes[w] for w in ws)]
-        for f, x in ((t, r.target_loss), (b, r.background_loss)):
-            assert math.isclose(x, sum(f(a, c) for a, c in zip(seq, seq[1:])) / len(ws), rel_tol=1e-5)
-        assert math.isclose(r.score, r.target_loss - r.background_loss, abs_tol=1e-12)
-    assert lm.score(df.limit(0), lm.train(df.limit(0), lm.F.col("good"))).count() == 0

@@ -1,12 +1,19 @@
 """Cross-entropy difference of matched n-gram models.
 
-A target model and a background model are interpolated bigram models of one order and one smoothing over one
-vocabulary: all words of all documents, and a symbol for words that no document of the training has. Counts of
-words and bigrams are Spark tables that grow with the input: each task sums its own before a shuffle. Losses are
-computed once for each distinct bigram and joined to the bigrams of each text; those of the most frequent
-bigrams, a table of fixed size, are broadcast and added up in the task that reads the text, so no key is hot.
-A document's score is the mean over its words of the target's loss less the background's loss: the lower, the
-more it is like the target.
+A target model and a background model are bigram models of one smoothing over one vocabulary, all words of the
+training. A document's score is the mean over its words of the target's loss less the background's loss: the
+lower, the more it is like the target. With c the counts of a model, q(w) its add-one word frequency and m the
+weight of the prior,
+
+    loss(v, w) = log2(c(v .) + m) - log2(c(v w) + m q(w)),
+
+so the loss of a text is a sum of terms that each need the counts of one word ``w`` and of bigrams that end in
+``w``. Training and scoring are one pass: every place of a text goes, as a few bytes, to the bucket of its word;
+there all counts of the word and its bigrams are known, and the sums for each text go back.
+
+Bigrams and words that are frequent anywhere have their counts broadcast (tables of a fixed size): places with
+a frequent bigram don't travel, and those with a frequent word go to the bucket of their bigram, so no bucket is
+hot: what is not in these tables has less than 1 / 65,536 of all places.
 """
 
 from __future__ import annotations
@@ -16,171 +23,342 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdantflow.llm.mixing import word_count
-from verdantflow.llm.shared import slices, written
+from verdantflow.llm.shared import dense, slices, sum_vectors, vector_rows, written
 from verdantflow.llm.words import mixed, word_hashes
 
 HEAD = 1 << 17
+CHUNK = 1 << 21
+CHUNK_DOCS = 1 << 16
+BUCKET = 1 << 21
+PRIOR = 4.0
 UNIT = 1 << 24
 _U = np.uint64
-_START, _OTHER = 0, 1
+_START = _U(0)
 _STEP = _U(0x9E3779B97F4A7C15)
-_COUNTS = "pair long, before long, word long, background long, target long"
+_PART = 1 << 16
+_MODELS = ("target", "background")
+_WORD, _PAIR, _TEXTS = 0, 1, 2
+_FOLLOWED, _TAUGHT, _TARGET = 1, 2, 4
 
 
 @dataclass(frozen=True)
-class Models:
-    """Tables of counts over the whole training, and of losses (in 1 / ``UNIT`` bits) of its bigrams.
+class Heads:
+    """Counts of the frequent words and bigrams, sorted by hash, and of the whole training; 0: target, 1: background.
 
-    ``words``: sorted hashes of the vocabulary if the caller bounded it, else None; ``losses``: ``pair, target,
-    background``; ``befores``: totals and kinds of successors of a word; ``singles``: counts of a word;
-    ``head``: sorted pairs and losses of the most frequent bigrams.
+    ``followed``: how often a word has a word after it; ``texts``: texts with a word; ``size``: words of the
+    vocabulary; ``prior``: weight of the prior.
     """
 
-    words: np.ndarray | None
-    losses: DataFrame
-    befores: DataFrame
-    singles: DataFrame
-    totals: tuple[int, int, int]
-    head: tuple[np.ndarray, np.ndarray, np.ndarray]
+    words: np.ndarray
+    counts: np.ndarray
+    followed: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+    total: np.ndarray
+    texts: np.ndarray
+    size: int
+    prior: float
 
+    def terms(self, model: int, pair: np.ndarray, word: np.ndarray, followed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a place adds to the loss of its text, in 1 / ``UNIT`` bits: by itself, and if a word follows."""
+        q = (word + 1) / (self.total[model] + self.size + 1)
+        return (np.rint(-np.log2(pair + self.prior * q) * UNIT).astype(np.int64), np.rint(np.log2(followed + self.prior) * UNIT).astype(np.int64))
 
-def _sequences(texts: pa.Array, words: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bigram, previous word and word at every place, and where each text's words begin."""
+
+def _places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word, word before it and whether one follows, at every place; where each text's places begin."""
     word, at = word_hashes(texts)
-    if words is not None:
-        place = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
-        word = np.where(words[place] == word, word, _U(_OTHER)) if len(words) else np.full(len(word), _OTHER, _U)
-    before = np.concatenate((word[:0], [_U(_START)], word[:-1])).astype(_U) if len(word) else word
-    before[at[:-1][at[:-1] < at[1:]]] = _START
-    return mixed(before * _STEP + mixed(word)), before, word, at
+    before, follows = np.concatenate((word[:0], [_START], word[:-1])).astype(_U)[: len(word)], np.ones(len(word), bool)
+    some = at[:-1] < at[1:]
+    before[at[:-1][some]] = _START
+    follows[at[1:][some] - 1] = False
+    return word, before, follows, at
 
 
-def _word_counts(batches) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches, "text"):
-        word, n = np.unique(word_hashes(piece.column("text"))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(before * _STEP + mixed(word))
+
+
+def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted table, and which of them are there."""
+    if not len(table):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
+
+
+def _flags(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(piece.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("teach", "target"))
 
 
-def _bigrams(batches, words) -> Iterator[pa.RecordBatch]:
-    """Distinct bigrams of a task with their counts, in several parts if there are very many."""
+def _summed(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], [np.add.reduceat(x[order], first) if len(first) else x[:0] for x in columns]
+
+
+def _count(batches) -> Iterator[pa.RecordBatch]:
+    """Counts of words, texts, and those bigrams that a 131,072nd of the places have, of chunks of a task."""
+    names = ["kind", "hash", "word", "background", "target", "followed_background", "followed_target"]
     held: list[tuple[np.ndarray, ...]] = []
+    texts = np.zeros(2, np.int64)
 
-    def merged() -> tuple[np.ndarray, ...]:
-        pair, before, word, n, t = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(pair, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(pair[order]) != 0))) if len(order) else order
-        sums = [np.add.reduceat(x[order], first) if len(first) else x for x in (n, t)]
-        return pair[order][first], before[order][first], word[order][first], *sums
+    def rows(kind: int, key: np.ndarray, word: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+        arrays = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(word.view(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays + [pa.array(x.astype(np.int64)) for x in counts], names=names)
 
-    def rows() -> pa.RecordBatch:
-        pair, before, word, n, t = merged()
+    def out() -> Iterator[pa.RecordBatch]:
+        word, before, follows, target = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (pair, before, word)), pa.array(n), pa.array(t)], names=["pair", "before", "word", "background", "target"])
+        own, counts = _summed(word, [np.ones(len(word), np.int64), target.astype(np.int64), follows.astype(np.int64), (follows & target).astype(np.int64)])
+        yield rows(_WORD, own, own, counts)
+        pair, first, n = np.unique(_pairs(before, word), return_index=True, return_counts=True)
+        often = n >= max(2, len(word) // HEAD if HEAD else 2)
+        yield rows(_PAIR, pair[often], word[first[often]], [n[often], *([np.zeros(often.sum(), np.int64)] * 3)])
 
     for piece in slices(batches, "text"):
-        pair, before, word, at = _sequences(piece.column("text"), words.value)
-        chosen = np.repeat(piece.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-        held.append((pair, before, word, np.ones(len(pair), np.int64), chosen.astype(np.int64)))
-        if sum(len(x[0]) for x in held) > 1 << 20:
-            held[:] = [merged()]
-            if len(held[0][0]) > 1 << 19:
-                yield rows()
+        teach, target = _flags(piece)
+        word, before, follows, at = _places(piece.column("text"))
+        own = np.diff(at)
+        taught = np.repeat(teach, own)
+        texts += ((own > 0) & teach).sum(), ((own > 0) & teach & target).sum()
+        held.append((word[taught], before[taught], follows[taught], np.repeat(target, own)[taught]))
+        if sum(len(x[0]) for x in held) >= CHUNK:
+            yield from out()
     if held:
-        yield rows()
+        yield from out()
+        yield rows(_TEXTS, np.zeros(1, _U), np.zeros(1, _U), [texts[:1], texts[1:], texts[:1] * 0, texts[:1] * 0])
 
 
-def _bigram_counts(rows: DataFrame, words) -> DataFrame:
-    counted = rows.mapInArrow(lambda b: _bigrams(b, words), _COUNTS)
-    return counted.groupBy("pair").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("background").alias("background"), F.sum("target").alias("target"))
+def _head_pairs(batches, pairs) -> Iterator[pa.RecordBatch]:
+    """Exact counts of the frequent bigrams in a task, as vectors."""
+    counts = np.zeros((2, len(pairs.value)), np.int64)
+    for piece in slices(batches, "text"):
+        teach, target = _flags(piece)
+        word, before, _, at = _places(piece.column("text"))
+        place, inside = _found(pairs.value, _pairs(before, word))
+        for k, chosen in enumerate((teach & target, teach)):
+            own = inside & np.repeat(chosen, np.diff(at))
+            counts[k] += np.bincount(place[own], minlength=counts.shape[1])
+    for name, own in zip(_MODELS, counts):
+        for row in vector_rows(name, own, _PART):
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("name", pa.string()), ("part", pa.int32()), ("data", pa.binary())]))
 
 
-def _losses(pairs: DataFrame, befores: DataFrame, singles: DataFrame, totals: tuple[int, int, int]) -> DataFrame:
-    """``pair, target, background, often``: -log2 p(word | previous), Witten-Bell interpolation with add-one word frequencies."""
-    v = totals[2]
-    joined = pairs.join(singles, "word", "left").join(befores, "before", "left")
-    out = []
-    for name, all_words in zip(("target", "background"), totals):
-        c, total, kinds, alone = (F.coalesce(x, F.lit(0)).cast("double") for x in (name, f"{name}_total", f"{name}_kinds", f"{name}_alone"))
-        kinds = F.greatest(kinds, F.lit(1.0))
-        p = (c + kinds * (alone + 1) / float(all_words + v + 1)) / (total + kinds)
-        out.append(F.round(-F.log2(p) * UNIT).cast("long").alias(f"{name}_loss"))
-    return joined.select("pair", *out, F.col("background").alias("often"))
+def _heads(rows: DataFrame, prior: float) -> Heads:
+    counted = rows.mapInArrow(_count, "kind int, hash long, word long, background long, target long, followed_background long, followed_target long")
+    sums = [F.sum(c).alias(c) for c in ("background", "target", "followed_background", "followed_target")]
+    counted = written(counted.groupBy("kind", "hash").agg(F.min("word").alias("word"), *sums), "counts")
+    words = counted.filter(F.col("kind") == _WORD)
+    total = words.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in _MODELS)).first()
+    texts = counted.filter(F.col("kind") == _TEXTS).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in _MODELS)).first()
+    top = words.orderBy(F.desc("background"), "hash").limit(HEAD)
+    often = [top.select("hash", *_MODELS, *(f"followed_{c}" for c in _MODELS)).toArrow().column(k).to_numpy() for k in range(5)] if HEAD else [np.zeros(0, np.int64)] * 5
+    order = np.argsort(often[0].view(_U))
+    pairs = counted.filter(F.col("kind") == _PAIR).join(F.broadcast(top.select(F.col("hash").alias("word"))), "word", "left_semi")
+    pairs = pairs.orderBy(F.desc("background"), "hash").limit(HEAD).select("hash").toArrow().column(0).to_numpy() if HEAD else np.zeros(0, np.int64)
+    pairs = np.sort(pairs.view(_U))
+    shared = rows.sparkSession.sparkContext.broadcast(pairs)
+    exact = dense(sum_vectors(rows.mapInArrow(lambda b: _head_pairs(b, shared), "name string, part int, data binary")).collect(), len(pairs), _PART) if len(pairs) else {}
+    zero = np.zeros(len(pairs), np.int64)
+    return Heads(often[0].view(_U)[order], np.stack([often[1][order], often[2][order]]), np.stack([often[3][order], often[4][order]]), pairs, np.stack([exact.get(x, zero) for x in _MODELS]), np.array([total[1], total[2]]), np.array([texts[0], texts[1]]), int(total[0]), prior)
 
 
-def train(docs: DataFrame, target: Column, text_col: str = "text", vocabulary: int | None = None) -> Models:
-    """Models from every row; ``target`` tells the rows of the target corpus (null: not one).
+def _packed(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays), codec="zstd", asbytes=True)
 
-    Every word of the training counts, unless the caller bounds the ``vocabulary`` to the most frequent words
-    (ties go to the smaller hash); others are then one symbol. Null and empty texts teach nothing.
-    """
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    words = None
-    if vocabulary is not None:
-        counted = rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-        words = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    pairs = written(_bigram_counts(rows, docs.sparkSession.sparkContext.broadcast(words)), "bigrams")
-    both = ("target", "background")
-    befores = written(pairs.groupBy("before").agg(*(F.sum(x).alias(f"{x}_total") for x in both), *(F.count_if(F.col(x) > 0).alias(f"{x}_kinds") for x in both)), "befores")
-    singles = written(pairs.groupBy("word").agg(*(F.sum(x).alias(f"{x}_alone") for x in both)), "singles")
-    t = singles.agg(*(F.coalesce(F.sum(f"{x}_alone"), F.lit(0)) for x in both), F.count_if(F.col("word") != _OTHER)).first()
-    totals = (t[0], t[1], t[2])
-    losses = written(_losses(pairs, befores, singles, totals), "losses")
-    head = losses.filter("often > 1").orderBy(F.desc("often"), "pair").limit(HEAD).select("pair", "target_loss", "background_loss").toArrow()
-    pair, one, two = (head.column(k).to_numpy() for k in range(3))
-    order = np.argsort(pair.view(np.uint64))
-    return Models(words, losses.drop("often"), befores, singles, totals, (pair.view(np.uint64)[order], one[order], two[order]))
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", trained: bool = False) -> DataFrame:
+
+def _unpacked(data: bytes, size: int, *kinds: str) -> list[np.ndarray]:
+    """Arrays of ``size`` values each, of the given types."""
+    width = [np.dtype(k).itemsize * size for k in kinds]
+    raw = pa.decompress(data, sum(width), codec="zstd", asbytes=True)
+    at = np.cumsum([0, *width])
+    return [np.frombuffer(raw[a:b], k) for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), kinds)]
+
+
+def _send(batches, heads, buckets: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows for the buckets: of each text its id, its words and what frequent bigrams add, of each chunk its other places by bucket."""
+    h: Heads = heads.value
+    schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("size", pa.int32()), ("id", id_type), *((c, pa.int64()) for c in ("n", *_MODELS)), ("data", pa.binary())])
+    place, inside = _found(h.words, np.zeros(0, _U))
+    own = [h.terms(m, np.zeros(len(h.words)), h.counts[m], h.followed[m])[1] for m in (0, 1)]  # of a frequent word that is followed
+    number, docs = TaskContext.get().partitionId() << 32, 0
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        nonlocal number, docs
+        key, second, idx, flags = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(key)
+        key, second, idx, flags = key[order], second[order], idx[order], flags[order]
+        bucket = ((key >> _U(32)) * _U(buckets)) >> _U(32)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
+        three = second.astype("<u8").view(np.uint16).reshape(-1, 4)[:, :3]  # the lower 48 bits
+        made = [(int(bucket[a]), b - a, _packed(np.diff(key[a:b], prepend=key[a : a + 1]), key[a : a + 1], three[a:b], idx[a:b], flags[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        if made:
+            none = pa.nulls(len(made), pa.int64())
+            where, size, data = zip(*made)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array([number] * len(made), pa.int64()), pa.array(size, pa.int32()), pa.nulls(len(made), id_type), none, none, none, pa.array(data, pa.binary())], schema=schema)
+        number, docs = number + 1, 0
+
+    for piece in slices(batches, "text"):
+        if docs and docs + piece.num_rows > CHUNK_DOCS:
+            yield from out()
+        teach, target = _flags(piece)
+        word, before, follows, at = _places(piece.column("text"))
+        n = np.diff(at)
+        doc = np.repeat(np.arange(len(n)), n)
+        pair = _pairs(before, word)
+        place, inside = _found(h.words, word)
+        where = np.flatnonzero(inside)
+        spot, met = _found(h.pairs, pair[where])
+        where, spot = where[met], spot[met]
+        sums = []
+        for m in (0, 1):
+            alone, _ = h.terms(m, h.pair_counts[m][spot], h.counts[m][place[where]], np.zeros(1))
+            value = alone + follows[where] * own[m][place[where]]
+            start = h.terms(m, np.zeros(1), np.zeros(1), h.texts[m : m + 1])[1][0]
+            sums.append(np.bincount(doc[where], value, len(n)).astype(np.int64) + np.where(n > 0, start, 0))
+        rest = np.ones(len(word), bool)
+        rest[where] = False
+        inside = inside[rest]
+        key = np.where(inside, mixed(pair[rest]) | _U(1), mixed(word[rest]) & ~_U(1))
+        second = np.where(inside, place[rest].astype(_U), before[rest] & _U((1 << 48) - 1))
+        flags = follows[rest] * _FOLLOWED + np.repeat(teach * _TAUGHT + (teach & target) * _TARGET, n)[rest]
+        held.append((key, second, (doc[rest] + docs).astype(np.uint16), flags.astype(np.uint8)))
+        chunk = np.full(len(n), number)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk % buckets), pa.array(chunk), pa.array((np.arange(len(n)) + docs).astype(np.int32)), piece.column("id"), *(pa.array(x.astype(np.int64)) for x in (n, *sums)), pa.nulls(len(n), pa.binary())], schema=schema)
+        docs += piece.num_rows
+        if sum(len(x[0]) for x in held) >= CHUNK:
+            yield from out()
+    if held:
+        yield from out()
+
+
+def _answer(batches, heads, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: rows of texts as they are, and for each chunk the sums that the bucket's places add to its texts."""
+    h: Heads = heads.value
+    schema = pa.schema([("chunk", pa.int64()), ("size", pa.int32()), ("id", id_type), *((c, pa.int64()) for c in ("n", *_MODELS)), ("data", pa.binary())])
+
+    def out(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for _, size, data in rows:
+            step, first, second, idx, flags = _split(data, size)
+            parts.append((np.cumsum(step) + first, second, idx, flags))
+        key, second, idx, flags = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((second, key))
+        k, s, f = key[order], second[order], flags[order]
+        fresh = np.concatenate(([True], k[1:] != k[:-1]))
+        both = fresh | np.concatenate(([True], s[1:] != s[:-1]))
+        first, first_both = np.flatnonzero(fresh), np.flatnonzero(both)
+        group, of = np.cumsum(both) - 1, (np.cumsum(fresh) - 1)[first_both]  # each place's bigram; each bigram's word
+        often = (k[first_both] & _U(1)).astype(bool)
+        at = np.where(often, s[first_both], 0).astype(np.int64)
+        values = []
+        for m, taught in enumerate((_TARGET, _TAUGHT)):
+            n = (f & taught > 0).astype(np.int64)
+            word, followed = np.add.reduceat(n, first)[of], np.add.reduceat(n * (f & _FOLLOWED), first)[of]
+            if len(h.words):
+                word, followed = np.where(often, h.counts[m][at], word), np.where(often, h.followed[m][at], followed)
+            alone, more = h.terms(m, np.add.reduceat(n, first_both), word, followed)
+            value = np.empty(len(k), np.int64)
+            value[order] = alone[group] + (f & _FOLLOWED) * more[group]
+            values.append(value)
+        done, begin = [], 0
+        for chunk, size, _ in rows:
+            own = slice(begin, begin + size)
+            begin += size
+            docs = np.flatnonzero(np.bincount(idx[own]))
+            sums = [np.bincount(idx[own], x[own])[docs].astype(np.int64) for x in values]
+            done.append((chunk, len(docs), _packed(docs.astype(np.uint16), *sums)))
+        chunk, size, data = zip(*done)
+        none = pa.nulls(len(done), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(size, pa.int32()), pa.nulls(len(done), id_type), none, none, none, pa.array(data, pa.binary())], schema=schema)
+
+    bucket, rows = None, []
+    for batch in batches:
+        texts = batch.column("data").is_null()
+        yield from pa.Table.from_batches([batch.filter(texts).select(schema.names)]).cast(schema).to_batches()
+        own = batch.filter(pa.compute.invert(texts))
+        for where, chunk, size, data in zip(*(own.column(c).to_pylist() for c in ("bucket", "chunk", "size", "data"))):
+            if rows and where != bucket:
+                yield from out(rows)
+                rows = []
+            bucket = where
+            rows.append((chunk, size, data))
+    if rows:
+        yield from out(rows)
+
+
+def _split(data: bytes, size: int) -> tuple[np.ndarray, np.uint64, np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(data, 17 * size + 8, codec="zstd", asbytes=True)
+    a, b, c, d = 8 * size, 8 * size + 8, 14 * size + 8, 16 * size + 8
+    three = np.frombuffer(raw[b:c], np.uint16).reshape(-1, 3).astype(_U)
+    return np.frombuffer(raw[:a], "<u8"), np.frombuffer(raw[a:b], "<u8")[0], three[:, 0] | three[:, 1] << _U(16) | three[:, 2] << _U(32), np.frombuffer(raw[c:d], np.uint16), np.frombuffer(raw[d:], np.uint8)
+
+
+def _finish(batches, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (chunk, sums after texts, size): a row for each text."""
+    schema = pa.schema([("id", id_type), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        n = np.concatenate([b.column("n").to_numpy() for b in texts])
+        own = [np.concatenate([b.column(c).to_numpy() for b in texts]) for c in _MODELS]
+        for size, data in sums:
+            idx, *more = _unpacked(data, size, "<u2", "<i8", "<i8")
+            for x, y in zip(own, more):
+                x[idx] += y
+        mean = [x / (np.maximum(n, 1) * float(UNIT)) for x in own]
+        ids = pa.chunked_array([b.column("id") for b in texts], id_type).combine_chunks()
+        losses = [pa.array(x, mask=n == 0) for x in (*mean, mean[0] - mean[1])]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n), *losses], schema=schema)
+
+    chunk, texts, sums = None, [], []
+    for batch in batches:
+        numbers = batch.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if texts and numbers[a] != chunk:
+                yield from out()
+                texts, sums = [], []
+            chunk, part = numbers[a], batch.slice(a, b - a)
+            own = part.column("data").null_count
+            if own:
+                texts.append(part.slice(0, own))
+            rest = part.slice(own)
+            sums += zip(rest.column("size").to_pylist(), rest.column("data").to_pylist())
+    if texts:
+        yield from out()
+
+
+def cross_entropy_difference(docs: DataFrame, target: Column, teach: Column | None = None, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``id, n_words, target_loss, background_loss, score`` (bits a word).
 
-    Null, empty and blank texts have ``n_words`` 0 and null losses. Repeated rows score alike. Losses are summed
-    as integers, so the result doesn't depend on the order. ``trained`` says that the training had every text of
-    ``docs``; else bigrams that it didn't have are looked for, and their losses added.
+    The background model learns from the rows where ``teach`` holds (all, unless given), the target model from
+    those of them where ``target`` holds; null counts as false. All rows are scored, so documents that are new
+    to the models are rows that don't teach. Every word counts; one that no row taught has a count of 0.
+
+    Null, empty and blank texts have ``n_words`` 0 and null losses, and teach nothing. Repeated rows teach as
+    often as they occur and score alike; null ids stay null. Losses are summed as integers, so the result
+    doesn't depend on the order. Texts are told apart by their place in a partition: ``docs`` should read the same
+    rows in the same order again if a task is repeated, as a table does.
     """
-    context = docs.sparkSession.sparkContext
-    words, head = context.broadcast(models.words), context.broadcast(models.head)
-
-    def scored(batches):
-        """Rows of a text: one for each bigram beyond the head, and one (``n`` 0) with the sums of the head."""
-        often, *known = head.value
-        for piece in slices(batches, "text"):
-            pair, _, _, at = _sequences(piece.column("text"), words.value)
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            place = np.minimum(np.searchsorted(often, pair), max(len(often) - 1, 0))
-            inside = often[place] == pair if len(often) else np.zeros(len(pair), bool)
-            size = len(at) - 1
-            sums = [np.bincount(doc[inside], x, size).astype(np.int64) for x in (None, *(k[place[inside]] for k in known))]
-            pair, doc = pair[~inside], doc[~inside]
-            order = np.lexsort((pair, doc))
-            pair, doc = pair[order], doc[order]
-            first = np.flatnonzero(np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(doc) != 0)))) if len(pair) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate((first, [len(pair)])))
-            key = piece.column("key").to_numpy(zero_copy_only=False)
-            none, zero = np.zeros(len(first), np.int64), np.zeros(size, np.int64)
-            arrays = [np.concatenate((key[doc[first]], key)), np.concatenate((pair[first].view(np.int64), key)), np.concatenate((n, zero))]
-            arrays += [np.concatenate((none, x)) for x in sums]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["key", "pair", "n", "m", "t", "b"])
-
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
-    losses = models.losses
-    if not trained:
-        own = _bigram_counts(rows.select("text", F.lit(False).alias("target")), words).select("pair", "before", "word", F.lit(0).alias("target"), F.lit(0).alias("background"))
-        fresh = own.join(losses.select("pair"), "pair", "left_anti")
-        losses = losses.unionByName(_losses(fresh, models.befores, models.singles, models.totals).drop("often"))
-    parts = rows.filter("text is not null").select("key", "text").mapInArrow(scored, "key long, pair long, n long, m long, t long, b long")
-    met = parts.join(losses, "pair", "left")
-    lost = lambda c: F.when(F.col("n") == 0, F.lit(0)).otherwise(F.coalesce(c, F.raise_error(F.lit("a bigram without a loss")).cast("long")))
-    # copies of a text meet under one key; the means are the same
-    sums = met.groupBy("key").agg(F.sum(F.col("n") + F.col("m")).alias("all"), *(F.sum(F.col(x) + F.col("n") * lost(f"{y}_loss")).alias(y) for x, y in (("t", "target"), ("b", "background"))))
-    mean = lambda c: F.try_divide(F.col(c).cast("double"), F.col("all") * float(UNIT))
-    means = sums.select("key", mean("target").alias("target_loss"), mean("background").alias("background_loss"))
-    out = rows.select("id", "key", word_count(F.col("text")).alias("n_words")).join(means, "key", "left")
-    some = lambda c: F.when(F.col("n_words") > 0, c)
-    return out.select("id", "n_words", some(F.col("target_loss")).alias("target_loss"), some(F.col("background_loss")).alias("background_loss"), some(F.col("target_loss") - F.col("background_loss")).alias("score"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.lit(True) if teach is None else teach, F.lit(False)).alias("teach"), F.coalesce(target, F.lit(False)).alias("target"))
+    heads = _heads(rows.select("text", "teach", "target"), prior)
+    shared = docs.sparkSession.sparkContext.broadcast(heads)
+    places = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if teach is not None else 6 * int(heads.total[1])
+    buckets = 1 + places // (6 * BUCKET)
+    id_type = rows.select("id").limit(0).toArrow().schema.field("id").type
+    kind = rows.schema["id"].dataType.simpleString()
+    sent = rows.mapInArrow(lambda b: _send(b, shared, buckets, id_type), f"bucket long, chunk long, size int, id {kind}, n long, target long, background long, data binary")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    answered = dealt.mapInArrow(lambda b: _answer(b, shared, id_type), f"chunk long, size int, id {kind}, n long, target long, background long, data binary")
+    ordered = answered.repartition("chunk").sortWithinPartitions("chunk", F.col("data").isNotNull(), "size")
+    return ordered.mapInArrow(lambda b: _finish(b, id_type), f"id {kind}, n_words long, target_loss double, background_loss double, score double")

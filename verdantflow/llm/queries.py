@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdantflow.llm import jaccard, language, lengths, lm, media, mixing, packing, tokenfiles, topk, urls
-from verdantflow.llm.shared import new_path
+from verdantflow.llm.shared import new_path, written
 
 #: Weights of the sources in order, repeating.
 MIX_WEIGHTS = (3, 1, 2)
@@ -40,9 +40,10 @@ def quality_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, marks = _table(spark, sf_dir, "documents"), quality_marks(spark, sf_dir).filter("target")
-    marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
-    models = lm.train(docs.select("doc_id", "text").join(marks, "doc_id", "left"), F.col("target"))
-    return lm.score(docs, models, trained=True).withColumnRenamed("id", "doc_id")
+    few = marks.count() <= BROADCAST_LABELS
+    marked = docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, "doc_id", "left")
+    marked = marked if few else written(marked, "marked")  # places of rows must not change
+    return lm.cross_entropy_difference(marked, F.col("target")).withColumnRenamed("id", "doc_id")
 
 
 def op4_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
