@@ -12,7 +12,7 @@ from verdantflow.llm.tokens import Encoder
 
 PARTS = [
     " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "a", "The", "ß", "É", "ñ", '"', "'s", "'", ".", ",", "12", "３", " ", "　", "\x85", "\x1c", "é", "İ", "Σ", "ς", "日本",
-    "<|endoftext|>", "<|startoftext|>", "_", "-", "foo", "ªº", "µ", "​", "ﬁ", "😀", "K", "ſ", " ", "Don't",
+    "<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "<|", "_", "-", "foo", "ªº", "µ", "​", "ﬁ", "😀", "K", "ſ", " ", "Don't",
 ]
 FILES = [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")]
 SCHEMA = "doc_id long, text string, id long, length string"
@@ -20,7 +20,6 @@ SCHEMA = "doc_id long, text string, id long, length string"
 
 def plain(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 

@@ -4,8 +4,8 @@ A pre-tokenizer cuts a text at places that its white space alone decides: before
 and around other white space. No token crosses such a place, so the ids of a text are the ids of its units in
 order. Units are found and hashed over the Arrow buffer, each distinct unit is encoded once for as long as a
 worker keeps it, and the ids of all units are gathered by one index. A unit that is a single word goes straight
-to the tokenizer's model; any other goes through the whole tokenizer. Texts with white space beyond ASCII are
-encoded as a whole.
+to the tokenizer's model; any other goes through the whole tokenizer. Texts with white space beyond ASCII, and
+texts that hold the string of an added token, are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from verdantflow.llm.words import buffers, mixed, word_spans
 
 KEPT = 1 << 19
 # fixed values: the characters with the White_Space property that aren't ASCII, and the first bytes of their UTF-8
-_WIDE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-_LEAD = np.zeros(256, bool)
-_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_WIDE_SPACE = "[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
+_WIDE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 _MARKS = frozenset(".,;:!?")
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -53,8 +52,12 @@ class Encoder:
 
             tokenizer = public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.spaced, self.letters = self.tokenizer.model, kind == "byte", _byte_letters()
+        # what texts that can't be cut have: one of these bytes, and a match of the pattern
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.lead = np.zeros(256, bool)
+        self.lead[[*(x for t in added for c in {t[0], t[0].lower(), t[0].upper()} for x in c.encode()[:1]), *(_WIDE_LEADS if self.spaced else ())]] = True
+        self.uncut = re.compile("|".join([*map(re.escape, added), *([_WIDE_SPACE] if self.spaced else [])]) or r"(?!)", re.IGNORECASE)
         self.forget()
 
     def forget(self) -> None:
@@ -146,11 +149,9 @@ class Encoder:
 
     def _whole(self, raw: np.ndarray, at: np.ndarray, texts: pa.Array) -> dict[int, list[int]]:
         """Ids of the texts that can't be cut by ASCII white space alone."""
-        if not self.spaced:
-            return {}
-        lead = np.flatnonzero(_LEAD[raw])
+        lead = np.flatnonzero(self.lead[raw])
         rows = np.unique(np.searchsorted(at, lead, side="right") - 1).tolist()
-        found = [(i, t) for i in rows if _WIDE_SPACE.search(t := texts[i].as_py())]
+        found = [(i, t) for i in rows if self.uncut.search(t := texts[i].as_py())]
         encoded = self.tokenizer.encode_batch_fast([t for _, t in found], add_special_tokens=False) if found else []
         return {i: e.ids for (i, _), e in zip(found, encoded)}
 
