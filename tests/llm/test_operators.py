@@ -185,7 +185,7 @@ def test_rules_match_brute_force_mining(spark):
                 both[s] += bad
     rules = [s for s in alone if both[s] >= 0.02 * n and both[s] >= 0.8 * alone[s]]
     want = {i: "block" if any(set(s) <= tokens[i] for s in rules) else "allow" for i, _ in pages}
-    got = {r.id: r.verdict for r in urls.filter_urls(df, marks, [], support=0.02, confidence=0.8).collect()}
+    got = {r.id: r.verdict for r in urls.filter_urls(df, marks, [], support=0.02, confidence=0.8, least=1, risk=math.inf).collect()}
     assert got == want and "block" in want.values()
 
 
