@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from verdantflow.llm import components
 from verdantflow.llm.jaccard import ngram_jaccard_join
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -48,8 +49,9 @@ def check(spark, rows, **kw):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("block", [7, 256])
-def test_families_match_brute_force(spark, block):
+@pytest.mark.parametrize("block,long", [(7, 1 << 17), (256, 1 << 17), (7, 1), (256, 20)])
+def test_families_match_brute_force(spark, block, long, monkeypatch):
+    monkeypatch.setattr(components, "HEAVY", 5 if block == 7 else 1000)
     rng = random.Random(5)
     rows = family(rng, 60, 4, 1000) + family(rng, 30, 2, 2000) + family(rng, 2, 1, 10)
     passage = " ".join(f"p{k}" for k in range(60))
@@ -57,7 +59,7 @@ def test_families_match_brute_force(spark, block):
     rows += [(4000 + k, "Same TEXT for all of us here") for k in range(20)] + [(4100, "same text\tfor ALL of us here")]
     rows += [(5000, None), (5001, ""), (5002, " \n\t"), (5003, "one"), (5004, "ONE"), (5005, "É one"), (5006, "é one")]
     rng.shuffle(rows)
-    check(spark, rows, block=block)
+    check(spark, rows, block=block, long_list=long)
 
 
 def test_long_text_and_noisy_sketch(spark):

@@ -7,24 +7,41 @@ from pyspark.sql import functions as F
 
 from verdantflow.llm.shared import written
 
+HEAVY = 1000
+BROADCAST_NODES = 200_000
+
+
+def _meet(links: DataFrame, least: DataFrame) -> DataFrame:
+    """``links`` with the minimum ``m`` of their node ``a``; ``least``: a row ``a, m, degree`` for each node, a table.
+
+    The links of nodes with more than ``HEAVY`` links stay where they are: the minima of these nodes are
+    broadcast, if a count shows that they are few, so the links of one node don't meet in one task. Beyond that
+    bound all are joined by a shuffle, whose large partitions adaptive execution can split.
+    """
+    heavy = least.filter(F.col("degree") > HEAVY).select("a", "m")
+    some = heavy.count()
+    if not 0 < some <= BROADCAST_NODES:
+        return links.join(least.select("a", "m"), "a")
+    rest = links.join(F.broadcast(heavy.select("a")), "a", "left_anti").join(least.select("a", "m"), "a")
+    return links.join(F.broadcast(heavy), "a").unionByName(rest)
+
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``(a long, b long)`` links to ``(node long, component long)``: the smallest node that links reach.
 
-    Links with a null end and loops are ignored; nodes without links don't appear. Each round is written to
-    the shared folder, so the plan stays short and a lost executor costs one round. Minima are aggregated
-    before they meet the links again, so a node with very many links is never gathered in one task.
+    Links with a null end and loops are ignored; repeated links count once; nodes without links don't appear.
+    Each round is written to the shared folder, so the plan stays short and a lost executor costs one round.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree")), "least")
+        large = _meet(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
         # a node that is its own minimum's neighbour keeps its link to that minimum
-        large = large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
+        large = written(large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")), "low")
+        small = _meet(large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
         edges = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:

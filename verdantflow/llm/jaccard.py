@@ -5,10 +5,11 @@ join is exact, and never lists the pairs of a group:
 
 1. Equal sets fall together under a 128-bit fingerprint. The same pass counts every shingle in a sketch of
    fixed size; rare shingles first is then one order of shingles for all sets.
-2. Index-level skipping. Only the shingles of a set's prefix are posted, with the set's size and their
-   position. Size and position bound the size of every partner a posting can have, so a list, sorted by
-   size, falls into blocks whose members can't link across; a block of one is skipped, and the first of a
-   block (the hub) stands for it. One edge to the hub for each posting keeps lists linear.
+2. Index-level skipping. Only the shingles of a set's prefix are posted, once for equal sets of a task, with
+   the set's size and their position. Size and position bound the size of every partner a posting can have,
+   so a list, sorted by size, falls into blocks whose members can't link across; a block of one is skipped,
+   and the first of a block (the hub) stands for it. One edge to the hub for each posting keeps lists linear.
+   Lists that the sketch shows to be long are never gathered: their blocks follow from the counts of sizes.
 3. Answer-level skipping. The hub's answers are computed first, and each member keeps only its difference
    from the hub. For members x, y the intersection follows incrementally:
    ``|x & y| = |hub| - |hub - x| - |hub - y| + |dx & dy|`` with d the symmetric difference from the hub.
@@ -28,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verdantflow.llm.components import connected_components
 from verdantflow.llm.shared import slices, sum_vectors, unpacked, vector_rows, written
@@ -35,6 +37,7 @@ from verdantflow.llm.words import shingle_sets
 
 SKETCH_BITS = 23
 BLOCK = 256
+LONG_LIST = 1 << 17
 BROADCAST_ROLES = 500_000
 _U = np.uint64
 
@@ -64,52 +67,73 @@ def _fingerprints(batches, n: int, bits: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"part": row["part"], "data": row["data"]}], schema=schema)
 
 
-def _postings(batches, n: int, percent: int, bits: int, levels) -> Iterator[pa.RecordBatch]:
-    """The prefix of each set: (token, n, f1, f2, most), most being the size of the largest partner possible."""
-    level = levels.value
+def _level(counts):
+    """Counts on a log scale, below 128 so that keys stay positive."""
+    return np.minimum(127, 3 * np.log2(np.asarray(counts) + 1)).astype(np.uint8)
+
+
+def _postings(batches, n: int, percent: int, bits: int, levels, long: int, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """The prefix of each set: (token, n, f1, most), most being the size of the largest partner possible.
+
+    Shingles of a level of at least ``long`` if ``wanted``, else all others. Two sets with one ``f1`` would be
+    two members to whoever looks it up, so it may stand for a set here.
+    """
+    level, seen = levels.value, set()
     for piece in slices(batches, "text"):
-        out, size, one, two, most = [], [], [], [], []
+        out, size, one, most = [], [], [], []
         for own in shingle_sets(piece.column("text"), n):
             if not len(own):
                 continue
-            f1, f2 = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8")
+            f1 = int.from_bytes(xxhash.xxh3_128_digest(own.tobytes())[:8], "little", signed=True)
+            if f1 in seen:
+                continue
+            seen.add(f1)
             k = len(own)
             key = np.sort((level[(own >> _U(64 - bits)).astype(np.int64)].astype(_U) << _U(56)) | (own & _U((1 << 56) - 1)))
             prefix = k - -((-percent * k) // 100) + 1
             at = np.arange(prefix)
             # k - at is the largest intersection; a partner of size m needs (100 + percent) * it >= percent * (k + m)
             top = np.minimum(100 * k // percent, ((100 + percent) * (k - at)) // percent - k)
-            out.append(key[:prefix].view(np.int64))
-            most.append(top)
-            size.append(np.full(prefix, k))
-            one.append(np.full(prefix, f1))
-            two.append(np.full(prefix, f2))
+            here = (key[:prefix] >> _U(56) >= long) == wanted
+            k_here = int(here.sum())
+            out.append(key[:prefix][here].view(np.int64))
+            most.append(top[here])
+            size.append(np.full(k_here, k))
+            one.append(np.full(k_here, f1))
         if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (out, size, one, two, most)], names=["token", "n", "f1", "f2", "most"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, size, one, most)], names=["token", "n", "f1", "most"])
 
 
-def _hubs(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Lists sorted by (token, n, f1, f2) to distinct (hub, member) edges; a block may span batches."""
-    carry: tuple | None = None  # token, hub's n, f1, f2 and the largest partner that its block can reach
+def _hubs(batches) -> Iterator[pa.RecordBatch]:
+    """Lists sorted by (token, n, f1) to distinct (hub, member) edges; a block may span batches."""
+    carry: tuple | None = None  # token, hub's n, f1 and the largest partner that its block can reach
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, n, f1, f2, most = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "n", "f1", "f2", "most"))
+        token, n, f1, most = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "n", "f1", "most"))
         if carry is not None:
-            token, n, f1, f2, most = (np.concatenate(([c], x)) for c, x in zip(carry, (token, n, f1, f2, most)))
+            token, n, f1, most = (np.concatenate(([c], x)) for c, x in zip(carry, (token, n, f1, most)))
         group = np.concatenate(([0], np.cumsum(token[1:] != token[:-1])))
         span = int(max(most.max(), n.max())) + 1
         reach = np.maximum.accumulate(group * span + most) - group * span
         fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (n[1:] > reach[:-1])))
         first = np.flatnonzero(fresh)
         hub = first[np.cumsum(fresh) - 1]
-        carry = (token[-1], n[hub[-1]], f1[hub[-1]], f2[hub[-1]], reach[-1])
-        keep = (most >= n[hub]) & ((f1 != f1[hub]) | (f2 != f2[hub]))
-        pairs = np.unique(np.stack([f1[hub], f2[hub], f1, f2], 1)[keep], axis=0)
+        carry = (token[-1], n[hub[-1]], f1[hub[-1]], reach[-1])
+        keep = (most >= n[hub]) & (f1 != f1[hub])
+        pairs = np.unique(np.stack([f1[hub], f1], 1)[keep], axis=0)
         if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(4)], names=["h1", "h2", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(2)], names=["h1", "f1"])
+
+
+def _long_hubs(posted: DataFrame) -> DataFrame:
+    """The edges of :func:`_hubs` for lists that may be very long: blocks from the distinct sizes of a list, which are few."""
+    sizes = posted.groupBy("token", "n").agg(F.max("most").alias("reach"), F.min("f1").alias("h1"))
+    before = Window.partitionBy("token").orderBy("n")
+    reach = F.max("reach").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    first = sizes.withColumn("hub", F.when(reach.isNull() | (F.col("n") > reach), F.struct(F.col("n").alias("hub_n"), "h1")))
+    blocks = first.select("token", "n", F.last("hub", True).over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"))
+    return posted.join(blocks, ["token", "n"]).filter("most >= hub.hub_n and f1 <> hub.h1").select(F.col("hub.h1").alias("h1"), "f1")
 
 
 def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
@@ -245,7 +269,7 @@ def _compare(batches, percent: int, counted: bool) -> Iterator[pa.RecordBatch]:
     yield from out(rows)
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, block: int = BLOCK, count_links: bool = False) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, block: int = BLOCK, count_links: bool = False, long_list: int = LONG_LIST) -> DataFrame:
     """One row for each row of ``docs``: ``id, n_shingles long, representative long, component long``.
 
     ``representative`` is the smallest id with exactly this set, ``component`` the smallest id that links
@@ -260,22 +284,25 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     both = written(rows.mapInArrow(lambda b: _fingerprints(b, n, sketch_bits), "id long, n long, f1 long, f2 long, part int, data binary"), "fingerprints")
     sketch = sum_vectors(both.filter("part is not null").select(F.lit("").alias("name"), "part", "data"))
-    level = np.zeros(1 << sketch_bits, np.uint8)  # counts on a log scale, below 128 so that keys stay positive
+    level = np.zeros(1 << sketch_bits, np.uint8)
     for row in sketch.collect():
         piece = unpacked(bytes(row["data"]))
-        level[row["part"] << 16 : (row["part"] << 16) + len(piece)] = np.minimum(127, 3 * np.log2(piece + 1))
+        level[row["part"] << 16 : (row["part"] << 16) + len(piece)] = _level(piece)
     levels = spark.sparkContext.broadcast(level)  # 2^sketch_bits bytes at any input size
     prints = both.filter("part is null").select("id", "n", "f1", "f2")
     classes = prints.filter("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("representative"), F.count("*").alias("copies"))
 
-    posted = rows.filter("id is not null and text is not null").mapInArrow(lambda b: _postings(b, n, percent, sketch_bits, levels), "token long, n long, f1 long, f2 long, most long")
-    lists = posted.repartition("token").sortWithinPartitions("token", "n", "f1", "f2")
-    edges = lists.mapInArrow(lambda b: _hubs(b, percent), "h1 long, h2 long, f1 long, f2 long").distinct()
-    edges = edges.join(classes.select("f1", "f2", F.col("representative").alias("id")), ["f1", "f2"])
+    long = int(_level(long_list))
+    posted = lambda wanted: rows.filter("id is not null and text is not null").mapInArrow(lambda b: _postings(b, n, percent, sketch_bits, levels, long, wanted), "token long, n long, f1 long, most long")
+    lists = posted(False).repartition("token").sortWithinPartitions("token", "n", "f1")
+    edges = lists.mapInArrow(_hubs, "h1 long, f1 long")
+    if (level >= long).any():
+        edges = edges.unionByName(_long_hubs(posted(True)))
+    edges = edges.distinct().join(classes.select("f1", "f2", F.col("representative").alias("id")), "f1")
     hubs = classes.select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), F.col("representative").alias("hub"))
-    edges = written(edges.join(hubs, ["h1", "h2"]).select("h1", "h2", "hub", "f1", "f2", "id"), "edges")
+    edges = written(edges.join(hubs, "h1").select("h1", "h2", "hub", "f1", "f2", "id"), "edges")
 
-    group = ["h1", "h2"]
+    group = ["h1", "h2"]  # both halves of the hub's fingerprint
     sized = edges.groupBy(*group, "hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = edges.join(sized.drop("hub"), group).select(*group, "hub", F.pmod(F.xxhash64("f1", "f2"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "id", "f1", "f2")
     heads = sized.select(*group, "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("hub").alias("id"), F.col("h1").alias("f1"), F.col("h2").alias("f2"))
