@@ -25,8 +25,9 @@ SIDE = 24
 FRAME = SIDE * SIDE
 RATE = 25
 BINS = 16
-# fixed values: code lengths of the difference categories 0 to 8, short for those that text has most
-_LENGTHS = (4, 4, 4, 3, 2, 3, 4, 3, 4)
+# code lengths of the difference categories 0 to 8: with its bits of value each difference takes two bytes, so that the
+# codec of a table of files finds what repeats in a frame and between frames; closer codes would hide it
+_LENGTHS = tuple(16 - s for s in range(9))
 
 
 def _canonical(lengths: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
