@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdantflow.llm.shared import slices
+from verdantflow.llm.shared import slices, written
 from verdantflow.llm.tokens import encoder
 
 SPAN = 512
@@ -40,9 +40,10 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     documents that fit whole. Between two lengths the answers follow from the row below:
     ``tokens_kept(limit) = tokens_kept(row) + (limit - row.length) * docs_above(row)``.
 
-    Sums run in spans of lengths first, then over the spans, so no task sees the whole histogram.
+    Sums run in spans of lengths first, then over the spans, so no task sees the whole histogram. It is written
+    to the shared folder first, as it is used twice. An empty histogram has no answers.
     """
-    h = histogram.withColumns({"span": F.floor(F.col("length") / SPAN), "tokens": F.col("length") * F.col("docs")})
+    h = written(histogram.select("length", "docs"), "histogram").withColumns({"span": F.floor(F.col("length") / SPAN), "tokens": F.col("length") * F.col("docs")})
     spans = h.groupBy("span").agg(F.sum("docs").alias("span_docs"), F.sum("tokens").alias("span_tokens"))
     later = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
