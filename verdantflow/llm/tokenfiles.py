@@ -58,7 +58,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding: {encoding}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
+    salt = F.xxhash64("text")  # parts a null id, or one that repeats, over files
+    ordered = rows.withColumn("salt", salt).repartitionByRange("id", "salt").sortWithinPartitions("id", "salt").select("id", "text")
     options = {
         "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "compression": "zstd",
         "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "PARQUET_2_0" if encoding == "delta" else "PARQUET_1_0", "maxRecordsPerFile": 0,
@@ -73,9 +74,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _file_starts(files: DataFrame) -> DataFrame:
-    """A row for each file; only the column of lengths is read. Names of files are in order of the ids."""
-    total = files.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    """A row for each file; only the column of lengths is read. The numbers in the names of files are in order of the ids."""
+    total = files.groupBy("file").agg(F.sum("n_tokens").alias("tokens")).withColumn("number", F.regexp_extract("file", r"\Apart-(\d+)", 1).cast("long"))
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     return total.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("file_start"))
 
 
