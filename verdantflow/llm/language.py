@@ -20,7 +20,7 @@ from verdantflow.llm.shared import dense, slices, sum_vectors, vector_rows
 UNKNOWN = "und"
 BITS = 16
 SIZES = (1, 2, 3)
-MOST_LANGUAGES = 256
+CELLS = 1 << 24
 _PART = 1 << 14
 
 
@@ -58,8 +58,6 @@ def _count(batches, bits: int, sizes: tuple[int, ...]) -> Iterator[pa.RecordBatc
         for lang in set(langs):
             own = [t for t, x in zip(texts, langs) if x == lang]
             counts = total.setdefault(lang, np.zeros((1 << bits) + 1, np.int64))
-            if len(total) > MOST_LANGUAGES:
-                raise ValueError(f"more than {MOST_LANGUAGES} languages; raise language.MOST_LANGUAGES if the model may be that large")
             counts[-1] += len(own)
             for bucket, _ in _grams(own, bits, sizes):
                 counts[:-1] += np.bincount(bucket, minlength=1 << bits)
@@ -71,9 +69,15 @@ def _count(batches, bits: int, sizes: tuple[int, ...]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = BITS, sizes: tuple[int, ...] = SIZES, smoothing: float = 0.5) -> LanguageModel:
     """Counts over all rows with a label; rows with a null label, or null text, teach nothing.
 
-    The model takes 8 * languages * 2^bits bytes; more than ``MOST_LANGUAGES`` labels raise ValueError.
+    Every label is learned. The matrix has at most ``CELLS`` cells: labels are counted first, and with more than
+    2^(24 - bits) of them n-grams share fewer buckets. More than 2^16 labels, fewer than 256 buckets each, raise
+    ValueError.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    labels = rows.select("lang").distinct().count()
+    if labels > CELLS >> 8:
+        raise ValueError(f"{labels} labels are not languages")
+    bits = min(bits, (CELLS // max(labels, 1)).bit_length() - 1)
     counted = sum_vectors(rows.mapInArrow(lambda b: _count(b, bits, sizes), "name string, part int, data binary"))
     counts = dense(counted.collect(), (1 << bits) + 1, _PART)
     languages = tuple(sorted(counts))

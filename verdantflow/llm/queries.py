@@ -47,7 +47,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = media.text_media(_table(spark, sf_dir, "documents"))
+    files = written(media.text_media(_table(spark, sf_dir, "documents")), "media", "zstd")
     return media.media_digests(files).withColumnRenamed("id", "doc_id")
 
 
@@ -81,9 +81,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
-    model = language.train(docs.filter("not held_out"))
-    return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+    docs, fold = _table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5
+    model = language.train(docs.filter(fold != 0))  # a null doc_id has no fold: not taught from, not held out
+    rows = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
+    return language.identify(rows, model).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
