@@ -17,6 +17,14 @@ BROADCAST_IDS = 500_000
 SEED = 7
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def _few(df: DataFrame) -> DataFrame:
     """A table of ids, broadcast if a count shows that it is small."""
     df = written(df, "ids")
@@ -27,14 +35,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a known language, a missing ``lang`` filled in; null texts and texts without a letter go.
 
     The model learns from four fifths of the labelled documents. Without any label no language is known, and
-    only texts without a letter go.
+    only texts without a letter go. Columns of any name beyond those of ``documents`` stay as they are.
     """
-    teach = docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(False)))
+    teach = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     model = language.train(teach)
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    found = language.identify(docs, model, lang="predicted", score="certainty").filter(F.col("predicted") != language.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "predicted")).select(docs.columns)
+    predicted, certainty = _unused(docs, "predicted"), _unused(docs, "certainty")
+    found = language.identify(docs, model, lang=predicted, score=certainty).filter(F.col(predicted) != language.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", predicted)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +71,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(docs, lambda i: MIX_WEIGHTS[i % len(MIX_WEIGHTS)], seed=SEED)
     draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.coalesce(F.try_divide(F.col("taken"), F.col("size")), F.lit(0.0)) + draw).cast("int")
-    changed = mixed.filter("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.max(copies).alias("copies")).filter("copies != 1")
+    number, copy = _unused(docs, "copies"), _unused(docs, "copy")
+    changed = mixed.filter("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.max(copies).alias(number)).filter(F.col(number) != 1)
     rows = docs.join(_few(changed), "doc_id", "left")
-    return rows.withColumn("copy", F.explode(F.expr("array_repeat(1, coalesce(copies, 1))"))).select(docs.columns)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.coalesce(number, F.lit(1))))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
