@@ -157,16 +157,19 @@ def _heads(rows: DataFrame, prior: float) -> Heads:
     words = counted.filter(F.col("kind") == _WORD)
     total = words.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in _MODELS)).first()
     texts = counted.filter(F.col("kind") == _TEXTS).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in _MODELS)).first()
-    top = words.orderBy(F.desc("background"), "hash").limit(HEAD)
-    often = [top.select("hash", *_MODELS, *(f"followed_{c}" for c in _MODELS)).toArrow().column(k).to_numpy() for k in range(5)] if HEAD else [np.zeros(0, np.int64)] * 5
-    order = np.argsort(often[0].view(_U))
-    pairs = counted.filter(F.col("kind") == _PAIR).join(F.broadcast(top.select(F.col("hash").alias("word"))), "word", "left_semi")
-    pairs = pairs.orderBy(F.desc("background"), "hash").limit(HEAD).select("hash").toArrow().column(0).to_numpy() if HEAD else np.zeros(0, np.int64)
-    pairs = np.sort(pairs.view(_U))
+    # no more than HEAD words, or bigrams, can have this share of all places
+    often = F.col("background") >= (max(2, total[2] / HEAD) if HEAD else float("inf"))
+    top = words.filter(often)
+    table = top.select("hash", *_MODELS, *(f"followed_{c}" for c in _MODELS)).toArrow()
+    often_words = [table.column(k).to_numpy() for k in range(5)]
+    order = np.argsort(often_words[0].view(_U))
+    pairs = counted.filter((F.col("kind") == _PAIR) & often).join(F.broadcast(top.select(F.col("hash").alias("word"))), "word", "left_semi")
+    pairs = np.sort(pairs.select("hash").toArrow().column(0).to_numpy().view(_U))
     shared = rows.sparkSession.sparkContext.broadcast(pairs)
     exact = dense(sum_vectors(rows.mapInArrow(lambda b: _head_pairs(b, shared), "name string, part int, data binary")).collect(), len(pairs), _PART) if len(pairs) else {}
     zero = np.zeros(len(pairs), np.int64)
-    return Heads(often[0].view(_U)[order], np.stack([often[1][order], often[2][order]]), np.stack([often[3][order], often[4][order]]), pairs, np.stack([exact.get(x, zero) for x in _MODELS]), np.array([total[1], total[2]]), np.array([texts[0], texts[1]]), int(total[0]), prior)
+    hashes, *counts = (x[order] for x in often_words)
+    return Heads(hashes.view(_U), np.stack(counts[:2]), np.stack(counts[2:]), pairs, np.stack([exact.get(x, zero) for x in _MODELS]), np.array(total[1:]), np.array(list(texts)), int(total[0]), prior)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
