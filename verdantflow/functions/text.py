@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def alternation(terms, ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + "|".join(re.escape(t).replace("\\ ", " ").replace("\\-", "-") for t in terms)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, also where lambdas in the body use it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column, stop=words.STOP_WORDS) -> Column:
     """Lower-case words of two letters or more (hyphens inside), stop words left out."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z\-]+"), 0)
@@ -26,8 +33,7 @@ def hits(text: Column, terms) -> Column:
 
 
 def keyword_share(text: Column, terms) -> Column:
-    n = F.size(tokens(text))
-    return F.when(n > 0, hits(text, terms) / n).otherwise(0.0)
+    return bound(F.size(tokens(text)), lambda n: F.when(n > 0, hits(text, terms) / n).otherwise(0.0))
 
 
 def occurrences(text: Column, term: str) -> Column:
@@ -37,14 +43,20 @@ def occurrences(text: Column, term: str) -> Column:
 
 def contexts(text: Column, terms, reach: int = 10) -> Column:
     """The words around each word that contains a term, joined by spaces, lower-cased."""
-    w = F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda x: x != "")
-    found = F.filter(F.transform(w, lambda x, i: F.when(x.rlike(alternation(terms, False)), i)), lambda i: i.isNotNull())
-    return F.transform(found, lambda i: F.array_join(F.slice(w, F.greatest(i + 1 - reach, F.lit(1)), F.least(i + 1 + reach, F.size(w)) - F.greatest(i + 1 - reach, F.lit(1)) + 1), " "))
+
+    def around(w: Column) -> Column:
+        found = F.filter(F.transform(w, lambda x, i: F.when(x.rlike(alternation(terms, False)), i)), lambda i: i.isNotNull())
+        return F.transform(found, lambda i: F.array_join(F.slice(w, F.greatest(i + 1 - reach, F.lit(1)), F.least(i + 1 + reach, F.size(w)) - F.greatest(i + 1 - reach, F.lit(1)) + 1), " "))
+
+    return bound(F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda x: x != ""), around)
 
 
 def _mean(parts: Column, value) -> Column:
-    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + value(x).cast("double"))
-    return F.when(F.size(parts) > 0, total / F.size(parts)).otherwise(0.0)
+    def mean(p: Column) -> Column:
+        total = F.aggregate(p, F.lit(0.0), lambda a, x: a + value(x).cast("double"))
+        return F.when(F.size(p) > 0, total / F.size(p)).otherwise(0.0)
+
+    return bound(parts, mean)
 
 
 def windowed_sentiment(text: Column, terms=words.ENV_TERMS, positive=words.POSITIVE, negative=words.NEGATIVE, reach: int = 10) -> Column:
@@ -67,17 +79,21 @@ def segments(text: Column, separator: str = r"\n\s*\n", least: int = 20) -> Colu
     def long(parts: Column) -> Column:
         return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= least)
 
-    paragraphs = long(F.split(text, separator))
-    return F.when(F.size(paragraphs) >= 2, paragraphs).otherwise(long(F.split(text, r"(?<=[.!?])\s+")))
+    sentences = long(F.split(text, r"(?<=[.!?])\s+"))
+    return bound(long(F.split(text, separator)), lambda paragraphs: F.when(F.size(paragraphs) >= 2, paragraphs).otherwise(sentences))
 
 
 def climate_passages(text: Column, terms=words.CLIMATE_TERMS, separator: str = r"\n\s*\n", reach: int = 1, least: int = 40, most: int = 60_000) -> tuple[Column, Column]:
     """Paragraphs with a hit and their neighbours, joined and cut to ``most`` characters; share of paragraphs with a hit."""
-    p = F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: F.length(x) > least)
-    hit = F.transform(p, lambda x: x.rlike(alternation(terms)))
-    near = F.filter(p, lambda x, i: F.exists(F.slice(hit, F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1) - F.greatest(F.lit(reach) - i, F.lit(0))), lambda h: h))
-    n = F.size(F.filter(hit, lambda h: h))
-    return F.coalesce(F.left(F.array_join(near, "\n\n"), F.lit(most)), F.lit("")), F.when(F.size(p) > 0, n / F.size(p)).otherwise(0.0)
+
+    def passages(p: Column, hit: Column) -> Column:
+        near = F.filter(p, lambda x, i: F.exists(F.slice(hit, F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1) - F.greatest(F.lit(reach) - i, F.lit(0))), lambda h: h))
+        n = F.size(F.filter(hit, lambda h: h))
+        return F.struct(F.coalesce(F.left(F.array_join(near, "\n\n"), F.lit(most)), F.lit("")).alias("text"), F.when(F.size(p) > 0, n / F.size(p)).otherwise(0.0).alias("share"))
+
+    paragraphs = F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: F.length(x) > least)
+    both = bound(paragraphs, lambda p: bound(F.transform(p, lambda x: x.rlike(alternation(terms))), lambda hit: passages(p, hit)))
+    return both["text"], both["share"]
 
 
 def kpi_score(text: Column, category: str, patterns=words.KPI_PATTERNS) -> Column:
@@ -112,10 +128,11 @@ def html_text(html: Column, dropped: tuple[str, ...] = ("script", "style", "head
     return F.trim(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
-def page_lines(html: Column, most: int = 20_000) -> Column:
-    """Text of a page without navigation: its lines that aren't empty, cut."""
+def page_lines(html: Column, most: int | None = None) -> Column:
+    """Text of a page without navigation: its lines that aren't empty, all or cut to ``most`` characters."""
     lines = F.split(html_text(html, ("script", "style", "head", "nav", "footer", "header")), "\n")
-    return F.left(F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n"), F.lit(most))
+    text = F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    return text if most is None else F.left(text, F.lit(most))
 
 
 def news_query(name: Column, suffixes=words.LEGAL_SUFFIXES, clause: str = "") -> Column:

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,32 +41,43 @@ def term_hits(docs: DataFrame, terms=words.ENV_TERMS, risk=words.RISK_STEMS, sto
     """``id, n_words, term, hits, clean_hits``: hits at the start of words, longest term first, none overlapping.
 
     A hit is clean if no word that begins with a risk stem lies within ``reach`` words of it, stop words not
-    counted. A document without a hit has one row with a null term. SQL has no positions of all matches, so
-    this one runs in Arrow batches of texts.
+    counted. A document without a hit, or without text, has one row with a null term. Nothing is shuffled.
+
+    Hits are marked in the text, so its words can be listed with the marks in them. A string with a letter for
+    each word (``r`` for a risk stem, ``w`` for others, none for stop words) and for each mark (``m``) then
+    tells for every hit which words are near.
     """
-    order = sorted(terms, key=len, reverse=True)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        term = re.compile(r"\b(?:" + "|".join(map(re.escape, order)) + ")", re.IGNORECASE)
-        word, skip, stems = re.compile(r"[A-Za-z][A-Za-z0-9\-]*"), set(stop), tuple(risk)
-        for frame in frames:
-            rows = []
-            for i, text in zip(frame["id"], frame["text"]):
-                found = [(m.start(), m.group().lower()) for m in word.finditer(text or "")]
-                found = [(at, w) for at, w in found if w not in skip]
-                starts = [at for at, _ in found]
-                risky = [w.startswith(stems) for _, w in found]
-                tally: dict[str, list[int]] = {}
-                for m in term.finditer(text or ""):
-                    at = max(bisect_right(starts, m.start()) - 1, 0)
-                    own = tally.setdefault(m.group().lower(), [0, 0])
-                    own[0] += 1
-                    own[1] += not any(risky[max(0, at - reach) : at + reach + 1])
-                rows += [(i, len(found), t, a, b) for t, (a, b) in tally.items()] or [(i, len(found), None, 0, 0)]
-            yield pd.DataFrame(rows, columns=["id", "n_words", "term", "hits", "clean_hits"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(count, f"id {dict(rows.dtypes)['id']}, n_words long, term string, hits long, clean_hits long")
+    opened, closed = "\x01", "\x02"
+    bare = F.translate(F.coalesce(text_col, F.lit("")), opened + closed, "  ")
+    longest = tx.alternation(sorted(terms, key=len, reverse=True), False)
+    marked = F.regexp_replace(bare, rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{longest})", f"{opened}$0{closed}")
+
+    def letters(token: Column) -> Column:
+        word = F.lower(F.translate(token, opened + closed, ""))
+        kind = F.when(word.isin(*stop), "").when(word.rlike(f"^(?:{tx.alternation(risk, False)})"), "r").otherwise("w")
+        return F.concat(kind, F.repeat(F.lit("m"), F.length(token) - F.length(F.replace(token, F.lit(opened), F.lit("")))))
+
+    def clean(each: Column) -> Column:
+        """For each hit in order: whether no risk stem is near. Marks follow their word."""
+        near = lambda risky, i: F.slice(risky, F.greatest(i + 1 - reach, F.lit(1)), i + 1 + reach - F.greatest(i + 1 - reach, F.lit(1)) + 1)
+        told = lambda risky: F.transform(each, lambda x, i: F.when(F.length(x) > 1, F.array_repeat(~F.exists(near(risky, i), lambda r: r), F.length(x) - 1)).otherwise(F.array().cast("array<boolean>")))
+        return F.flatten(tx.bound(F.transform(each, lambda x: F.startswith(x, F.lit("r"))), told))
+
+    def tally(n: Column, found: Column) -> Column:
+        own = lambda t: F.filter(found, lambda h: h["term"] == t)
+        some = F.transform(F.array_distinct(F.transform(found, lambda h: h["term"])), lambda t: F.struct(t.alias("term"), F.size(own(t)).cast("long").alias("hits"), F.size(F.filter(own(t), lambda h: F.coalesce(h["clean"], F.lit(True)))).cast("long").alias("clean_hits")))
+        return F.struct(n.cast("long").alias("n_words"), some.alias("terms"))
+
+    def counted(m: Column) -> Column:
+        tokens = F.regexp_extract_all(m, F.lit(rf"{opened}?[A-Za-z][A-Za-z0-9\-{opened}{closed}]*"), 0)
+        string = F.regexp_replace(F.array_join(F.transform(tokens, letters), ""), "^(m+)([rw])", "$2$1")  # no word before: the first one
+        names = F.transform(F.regexp_extract_all(m, F.lit(f"{opened}([^{closed}]*){closed}"), 1), lambda t: F.lower(t))
+        hits = lambda each: F.arrays_zip(names.alias("term"), clean(each).alias("clean"))
+        return tx.bound(F.regexp_extract_all(string, F.lit("[rw]m*"), 0), lambda each: tx.bound(hits(each), lambda found: tally(F.size(each), found)))
+
+    rows = docs.select(F.col(id_col).alias("id"), tx.bound(marked, counted).alias("counted"))
+    rows = rows.select("id", "counted.n_words", F.explode_outer("counted.terms").alias("t"))
+    return rows.select("id", "n_words", "t.term", *(F.coalesce(f"t.{c}", F.lit(0)).alias(c) for c in ("hits", "clean_hits")))
 
 
 def dictionary_counts(hits: DataFrame, claims=words.CLAIM_TERMS) -> DataFrame:
@@ -100,12 +108,12 @@ def pages(docs: DataFrame, separator: str = "\f", id_col: str = "accession", tex
     return rows.select("id", (F.col("_p") + 1).alias("page"), "text")
 
 
-def kpi_pages(pages: DataFrame, k: int = 6, most: int = 7000, patterns=words.KPI_PATTERNS) -> DataFrame:
-    """The ``k`` pages of each report and category with the highest score above 0; of equal ones the later page."""
+def kpi_pages(pages: DataFrame, k: int = 6, most: int | None = None, patterns=words.KPI_PATTERNS) -> DataFrame:
+    """The ``k`` pages of each report and category with the highest score above 0; of equal ones the later page. Texts are whole or cut to ``most``."""
     scores = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), tx.kpi_score(F.col("text"), c, patterns).alias("score")) for c in patterns)))
     rows = pages.withColumn("s", scores).select("id", "page", "s.category", "s.score", "text").filter("score > 0")
     place = F.row_number().over(Window.partitionBy("id", "category").orderBy(F.desc("score"), F.desc("page")))
-    return rows.withColumn("place", place).filter(F.col("place") <= k).select("id", "category", "page", "score", F.left("text", F.lit(most)).alias("text"))
+    return rows.withColumn("place", place).filter(F.col("place") <= k).select("id", "category", "page", "score", "text" if most is None else F.left("text", F.lit(most)).alias("text"))
 
 
 def joined_pages(pages: DataFrame, between: str = "\n\n") -> DataFrame:
@@ -200,12 +208,13 @@ def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def candidate_pages(pages: DataFrame, category: str = "ghg", k: int = 6, patterns=words.KPI_PATTERNS) -> DataFrame:
     """The best pages of one category, in page order."""
-    return kpi_pages(pages, k, 1 << 30, {category: patterns[category]}).orderBy("id", "page")
+    return kpi_pages(pages, k, None, {category: patterns[category]}).orderBy("id", "page")
 
 
-def pages_of(kpi: DataFrame, report: str, category: str) -> DataFrame:
-    """Picked pages of one report and category as one text, in page order."""
-    own = kpi.filter((F.col("id") == report) & (F.col("category") == category))
+def pages_of(kpi: DataFrame, category: str, report: str | None = None) -> DataFrame:
+    """Picked pages of a category as one text for each report (or one of them), in page order."""
+    own = kpi.filter(F.col("category") == category)
+    own = own if report is None else own.filter(F.col("id") == report)
     return joined_pages(own.select("id", "page", "text"))
 
 
@@ -228,9 +237,9 @@ def filtered_documents(docs: DataFrame, firm_id: str | None = None, sections: tu
     return docs.orderBy(order)
 
 
-def mean_climate_share(docs: DataFrame, n: int = 50, order: str = "accession", **passages) -> DataFrame:
-    """Mean share of climate paragraphs over the first documents in an explicit order."""
-    first = docs.orderBy(order).limit(n)
+def mean_climate_share(docs: DataFrame, n: int | None = None, order: str = "accession", **passages) -> DataFrame:
+    """Mean share of climate paragraphs over all documents, or over the first ``n`` in an explicit order."""
+    first = docs if n is None else docs.orderBy(order).limit(n)
     return first.agg(F.avg(tx.climate_passages(F.col("text"), **passages)[1]).alias("share"))
 
 

@@ -70,7 +70,7 @@ def candidate_pages(spark, d):
 @query()
 def kpi_pages_of_a_report(spark, d):
     kpi = documents.kpi_pages(_pages(spark, d), patterns=PATTERNS)
-    return documents.pages_of(kpi, 3, "a")
+    return documents.pages_of(kpi, "a")
 
 
 @query("select doc_id as accession from documents where doc_id % 50 = 3 and (['ghg', 'water'])[doc_id % 2 + 1] = 'water' and n_chars >= 500")
@@ -83,7 +83,7 @@ def filtered_documents(spark, d):
 SHARE = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 40)"
 
 
-@query(f"select round(avg(case when len(p) > 0 then len(list_filter(p, lambda x: regexp_matches(x, '(?i)tion|here|rein|that'))) / len(p)::double else 0 end), 6) as share from (select {SHARE} as p from documents order by doc_id limit 50)")
+@query(f"select round(avg(case when len(p) > 0 then len(list_filter(p, lambda x: regexp_matches(x, '(?i)tion|here|rein|that'))) / len(p)::double else 0 end), 6) as share from (select {SHARE} as p from documents)")
 def mean_climate_share(spark, d):
     return rounded(documents.mean_climate_share(_docs(spark, d), terms=TERMS, separator=SEPARATOR))
 

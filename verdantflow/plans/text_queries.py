@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from verdantflow.functions import numbers, ranks, text
 from verdantflow.operators import documents, scores, selection
-from verdantflow.plans import bridge
+from verdantflow.plans import bridge, text_sql
 from verdantflow.plans.score_queries import carbon, green, paired_walk, rounded, sql_rank, talk
 from verdantflow.plans.score_queries import GREEN_CTES, WASH_CTES, all_sql, with_ctes
 from verdantflow.quality import rules
@@ -44,33 +44,36 @@ def keyword_share(spark, d):
     return rounded(_docs(spark, d).select("accession", F.size(text.tokens(t)).cast("long").alias("n_tokens"), text.keyword_share(t, TERMS).alias("share")))
 
 
-@query()
+DOCS = "(select doc_id as id, text from documents)"
+
+
+@query(f"select id as accession, round(tone, 6) + 0.0::double as tone, round(forward_share, 6) + 0.0::double as forward_share from ({text_sql.tones(DOCS, 'text', TERMS, MARKS, ('this', 'ou'), forward_share=MARKS)})")
 def windowed_tone(spark, d):
     t = F.col("text")
     return rounded(_docs(spark, d).select("accession", text.windowed_sentiment(t, TERMS, MARKS, ("this", "ou")).alias("tone"), text.context_share(t, MARKS, TERMS).alias("forward_share")))
 
 
-@query()
+@query(f"select id, round(cosine, 6) + 0.0::double as cosine from ({text_sql.cosine(DOCS, {'tion': 1.0, 'here': 2.0, 'ing': 1.0})})")
 def vocabulary_cosine(spark, d):
     return rounded(documents.vocabulary_cosine(_docs(spark, d), {"tion": 1.0, "here": 2.0, "ing": 1.0}))
 
 
-@query()
+@query(text_sql.glossiness(TERMS, MARKS, ("ou",), {"er": 1.0, "he": 1.0, "in": 1.0}))
 def glossiness(spark, d):
     return rounded(documents.glossiness(_docs(spark, d), {"er": 1.0, "he": 1.0, "in": 1.0}, SEPARATOR, terms=TERMS, positive=MARKS, negative=("ou",)))
 
 
-@query()
+@query(text_sql.with_ctes("select * from hits", text_sql.hit_ctes(TERMS, ("re",))))
 def term_hits(spark, d):
     return documents.term_hits(_docs(spark, d), TERMS, ("re",))
 
 
-@query()
+@query(text_sql.with_ctes(f"select id as accession, * exclude (id) from ({text_sql.claims(('here', 'that'))})", text_sql.hit_ctes(TERMS, ("re",))))
 def dictionary_counts(spark, d):
     return documents.dictionary_counts(documents.term_hits(_docs(spark, d), TERMS, ("re",)), ("here", "that")).withColumnRenamed("id", "accession")
 
 
-@query()
+@query(text_sql.metrics())
 def document_metrics(spark, d):
     return rounded(documents.flat_metrics(documents.document_metrics(_docs(spark, d))))
 
@@ -130,9 +133,9 @@ def about_pages(spark, d):
     return documents.about_page(documents.site_links(bridge.table(spark, d, "pages")), ("contact", "page", "en"))
 
 
-@query()
+@query(f"select page_id, {text_sql.html_text('html')} as text, length(array_to_string(list_filter(list_transform(string_split({text_sql.html_text('html', ('script', 'style', 'head', 'nav', 'footer', 'header'))}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))) as n_chars from pages")
 def page_text(spark, d):
-    return bridge.table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"), F.length(text.page_lines(F.col("html"))).alias("n_chars"))
+    return bridge.table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"), F.length(text.page_lines(F.col("html"))).cast("long").alias("n_chars"))
 
 
 @query("select c_custkey as firm_id, '\"' || c_name || '\"' as query from customer")
