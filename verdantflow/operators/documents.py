@@ -144,6 +144,15 @@ def flatten_extraction(rows: DataFrame, json_col: str = "json") -> DataFrame:
     return x.select(*(c for c in rows.columns if c != json_col), F.col("_s.fiscal_year").alias("year"), F.col("_s.scope1_tco2e").alias("scope1"), F.col("_s.scope2_tco2e").alias("scope2"), "_s.scope2_basis", listed.alias("pages"), F.try_element_at("_x.evidence", F.lit(1))["quote"].alias("quote"), "_x.confidence", F.col("_x.third_party_assured").alias("assured"))
 
 
+def _without_dots(url: Column) -> Column:
+    """A URL whose path has no ``.`` and ``..`` steps; steps above the root are dropped."""
+    root, path, rest = (F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    walked = F.aggregate(F.split(F.substring(path, 2, 1 << 30), "/"), F.array().cast("array<string>"), step)
+    closed = F.when(path.rlike(r"/\.\.?$") & (F.size(walked) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(root, F.lit("/"), F.array_join(walked, "/"), closed, rest)).otherwise(url)
+
+
 def site_links(pages: DataFrame, most: int | None = None) -> DataFrame:
     """``page_id, pos, url, text``: links of a page to its own site (the first ``most``, or all), in order, each address once, no fragments."""
     anchor = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -153,9 +162,10 @@ def site_links(pages: DataFrame, most: int | None = None) -> DataFrame:
     root, scheme = F.regexp_extract("base", r"^([a-zA-Z]+://[^/?#]+)", 1), F.regexp_extract("base", r"^([a-zA-Z]+):", 1)
     folder = F.when(F.col("base").rlike(r"^[a-zA-Z]+://[^/?#]+/"), F.regexp_extract("base", r"^([^?#]*/)", 1)).otherwise(F.concat(root, F.lit("/")))
     h = F.regexp_replace("href", "#.*$", "")
-    full = F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h.startswith("/"), F.concat(root, h)).otherwise(F.concat(folder, h))
+    own = F.regexp_extract("base", "^([^?#]*)", 1)
+    full = F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h.startswith("/"), F.concat(root, h)).when(h.startswith("?"), F.concat(own, h)).otherwise(F.concat(folder, h))
     host = lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, r"^[a-zA-Z]+://([^/?#]+)", 1)), r"^www\.", "")
-    rows = rows.withColumn("link", full).filter(host(F.col("link")) == host(F.col("base")))
+    rows = rows.withColumn("link", _without_dots(full)).filter(host(F.col("link")) == host(F.col("base")))
     first = rows.groupBy("page_id", "link").agg(F.min_by(F.struct("pos", "text"), "pos").alias("f"))
     label = F.left(F.trim(F.regexp_replace(F.regexp_replace("f.text", r"(?s)<[^>]+>", " "), r"\s+", " ")), F.lit(80))
     out = first.select("page_id", "f.pos", F.col("link").alias("url"), label.alias("text"))

@@ -235,17 +235,24 @@ def pool_markets(parts: dict[str, dict[str, DataFrame]]) -> dict[str, DataFrame]
     return {"betas": keep(betas), "g": keep(g)}
 
 
-def performance(returns: DataFrame, benchmark: DataFrame | None = None, by: str = "portfolio_id") -> DataFrame:
-    """Annual return, volatility and Sharpe ratio of monthly net returns; tracking error and information ratio against a benchmark."""
+def performance(returns: DataFrame, benchmark: DataFrame | None = None, by: str = "portfolio_id", factors: DataFrame | None = None, names: list[str] | None = None, least: int = 24, lags: int = 6) -> DataFrame:
+    """Annual return, volatility and Sharpe ratio of monthly net returns, and ``n_months``.
+
+    With a benchmark active return, tracking error and information ratio; with factors the ratio is of returns
+    above ``rf``, and there are alpha, its t, r2, n, idio_var and the betas of :func:`exposures` (a green factor
+    among ``names`` gives ``b_gmb``), null below ``least`` months.
+    """
     df = returns if benchmark is None else returns.join(F.broadcast(benchmark.select("month", F.col("ret").alias("bench"))), "month", "left")
+    df = df.withColumn("_over", F.col("ret")) if factors is None else df.join(F.broadcast(factors.select("month", F.col("rf").alias("_rf"))), "month", "left").withColumn("_over", F.col("ret") - F.col("_rf"))
     months, annual = F.count("ret"), F.pow(F.product(1 + F.col("ret")), 12 / F.count("ret")) - 1
-    vol = F.stddev_samp("ret") * math.sqrt(12)
-    out = [annual.alias("ann_ret"), vol.alias("ann_vol"), F.when(vol > 0, F.avg("ret") * 12 / vol).alias("sharpe"), months.alias("n")]
+    vol, spread = F.stddev_samp("ret") * math.sqrt(12), F.stddev_samp("_over")
+    out = [annual.alias("ann_ret"), vol.alias("ann_vol"), F.when(spread > 0, F.avg("_over") / spread * math.sqrt(12)).alias("sharpe"), months.alias("n_months")]
     if benchmark is not None:
         active = F.col("ret") - F.col("bench")
         te = F.stddev_samp(active) * math.sqrt(12)
         out += [(F.avg(active) * 12).alias("active"), te.alias("tracking_error"), F.when(te > 0, F.avg(active) * 12 / te).alias("information_ratio")]
-    return df.groupBy(by).agg(*out)
+    out = df.groupBy(by).agg(*out)
+    return out if factors is None else out.join(exposures(returns.select(by, "month", "ret"), factors, names or [], by, least, lags), by, "left")
 
 
 def market_inputs(prices: DataFrame, factors: DataFrame, annual: DataFrame, names: list[str], least: int = 24) -> dict[str, DataFrame]:

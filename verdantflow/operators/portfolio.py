@@ -118,7 +118,7 @@ def covered_means(holdings: DataFrame, scores: DataFrame, columns: list[str]) ->
 
 
 def portfolio_stats(weights: DataFrame, mu: DataFrame, betas: DataFrame, factor_cov: DataFrame, idio: DataFrame, g: DataFrame) -> DataFrame:
-    """Annual return and volatility, mean g, positions, top weight and effective names of each portfolio.
+    """Annual return and volatility, mean g, positions, top weight, effective names and ``exposures`` (factor to beta) of each portfolio.
 
     Variance by exposures: x_f = sum of w beta, then x' F x plus the sum of w^2 idiosyncratic variances; no
     firm by firm matrix is built. Monthly inputs.
@@ -135,7 +135,8 @@ def portfolio_stats(weights: DataFrame, mu: DataFrame, betas: DataFrame, factor_
         (12 * F.sum(F.col("w") * F.col("mu"))).alias("ann_ret"), F.sum(F.col("w") ** 2 * F.col("idio_var")).alias("special"), (F.sum(scored * F.col("g")) / F.sum(scored)).alias("g_avg"),
         F.count(held).alias("n_positions"), F.max("w").alias("top_w"), (F.sum(held) ** 2 / F.sum(held**2)).alias("n_effective"),
     )
-    out = own.join(common, "portfolio_id", "left")
+    loads = x.groupBy("portfolio_id").agg(F.map_from_entries(F.collect_list(F.struct("factor", "x"))).alias("exposures"))
+    out = own.join(common, "portfolio_id", "left").join(loads, "portfolio_id", "left")
     var = 12 * (F.coalesce("common", F.lit(0.0)) + F.coalesce("special", F.lit(0.0)))
     return out.withColumn("ann_vol", F.sqrt(F.greatest(var, F.lit(0.0)))).drop("common", "special")
 

@@ -247,17 +247,23 @@ def emission_outcomes(emissions: DataFrame, fundamentals: DataFrame) -> DataFram
 
 
 def hard_data(emissions: DataFrame, fundamentals: DataFrame, years: DataFrame, reach: int = 4) -> DataFrame:
-    """For each firm-year of ``years`` the firm's last matched rows up to that year, as text and as a change in percent.
+    """For each firm-year of ``years`` the firm's last ``reach`` matched rows up to that year: ``n_years, scope12, series,
+    scope12_change_pct, assured``.
 
-    A firm's years are few, so they are looked up in a map of the firm and nothing is ranged over.
+    ``scope12`` holds whole tonnes; ``series`` has ``year, scope12, revenue`` for each row, rounded, and ``assured``
+    tells whether a third party assured any of them (false without such a column). A firm's years are few, so
+    they are looked up in an array of the firm and nothing is ranged over.
     """
+    emissions = emissions if "assured" in emissions.columns else emissions.withColumn("assured", F.lit(False))
     e = emissions.filter("matched").join(fundamentals.select(*FIRM_YEAR, "revenue"), FIRM_YEAR, "left")
     total = F.coalesce("scope1", F.lit(0.0)) + F.coalesce("scope2", F.lit(0.0))
-    firm = e.groupBy("firm_id").agg(F.array_sort(F.collect_list(F.struct("year", total.alias("scope12"), "revenue"))).alias("rows"))
+    firm = e.groupBy("firm_id").agg(F.array_sort(F.collect_list(F.struct("year", total.alias("scope12"), "revenue", F.coalesce("assured", F.lit(False)).alias("assured")))).alias("rows"))
     df = years.select(*FIRM_YEAR).distinct().join(firm, "firm_id", "left")
     known = F.filter("rows", lambda r: r["year"] <= F.col("year"))
-    df = df.withColumn("rows", F.coalesce(known, F.array().cast("array<struct<year:int,scope12:double,revenue:double>>")))
+    df = df.withColumn("rows", F.coalesce(known, F.array().cast("array<struct<year:int,scope12:double,revenue:double,assured:boolean>>")))
     df = df.withColumn("rows", F.slice("rows", F.greatest(F.size("rows") - (reach - 1), F.lit(1)), reach))
     first, last = F.try_element_at("rows", F.lit(1))["scope12"], F.try_element_at("rows", F.lit(-1))["scope12"]
     change = F.when(first != 0, F.bround(100 * (last - first) / first, 1))
-    return df.select(*FIRM_YEAR, F.size("rows").alias("n_years"), F.transform("rows", lambda r: F.bround(r["scope12"]).cast("long")).alias("scope12"), change.alias("scope12_change_pct"))
+    whole = lambda x: F.bround(x).cast("long")
+    series = F.transform("rows", lambda r: F.struct(r["year"].alias("year"), whole(r["scope12"]).alias("scope12"), whole(r["revenue"]).alias("revenue")))
+    return df.select(*FIRM_YEAR, F.size("rows").alias("n_years"), F.transform("rows", lambda r: whole(r["scope12"])).alias("scope12"), series.alias("series"), change.alias("scope12_change_pct"), F.exists("rows", lambda r: r["assured"]).alias("assured"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from verdantflow.functions import numbers, text
 from verdantflow.operators import documents, factors, panel, portfolio, scores, selection
 from verdantflow.plans import bridge
-from verdantflow.plans.panel_queries import FACTORS, _base, _books, _model, _scored, _targets, annual
+from verdantflow.plans.panel_queries import ANNUAL, FACTORS, _base, _books, _model, _scored, _targets, annual
 from verdantflow.plans.score_queries import carbon, rounded
-from verdantflow.plans.text_queries import MARKS, PATTERNS, SEPARATOR, TERMS, _docs, _pages
+from verdantflow.plans.text_queries import DRY_RUN, KPI, MARKS, PAGES, PATTERNS, SEPARATOR, TERMS, _docs, _pages
+from verdantflow.plans.text_sql import claims, hit_ctes
 from verdantflow.quality import rules
 from verdantflow.sources import tables
 from verdantflow.streaming import incremental
@@ -55,19 +56,22 @@ def consolidated_emissions(spark, d):
     return documents.consolidate_emissions(r).select("firm_id", "year", "url")
 
 
-@query()
+@query(bridge.sql("select firm_id, url as accession, make_date(fiscal_year, 12, 31) as period, length(text) + len(string_split(text, chr(10))) - 1 as n_chars from (select *, row_number() over (partition by firm_id, fiscal_year order by kind, filed desc, url) as n from filings) join (select cast(doc_id as varchar) as url, text from documents where text is not null) using (url) where n = 1", filings=REPORTS))
 def score_ready_documents(spark, d):
     r = _reports(spark, d)
     pages = _pages(spark, d).withColumn("id", F.col("id").cast("string"))
-    return documents.score_ready(pages, documents.pick_reports(r)).select("firm_id", "accession", "period", F.length("text").alias("n_chars"))
+    return documents.score_ready(pages, documents.pick_reports(r)).select("firm_id", "accession", "period", F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+KPI_TEXT = KPI.replace("category, page, score from", "category, page, score, text from", 1).replace("select id, page,", "select id, page, text,")
+
+
+@query(bridge.sql("select * from kpi where category = 'a'", pages2=PAGES, kpi=KPI_TEXT))
 def candidate_pages(spark, d):
-    return documents.candidate_pages(_pages(spark, d), "a", patterns=PATTERNS)
+    return documents.candidate_pages(_pages(spark, d), "a", patterns=PATTERNS).withColumn("page", F.col("page").cast("long"))
 
 
-@query()
+@query(bridge.sql("select id, string_agg(text, chr(10) || chr(10) order by page) as text from kpi where category = 'a' group by id", pages2=PAGES, kpi=KPI_TEXT))
 def kpi_pages_of_a_report(spark, d):
     kpi = documents.kpi_pages(_pages(spark, d), patterns=PATTERNS)
     return documents.pages_of(kpi, "a")
@@ -88,12 +92,13 @@ def mean_climate_share(spark, d):
     return rounded(documents.mean_climate_share(_docs(spark, d), terms=TERMS, separator=SEPARATOR))
 
 
-@query()
+@query(bridge.sql("""select firm_id, year, round(gap, 6) + 0.0::double as gap, n_docs, (year - 2021)::double as scope12_change_pct, concat_ws('; ', case when gap > 2 then 'talk exceeds walk' end, case when year > 2021 then 'emissions rose' end) as memo
+    from (select firm_id, year, avg(talk - walk) as gap, count(*) as n_docs from dry where not n_chars < 300 group by 1, 2)""", dry=DRY_RUN))
 def review_flags(spark, d):
     s = text.dry_run_scores(F.col("text"))
     scored = _docs(spark, d).select("firm_id", "year", (s["talk"] - s["walk"]).alias("gap"), (F.length("text") < 300).alias("skipped"))
     hard = _docs(spark, d).select("firm_id", "year").distinct().withColumn("scope12_change_pct", (F.col("year") - 2021).cast("double"))
-    return rounded(documents.review_flags(scored, hard))
+    return rounded(documents.review_flags(scored, hard).drop("flags"))
 
 
 @query(bridge.sql("select (select count(*) from firm_years) as firm_years, (select count(*) from firm_years a where exists (select 1 from firm_years b where b.firm_id = a.firm_id and b.year <= a.year and b.matched)) as with_scope12", "firm_years"))
@@ -160,14 +165,18 @@ def firm_shards(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).agg(F.count("*").alias("n"), F.count_distinct("firm_id").alias("firms"))
 
 
-@query()
+PRICED = "select cast(s_suppkey as varchar) as firm_id, s_nationkey % 4 as sector, n, mktcap from supplier join (select firm_id, count(ret) as n, arg_max(mktcap, month) as mktcap from prices group by 1) p on p.firm_id = cast(s_suppkey as varchar) where n >= 24"
+PICKED = "select firm_id from (select *, row_number() over (order by place, mktcap desc, firm_id) as n_th from (select *, row_number() over (partition by sector order by mktcap desc, firm_id) as place from {table})) where n_th <= {n}"
+
+
+@query(bridge.sql(PICKED.format(table="priced", n="3 * (select count(distinct sector) from priced)"), "prices", priced=PRICED))
 def quote_firms(spark, d):
     s, n = bridge.table(spark, d, "supplier"), bridge.table(spark, d, "nation")
     universe = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").cast("string").alias("firm_id"), (F.col("n_nationkey") % 4).alias("sector"))
     return selection.quote_firms(bridge.prices(spark, d), universe, "tw")
 
 
-@query()
+@query(bridge.sql("select firm_id from caps where k % 5 = 0 union all " + PICKED.format(table="(select * from caps where k % 5 <> 0)", n="(select count(*) from caps where k % 5 = 0)"), caps="select cast(s_suppkey as varchar) as firm_id, s_suppkey as k, s_nationkey % 4 as sector, s_acctbal as mktcap from supplier"))
 def balanced_pool(spark, d):
     s = bridge.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("firm_id"), (F.col("s_nationkey") % 4).alias("sector"), F.col("s_acctbal").alias("mktcap"))
     return selection.balanced_pool(s.filter("cast(firm_id as long) % 5 = 0"), s.filter("cast(firm_id as long) % 5 <> 0"), s)
@@ -202,7 +211,8 @@ def recommendations(spark, d):
     return rounded(portfolio.recommendations(bridge.holdings(spark, d), _targets(spark, d), closes, stats).withColumn("n_trades", F.size("trades")).drop("trades"))
 
 
-@query()
+@query("""select cast(s_suppkey as varchar) as firm_id, cast(2024 - (s_suppkey % 2 = 0)::integer as integer) as year, round(case when s_suppkey % 2 = 0 then 1200 else round(abs(s_acctbal), 2) * 12 / 8 end * 1000 / 32 / 1e6::double, 9) as revenue,
+    case when s_suppkey % 2 = 0 then 'last year' else 'annualised from month 8' end as basis, 1234.5::double as scope1, null::double as scope2, null::double as scope3, true as matched, s_suppkey % 3 = 0 as verified from supplier""")
 def loaded_fundamentals_and_emissions(spark, d):
     s = bridge.table(spark, d, "supplier")
     rows = s.select(F.col("s_suppkey").cast("string").alias("firm_id"), F.lit("113").alias("local_year"), F.lit("8").alias("month"), F.format_number(F.abs("s_acctbal"), 2).alias("year_to_date"), F.when(s["s_suppkey"] % 2 == 0, F.lit("1,200")).alias("last_year_total"))
@@ -232,7 +242,10 @@ def merged_restatements(spark, d):
     return incremental.merged(with_keys, new.unionByName(new.withColumn("confidence", F.lit(0.4)))).groupBy("firm_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(bridge.sql("""select 'greenness' as "table", 'flags' as rule, firm_id || '|' || year as key, 'flag' as message from annual where g > 5
+    union all select 'greenness', 'texts', firm_id || '|' || year, 'note' from annual where year - 1990 > 6
+    union all select 'prices_monthly', 'within_month', firm_id || '|' || month, cast(cast(month + cast(cast(firm_id as bigint) % 45 as integer) as date) as varchar) from prices where date_trunc('month', month + cast(cast(firm_id as bigint) % 45 as integer)) <> month
+    union all values ('prices_monthly', 'contract', 'currency', 'USD is not HKD'), ('prices_monthly', 'columns', 'close', 'missing')""", "prices", annual=ANNUAL))
 def quality_of_uploads(spark, d):
     """Flags, texts, months and contracts over derived tables."""
     g = annual(spark, d).withColumns({"flag": (F.col("g") > 5).cast("int") * 2, "note": F.repeat(F.lit("x"), (F.col("year") - 1990).cast("int"))})
@@ -243,13 +256,18 @@ def quality_of_uploads(spark, d):
     )
 
 
-@query()
+@query(bridge.sql(f"select *, round(case when n_words > 0 then 1000 * n_claim / n_words::double end, 6) as rate from ({claims(TERMS[:2])})", **hit_ctes(TERMS, MARKS)))
 def metric_versions(spark, d):
     hits = documents.term_hits(_docs(spark, d), TERMS, MARKS)
     return documents.dictionary_counts(hits, TERMS[:2]).withColumn("rate", F.round(numbers.ratio(1000 * F.col("n_claim"), F.col("n_words")), 6))
 
 
-@query()
+OUTLIERS = """select firm_id, year, coalesce(abs(e / sqrt(spread)) > 2, false) as outlier from (select *, case when s > 1e-18 then s end as spread from (select *, s2 * (1 - 1 / n::double - (x - m) * (x - m) / sxx) as s from (
+    select *, case when n > 2 then sum(e * e) over (partition by year) / (n - 2) end as s2 from (select firm_id, year, revenue as x, count(*) over g as n, regr_sxx(scope1, revenue) over g as sxx, avg(revenue) over g as m,
+        scope1 - regr_intercept(scope1, revenue) over g - regr_slope(scope1, revenue) over g * revenue as e from firm_years where revenue > 0 and scope1 is not null window g as (partition by year)))))"""
+
+
+@query(bridge.sql(OUTLIERS, "firm_years"))
 def emissions_with_flags(spark, d):
     return rounded(selection.outlier_flags(carbon(spark, d).filter("intensity is not null"), "level", "revenue", "year").select("firm_id", "year", "outlier"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from verdantflow.functions import numbers, ranks
 from verdantflow.operators import factors as fac
 from verdantflow.operators import panel, portfolio, scores
-from verdantflow.plans import bridge
-from verdantflow.plans.score_queries import rounded, sql_rank, sql_score
+from verdantflow.plans import bridge, regression_sql
+from verdantflow.plans.score_queries import TALK_CTES, WALK_CTES, WASH_CTES, all_sql, rounded, sql_rank, sql_score, sql_z
 from verdantflow.schema import month
 
 QUERIES: dict = {}
@@ -141,7 +141,16 @@ def rolling_market_beta(spark, d):
     return rounded(panel.rolling_market_beta(green_panel(spark, d), bridge.factors(spark, d)).select("firm_id", "month", "beta_m"))
 
 
-@query()
+# the 36 complete rows before each row of a firm, as a group of their own
+ROLLED = {
+    "complete": "select p.firm_id, p.month, ret - rf as y, mkt_rf, smb, hml, row_number() over (partition by p.firm_id order by p.month) as k, count(*) over (partition by p.firm_id) as every from prices p join factors using (month) where ret - rf is not null",
+    "looked": "select a.firm_id || '|' || a.month as spot, b.month, 1.0::double as one, b.y, b.mkt_rf, b.smb, b.hml from complete a join complete b on a.firm_id = b.firm_id and b.k between a.k - 36 and a.k - 1 where a.every >= 24",
+    **regression_sql.residuals("looked", ["spot", "month"], ["one", *FACTORS], "y", "spot", "fit"),
+    "betas": f"select spot, {', '.join(regression_sql.slope(c, 'y') + f' as b_{c}' for c in FACTORS)} from fit group by spot having count(*) >= 24",
+}
+
+
+@query(bridge.sql(f"select firm_id, month, {r6(*(f'b_{c}' for c in FACTORS))} from complete left join betas on spot = firm_id || '|' || month where every >= 24", "prices", "factors", **ROLLED))
 def rolling_factor_betas(spark, d):
     return rounded(panel.rolling_betas(bridge.prices(spark, d), bridge.factors(spark, d), FACTORS))
 
@@ -194,7 +203,10 @@ def gmb_regression(spark, d):
     return rounded(fac.gmb_regression(green_panel(spark, d), bridge.factors(spark, d), least=MIN_N))
 
 
-@query()
+CONTROLLED = {"adjusted": "select firm_id, month, 1.0::double as one, ln(mktcap) as size, g, exret - beta_m * mkt_rf as a from beta where exret - beta_m * mkt_rf is not null and g is not null and ln(mktcap) is not null", **regression_sql.orthogonal("adjusted", ["one", "size", "g"], "month", "apart")}
+
+
+@query(bridge.sql(f"select month, round(sum(g * a) / sum(g * g), 6) + 0.0::double as gmb, count(*) as n from apart group by month having count(*) >= {MIN_N}", "prices", "factors", **PANEL_CTES, beta=BETA, **CONTROLLED))
 def gmb_regression_with_controls(spark, d):
     p = green_panel(spark, d).withColumn("size", F.ln("mktcap"))
     return rounded(fac.gmb_regression(p, bridge.factors(spark, d), controls=["size"], least=MIN_N))
@@ -219,7 +231,12 @@ def fama_macbeth_one_regressor(spark, d):
     return fac.mean_with_newey_west(s, "slope", "year").select((F.round("mean", 8) + 0.0).alias("mean"), (F.round("t", 5) + 0.0).alias("t"), "n")
 
 
-@query()
+TWO = {"two": "select *, 1.0::double as one, cast(firm_id as bigint) % 7 + 0.0::double as x2 from firmyear", **regression_sql.residuals("two", ["firm_id", "year"], ["one", "g", "x2"], "ret", "year", "fm")}
+TWO["yearly"] = " union all ".join(f"select '{name}' as var, year, {regression_sql.slope(c, 'ret')} as slope from fm group by year having count(*) >= {MIN_N}" for name, c in (("const", "one"), ("g", "g"), ("x2", "x2")))
+
+
+@query(bridge.sql("""select var, round(avg(slope), 6) + 0.0::double as mean, round(avg(slope) / sqrt((sum(e * e) + 2 * (2 / 3::double) * sum(coalesce(e * l1, 0)) + 2 * (1 / 3::double) * sum(coalesce(e * l2, 0))) / count(*) / count(*)), 6) + 0.0::double as t, count(*) as n from (
+    select *, lag(e, 1) over w as l1, lag(e, 2) over w as l2 from (select *, slope - avg(slope) over (partition by var) as e from yearly) window w as (partition by var order by year)) group by var""", "prices", annual=ANNUAL, firmyear=FIRMYEAR, **TWO))
 def fama_macbeth(spark, d):
     df = _firm_years(spark, d).withColumn("x2", (F.col("firm_id").cast("long") % 7).cast("double"))
     return rounded(fac.fama_macbeth(df, "ret", ["g", "x2"], "year", MIN_N))
@@ -235,12 +252,28 @@ def _books(spark, d):
 BOOKS = "select *, capital / total as w from (select *, cast(sum(cast(capital as decimal(18,4))) over (partition by portfolio_id) as double) as total from holdings)"
 
 
-@query()
+EXCESS = {"excess": "select p.firm_id, p.month, 1.0::double as one, ret - rf as y, mkt_rf, smb, hml from prices p join factors using (month) where ret is not null", **regression_sql.alphas("excess", "firm_id", "month", FACTORS, "y", "exposed")}
+MODEL = EXCESS | {
+    "moments": " union all ".join(f"select '{a}' as fa, '{b}' as fb, covar_samp({a}, {b}) as cov, avg({a}) as mean from factors" for a in FACTORS for b in FACTORS),
+    "loads": " union all ".join(f"select firm_id, '{f}' as factor, b_{f} as beta from exposed" for f in FACTORS),
+    "mus": f"select firm_id, {' + '.join(f'b_{f} * (select avg({f}) from factors)' for f in FACTORS)} as mu from exposed",
+}
+
+
+@query(bridge.sql(f"select firm_id, {r6('alpha', 'alpha_t', 'r2')}, n, {r6('idio_var', *(f'b_{f}' for f in FACTORS))} from exposed", "prices", "factors", **EXCESS))
 def firm_exposures(spark, d):
     return rounded(fac.exposures(bridge.prices(spark, d), bridge.factors(spark, d), FACTORS))
 
 
-@query()
+TALKED = {
+    "explained": """select *, row_number() over (order by firm_id, year) as row_id from (select i.firm_id, i.year, sector, ln(1 + claim_per_1000) as y, ln(1 + p.intensity) as x1, case when n_words > 0 then ln(n_words) end as x2
+        from intensity i join paired p using (firm_id, year) join talkfirms using (firm_id)) where y is not null and x1 is not null and x2 is not null""",
+    **regression_sql.fixed_effects("explained", "y", ["x1", "x2"], ["sector", "year"], "firm_id", "beyond"),
+    "told": "select x.firm_id, x.year, x.sector, e as excess_talk, exp(x.y - e) - 1 as talk_expected from beyond join explained x using (row_id)",
+}
+
+
+@query(all_sql(f"select firm_id, year, {r6('excess_talk', 'talk_expected')}, round({sql_z('excess_talk', 'year', 'sector')}, 6) + 0.0::double as excess_talk_z, cast({sql_rank('excess_talk', 'year')} / count(*) over (partition by year) >= 0.8::double as integer) as excess_talker from told", WASH_CTES | TALKED))
 def excess_talk(spark, d):
     from verdantflow.plans.score_queries import document_counts, paired_walk, talk_firms
 
@@ -249,7 +282,14 @@ def excess_talk(spark, d):
     return rounded(out.select("firm_id", "year", "excess_talk", "excess_talk_z", "excess_talker", "talk_expected"))
 
 
-@query()
+OUTCOMES = """select firm_id, year, ln(1 + revenue) as log_revenue, lead(a) over w - a as d_log_scope1_next, lead(b) over w - b as d_log_intensity_next from (select *, ln(1 + scope1) as a, ln(1 + case when revenue > 0 then scope1 / revenue end) as b from firm_years where matched) window w as (partition by firm_id order by year)"""
+VALIDATED = {"outcomes": OUTCOMES}
+for _o in ("d_log_scope1_next", "d_log_intensity_next"):
+    VALIDATED[f"rows_{_o}"] = f"select *, row_number() over (order by firm_id, year) as row_id from (select firm_id, year, sector, walk, walk_emission_trend as talk, log_revenue, {_o} as y from walk join outcomes using (firm_id, year)) where walk is not null and talk is not null and log_revenue is not null and y is not null and sector is not null"
+    VALIDATED |= regression_sql.fixed_effects(f"rows_{_o}", "y", ["walk", "talk", "log_revenue"], ["sector", "year"], "firm_id", f"fit_{_o}")
+
+
+@query(bridge.sql(" union all ".join(regression_sql.clustered(f"fit_{o}", "y", ["walk", "talk", "log_revenue"], o) for o in ("d_log_scope1_next", "d_log_intensity_next")), "firms", "firm_years", **WALK_CTES, **VALIDATED))
 def validation_table(spark, d):
     from verdantflow.plans.score_queries import walk
 
@@ -300,11 +340,16 @@ def weight_panel_returns(spark, d):
     return rounded(portfolio.panel_returns(w, p).select("month", "gross", "turnover", "n"))
 
 
-@query()
+PERFORMED = """select firm_id as portfolio_id, power(product(1 + ret), 12 / count(ret)::double) - 1 as ann_ret, stddev_samp(ret) * sqrt(12) as ann_vol, case when stddev_samp(ret - rf) > 0 then avg(ret - rf) / stddev_samp(ret - rf) * sqrt(12) end as sharpe, count(ret) as n_months,
+    avg(ret - bench) * 12 as active, stddev_samp(ret - bench) * sqrt(12) as tracking_error, case when stddev_samp(ret - bench) > 0 then avg(ret - bench) * 12 / (stddev_samp(ret - bench) * sqrt(12)) end as information_ratio
+    from prices left join factors using (month) join (select month, sum(ret * mktcap) / sum(mktcap) as bench from prices group by month) using (month) group by 1"""
+
+
+@query(bridge.sql(f"select portfolio_id, {r6('ann_ret', 'ann_vol', 'sharpe')}, n_months, {r6('active', 'tracking_error', 'information_ratio', 'alpha', 'alpha_t', 'r2')}, n, {r6('idio_var', *(f'b_{f}' for f in FACTORS))} from performed left join exposed on firm_id = portfolio_id", "prices", "factors", **EXCESS, performed=PERFORMED))
 def portfolio_performance(spark, d):
     p = bridge.prices(spark, d)
     market = p.groupBy("month").agg((F.sum(F.col("ret") * F.col("mktcap")) / F.sum("mktcap")).alias("ret"))
-    return rounded(fac.performance(p.withColumnRenamed("firm_id", "portfolio_id"), market))
+    return rounded(fac.performance(p.withColumnRenamed("firm_id", "portfolio_id"), market, factors=bridge.factors(spark, d), names=FACTORS))
 
 
 TARGETS = "select portfolio_id, firm_id, 1 / count(*) over (partition by portfolio_id)::double as w, total from (select * from books where cast(firm_id as bigint) % 4 <> 1)"
@@ -362,17 +407,27 @@ def _model(spark, d):
     return e, betas, panel.factor_moments(bridge.factors(spark, d), FACTORS)
 
 
-@query()
+@query(bridge.sql("select firm_id, round(mu, 9) + 0.0::double as mu from mus", "prices", "factors", **MODEL))
 def expected_returns(spark, d):
     _, betas, moments = _model(spark, d)
     return rounded(fac.expected_returns(betas, moments.select(F.col("factor_a").alias("factor"), F.col("mean_a").alias("mean")).distinct()), 9)
 
 
-@query()
+STATS = {
+    "sums": "select portfolio_id, factor, sum(w * beta) as x from books join loads using (firm_id) group by 1, 2",
+    "common": "select a.portfolio_id, sum(a.x * cov * b.x) as v from sums a join moments on fa = a.factor join sums b on b.portfolio_id = a.portfolio_id and b.factor = fb group by 1",
+    "own": """select portfolio_id, 12 * sum(w * mu) as ann_ret, sum(w * w * idio_var) as special, sum(w * g) filter (g is not null) / sum(w) filter (g is not null) as g_avg, count(*) filter (w > 1e-4::double) as n_positions, max(w) as top_w,
+        power(sum(w) filter (w > 1e-4::double), 2) / sum(w * w) filter (w > 1e-4::double) as n_effective from books left join mus using (firm_id) left join (select firm_id, idio_var from exposed) using (firm_id) left join scored using (firm_id) group by 1""",
+    "wide": "select portfolio_id, " + ", ".join(f"sum(x) filter (factor = '{f}') as x_{f}" for f in FACTORS) + " from sums group by 1",
+}
+
+
+@query(bridge.sql(f"select portfolio_id, {r6('ann_ret', 'g_avg')}, n_positions, {r6('top_w', 'n_effective', *(f'x_{f}' for f in FACTORS))}, round(sqrt(greatest(12 * (coalesce(v, 0) + coalesce(special, 0)), 0)), 6) + 0.0::double as ann_vol from own left join common using (portfolio_id) left join wide using (portfolio_id)", "prices", "factors", "holdings", **MODEL, annual=ANNUAL, books=BOOKS, scored=SCORED, **STATS))
 def portfolio_stats(spark, d):
     e, betas, moments = _model(spark, d)
     mu = fac.expected_returns(betas, moments.select(F.col("factor_a").alias("factor"), F.col("mean_a").alias("mean")).distinct())
-    return rounded(portfolio.portfolio_stats(_books(spark, d), mu, betas, moments, e.select("firm_id", "idio_var"), _scored(spark, d).select("firm_id", "g")))
+    stats = portfolio.portfolio_stats(_books(spark, d), mu, betas, moments, e.select("firm_id", "idio_var"), _scored(spark, d).select("firm_id", "g"))
+    return rounded(stats.select("*", *(F.col("exposures")[f].alias(f"x_{f}") for f in FACTORS)).drop("exposures"))
 
 
 @query()

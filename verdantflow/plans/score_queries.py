@@ -271,7 +271,11 @@ def emission_outcomes(spark, d):
     return rounded(scores.emission_outcomes(bridge.emissions(spark, d), bridge.fundamentals(spark, d)).select("firm_id", "year", "d_log_scope1_next", "d_log_intensity_next"))
 
 
-@query()
+@query(bridge.sql("""select firm_id, year, cast(len(r) as integer) as n_years, array_to_string(list_transform(r, lambda x: cast(x.year as varchar) || ': ' || cast(cast(round_even(x.scope12, 0) as bigint) as varchar)), ', ') as scope12, array_to_string(list_transform(r, lambda x: cast(cast(round_even(x.revenue, 0) as bigint) as varchar)), ', ') as revenue,
+    case when r[1].scope12 <> 0 then round_even(100 * (r[-1].scope12 - r[1].scope12) / r[1].scope12, 1) + 0.0::double end as scope12_change_pct, coalesce(list_aggregate(list_transform(r, lambda x: x.assured), 'bool_or'), false) as assured
+    from (select a.firm_id, a.year, coalesce(list({'year': b.year, 'scope12': b.scope1 + b.scope2, 'revenue': b.revenue, 'assured': b.year % 2 = 0} order by b.year) filter (b.year is not null), []) [-4:] as r
+        from firm_years a left join firm_years b on a.firm_id = b.firm_id and b.year <= a.year and b.matched group by 1, 2)""", "firm_years"))
 def hard_data_block(spark, d):
-    years = bridge.firm_years(spark, d)
-    return scores.hard_data(bridge.emissions(spark, d), bridge.fundamentals(spark, d), years)
+    years, e = bridge.firm_years(spark, d), bridge.emissions(spark, d).withColumn("assured", F.col("year") % 2 == 0)
+    block = scores.hard_data(e, bridge.fundamentals(spark, d), years)
+    return block.select("firm_id", "year", "n_years", F.array_join(F.transform("series", lambda r: F.concat(r["year"].cast("string"), F.lit(": "), r["scope12"].cast("string"))), ", ").alias("scope12"), F.array_join(F.transform("series", lambda r: r["revenue"].cast("string")), ", ").alias("revenue"), (F.col("scope12_change_pct") + 0.0).alias("scope12_change_pct"), "assured")

@@ -123,12 +123,18 @@ def report_titles(spark, d):
     return df.select("id", text.title_kind(F.col("title")).alias("kind"), text.fiscal_year(F.col("title"), F.lit("2024-03-01").cast("date")).alias("fiscal_year"))
 
 
-@query()
+LINKS = r"""select page_id, min(pos) as pos, url, arg_min(text, pos) as text from (select page_id, generate_subscripts(h, 1) - 1 as pos, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || unnest(h) as url,
+        left(trim(regexp_replace(regexp_replace(unnest(t), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 80) as text
+    from (select page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) as h, regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) as t from pages)) group by page_id, url"""
+
+
+@query(f"select page_id, cast(pos as integer) as pos, url, text from ({LINKS})")
 def site_links(spark, d):
     return documents.site_links(bridge.table(spark, d, "pages"))
 
 
-@query()
+@query(f"""select page_id, arg_min(url, [k, pos]) as url, arg_min(text, [k, pos]) as text, cast(min(k) as integer) as rank from (select *, case when contains(w, 'contact') then 0 when contains(w, 'page') then 1 when contains(w, 'en') then 2 end as k from (
+    select *, lower(concat_ws(' ', text, regexp_replace(url, '^[a-zA-Z]+://[^/]+', ''))) as w from ({LINKS}))) where k is not null group by page_id""")
 def about_pages(spark, d):
     return documents.about_page(documents.site_links(bridge.table(spark, d, "pages")), ("contact", "page", "en"))
 
@@ -151,13 +157,21 @@ def _count(term: str) -> str:
 _F, _P = (" + ".join(_count(k) for k in keys) for keys in (("will", "aim", "target", "by 2030", "by 2050", "commit", "aspire"), ("reduced", "achieved", "invested", "verified", "assured", "decreased")))
 
 
+DRY_RUN = f"""select 'F' || cast(doc_id % 50 as varchar) as firm_id, cast(2020 + doc_id % 4 as integer) as year, doc_id as accession, n_chars, least(10, 10 * f / greatest(1, f + p)) as talk, least(10, 10 * p / greatest(1, f + p)) as walk, c
+    from (select doc_id, length(t) as n_chars, ({_F})::double as f, ({_P})::double as p, least(10, {_count("climate")} + {_count("emission")})::double as c from (select doc_id, lower(text) as t from documents))"""
+
+
 @query(f"select accession, round(least(10, 10 * f / greatest(1, f + p)), 6) + 0.0::double as talk, round(least(10, 10 * p / greatest(1, f + p)), 6) + 0.0::double as walk from (select accession, ({_F})::double as f, ({_P})::double as p from (select doc_id as accession, lower(text) as t from documents))")
 def dry_run_scores(spark, d):
     s = text.dry_run_scores(F.col("text"))
     return rounded(_docs(spark, d).select("accession", s["talk"].alias("talk"), s["walk"].alias("walk")))
 
 
-@query()
+_TALK, _WALK = "talk * (0.4::double + 0.3::double + 0.3::double)", "(walk * (0.25::double + 0.2::double + 0.15::double + 0.15::double) + 5 * (0.1::double + 0.15::double))"
+
+
+@query(bridge.sql(f"""select firm_id, year, round(sum(t * w) / sum(w), 6) + 0.0::double as talk, round(sum(v * w) / sum(w), 6) + 0.0::double as walk, round(sum((t - v) * w) / sum(w), 6) + 0.0::double as gap, count(*) as n_docs
+    from (select firm_id, year, {_TALK} as t, {_WALK} as v, greatest(c, 0.5::double) as w from dry where not n_chars < 300) group by 1, 2""", dry=DRY_RUN))
 def rubric_scores(spark, d):
     s = text.dry_run_scores(F.col("text"))
     five = F.lit(5.0)
@@ -209,7 +223,9 @@ def search_all_words(spark, d):
     return selection.search_all_words(bridge.firms(spark, d), "1 Build", ["name", "firm_id", "sector"]).select("firm_id")
 
 
-@query()
+@query("""select distinct request_id, 'sector' as dimension, sector as value, regexp_matches(before, '\\b(no|not|without|avoid|exclude|excluding)( \\w+)?$') as negated from (
+    select request_id, sector, p[1:strpos(p, v) - 1] as before from (select conv_id || '-' || turn as request_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text || ' no Automobile, but ' || role), '[^\\pL\\pN]+'), lambda w: w <> ''), ' ') || ' ' as p from conversations),
+        (select distinct c_mktsegment as sector, ' ' || lower(c_mktsegment) || ' ' as v from customer) where contains(p, v))""")
 def keyword_screen(spark, d):
     requests = bridge.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.concat("text", F.lit(" no Automobile, but "), "role").alias("text"))
     values = bridge.firms(spark, d).select(F.lit("sector").alias("dimension"), F.col("sector").alias("value")).distinct()
@@ -342,9 +358,11 @@ def checked_holdings(spark, d):
     return tables.checked_holdings(rows).select(F.col("portfolio_id").alias("id"), "error")
 
 
-@query()
+@query("""select firm_id, year, round(case when firm_id % 3 > 0 then value * 0.128::double / 1e6::double end, 9) as revenue, case when firm_id % 3 = 0 then 'no rate for EUR' end as fx_note from (select cast(firm_id as varchar) as f, * replace (firm_id as firm_id), row_number() over (partition by firm_id, year order by item) as n from (
+    select o_custkey as firm_id, cast(year(o_orderdate) as integer) as year, o_orderpriority as item, cast(sum(cast(o_totalprice as decimal(18,4))) as double) as value from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') group by 1, 2, 3)) where n = 1""".replace("select firm_id, year, round", "select f as firm_id, year, round"))
 def fundamentals_items(spark, d):
-    o = bridge.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("firm_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("item"), F.col("o_totalprice").alias("value"), F.lit("HKD").alias("currency"))
+    o = bridge.table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("firm_id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("item")).agg(F.sum(F.col("o_totalprice").cast(bridge.DEC)).cast("double").alias("value"))
+    o = o.withColumn("currency", F.when(F.col("firm_id").cast("long") % 3 == 0, "EUR").otherwise("HKD"))
     return rounded(tables.fundamentals(o, {"HKD": 0.128}, ["1-URGENT", "2-HIGH", "3-MEDIUM"]), 9)
 
 
