@@ -224,6 +224,7 @@ def test_rebalancing_meets_constraints_and_the_analytic_optimum(spark):
     }
     books = spark.createDataFrame([(k, f"F{i}", float(10 + i)) for k in range(3) for i in range(k, 12)], "portfolio_id int, firm_id string, capital double")
     out = portfolio.rebalance(books, model, 0.16, cap=0.1, g_floor=20.0).toPandas()
+    assert set(out["sleeve"]) == {"modeled"}
     for _, own in out.groupby("portfolio_id"):
         assert abs(own["w"].sum() - 1) < 1e-6 and own["w"].max() <= 0.1 + 1e-6 and own["w"].min() >= -1e-9
         assert (own["w"] * own["firm_id"].str[1:].astype(float)).sum() >= 20 - 0.05
@@ -272,7 +273,7 @@ def test_titles_and_codes(spark):
         assert (r.kind, r.fy) == (r.k, r.y)
     c = spark.createDataFrame([("SEHK: 5", "1,234.5%", "Acme Holdings Ltd.")], "c string, n string, name string")
     r = c.select(numbers.ticker(numbers.listed_code(F.col("c"))).alias("t"), numbers.clean_number(F.col("n")).alias("n"), text.news_query(F.col("name")).alias("q"), text.initials(F.col("name")).alias("i"), numbers.ticker(F.lit(89988)).alias("long")).first()
-    assert (r.t, r.n, r.q, r.i, r.long) == ("0005.HK", 1234.5, '"Acme Holdings"', "AH", "89988.HK")
+    assert (r.t, r.n, r.q, r.i, r.long) == ("0005.HK", 1234.5, '"Acme Holdings"', "AC", "89988.HK")
 
 
 def test_html_links_and_about_page(spark):
@@ -349,8 +350,8 @@ def test_stream_skips_what_it_saw_and_keeps_failures_apart(spark, tmp_path):
     schema_ = "url string, text string"
 
     def run():
-        s = incremental.new_rows(spark, land, schema_, "url")
-        incremental.ingest(s, lambda b: b.withColumn("error", F.when(F.col("text") == "broken", "unreadable")), out, bad, point).awaitTermination()
+        s = incremental.landed(spark, land, schema_)
+        incremental.ingest(s, lambda b: b.withColumn("error", F.when(F.col("text") == "broken", "unreadable")), out, bad, point, "url").awaitTermination()
 
     spark.createDataFrame([("a", "x"), ("b", "broken"), ("a", "x")], schema_).write.parquet(land)
     run()

@@ -60,3 +60,17 @@ TITLE_ESG = r"(?i)\b(esg|environmental, social|sustainab|climate)"
 TITLE_ANNUAL = r"(?i)\bannual report\b"
 TITLE_INTERIM = r"(?i)\binterim\b|\bquarterly\b|half-year"
 TITLE_QUARTERLY = r"(?i)\bquarterly\b|\b(first|third)[- ]quarter"
+
+# fixed values: preferences of 1 to 5 to annual volatility, greenness percentile and tilt
+RISK_VOLATILITY = {1: 0.08, 2: 0.12, 3: 0.15, 4: 0.20, 5: 0.25}
+GREEN_PERCENTILE = {2: 0.6, 3: 0.7, 4: 0.8, 5: 0.9}
+GREEN_TILT = {1: 0.0, 2: 0.25, 3: 0.5, 4: 1.0, 5: 2.0}
+
+# fixed values: listings by the end of a ticker (exchange, market, currency, factor proxy), and words left out of initials
+LISTINGS = {
+    ".HK": ("HKEX", "hk", "HKD", "Asia Pacific ex Japan regional factor proxy (USD)"),
+    ".TWO": ("TPEx", "tw", "TWD", "Emerging regional factor proxy (USD)"),
+    ".TW": ("TWSE", "tw", "TWD", "Emerging regional factor proxy (USD)"),
+}
+INITIALS_SKIPPED = ("CORP", "INC", "LTD", "LIMITED", "HOLDINGS", "GROUP", "CO")
+NOT_DIMENSIONS = ("talk_unfiltered", "walk_composite", "walk_intensity_trend", "walk_emission_trend")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verdantflow.shared import written
+
 
 def average_rank(x: Column, *group: Column | str) -> Column:
     """Rank of ``x`` in its group, ties sharing the mean of their places; null for a null ``x``."""
@@ -15,6 +17,65 @@ def average_rank(x: Column, *group: Column | str) -> Column:
     return F.when(known, place + (ties - 1) / F.lit(2.0))
 
 
+def placed(df: DataFrame, order: str, name: str = "_place") -> DataFrame:
+    """Rows with their place (from 0) in the order of a column without repeats, nulls last.
+
+    Rows are dealt to ranges of the column; a place is that within its range and the rows of the ranges before.
+    """
+    dealt = df.repartitionByRange(F.col(order).asc_nulls_last()).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    before = dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_last())) - 1
+    return dealt.withColumn("_within", within).join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, F.col("_within") + F.col("_before")).drop("_range", "_within", "_before")
+
+
+def with_ranks(df: DataFrame, columns: dict[str, str], *group: str) -> DataFrame:
+    """``df`` with average ranks: for each ``name: column`` the rank ``name``, and ``name_n``, the non-null values of the group.
+
+    :func:`average_rank` for groups that may be as large as the table: values (as doubles) are counted first,
+    their places follow from counts of ranges of values, and ranks are joined back by value, so no task sorts a
+    group. Groups are compared null-safe; a null value has a null rank. ``df`` is used several times: give a table.
+    """
+    keys = [f"_g{i}" for i in range(len(group))]
+    values = F.explode(F.array(*(F.struct(F.lit(n).alias("k"), F.col(c).cast("double").alias("v")) for n, c in columns.items())))
+    flat = df.select(*(F.col(g).alias(k) for g, k in zip(group, keys)), values.alias("_s")).filter("_s.v is not null")
+    counts = flat.groupBy(*keys, F.col("_s.k").alias("_k"), F.col("_s.v").alias("_v")).agg(F.count("*").alias("_c"))
+    dealt = written(counts.repartitionByRange("_k", *keys, "_v").withColumn("_range", F.spark_partition_id()), "values")
+    w = Window.partitionBy("_k", *keys)
+    total = dealt.groupBy("_k", *keys, "_range").agg(F.sum("_c").alias("_t"))
+    sums = total.select("_k", *keys, "_range", F.coalesce(F.sum("_t").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_t").over(w).alias("_n"))
+    at = dealt.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_k", *keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.alias("a").join(sums.alias("b"), [F.col("a._range") == F.col("b._range"), F.col("a._k") == F.col("b._k"), *(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)])
+    at = at.select("a._k", *(F.col(f"a.{k}").alias(k) for k in keys), "_v", (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)).alias("_rank"), "_n")
+    at = written(at, "ranks")
+    for name, column in columns.items():
+        own = at.filter(F.col("_k") == name).select(*keys, "_v", F.col("_rank").alias(name), F.col("_n").alias(f"{name}_n"))
+        match = F.col(column).cast("double") == F.col("_v")
+        for g, k in zip(group, keys):
+            match &= F.col(g).eqNullSafe(F.col(k))
+        df = df.join(own, match, "left").drop("_v", *keys)
+    return df
+
+
+def with_scores(df: DataFrame, columns: dict[str, tuple[str, bool]], *group: str) -> DataFrame:
+    """``df`` with :func:`percent_score` of ``name: (column, higher is better)``, for groups of any size. ``df`` should be a table."""
+    ranked = with_ranks(df, {f"_r_{n}": c for n, (c, _) in columns.items()}, *group)
+    scores = {}
+    for name, (column, better) in columns.items():
+        rank, n = F.col(f"_r_{name}"), F.col(f"_r_{name}_n")
+        share = F.when(n > 1, (rank - 1) / (n - 1)).otherwise(0.5)
+        for key in group:
+            share = F.when(F.col(key).isNull(), 0.5).otherwise(share)
+        scores[name] = F.when(F.col(column).isNotNull(), 10 * (share if better else 1 - share))
+    return ranked.withColumns(scores).drop(*(f"_r_{n}{end}" for n in columns for end in ("", "_n")))
+
+
+def with_pooled_group(df: DataFrame, name: str, key: str, least: int, *within: str) -> DataFrame:
+    """``df`` with :func:`pooled_group` as ``name``, from counts that are joined back, for groups of any size."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(*within, key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return df.join(counts, [*within, key], "left").withColumn(name, F.when(F.col("_n").isNotNull(), F.col(key)).otherwise(F.lit("_all"))).drop("_n")
+
+
 def percent_rank(x: Column, *group: Column | str) -> Column:
     """Average rank over the number of non-null values of the group, in (0, 1]."""
     return average_rank(x, *group) / F.count(x).over(Window.partitionBy(*group))

@@ -159,16 +159,33 @@ def dry_run_scores(text: Column, future=words.DRY_RUN_FUTURE, past=words.DRY_RUN
     return {"talk": F.least(F.lit(10.0), 10 * f / n), "walk": F.least(F.lit(10.0), 10 * p / n), "climate_relevance": relevance}
 
 
-def rubric_rollup(talk: dict[str, Column], walk: dict[str, Column], text_length: Column) -> dict[str, Column]:
-    """Weighted talk and walk of sub-scores and their gap; ``skipped`` below 300 characters."""
+def rubric_rollup(talk: dict[str, Column], walk: dict[str, Column], text_length: Column, commitments: Column | None = None) -> dict[str, Column]:
+    """Weighted talk and walk of sub-scores and their gap; ``skipped`` below 300 characters.
+
+    ``commitments``, an array of structs with ``quantified``, adds how many there are and how many have a number.
+    """
     t = sum((talk[k] * w for k, w in words.RUBRIC_TALK.items()), F.lit(0.0))
     w = sum((walk[k] * v for k, v in words.RUBRIC_WALK.items()), F.lit(0.0))
-    return {"talk": t, "walk": w, "gap": t - w, "skipped": text_length < 300}
-
-
-def initials(name: Column, legal=("limited", "ltd", "inc", "corporation", "corp", "plc", "co")) -> Column:
-    w = F.filter(F.split(F.trim(name), r"[^\p{L}\p{N}]+"), lambda x: (x != "") & ~F.lower(x).isin(*legal))
-    return F.upper(F.array_join(F.transform(F.slice(w, 1, 2), lambda x: F.substring(x, 1, 1)), ""))
+    out = {"talk": t, "walk": w, "gap": t - w, "skipped": text_length < 300}
+    if commitments is not None:
+        given = F.coalesce(commitments, F.filter(commitments, lambda c: F.lit(False)))
+        out |= {"n_commitments": F.coalesce(F.size(given), F.lit(0)).cast("long"), "n_quantified": F.coalesce(F.size(F.filter(given, lambda c: F.coalesce(c["quantified"], F.lit(False)))), F.lit(0)).cast("long")}
+    return out
+
+
+def initials(name: Column, ticker: Column | None = None, skipped=words.INITIALS_SKIPPED) -> Column:
+    """First letters of a name's first two words, or two of its only one; else two characters of the ticker, else ``GS``. Legal words don't count."""
+    code = F.substring(F.regexp_replace(F.coalesce(ticker if ticker is not None else F.lit(""), F.lit("")), "[^A-Za-z0-9]+", ""), 1, 2)
+    first = lambda w, k: F.substring(F.element_at(w, k), 1, 1)
+    own = lambda w: F.when(F.size(w) >= 2, F.concat(first(w, 1), first(w, 2))).when((F.size(w) == 1) & (F.length(F.try_element_at(w, F.lit(1))) >= 2), F.substring(F.try_element_at(w, F.lit(1)), 1, 2)).otherwise(F.coalesce(F.nullif(code, F.lit("")), F.lit("GS")))
+    return F.upper(bound(F.filter(F.split(F.coalesce(name, F.lit("")), "[^A-Za-z0-9]+"), lambda x: (x != "") & ~F.upper(x).isin(*skipped)), own))
+
+
+def trade_label(side: Column, before: Column, after: Column, least: float = 0.0005) -> Column:
+    """A reader's word for a trade: ``New`` or ``Buy more``, ``Sell all`` or ``Reduce``, ``Kept``, ``Hold``."""
+    kept = F.when(side.startswith("frozen"), "Kept, not modeled").when(side.startswith("hold (outside"), "Kept, outside filter")
+    bought = kept.when(side == "buy", F.when(before < least, "New").otherwise("Buy more"))
+    return bought.when(side.startswith("sell"), F.when(after < least, "Sell all").otherwise("Reduce")).otherwise("Hold")
 
 
 def string_list(json: Column) -> Column:

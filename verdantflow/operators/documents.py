@@ -190,10 +190,19 @@ def cached_scores(docs: DataFrame, cache: DataFrame, variant: Column, least: int
     return found.withColumn("status", F.when(F.col("answer").isNotNull(), "hit").when(F.length("text") < least, "too_short").otherwise("cache_miss"))
 
 
+def dimensions(df: DataFrame) -> Column:
+    """The ``talk_`` and ``walk_`` columns of a table (but for totals and trends) as a map of name to value; nulls are left out."""
+    names = [c for c in df.columns if c.startswith(("talk_", "walk_")) and c not in words.NOT_DIMENSIONS]
+    pairs = [F.lit(x) if k == 0 else F.col(x).cast("double") for c in names for k, x in enumerate((c, c))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,double>")
+
+
 def evidence_by_year(years: DataFrame, docs: DataFrame) -> DataFrame:
-    """Firm-years with the documents of the same year nested under them."""
-    d = docs.groupBy("firm_id", F.year("period").alias("year")).agg(F.array_sort(F.collect_list(F.struct("accession", "section", "title"))).alias("documents"))
-    return years.join(d, ["firm_id", "year"], "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<struct<accession:string,section:string,title:string>>")))
+    """Firm-years with their ``dimensions``, and the documents of the same year with theirs nested under them."""
+    d = docs.withColumn("dimensions", F.array_sort(F.map_entries(dimensions(docs))))
+    d = d.groupBy("firm_id", F.year("period").alias("year")).agg(F.array_sort(F.collect_list(F.struct("accession", "section", "title", "dimensions"))).alias("documents"))
+    out = years.withColumn("dimensions", dimensions(years)).join(d, ["firm_id", "year"], "left")
+    return out.withColumn("documents", F.coalesce("documents", F.array().cast(out.schema["documents"].dataType)))
 
 
 def extraction_backlog(docs: DataFrame, cache: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from verdantflow.functions import ranks
 from verdantflow.operators import panel as panels
+from verdantflow.shared import written
 
 
 def gmb_sorted(panel: DataFrame, g: str = "g", weight: str = "vw", least: int = 30) -> DataFrame:
@@ -123,14 +124,16 @@ def fama_macbeth(df: DataFrame, y: str, x: list[str], period: str = "year", leas
 def fixed_effects(df: DataFrame, y: str, x: list[str], effect: list[str], cluster: str, least: int = 20) -> tuple[DataFrame, dict]:
     """Least squares of y on x with effects for each group of ``effect``, errors clustered.
 
-    Values are demeaned within the effects by a window; the only numbers that reach the driver are the sums
+    The rows are written once, as they are used several times; means of the effects are aggregated and joined
+    back, so no group is gathered. The only numbers that reach the driver are the sums
     of a system of len(x) unknowns and of its clustered scores. Returns the rows with ``fitted`` and
     ``residual``, and a fit: coef, t, p by name, n, clusters, r2 and r2_effects. ValueError below ``least``
     complete rows.
     """
     df = df.filter(" and ".join(f"{c} is not null" for c in [y, *x, *effect]))
-    w, k = Window.partitionBy(*effect), len(x)
-    demeaned = df.withColumns({f"_{c}": F.col(c) - F.avg(c).over(w) for c in [y, *x]})
+    df, k = written(df, "effects"), len(x)
+    means = df.groupBy(*effect).agg(*(F.avg(c).alias(f"_mean_{c}") for c in [y, *x]))
+    demeaned = df.join(means, effect).withColumns({f"_{c}": F.col(c) - F.col(f"_mean_{c}") for c in [y, *x]}).select(*df.columns, *(f"_{c}" for c in [y, *x]))
     sums = demeaned.agg(
         *(F.sum(F.col(f"_{a}") * F.col(f"_{b}")).alias(f"{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x)), *(F.sum(F.col(f"_{a}") * F.col(f"_{y}")).alias(f"y_{i}") for i, a in enumerate(x)),
         F.sum(F.col(f"_{y}") ** 2).alias("within"), (F.var_pop(y) * F.count("*")).alias("total"), F.count("*").alias("n"), F.count_distinct(*effect).alias("groups"), F.count_distinct(cluster).alias("clusters"),
@@ -220,19 +223,31 @@ def expected_returns(betas: DataFrame, means: DataFrame) -> DataFrame:
     return joined.groupBy("firm_id").agg(F.sum(F.col("beta") * F.col("mean")).alias("mu"))
 
 
-def pool_markets(parts: dict[str, dict[str, DataFrame]]) -> dict[str, DataFrame]:
+def pool_markets(parts: dict[str, dict[str, DataFrame]], green: str = "gmb", least: int = 24) -> dict[str, DataFrame]:
     """Inputs of several markets as one block model: factors carry their market's name, g is standardised within it.
 
-    ``parts``: market to ``betas`` (firm_id, factor, beta) and ``g`` (firm_id, g); of a firm in two markets the first counts.
+    ``parts``: market to ``betas`` (firm_id, factor, beta) and ``g`` (firm_id, g), and, if they are to be stacked
+    as well, ``factors`` (month and a column for each factor). Where the green factor is among them and fewer
+    than ``least`` months have all stacked factors, it is dropped from every market, so that no covariance rests
+    on a handful of months. Of a firm in two markets the first counts. The mean and deviation of g are
+    aggregated, so no task sees a whole market.
     """
-    betas = g = None
+    betas = g = factors = None
     for place, (market, part) in enumerate(parts.items()):
         b = part["betas"].select("firm_id", F.concat(F.lit(market + "_"), "factor").alias("factor"), "beta", F.lit(place).alias("_p"))
-        x = part["g"].withColumns({"z": ranks.population_z(F.col("g"), F.lit(1)), "market": F.lit(market), "_p": F.lit(place)})
+        m = part["g"].agg(F.avg("g"), F.stddev_pop("g")).first()
+        z = (F.col("g") - F.lit(m[0])) / F.lit(m[1]) if m[1] else F.lit(0.0)
+        x = part["g"].withColumns({"z": F.coalesce(z, F.lit(0.0)), "market": F.lit(market), "_p": F.lit(place)})
         betas, g = (b, x) if betas is None else (betas.unionByName(b), g.unionByName(x))
+        if "factors" in part:
+            f = part["factors"].select("month", *(F.col(c).alias(f"{market}_{c}") for c in part["factors"].columns if c != "month"))
+            factors = f if factors is None else factors.join(f, "month", "full")
+    if factors is not None and (named := [c for c in factors.columns if c.endswith(f"_{green}")]):
+        if factors.dropna().count() < least:
+            factors, betas = factors.drop(*named), betas.filter(~F.col("factor").isin(*named))
     first = g.groupBy("firm_id").agg(F.min("_p").alias("_first"))
     keep = lambda df: df.join(first, "firm_id").filter("_p = _first").drop("_p", "_first")
-    return {"betas": keep(betas), "g": keep(g)}
+    return {"betas": keep(betas), "g": keep(g)} | ({} if factors is None else {"factors": factors})
 
 
 def performance(returns: DataFrame, benchmark: DataFrame | None = None, by: str = "portfolio_id", factors: DataFrame | None = None, names: list[str] | None = None, least: int = 24, lags: int = 6) -> DataFrame:

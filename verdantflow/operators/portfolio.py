@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdantflow.functions import numbers, ranks
+from verdantflow.functions import text as tx
+from verdantflow.functions.dictionaries import GREEN_PERCENTILE, GREEN_TILT, RISK_VOLATILITY
 
 HELD = 1e-4
-RISK_VOLATILITY = {1: 0.08, 2: 0.12, 3: 0.15, 4: 0.20, 5: 0.25}
-GREEN_PERCENTILE = {2: 0.6, 3: 0.7, 4: 0.8, 5: 0.9}
-GREEN_TILT = {1: 0.0, 2: 0.25, 3: 0.5, 4: 1.0, 5: 2.0}
+MOST_CANDIDATES = 5000
 
 
 def capped_weights(df: DataFrame, weight: str, cap: float, *group: str) -> DataFrame:
@@ -243,14 +243,31 @@ def _optimal(mu, b, f, d, gamma, cost, w0, total, cap, z, g, floor, steps: int =
     return solve(reach)
 
 
-def rebalance(accounts: DataFrame, model: dict[str, pd.DataFrame], vol_target: float, green_weight: float = 0.0, cost: float = 0.001, cap: float = 0.05, g_floor: float | None = None) -> DataFrame:
-    """Target weights of each account (``portfolio_id, firm_id, capital``): ``portfolio_id, firm_id, w_before, w, ann_vol``.
+def solver_model(firms: DataFrame, betas: DataFrame, factor_cov: DataFrame, most: int = MOST_CANDIDATES) -> dict[str, pd.DataFrame]:
+    """The candidates of :func:`rebalance` on the driver: ``betas`` by firm, ``factor_cov``, and ``mu, idio_var, g`` by firm.
 
-    Maximises w'mu - gamma/2 w'Sw + lam w'z - cost |w - w0| with weights in [0, cap] that sum to 1 and a mean
-    g of at least ``g_floor`` (or the greenest that the cap allows), gamma by bisection to the annual
-    volatility target. Each account is a task of its own over a book of holdings; the model (``betas`` by
-    firm, ``factor_cov``, ``mu``, ``idio_var``, ``g``) is the set of candidate firms and is broadcast.
-    Holdings outside the candidates aren't moved and aren't returned.
+    ``firms``: ``firm_id, mu, idio_var, g``; ``betas``: ``firm_id, factor, beta``. The set is counted first:
+    more than ``most`` firms raise ValueError, as a screened set is asked for.
+    """
+    n = firms.count()
+    if n > most:
+        raise ValueError(f"{n} candidates; screen them to {most}")
+    f = firms.select("firm_id", "mu", "idio_var", "g").toPandas().set_index("firm_id").sort_index()
+    wide = betas.join(F.broadcast(firms.select("firm_id")), "firm_id").toPandas().pivot(index="firm_id", columns="factor", values="beta")
+    names = sorted(wide.columns)
+    cov = factor_cov.select("factor_a", "factor_b", "cov").toPandas().pivot(index="factor_a", columns="factor_b", values="cov")
+    return {"betas": wide.reindex(f.index)[names].fillna(0.0), "factor_cov": cov.loc[names, names], "firms": f}
+
+
+def rebalance(accounts: DataFrame, model: dict[str, pd.DataFrame], vol_target: float, green_weight: float = 0.0, cost: float = 0.001, cap: float = 0.05, g_floor: float | None = None) -> DataFrame:
+    """Target weights of each account (``portfolio_id, firm_id, capital``): ``portfolio_id, firm_id, w_before, w, sleeve, ann_vol``.
+
+    Maximises w'mu - gamma/2 w'Sw + lam w'z - cost |w - w0| with weights in [0, cap] and a mean g of at least
+    ``g_floor`` (or the greenest that the cap allows), gamma by bisection to the annual volatility target. Each
+    account is a task of its own over a book of holdings; the model (see :func:`solver_model`) is the set of
+    candidate firms and is broadcast. Holdings outside the candidates are a frozen sleeve: they keep their
+    weight, and the candidates' weights (sleeve ``modeled``) sum to what it leaves. An account without capital,
+    or all of it frozen, keeps its weights.
     """
     shared = accounts.sparkSession.sparkContext.broadcast(model)
 
@@ -260,16 +277,23 @@ def rebalance(accounts: DataFrame, model: dict[str, pd.DataFrame], vol_target: f
         b, f, d = m["betas"].to_numpy(), m["factor_cov"].to_numpy(), m["firms"]["idio_var"].to_numpy()
         mu, g = m["firms"]["mu"].to_numpy(), m["firms"]["g"].fillna(m["firms"]["g"].mean()).to_numpy()
         z = green_weight * (g - g.mean()) / (g.std() or 1.0)
-        held = frame.groupby("firm_id")["capital"].sum().reindex(firms).fillna(0.0).to_numpy()
-        w0 = held / held.sum() if held.sum() > 0 else np.zeros(len(firms))
-        limit = max(cap, 1 / len(firms))
+        book = frame.groupby("firm_id")["capital"].sum()
+        total = float(book.sum())
+        outside = (book[~book.index.isin(firms)] / total if total > 0 else book[:0]).sort_index()
+        left = 1.0 - float(outside.sum()) if total > 0 else 0.0
+        held = book.reindex(firms).fillna(0.0).to_numpy()
+        w0 = held / total if total > 0 else np.zeros(len(firms))
+        frozen = pd.DataFrame({"portfolio_id": key[0], "firm_id": outside.index, "w_before": outside.to_numpy(), "w": outside.to_numpy(), "sleeve": "frozen", "ann_vol": np.nan})
+        if left <= 1e-9:
+            return frozen.assign(ann_vol=0.0)
+        limit = max(cap, left / len(firms))
         best = np.sort(g)[::-1]
-        full = int(1 / limit)
-        highest = best[:full].sum() * limit + (best[full] * (1 - full * limit) if full < len(best) else 0.0)
+        full = int(left / limit + 1e-9)
+        highest = (best[:full].sum() * limit + (best[full] * (left - full * limit) if full < len(best) else 0.0)) / left
         floor = None if g_floor is None else min(g_floor, highest)
 
         def at(gamma: float) -> tuple[np.ndarray, float]:
-            w = _optimal(mu, b, f, d, gamma, cost, w0, 1.0, limit, z, g, floor)
+            w = _optimal(mu, b, f, d, gamma, cost, w0, left, limit, z, g, floor)
             x = b.T @ w
             return w, float(np.sqrt(12 * (x @ f @ x + d @ (w * w))))
 
@@ -285,16 +309,39 @@ def rebalance(accounts: DataFrame, model: dict[str, pd.DataFrame], vol_target: f
                     break
                 low, high = (middle, high) if vol > vol_target else (low, middle)
         keep = (w > 1e-8) | (w0 > 0)
-        return pd.DataFrame({"portfolio_id": key[0], "firm_id": firms[keep], "w_before": w0[keep], "w": w[keep], "ann_vol": vol})
+        moved = pd.DataFrame({"portfolio_id": key[0], "firm_id": firms[keep], "w_before": w0[keep], "w": w[keep], "sleeve": "modeled", "ann_vol": vol})
+        return pd.concat([moved, frozen.assign(ann_vol=vol)])
 
     kind = dict(accounts.dtypes)["portfolio_id"]
-    return accounts.groupBy("portfolio_id").applyInPandas(run, f"portfolio_id {kind}, firm_id string, w_before double, w double, ann_vol double")
+    return accounts.groupBy("portfolio_id").applyInPandas(run, f"portfolio_id {kind}, firm_id string, w_before double, w double, sleeve string, ann_vol double")
+
 
+def recommendations(holdings: DataFrame, targets: DataFrame, closes: DataFrame, model: dict[str, DataFrame], scores: DataFrame, preference: tuple[float, float | None, float], period: DataFrame) -> DataFrame:
+    """A record for each portfolio of ``targets`` (``portfolio_id, firm_id, w, total``): what is moved, and what it changes.
 
-def recommendations(holdings: DataFrame, targets: DataFrame, closes: DataFrame, stats: DataFrame) -> DataFrame:
-    """A record for each portfolio: its trades with whole shares, one-way turnover, and the statistics of its target."""
+    Capital before and after and the new capital between them; trades with whole shares and a label; one-way
+    turnover; statistics of the modeled holdings ``before`` and ``after``, each over the capital of its time;
+    the holdings without a model; share of the target that has a score; the ``preference`` (volatility target,
+    floor on g, tilt, as :func:`anchors` gives them); and the ``period`` of the model (a row ``first, last, n``).
+    ``model``: ``mu``, ``betas``, ``factor_cov``, ``idio`` and ``g`` as :func:`portfolio_stats` takes them.
+    """
+    key = ["portfolio_id"]
+    old = holdings.groupBy(*key).agg(F.sum(F.col("capital").cast("decimal(28,4)")).cast("double").alias("total_capital"))
+    new = targets.groupBy(*key).agg(F.max("total").alias("target_capital"))
     t = trades(holdings, targets).join(closes.select("firm_id", "close"), "firm_id", "left")
-    t = t.withColumn("shares", numbers.whole_shares(F.abs("d_capital"), F.col("close")))
-    moved = F.filter(F.array_sort(F.collect_list(F.struct("dw", "firm_id", "side", "d_capital", "shares"))), lambda x: x["side"] != "hold")
-    out = t.groupBy("portfolio_id").agg((F.sum(F.abs("dw")) / 2).alias("turnover"), moved.alias("trades"))
-    return out.join(stats, "portfolio_id", "left")
+    t = t.withColumns({"shares": numbers.whole_shares(F.abs("d_capital"), F.col("close")), "label": tx.trade_label(F.col("side"), F.col("w_before"), F.col("w_after"))})
+    moved = F.filter(F.array_sort(F.collect_list(F.struct("dw", "firm_id", "side", "label", "d_capital", "shares"))), lambda x: x["side"] != "hold")
+    out = t.groupBy(*key).agg((F.sum(F.abs("dw")) / 2).alias("turnover"), moved.alias("trades"))
+    modeled = model["mu"].select("firm_id").distinct()
+    book = holdings.join(old, key).withColumn("w", F.col("capital") / F.col("total_capital"))
+    for name, weights in (("before", book), ("after", targets)):
+        stats = portfolio_stats(weights.select(*key, "firm_id", "w").join(modeled, "firm_id", "left_semi"), *(model[k] for k in ("mu", "betas", "factor_cov", "idio", "g")))
+        out = out.join(stats.select(*key, F.struct(*(c for c in stats.columns if c != key[0])).alias(name)), key, "left")
+    rest = book.join(modeled, "firm_id", "left_anti").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("firm_id", "capital", "w"))).alias("unmodeled"))
+    cover = covered_aggregates(targets, scores, ["g"]).select(*key, "coverage_pct")
+    out = out.join(old, key, "left").join(new, key).join(rest, key, "left").join(cover, key, "left")
+    span = period.first()
+    wish = F.struct(*(F.lit(v).cast("double").alias(n) for v, n in zip(preference, ("vol_target", "g_floor", "lam"))))
+    model_period = F.struct(*(F.lit(span[c]).alias(c) for c in ("first", "last", "n")))
+    unmodeled = F.coalesce("unmodeled", F.array().cast(out.schema["unmodeled"].dataType))
+    return out.withColumns({"new_capital": F.col("target_capital") - F.coalesce("total_capital", F.lit(0.0)), "preference": wish, "period": model_period, "unmodeled": unmodeled})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdantflow.functions import numbers, ranks
+from verdantflow.shared import written
 
 WALK_WEIGHTS = {"intensity_level": 0.5, "intensity_trend": 0.3, "emission_trend": 0.2}
 PILLARS = {"water": ("water_tonnes", True, False), "waste": ("waste_tonnes", True, False), "energy": ("renewable_share_pct", False, True)}
@@ -56,10 +57,10 @@ def walk_score(carbon: DataFrame, firms: DataFrame, weights: dict[str, float] |
     weights = weights or WALK_WEIGHTS
     df = with_firm(carbon.drop("d_log_level", "d_log_intensity").filter("matched and intensity is not null"), firms, industry)
     df = df.withColumns({"d_log_intensity": log_change(F.col("intensity")), "d_log_level": log_change(F.col("level"))})
-    df = df.withColumn("rank_group", ranks.pooled_group(F.col(industry), min_group, "year"))
     source = {"intensity_level": "intensity", "intensity_trend": "d_log_intensity", "emission_trend": "d_log_level"}
-    parts = {f"walk_{c}": ranks.percent_score(F.col(source[c]), "year", "rank_group", higher_is_better=False) for c in weights}
-    df = df.withColumns(parts)
+    parts = {f"walk_{c}": (source[c], False) for c in weights}
+    df = written(ranks.with_pooled_group(written(df, "walk"), "rank_group", industry, min_group, "year"), "walk")
+    df = ranks.with_scores(df, parts, "year", "rank_group")
     pairs = [(F.col(f"walk_{c}"), w) for c, w in weights.items()]
     df = df.withColumns({"walk_n_components": numbers.present(*(c for c, _ in pairs)), "walk_composite": numbers.weighted_available_mean(pairs), "walk": F.col("walk_intensity_level")})
     return df.select(*FIRM_YEAR, industry, "rank_group", "level", "intensity", "d_log_intensity", "d_log_level", *parts, "walk_n_components", "walk_composite", "walk")
@@ -131,9 +132,10 @@ def firm_year_intensity(counts: DataFrame) -> DataFrame:
 
 def talk_score(intensity: DataFrame, firms: DataFrame, industry: str = "sector", min_group: int = 5) -> DataFrame:
     """``talk`` (claim rate within year and industry), ``talk_universe`` (within the year), ``talk_unfiltered`` (all terms)."""
-    df = with_firm(intensity, firms, industry).withColumn("rank_group", ranks.pooled_group(F.col(industry), min_group, "year"))
-    claim, green = F.col("claim_per_1000"), F.col("green_per_1000")
-    return df.withColumns({"talk": ranks.percent_score(claim, "year", "rank_group"), "talk_universe": ranks.percent_score(claim, "year"), "talk_unfiltered": ranks.percent_score(green, "year", "rank_group")})
+    df = written(with_firm(intensity, firms, industry), "talk")
+    df = written(ranks.with_pooled_group(df, "rank_group", industry, min_group, "year"), "talk")
+    df = ranks.with_scores(df, {"talk": ("claim_per_1000", True), "talk_unfiltered": ("green_per_1000", True)}, "year", "rank_group")
+    return ranks.with_scores(df, {"talk_universe": ("claim_per_1000", True)}, "year")
 
 
 def _flag(condition: Column) -> Column:

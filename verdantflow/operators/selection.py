@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdantflow.functions import ranks
+from verdantflow.functions import dictionaries as words
+from verdantflow.functions import numbers, ranks, text
 from verdantflow.operators.documents import first_of
 
 SIZES = {"small": (0.0, 1 / 3), "mid": (1 / 3, 2 / 3), "large": (2 / 3, 1.0)}
@@ -28,7 +29,7 @@ class Preference:
 def preferred(universe: DataFrame, wish: Preference, caps: DataFrame) -> DataFrame:
     """``firm_id`` of the firms that a preference keeps; sizes are terciles of the whole universe's latest cap."""
     df = first_of(universe, ["firm_id"], ["name"]).join(caps.select("firm_id", "mktcap"), "firm_id", "left")
-    df = df.withColumn("share", ranks.percent_rank(F.col("mktcap"), F.lit(1)))
+    df = ranks.with_ranks(df, {"_rank": "mktcap"}).withColumn("share", F.col("_rank") / F.col("_rank_n"))
 
     def named(keys) -> Column:
         return sum((F.contains(F.lower("name"), F.lit(k.lower())).cast("int") for k in keys), F.lit(0)) > 0
@@ -97,6 +98,23 @@ def market_of(firm_id: Column) -> Column:
     return F.when(F.upper(firm_id).endswith(".TW") | F.upper(firm_id).endswith(".TWO"), "tw").otherwise("hk")
 
 
+def listing(ticker: Column) -> dict[str, Column]:
+    """``exchange, market, currency, proxy`` by the end of a ticker; ``Unknown`` and nulls for any other."""
+    out = {}
+    for k, name in enumerate(("exchange", "market", "currency", "proxy")):
+        value = F.lit(None).cast("string") if k else F.lit("Unknown")
+        for end, row in words.LISTINGS.items():
+            value = F.when(F.upper(ticker).endswith(end), row[k]).otherwise(value)
+        out[name] = F.when(ticker.isNotNull(), value).otherwise(F.lit(None) if k else F.lit("Unknown"))
+    return out
+
+
+def region_of(domicile: Column, market: Column, scope: tuple[str, ...], defaults: dict[str, str]) -> Column:
+    """The domicile if it is in scope, else the region of the market."""
+    known = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
+    return F.when(domicile.isin(*scope), domicile).otherwise(F.try_element_at(known, market))
+
+
 def latest_year(df: DataFrame, provider: str | None = None) -> DataFrame:
     """Rows of the last year, of one provider (the first by name unless told)."""
     df = df.join(F.broadcast(df.agg(F.max("year").alias("year"))), "year")
@@ -151,9 +169,33 @@ def company_view(washing: DataFrame, green: DataFrame, walk: DataFrame, universe
     return df.withColumns({"note": note, "status": status, "market": market_of(F.col("firm_id"))})
 
 
+def company_records(view: DataFrame) -> DataFrame:
+    """A record for each firm of :func:`company_view`, its last year: id, initials, listing, scores of one decimal, gap, status.
+
+    A gap is talk less walk where none is told; flags count only where both are told and talk and walk are
+    known (``assessed``). ``ticker`` and ``e_weight`` (30 unless told) are optional columns.
+    """
+    df = latest_per_firm(view)
+    for c, kind in (("ticker", "string"), ("e_weight", "double"), ("e_score", "double"), ("gap", "double"), ("greenwasher", "int"), ("greenhusher", "int")):
+        df = df if c in df.columns else df.withColumn(c, F.lit(None).cast(kind))
+    ticker = F.coalesce(F.nullif(F.trim("ticker"), F.lit("")), F.col("firm_id"))
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("firm_id"))
+    flags = {c: numbers.flag_or_null(F.col(c)) for c in ("greenwasher", "greenhusher")}
+    sound = flags["greenwasher"].isNotNull() & flags["greenhusher"].isNotNull() & F.col("talk").isNotNull() & F.col("walk").isNotNull()
+    one = lambda c: F.round(c, 1)
+    return df.select(
+        "firm_id", F.replace(F.lower("firm_id"), F.lit("."), F.lit("-")).alias("id"), name.alias("name"), ticker.alias("ticker"), F.coalesce("sector", F.lit("General")).alias("sector"), text.initials(name, ticker).alias("initials"),
+        *(c.alias(n) for n, c in listing(ticker).items()), one("e_score").alias("score"), F.coalesce(F.round("e_weight"), F.lit(30.0)).cast("long").alias("materiality"), one("walk").alias("walk"), one("talk").alias("talk"),
+        F.coalesce(one("gap"), one(one("talk") - one("walk"))).alias("gap"), *(F.when(sound, c == 1).alias(n) for n, c in flags.items()), F.when(sound, "assessed").otherwise("insufficient_data").alias("assessment"),
+    )
+
+
 def shard(firms: DataFrame, n: int, i: int, order: str = "firm_id") -> DataFrame:
-    """Every n-th firm; a hash of the firm, so no global order is needed."""
-    return firms.filter(F.pmod(F.xxhash64(order), F.lit(n)) == i)
+    """Firms ``i, i + n, i + 2 n ...`` (from 0) in order of ``order``, so shards are equal to one firm.
+
+    Places come from counts of range partitions and places within them, so no task sees all firms.
+    """
+    return ranks.placed(firms, order).filter(F.pmod(F.col("_place"), F.lit(n)) == i).drop("_place")
 
 
 def outlier_flags(df: DataFrame, y: str, x: str, *group: str, limit: float = 2.0) -> DataFrame:

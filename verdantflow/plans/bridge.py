@@ -83,11 +83,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books of accounts from the orders of 1996: ``portfolio_id, firm_id, capital``."""
+    """A book for each account and year of orders: ``portfolio_id, firm_id, capital``."""
     o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    o = o.filter((F.col("o_orderdate") >= "1996-01-01") & (F.col("o_orderdate") < "1997-01-01")).select("o_orderkey", "o_custkey")
+    o = o.select("o_orderkey", (F.col("o_custkey") * 10000 + F.year("o_orderdate")).alias("portfolio_id"))
     lines = i.join(o, i["l_orderkey"] == o["o_orderkey"])
-    return lines.groupBy(F.col("o_custkey").alias("portfolio_id"), F.col("l_suppkey").cast("string").alias("firm_id")).agg(F.sum(F.col("l_extendedprice").cast(DEC)).cast("double").alias("capital"))
+    return lines.groupBy("portfolio_id", F.col("l_suppkey").cast("string").alias("firm_id")).agg(F.sum(F.col("l_extendedprice").cast(DEC)).cast("double").alias("capital"))
 
 
 SQL: dict[str, str] = {
@@ -114,8 +114,8 @@ SQL: dict[str, str] = {
         from (select distinct cast(date_trunc('month', o_orderdate) as date) as month, year(o_orderdate) * 12 + month(o_orderdate) as k from orders) m,
             (values ('USDHKD'), ('TWDHKD')) p(pair) where month <> date '1996-05-01'""",
     "reports": """select 'F' || cast(doc_id % 50 as varchar) as firm_id, cast(2020 + doc_id % 4 as integer) as year, doc_id as accession, text from documents""",
-    "holdings": """select o_custkey as portfolio_id, cast(l_suppkey as varchar) as firm_id, cast(sum(cast(l_extendedprice as decimal(18,4))) as double) as capital
-        from orders join lineitem on l_orderkey = o_orderkey where o_orderdate >= '1996-01-01' and o_orderdate < '1997-01-01' group by all""",
+    "holdings": """select o_custkey * 10000 + year(o_orderdate) as portfolio_id, cast(l_suppkey as varchar) as firm_id, cast(sum(cast(l_extendedprice as decimal(18,4))) as double) as capital
+        from orders join lineitem on l_orderkey = o_orderkey group by all""",
 }
 
 

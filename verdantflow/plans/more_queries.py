@@ -182,35 +182,6 @@ def balanced_pool(spark, d):
     return selection.balanced_pool(s.filter("cast(firm_id as long) % 5 = 0"), s.filter("cast(firm_id as long) % 5 <> 0"), s)
 
 
-@query()
-def market_inputs(spark, d):
-    m = factors.market_inputs(bridge.prices(spark, d), bridge.factors(spark, d), annual(spark, d), FACTORS)
-    return rounded(m["betas"].join(m["idio"], "firm_id").join(m["g"], "firm_id"))
-
-
-@query()
-def pooled_markets(spark, d):
-    _, betas, _ = _model(spark, d)
-    g = _scored(spark, d).select("firm_id", "g")
-    odd = F.col("firm_id").cast("long") % 2 == 1
-    pooled = factors.pool_markets({"hk": {"betas": betas.filter(odd), "g": g.filter(odd)}, "tw": {"betas": betas.filter(~odd), "g": g.filter(~odd)}})
-    return rounded(pooled["betas"].join(pooled["g"].select("firm_id", "z", "market"), "firm_id"))
-
-
-@query()
-def candidate_covariances(spark, d):
-    e, betas, moments = _model(spark, d)
-    pick = portfolio.round_robin(e.select("firm_id", (F.col("firm_id").cast("long") % 5).alias("sector")), _base(spark, d).select("firm_id", F.col("w").alias("mktcap")), 20)
-    return rounded(factors.covariances(betas.join(F.broadcast(pick), "firm_id"), moments, e.select("firm_id", "idio_var")), 9)
-
-
-@query()
-def recommendations(spark, d):
-    closes = bridge.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("firm_id"), (10.0 + F.col("s_suppkey") % 17).alias("close"))
-    stats = portfolio.covered_aggregates(_targets(spark, d), _scored(spark, d), ["g"])
-    return rounded(portfolio.recommendations(bridge.holdings(spark, d), _targets(spark, d), closes, stats).withColumn("n_trades", F.size("trades")).drop("trades"))
-
-
 @query("""select cast(s_suppkey as varchar) as firm_id, cast(2024 - (s_suppkey % 2 = 0)::integer as integer) as year, round(case when s_suppkey % 2 = 0 then 1200 else round(abs(s_acctbal), 2) * 12 / 8 end * 1000 / 32 / 1e6::double, 9) as revenue,
     case when s_suppkey % 2 = 0 then 'last year' else 'annualised from month 8' end as basis, 1234.5::double as scope1, null::double as scope2, null::double as scope3, true as matched, s_suppkey % 3 = 0 as verified from supplier""")
 def loaded_fundamentals_and_emissions(spark, d):

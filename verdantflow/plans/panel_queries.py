@@ -11,6 +11,7 @@ from verdantflow.operators import panel, portfolio, scores
 from verdantflow.plans import bridge, regression_sql
 from verdantflow.plans.score_queries import TALK_CTES, WALK_CTES, WASH_CTES, all_sql, rounded, sql_rank, sql_score, sql_z
 from verdantflow.schema import month
+from verdantflow.shared import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -327,7 +328,7 @@ def capped_weights(spark, d):
     return rounded(portfolio.capped_weights(_books(spark, d), "w", CAP, "portfolio_id").select("portfolio_id", "firm_id", "w_capped"))
 
 
-PW = "select month, firm_id, mktcap / sum(mktcap) over (partition by month) as w from prices where month between date '1996-01-01' and date '1997-12-01'"
+PW = "select month, firm_id, mktcap / sum(mktcap) over (partition by month) as w from prices"
 
 
 @query(bridge.sql("""select month, round(gross, 6) + 0.0::double as gross, round(turnover, 6) as turnover, n from (select month, t, sum(w * ret) as gross, count(*) filter (w > 0) as n from (select p.*, dense_rank() over (order by month) as t from pw p) join prices using (month, firm_id) group by 1, 2) join (
@@ -336,7 +337,7 @@ def weight_panel_returns(spark, d):
     from pyspark.sql.window import Window
 
     p = bridge.prices(spark, d)
-    w = p.filter("month between date'1996-01-01' and date'1997-12-01'").select("month", "firm_id", (F.col("mktcap") / F.sum("mktcap").over(Window.partitionBy("month"))).alias("w"))
+    w = p.select("month", "firm_id", (F.col("mktcap") / F.sum("mktcap").over(Window.partitionBy("month"))).alias("w"))
     return rounded(portfolio.panel_returns(w, p).select("month", "gross", "turnover", "n"))
 
 
@@ -402,7 +403,7 @@ def covered_portfolio_means(spark, d):
 
 
 def _model(spark, d):
-    e = fac.exposures(bridge.prices(spark, d), bridge.factors(spark, d), FACTORS)
+    e = written(fac.exposures(bridge.prices(spark, d), bridge.factors(spark, d), FACTORS), "exposures")  # used several times
     betas = e.unpivot(["firm_id"], [f"b_{f}" for f in FACTORS], "factor", "beta").withColumn("factor", F.substring("factor", 3, 20))
     return e, betas, panel.factor_moments(bridge.factors(spark, d), FACTORS)
 
@@ -430,18 +431,6 @@ def portfolio_stats(spark, d):
     return rounded(stats.select("*", *(F.col("exposures")[f].alias(f"x_{f}") for f in FACTORS)).drop("exposures"))
 
 
-@query()
-def rebalanced_accounts(spark, d):
-    """Every book of accounts to a target volatility and a floor on greenness, over the largest suppliers."""
-    e, betas, moments = _model(spark, d)
-    mu = fac.expected_returns(betas, moments.select(F.col("factor_a").alias("factor"), F.col("mean_a").alias("mean")).distinct())
-    pick = portfolio.round_robin(e.select("firm_id", (F.col("firm_id").cast("long") % 5).alias("sector")), _base(spark, d).select("firm_id", F.col("w").alias("mktcap")), 30)
-    firms = e.join(pick, "firm_id").join(mu, "firm_id").join(_base(spark, d).select("firm_id", "g"), "firm_id").toPandas().set_index("firm_id").sort_index()
-    cov = moments.toPandas().pivot(index="factor_a", columns="factor_b", values="cov").loc[FACTORS, FACTORS]
-    model = {"betas": firms[[f"b_{f}" for f in FACTORS]], "factor_cov": cov, "firms": firms[["mu", "idio_var", "g"]]}
-    return rounded(portfolio.rebalance(bridge.holdings(spark, d), model, vol_target=0.12, green_weight=0.001, g_floor=5.0))
-
-
 @query(bridge.sql("select portfolio_id, firm_id, round(w0, 6) as w0, round(w1, 6) as w1 from (select portfolio_id, firm_id, coalesce(c0, 0) / nullif(sum(c0) over (partition by portfolio_id), 0) as w0, coalesce(coalesce(c1, 0) / nullif(sum(c1) over (partition by portfolio_id), 0), 0) as w1 from (select portfolio_id, firm_id, b.capital as c0, a.w * a.total as c1 from holdings b full join targets a using (portfolio_id, firm_id))) where greatest(w0, w1) >= 0.0005::double", "holdings", books=BOOKS, targets=TARGETS))
 def holdings_comparison(spark, d):
     after = _targets(spark, d).select("portfolio_id", "firm_id", (F.col("w") * F.col("total")).alias("capital"))

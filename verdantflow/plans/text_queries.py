@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from verdantflow.functions import numbers, ranks, text
@@ -12,6 +10,7 @@ from verdantflow.plans import bridge, text_sql
 from verdantflow.plans.score_queries import carbon, green, paired_walk, rounded, sql_rank, talk
 from verdantflow.plans.score_queries import GREEN_CTES, WASH_CTES, all_sql, with_ctes
 from verdantflow.quality import rules
+from verdantflow.shared import new_path
 from verdantflow.sources import tables
 from verdantflow.streaming import incremental
 
@@ -395,21 +394,21 @@ def windowed_event_counts(spark, d):
 @query("select event_id from events")
 def streamed_events(spark, d):
     """All events through a stream of the landed file, each once, read back from the sink."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/spark-streams"
-    run = f"{base}/stream-{uuid.uuid4().hex}"
-    path = f"{d}/events.parquet"
+    run, path = new_path(spark, "stream"), f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
-    # a stream reads a folder; the table may be a single file in it
-    folder, pattern = path.rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).dropDuplicates(["event_id"]) if not _is_folder(spark, path) else incremental.new_rows(spark, path, schema, "event_id")
-    incremental.ingest(stream, lambda b: b.withColumn("error", F.lit(None).cast("string")), f"{run}/out", f"{run}/failed", f"{run}/checkpoint").awaitTermination()
+    stream = incremental.landed(spark, path, schema)
+    incremental.ingest(stream, lambda b: b.withColumn("error", F.lit(None).cast("string")), f"{run}/out", f"{run}/failed", f"{run}/checkpoint", "event_id").awaitTermination()
     return spark.read.schema(schema).parquet(f"{run}/out").select("event_id")
 
 
-def _is_folder(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+@query("select event_id from events where event_id % 7 <> 0")
+def new_events_of_a_stream(spark, d):
+    """Each event once within the watermark, failures kept apart and left out."""
+    run, path = new_path(spark, "stream"), f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = incremental.new_events(spark, path, schema, "event_id", "ts")
+    incremental.ingest(stream, lambda b: b.withColumn("error", F.when(F.col("event_id") % 7 == 0, "bad")), f"{run}/out", f"{run}/failed", f"{run}/checkpoint").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{run}/out").select("event_id")
 
 
 # Scalar functions

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from verdantflow.operators.documents import consolidate_emissions
 from verdantflow.operators.selection import replace_firms
+from verdantflow.shared import written
 
 
 def outdated(docs: DataFrame, metrics: DataFrame, version: str, key: str = "accession") -> DataFrame:
@@ -24,25 +25,36 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def new_events(spark: SparkSession, folder: str, schema: str, key: str, time: str, late: str = "1 day") -> DataFrame:
     """A stream of the files that land in a folder, each key once while its event is within the watermark."""
-    return spark.readStream.schema(schema).parquet(folder).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return landed(spark, folder, schema).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def new_rows(spark: SparkSession, folder: str, schema: str, key: str) -> DataFrame:
-    """A stream of the files that land in a folder, each key once and for all."""
-    return spark.readStream.schema(schema).parquet(folder).dropDuplicates([key])
+def landed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the files that land in a folder of Parquet files, or of the one file at ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, failures: str, checkpoint: str) -> StreamingQuery:
+def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, failures: str, checkpoint: str, key: str | None = None) -> StreamingQuery:
     """Write each micro-batch: rows whose ``error`` is null to ``out``, the others to ``failures`` to be tried again.
 
-    Both sinks are folders by batch, written over if a batch is run again, so a restart doesn't repeat rows.
+    With a ``key`` each key is written once and for all: a batch loses its repeats, and what earlier batches
+    have written, which is read from ``out``; no state grows with the keys. A batch is transformed and written
+    once, as a table, and split from there. Sinks are folders by batch, written over if a batch is run again,
+    so a restart doesn't repeat rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = transform(batch).persist()
+        if key is not None:
+            batch = batch.dropDuplicates([key])
+            if number:
+                done = batch.sparkSession.read.parquet(*(f"{out}/batch={k}" for k in range(number)))
+                batch = batch.join(done.select(key), key, "left_anti")
+        rows = written(transform(batch), "batch")
         rows.filter("error is null").drop("error").write.mode("overwrite").parquet(f"{out}/batch={number}")
         rows.filter("error is not null").write.mode("overwrite").parquet(f"{failures}/batch={number}")
-        rows.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
