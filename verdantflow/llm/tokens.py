@@ -2,8 +2,8 @@
 
 A pre-tokenizer cuts a text at places that its white space alone decides: before a space that leads a word,
 and around other white space. No token crosses such a place, so the ids of a text are the ids of its units in
-order. Units are found and hashed over the Arrow buffer, each distinct unit is encoded once for as long as a
-worker keeps it, and the ids of all units are gathered by one index. A unit that is a single word goes straight
+order. Units are found and hashed (64 bits, equal hashes are taken for equal units) over the Arrow buffer, each distinct
+unit is encoded once for as long as a worker keeps it, and the ids of all units are gathered by one index. A unit that is a single word goes straight
 to the tokenizer's model; any other goes through the whole tokenizer. Texts with white space beyond ASCII, and
 texts that hold the string of an added token, are encoded as a whole.
 """
@@ -58,16 +58,34 @@ class Encoder:
         self.lead = np.zeros(256, bool)
         self.lead[[*(x for t in added for c in {t[0], t[0].lower(), t[0].upper()} for x in c.encode()[:1]), *(_WIDE_LEADS if self.spaced else ())]] = True
         self.uncut = re.compile("|".join([*map(re.escape, added), *([_WIDE_SPACE] if self.spaced else [])]) or r"(?!)", re.IGNORECASE)
+        self.tails: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.begin, self.count = array("I"), array("q"), array("q")
 
+    def _trim(self, keys: list[int]) -> None:
+        """Keep only those of the known units that the current texts have too: the frequent ones."""
+        kept = [k for k in keys if k in self.known]
+        slot = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
+        begin, count, flat = (np.frombuffer(x, t) for x, t in ((self.begin, np.int64), (self.count, np.int64), (self.flat, np.uint32)))
+        begin, count = begin[slot], count[slot]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = flat[np.arange(total) + np.repeat(begin - ends + count, count)]
+        self.forget()
+        self.known = dict(zip(kept, range(len(kept))))
+        self.flat.frombytes(flat.astype(np.uint32).tobytes())
+        self.begin.frombytes((ends - count).astype(np.int64).tobytes())
+        self.count.frombytes(count.astype(np.int64).tobytes())
+
     def _word(self, unit: str) -> list[int] | None:
         """Ids of a unit that is one word of letters, or one and a mark; None for any other."""
         tail = unit[-1] if unit[-1] in _MARKS and len(unit) > 1 else ""
         core = unit[:-1] if tail else unit
+        if tail and tail not in self.tails:
+            self.tails[tail] = [t.id for t in self.model.tokenize(tail)]
         if not (core[1:] if core[0] == " " else core).isalpha():
             return None
         if not self.spaced:
@@ -76,7 +94,7 @@ class Encoder:
             core = core.lower()
         written = core.replace(" ", "Ġ") if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
         out = [t.id for t in self.model.tokenize(written)]
-        return out + [t.id for t in self.model.tokenize(tail)] if tail else out
+        return out + self.tails[tail] if tail else out
 
     def _learn(self, hashes: list[int], units: list[bytes]) -> None:
         other = []
@@ -130,9 +148,10 @@ class Encoder:
         whole = self._whole(raw, at, texts)
         begin, end, h = self._units(raw, at)
         unit, first, place = np.unique(h, return_index=True, return_inverse=True)
+        keys = unit.tolist()
         if len(self.known) + len(unit) > KEPT:
-            self.forget()
-        known, keys = self.known, unit.tolist()
+            self._trim(keys)
+        known = self.known
         new = [i for i, k in enumerate(keys) if k not in known]
         if new:
             own = first[new]
