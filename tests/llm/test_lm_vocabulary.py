@@ -33,7 +33,8 @@ def check(got, seqs, taught, chosen, prior):
         own = seqs[r.id]
         assert r.n_words == len(own)
         for f, x in ((t, r.target_loss), (b, r.background_loss)):
-            assert x is None if not own else math.isclose(x, sum(f(p, w) for p, w in zip([None, *own], own)) / len(own), rel_tol=1e-6)
+            want = sum(f(p, w) for p, w in zip([None, *own], own)) / len(own) if own else None
+            assert x is None if not own else math.isclose(x, want, rel_tol=1e-6, abs_tol=1e-7), (r.id, x, want)
         assert r.score is None if not own else math.isclose(r.score, r.target_loss - r.background_loss, abs_tol=1e-12)
 
 
