@@ -49,7 +49,8 @@ def _fingerprints(batches, n: int, bits: int) -> Iterator[pa.RecordBatch]:
 
     def count() -> None:
         if waiting:
-            np.add(counts, np.bincount(np.concatenate(waiting), minlength=1 << bits), out=counts, casting="unsafe")
+            place, n = np.unique(np.concatenate(waiting), return_counts=True)
+            counts[place] += n.astype(np.uint32)
             waiting.clear()
 
     for piece in slices(batches, "text"):
@@ -57,7 +58,7 @@ def _fingerprints(batches, n: int, bits: int) -> Iterator[pa.RecordBatch]:
         for own in shingle_sets(piece.column("text"), n):
             sizes.append(len(own))
             prints.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else bytes(16))
-            waiting.append((own >> _U(64 - bits)).astype(np.int64))
+            waiting.append((own >> _U(64 - bits)).astype(np.int32))
         if sum(map(len, waiting)) > 1 << 20:
             count()
         f = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)

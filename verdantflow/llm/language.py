@@ -123,22 +123,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(lang, score)
-    text = kept.schema.names.index(text_col)
 
     def scored(batches):
-        for batch in _by_text(batches, text):
-            labels, found = score_texts(batch.column(text).to_pylist(), shared.value)
+        for batch in slices(batches, text_col, 1 << 20):
+            labels, found = score_texts(batch.column(text_col).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(found)], names=[*batch.schema.names, lang, score])
 
     schema = StructType([*kept.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
     return kept.mapInArrow(scored, schema)
-
-
-def _by_text(batches, text: int, most: int = 1 << 20):
-    for batch in batches:
-        size = np.cumsum([len(x) if x else 0 for x in batch.column(text).to_pylist()])
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
-            yield batch.slice(at, to - at)
-            at = to

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,20 +63,27 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of known units, and their numbers
         self.flat, self.begin, self.count = array("I"), array("q"), array("q")
 
-    def _trim(self, keys: list[int]) -> None:
+    def _slots(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of units by hash, and which of them are known."""
+        if not len(self.hashes):
+            return np.zeros(len(units), np.int64), np.zeros(len(units), bool)
+        at = np.minimum(np.searchsorted(self.hashes, units), len(self.hashes) - 1)
+        return self.slots[at], self.hashes[at] == units
+
+    def _trim(self, units: np.ndarray) -> None:
         """Keep only those of the known units that the current texts have too: the frequent ones."""
-        kept = [k for k in keys if k in self.known]
-        slot = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
+        slot, known = self._slots(units)
+        kept, slot = units[known], slot[known]
         begin, count, flat = (np.frombuffer(x, t) for x, t in ((self.begin, np.int64), (self.count, np.int64), (self.flat, np.uint32)))
         begin, count = begin[slot], count[slot]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         flat = flat[np.arange(total) + np.repeat(begin - ends + count, count)]
         self.forget()
-        self.known = dict(zip(kept, range(len(kept))))
+        self.hashes, self.slots = kept, np.arange(len(kept))
         self.flat.frombytes(flat.astype(np.uint32).tobytes())
         self.begin.frombytes((ends - count).astype(np.int64).tobytes())
         self.count.frombytes(count.astype(np.int64).tobytes())
@@ -96,24 +104,20 @@ class Encoder:
         out = [t.id for t in self.model.tokenize(written)]
         return out + self.tails[tail] if tail else out
 
-    def _learn(self, hashes: list[int], units: list[bytes]) -> None:
-        other = []
-        for h, raw in zip(hashes, units):
-            unit = raw.decode()
-            ids = self._word(unit)
-            if ids is None:
-                other.append((h, unit))
-            else:
-                self._keep(h, ids)
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        texts = [u.decode() for u in units]
+        found = [self._word(t) for t in texts]
+        other = [i for i, ids in enumerate(found) if ids is None]
         if other:
-            for (h, _), found in zip(other, self.tokenizer.encode_batch_fast([u for _, u in other], add_special_tokens=False)):
-                self._keep(h, found.ids)
-
-    def _keep(self, h: int, ids: list[int]) -> None:
-        self.known[h] = len(self.begin)
-        self.begin.append(len(self.flat))
-        self.count.append(len(ids))
-        self.flat.extend(ids)
+            for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
+                found[i] = e.ids
+        fresh, size = len(self.begin), np.fromiter(map(len, found), np.int64, len(found))
+        self.begin.frombytes((len(self.flat) + np.cumsum(size) - size).tobytes())
+        self.count.frombytes(size.tobytes())
+        self.flat.extend(chain.from_iterable(found))
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")  # two sorted runs
+        self.hashes, self.slots = hashes[order], np.concatenate([self.slots, np.arange(fresh, fresh + len(found))])[order]
 
     def _units(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin, end and hash of each unit, in order."""
@@ -148,18 +152,16 @@ class Encoder:
         whole = self._whole(raw, at, texts)
         begin, end, h = self._units(raw, at)
         unit, first, place = np.unique(h, return_index=True, return_inverse=True)
-        keys = unit.tolist()
-        if len(self.known) + len(unit) > KEPT:
-            self._trim(keys)
-        known = self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if new:
-            own = first[new]
+        if len(self.hashes) + len(unit) > KEPT:
+            self._trim(unit)
+        slot, known = self._slots(unit)
+        if not known.all():
+            own = first[~known]
             data = raw.tobytes()
-            self._learn([keys[i] for i in new], [data[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist())])
-        slot = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
-        count = np.frombuffer(self.count, np.int64)[slot][place] if len(keys) else np.zeros(0, np.int64)
-        source = np.frombuffer(self.begin, np.int64)[slot][place] if len(keys) else count
+            self._learn(unit[~known], [data[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist())])
+            slot, _ = self._slots(unit)
+        count = np.frombuffer(self.count, np.int64)[slot][place] if len(unit) else np.zeros(0, np.int64)
+        source = np.frombuffer(self.begin, np.int64)[slot][place] if len(unit) else count
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         out = np.frombuffer(self.flat, np.uint32)[np.arange(total) + np.repeat(source - ends + count, count)] if total else np.zeros(0, np.uint32)
