@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdantflow.llm.shared import dense, slices, sum_vectors, vector_rows, written
+from verdantflow.llm.shared import dense, release, slices, sum_vectors, vector_rows, written
 from verdantflow.llm.words import mixed, word_hashes
 
 HEAD = 1 << 17
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 CHUNK_DOCS = 1 << 16
 BUCKET = 1 << 21
 PRIOR = 4.0
@@ -296,6 +296,7 @@ def _answer(batches, heads, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             rows.append((chunk, size, data))
     if rows:
         yield from out(rows)
+    release()
 
 
 def _split(data: bytes, size: int) -> tuple[np.ndarray, np.uint64, np.ndarray, np.ndarray, np.ndarray]:
