@@ -96,6 +96,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), every as (
+            select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w
+        ), sets as (
+            select doc_id, len(s) as n, array_to_string(list_sort(s), chr(10)) as own from every
+        ), shingles as (
+            select doc_id, unnest(s) as sh from every
+        ), common as (
+            select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2
+        ), links as (
+            select x, y from common join sets a on a.doc_id = x join sets b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)
+        ), reached as (
+            select x, y from links union select r.x, l.y from reached r join links l on l.x = r.y
+        )
+        select s.doc_id, s.n as n_shingles, least(s.doc_id, coalesce(r.low, s.doc_id)) as component_id, case when s.n = 0 then s.doc_id else min(s.doc_id) over (partition by s.n, s.own) end as representative_id, coalesce(l.k, 0) as n_links
+        from sets s left join (select x, min(y) as low from reached group by x) r on r.x = s.doc_id left join (select x, count(*) as k from links group by x) l on l.x = s.doc_id
+    """,
     "op6_exact_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
