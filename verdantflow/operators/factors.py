@@ -36,6 +36,12 @@ def gmb_sorted(panel: DataFrame, g: str = "g", weight: str = "vw", least: int =
     return out.select("month", "green", "brown", (F.col("green") - F.col("brown")).alias("gmb"), "n")
 
 
+def gmb_summary(series: DataFrame, value: str = "gmb") -> DataFrame:
+    """Mean of a monthly factor in basis points, its t and its months: ``mean_bps, t, n``."""
+    mean, n = F.avg(value), F.count(value)
+    return series.agg((mean * 1e4).alias("mean_bps"), (mean / F.stddev_samp(value) * F.sqrt(n)).alias("t"), n.alias("n"))
+
+
 def gmb_regression(panel: DataFrame, factors: DataFrame, g: str = "g", controls: list[str] | None = None, window: int = 60, least_history: int = 24, least: int = 30) -> DataFrame:
     """``month, gmb, n``: each month's return per unit of g, after market exposure.
 
@@ -289,8 +295,14 @@ def market_inputs(prices: DataFrame, factors: DataFrame, annual: DataFrame, name
     return {"betas": betas, "idio": fits.select("firm_id", "idio_var"), "g": fits.select("firm_id").join(last, "firm_id", "left"), "factors": factors, "moments": panels.factor_moments(factors, names)}
 
 
-def covariances(betas: DataFrame, factor_cov: DataFrame, idio: DataFrame) -> DataFrame:
-    """``firm_a, firm_b, cov`` of the firms given: B F B' + D in long form, for a screened candidate set."""
+def covariances(betas: DataFrame, factor_cov: DataFrame, idio: DataFrame, most: int = 5000) -> DataFrame:
+    """``firm_a, firm_b, cov`` of the firms given: B F B' + D in long form, for a screened candidate set.
+
+    The result has a row for each two firms, so they are counted first: more than ``most`` raise ValueError.
+    """
+    n = betas.select("firm_id").distinct().count()
+    if n > most:
+        raise ValueError(f"{n} firms; screen them to {most}")
     c = F.broadcast(factor_cov.select("factor_a", "factor_b", "cov"))
     loaded = betas.withColumnRenamed("factor", "factor_a").join(c, "factor_a").groupBy("firm_id", "factor_b").agg(F.sum(F.col("beta") * F.col("cov")).alias("l"))
     right = betas.select(F.col("firm_id").alias("firm_b"), F.col("factor").alias("factor_b"), "beta")

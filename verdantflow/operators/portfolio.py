@@ -176,7 +176,7 @@ def comparison_rows(before: DataFrame, after: DataFrame, metrics: list[str]) ->
 def restated(holdings: DataFrame, rates: DataFrame, to: str = "HKD") -> DataFrame:
     """Holdings (``currency, value``) in another currency at the latest dated rate; without one an ``error``."""
     last = rates.filter(F.col("pair").endswith(to)).groupBy("pair").agg(F.max_by("rate", "month").alias("rate"))
-    df = holdings.withColumn("pair", F.concat("currency", F.lit(to))).join(F.broadcast(last), "pair", "left")
+    df = holdings.withColumn("pair", F.concat("currency", F.lit(to))).join(last, "pair", "left")
     same = F.col("currency") == to
     value = F.when(same, F.round("value", 2)).otherwise(F.round(F.col("value") * F.col("rate"), 2))
     return df.withColumns({"value_base": value, "error": F.when(~same & F.col("rate").isNull(), F.concat(F.lit("no rate for "), "pair"))}).drop("pair", "rate")

@@ -93,7 +93,7 @@ def scores_from_walk(walk: DataFrame, industry: str = "sector", provider: str =
     df = walk.filter(F.col("walk").isNotNull() & F.col(industry).isNotNull()).withColumn("industry_grp", F.col(industry))
     df = df.withColumn("revenue", ranks.median_filled(numbers.ratio(F.col("level"), F.col("intensity")), "year", "industry_grp"))
     weight = industry_weight(df)
-    return df.join(F.broadcast(weight), ["year", "industry_grp"], "left").select(*FIRM_YEAR, F.lit(provider).alias("provider"), F.col("walk").alias("e_score"), "e_weight")
+    return df.join(weight, ["year", "industry_grp"], "left").select(*FIRM_YEAR, F.lit(provider).alias("provider"), F.col("walk").alias("e_score"), "e_weight")
 
 
 def greenness_table(scores: DataFrame, firms: DataFrame, industry: str = "sector") -> DataFrame:

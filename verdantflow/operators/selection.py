@@ -65,7 +65,7 @@ def keyword_screen(requests: DataFrame, values: DataFrame) -> DataFrame:
     """
     word = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("word")
     first = F.element_at(F.filter(F.split(F.lower("value"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1)
-    met = requests.select("request_id", "text", word).join(F.broadcast(values.withColumn("word", first)), "word")
+    met = requests.select("request_id", "text", word).join(values.withColumn("word", first), "word")
     padded = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " "), F.lit(" "))
     whole = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower("value"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " "), F.lit(" "))
     found = met.withColumns({"p": padded, "v": whole}).filter(F.contains("p", F.col("v")))

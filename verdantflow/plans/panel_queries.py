@@ -195,8 +195,8 @@ def gmb_sorted(spark, d):
 
 @query(bridge.sql("select round(avg(gmb) * 1e4, 3) + 0.0::double as mean_bps, round(avg(gmb) / stddev_samp(gmb) * sqrt(count(*)), 5) + 0.0::double as t, count(*) as n from sorted", "prices", **PANEL_CTES, sides=SIDES, sorted=SORTED))
 def gmb_summary(spark, d):
-    s = fac.gmb_sorted(green_panel(spark, d), least=MIN_N)
-    return s.agg((F.round(F.avg("gmb") * 1e4, 3) + 0.0).alias("mean_bps"), (F.round(F.avg("gmb") / F.stddev_samp("gmb") * F.sqrt(F.count("*")), 5) + 0.0).alias("t"), F.count("*").alias("n"))
+    s = fac.gmb_summary(fac.gmb_sorted(green_panel(spark, d), least=MIN_N))
+    return s.select((F.round("mean_bps", 3) + 0.0).alias("mean_bps"), (F.round("t", 5) + 0.0).alias("t"), "n")
 
 
 @query(bridge.sql(f"select month, round(sum(g * a) / nullif(sum(g * g), 0), 6) + 0.0::double as gmb, count(*) as n from (select month, g, exret - beta_m * mkt_rf as a from beta) where a is not null group by month having count(*) >= {MIN_N}", "prices", "factors", **PANEL_CTES, beta=BETA))

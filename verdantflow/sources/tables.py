@@ -78,7 +78,7 @@ def fundamentals(items: DataFrame, rates: dict[str, float], preferred: list[str]
 def exchange_universe(rows: DataFrame, industries: DataFrame, suffix: str) -> DataFrame:
     """Exchange listing to firms: code and suffix, English name else the local one, industry name else Other."""
     name = F.coalesce(F.nullif(F.trim("name_en"), F.lit("")), F.col("name_local"))
-    df = rows.join(F.broadcast(industries.select("industry_code", "industry")), "industry_code", "left")
+    df = rows.join(industries.select("industry_code", "industry"), "industry_code", "left")
     return df.select(F.concat("code", F.lit(suffix)).alias("firm_id"), name.alias("name"), F.coalesce("industry", F.lit("Other")).alias("sector"), numbers.clean_number(F.col("capital")).alias("capital"))
 
 
