@@ -11,19 +11,19 @@ HEAVY = 1000
 BROADCAST_NODES = 200_000
 
 
-def _meet(links: DataFrame, least: DataFrame) -> DataFrame:
-    """``links`` with the minimum ``m`` of their node ``a``; ``least``: a row ``a, m, degree`` for each node, a table.
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to a ``table`` of one row for each key, whose column ``count`` tells how many rows have it.
 
-    The links of nodes with more than ``HEAVY`` links stay where they are: the minima of these nodes are
-    broadcast, if a count shows that they are few, so the links of one node don't meet in one task. Beyond that
-    bound all are joined by a shuffle, whose large partitions adaptive execution can split.
+    Rows of keys with more than ``HEAVY`` rows stay where they are: these keys are broadcast, if a count shows
+    that they are few, so the rows of one key don't meet in one task. Beyond that bound all are joined by a
+    shuffle, whose large partitions adaptive execution can split.
     """
-    heavy = least.filter(F.col("degree") > HEAVY).select("a", "m")
+    heavy = table.filter(F.col(count) > HEAVY)
     some = heavy.count()
     if not 0 < some <= BROADCAST_NODES:
-        return links.join(least.select("a", "m"), "a")
-    rest = links.join(F.broadcast(heavy.select("a")), "a", "left_anti").join(least.select("a", "m"), "a")
-    return links.join(F.broadcast(heavy), "a").unionByName(rest)
+        return rows.join(table, keys, how)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(table, keys, how)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -37,11 +37,11 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree")), "least")
-        large = _meet(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
+        large = join_counted(both.filter("b > a"), least, ["a"], "degree").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
         # a node that is its own minimum's neighbour keeps its link to that minimum
         large = written(large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct(), "large")
         low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")), "low")
-        small = _meet(large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
+        small = join_counted(large, low, ["a"], "degree").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
         edges = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:

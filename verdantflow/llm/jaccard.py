@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdantflow.llm.components import connected_components
+from verdantflow.llm.components import connected_components, join_counted
 from verdantflow.llm.shared import slices, sum_vectors, unpacked, vector_rows, written
 from verdantflow.llm.words import shingle_sets
 
@@ -343,7 +343,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         direct = answers.filter("owned").select("f1", "f2", F.col("hub_copies").alias("n")).unionByName(answers.filter("owned").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("copies").alias("n")))
         others = direct.unionByName(derived.filter("n is not null").select("f1", "f2", "n")).groupBy("f1", "f2").agg(F.sum("n").alias("others"))
         classes = classes.join(others, ["f1", "f2"], "left")
-    done = prints.join(classes, ["f1", "f2"], "left")
+    # copies of one text don't meet, and texts without words have no class
+    classes = written(classes, "classes")
+    done = join_counted(prints.filter("n > 0"), classes, ["f1", "f2"], "copies", "left")
+    bare = [F.lit(None).cast(t).alias(c) for c, t in classes.dtypes if c not in ("f1", "f2")]
+    done = done.unionByName(prints.filter("n = 0").select("*", *bare))
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")
     columns = ["id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("representative", "id")).alias("representative"), own]
     if count_links:
