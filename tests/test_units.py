@@ -230,6 +230,41 @@ def test_rebalancing_meets_constraints_and_the_analytic_optimum(spark):
         assert (own["w"] * own["firm_id"].str[1:].astype(float)).sum() >= 20 - 0.05
 
 
+def test_holdings_without_a_model_are_frozen_and_candidates_are_bounded(spark):
+    ids = [f"F{i}" for i in range(4)]
+    firms = spark.createDataFrame([(i, 0.01, 0.004, float(k)) for k, i in enumerate(ids)], "firm_id string, mu double, idio_var double, g double")
+    betas = spark.createDataFrame([(i, f, 1.0) for i in ids for f in ("x", "y")], "firm_id string, factor string, beta double")
+    cov = spark.createDataFrame([(a, b, 0.001 if a == b else 0.0) for a in ("x", "y") for b in ("x", "y")], "factor_a string, factor_b string, cov double")
+    model = portfolio.solver_model(firms, betas, cov)
+    with pytest.raises(ValueError):
+        portfolio.solver_model(firms, betas, cov, most=3)
+    books = spark.createDataFrame([(1, "F0", 60.0), (1, "cash", 40.0), (2, "cash", 5.0), (3, "F1", 10.0)], "portfolio_id int, firm_id string, capital double")
+    out = portfolio.rebalance(books, model, 0.3, cap=0.5, g_floor=1.5).toPandas()
+    assert all(abs(own["w"].sum() - 1) < 1e-6 and abs(own["w_before"].sum() - 1) < 1e-9 for _, own in out.groupby("portfolio_id"))
+    cash = out[out["firm_id"] == "cash"]
+    assert sorted(cash["portfolio_id"]) == [1, 2] and (cash["sleeve"] == "frozen").all() and (cash["w"] == cash["w_before"]).all() and set(cash["w"]) == {0.4, 1.0}
+    first = out[(out["portfolio_id"] == 1) & (out["sleeve"] == "modeled")]
+    assert (first["w"] * first["firm_id"].str[1:].astype(float)).sum() >= 1.5 * 0.6 - 0.01
+
+
+def test_ranks_by_counts_match_windows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 11 == 0 else float(rng.integers(0, 9)), None if i % 13 == 0 else f"g{i % 4}", float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, x double, g string, y double")
+    told = {r.k: r for r in df.select("k", ranks.average_rank(F.col("x"), "g").alias("x"), ranks.percent_score(F.col("y"), "g").alias("y")).collect()}
+    got = ranks.with_scores(ranks.with_ranks(df, {"rx": "x"}, "g"), {"sy": ("y", True)}, "g").collect()
+    assert len(got) == 400 and all(told[r.k].x == r.rx and (told[r.k].y is None) == (r.sy is None) and abs((told[r.k].y or 0) - (r.sy or 0)) < 1e-9 for r in got)
+    pooled = {r.k: (r.a, r.b) for r in ranks.with_pooled_group(df, "a", "g", 95).withColumn("b", ranks.pooled_group(F.col("g"), 95)).collect()}
+    assert all(a == b for a, b in pooled.values()) and "_all" in {a for a, _ in pooled.values()}
+    assert sorted(r._place for r in ranks.placed(df, "k").collect()) == list(range(400))
+
+
+def test_dot_segments_and_queries_of_links(spark):
+    html = "".join(f"<a href='{h}'>t</a>" for h in ("../x", "./y", "?q=1", "a/../../z/.", "/r/./s/../t?u#v", "../../../w"))
+    page = spark.createDataFrame([(1, "http://site.com/a/b/c.html?k=1", html)], "page_id long, url string, html string")
+    assert sorted(r.url for r in documents.site_links(page).collect()) == sorted("http://site.com" + u for u in ("/a/x", "/a/b/y", "/a/b/c.html?q=1", "/a/z/", "/r/t?u", "/w"))
+
+
 def test_statistics_in_factor_form_match_the_full_matrix(spark):
     rng = np.random.default_rng(7)
     b, f, d, mu, w = rng.normal(1, 0.3, (6, 2)), np.array([[0.002, 0.0003], [0.0003, 0.001]]), rng.uniform(0.001, 0.01, 6), rng.normal(0, 0.01, 6), rng.dirichlet(np.ones(6))
