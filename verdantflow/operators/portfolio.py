@@ -199,15 +199,14 @@ def round_robin(firms: DataFrame, caps: DataFrame, n: int, keep: DataFrame | Non
 
 
 def _project(v: np.ndarray, total: float, cap: float) -> np.ndarray:
-    """Nearest weights in [0, cap] that sum to ``total``."""
-    low, high = v.min() - cap, v.max()
-    for _ in range(60):
-        middle = (low + high) / 2
-        if np.clip(v - middle, 0, cap).sum() > total:
-            low = middle
-        else:
-            high = middle
-    return np.clip(v - (low + high) / 2, 0, cap)
+    """Nearest weights in [0, cap] that sum to ``total``: values less a shift, which is found on the line between two breakpoints."""
+    point = np.concatenate([v, v - cap])
+    order = np.argsort(-point, kind="stable")
+    point, slope = point[order], np.cumsum(np.where(order < len(v), 1.0, -1.0))
+    reached = np.concatenate([[0.0], np.cumsum(slope[:-1] * (point[:-1] - point[1:]))])
+    k = min(max(int(np.searchsorted(reached, total)) - 1, 0), len(point) - 2)
+    shift = point[k] - (total - reached[k]) / slope[k] if slope[k] > 0 else point[k + 1]
+    return np.clip(v - shift, 0, cap)
 
 
 def _optimal(mu, b, f, d, gamma, cost, w0, total, cap, z, g, floor, steps: int = 300) -> np.ndarray:
