@@ -71,7 +71,9 @@ def trade_side(change: Column, least: float = 0.005) -> Column:
 
 
 def new_capital(total: Column, tolerance_percent: Column, most: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(total * tolerance_percent / 100, most)), 2)
+    """Capital that may be added, in whole cents: halves are decided on decimals, not on their nearest binary values."""
+    share = total.cast("decimal(18,4)") * tolerance_percent.cast("decimal(9,4)") / 100
+    return F.round(F.greatest(F.lit(0).cast("decimal(18,2)"), F.least(share, most.cast("decimal(18,2)"))), 2).cast("double")
 
 
 def short_hash(*parts: Column) -> Column:

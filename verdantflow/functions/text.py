@@ -21,10 +21,32 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def term_trie(terms, between: str = "") -> str:
+    """A pattern for the longest of the terms at a place: letters branch as in a trie, so its cost doesn't grow with their number.
+
+    ``between`` is a pattern that may stand after each character.
+    """
+    root: dict = {}
+    for t in terms:
+        node = root
+        for c in t:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        longer = [re.escape(c) + between + pattern(node[c]) for c in sorted(node) if c]
+        if not longer:
+            return ""
+        one = longer[0] if len(longer) == 1 and "" not in node else f"(?:{'|'.join(longer)})"
+        return one + ("?" if "" in node else "")
+
+    return pattern(root) if root else "(?!)"
+
+
 def tokens(text: Column, stop=words.STOP_WORDS) -> Column:
     """Lower-case words of two letters or more (hyphens inside), stop words left out."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z\-]+"), 0)
-    return F.filter(found, lambda w: ~w.isin(*stop))
+    kept = f"(?!(?:{term_trie(stop)})(?![a-z-]))" if stop else ""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![a-z-])-*+({kept}[a-z][a-z-]+)"), 1)
 
 
 def hits(text: Column, terms) -> Column:
@@ -33,7 +55,7 @@ def hits(text: Column, terms) -> Column:
 
 
 def keyword_share(text: Column, terms) -> Column:
-    return bound(F.size(tokens(text)), lambda n: F.when(n > 0, hits(text, terms) / n).otherwise(0.0))
+    return F.coalesce(F.try_divide(hits(text, terms), F.size(tokens(text))), F.lit(0.0))
 
 
 def occurrences(text: Column, term: str) -> Column:

@@ -43,40 +43,37 @@ def term_hits(docs: DataFrame, terms=words.ENV_TERMS, risk=words.RISK_STEMS, sto
     A hit is clean if no word that begins with a risk stem lies within ``reach`` words of it, stop words not
     counted. A document without a hit, or without text, has one row with a null term. Nothing is shuffled.
 
-    Hits are marked in the text, so its words can be listed with the marks in them. A string with a letter for
-    each word (``r`` for a risk stem, ``w`` for others, none for stop words) and for each mark (``m``) then
-    tells for every hit which words are near.
+    Hits are marked in the text in one pass of a trie of terms, so that its words can be listed with the marks in
+    them. A string with a letter for each word (``R`` for a risk stem, ``W`` for others, none for stop words) and
+    each mark after its word then tells which hits have a risk word near: passes over strings, no work for each word.
     """
     opened, closed = "\x01", "\x02"
-    bare = F.translate(F.coalesce(text_col, F.lit("")), opened + closed, "  ")
-    longest = tx.alternation(sorted(terms, key=len, reverse=True), False)
-    marked = F.regexp_replace(bare, rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{longest})", f"{opened}$0{closed}")
-
-    def letters(token: Column) -> Column:
-        word = F.lower(F.translate(token, opened + closed, ""))
-        kind = F.when(word.isin(*stop), "").when(word.rlike(f"^(?:{tx.alternation(risk, False)})"), "r").otherwise("w")
-        return F.concat(kind, F.repeat(F.lit("m"), F.length(token) - F.length(F.replace(token, F.lit(opened), F.lit("")))))
-
-    def clean(each: Column) -> Column:
-        """For each hit in order: whether no risk stem is near. Marks follow their word."""
-        near = lambda risky, i: F.slice(risky, F.greatest(i + 1 - reach, F.lit(1)), i + 1 + reach - F.greatest(i + 1 - reach, F.lit(1)) + 1)
-        told = lambda risky: F.transform(each, lambda x, i: F.when(F.length(x) > 1, F.array_repeat(~F.exists(near(risky, i), lambda r: r), F.length(x) - 1)).otherwise(F.array().cast("array<boolean>")))
-        return F.flatten(tx.bound(F.transform(each, lambda x: F.startswith(x, F.lit("r"))), told))
-
-    def tally(n: Column, found: Column) -> Column:
-        own = lambda t: F.filter(found, lambda h: h["term"] == t)
-        some = F.transform(F.array_distinct(F.transform(found, lambda h: h["term"])), lambda t: F.struct(t.alias("term"), F.size(own(t)).cast("long").alias("hits"), F.size(F.filter(own(t), lambda h: F.coalesce(h["clean"], F.lit(True)))).cast("long").alias("clean_hits")))
-        return F.struct(n.cast("long").alias("n_words"), some.alias("terms"))
-
-    def counted(m: Column) -> Column:
-        tokens = F.regexp_extract_all(m, F.lit(rf"{opened}?[A-Za-z][A-Za-z0-9\-{opened}{closed}]*"), 0)
-        string = F.regexp_replace(F.array_join(F.transform(tokens, letters), ""), "^(m+)([rw])", "$2$1")  # no word before: the first one
-        names = F.transform(F.regexp_extract_all(m, F.lit(f"{opened}([^{closed}]*){closed}"), 1), lambda t: F.lower(t))
-        hits = lambda each: F.arrays_zip(names.alias("term"), clean(each).alias("clean"))
-        return tx.bound(F.regexp_extract_all(string, F.lit("[rw]m*"), 0), lambda each: tx.bound(hits(each), lambda found: tally(F.size(each), found)))
-
-    rows = docs.select(F.col(id_col).alias("id"), tx.bound(marked, counted).alias("counted"))
-    rows = rows.select("id", "counted.n_words", F.explode_outer("counted.terms").alias("t"))
+    inner, spaced = f"{closed}?", lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    bare = F.replace(F.replace(F.coalesce(text_col, F.lit("")), F.lit(opened), F.lit(" ")), F.lit(closed), F.lit(" "))
+    rows = docs.select(F.col(id_col).alias("id"), F.regexp_replace(bare, rf"(?i)(?<![\p{{L}}\p{{N}}_]){tx.term_trie(terms)}", f"{opened}$0{closed}").alias("marked"))
+    kinds = spaced(F.array_join(F.regexp_extract_all("marked", F.lit(rf"{opened}?[A-Za-z][A-Za-z0-9\-{opened}{closed}]*"), 0), " "))
+    # words that are plain, most of them, shrink to 0 first; a word begins with a letter, so no word is taken for it
+    told = "|".join([f"{tx.term_trie(stop)}(?= )"] * bool(stop) + [tx.term_trie(risk)] * bool(risk))
+    kinds = F.lower(F.regexp_replace(kinds, rf"(?i)(?<= )(?!{told or '(?!)'})[a-z][a-z0-9-]*+(?= )", "0"))
+    kinds = F.regexp_replace(kinds, rf"(?<= )({opened}?){tx.term_trie(stop, inner)}(?= )", "$1") if stop else kinds
+    kinds = F.regexp_replace(kinds, rf"(?<= )({opened}?)(?:{tx.term_trie(risk, inner)})", "$1R") if risk else kinds
+    kinds = F.regexp_replace(F.replace(kinds, F.lit(" 0"), F.lit(" W")), rf"(?<= )({opened}?)(?=[a-z])", "$1W")
+    kinds = F.translate(kinds, "abcdefghijklmnopqrstuvwxyz0123456789-" + closed, "")
+    kinds = F.translate(F.regexp_replace(kinds, rf"({opened})([WR])", "$2$1"), " ", "")
+    kinds = F.regexp_replace(kinds, rf"^({opened}+)([WR])", "$2$1")  # no word before: the first one
+    names = F.transform(F.regexp_extract_all("marked", F.lit(f"{opened}([^{closed}]*){closed}"), 1), lambda t: F.lower(t))
+    rows = rows.select("id", names.alias("names"), kinds.alias("kinds"))
+    # a word with hits is h, or H if it or one near it is a risk word
+    marked = F.regexp_replace(F.regexp_replace("kinds", rf"W(?={opened})", "h"), rf"R(?={opened})", "H")
+    rows = rows.select("id", "names", F.length(F.translate("kinds", opened, "")).cast("long").alias("n_words"), marked.alias("marked"))
+    near = F.regexp_replace(F.translate("marked", opened, ""), rf"(?<=[RH][WRhH]{{0,{reach - 1}}})h|h(?=[WRhH]{{0,{reach - 1}}}[RH])", "H")
+    rows = rows.select("id", "names", "n_words", F.regexp_extract_all("marked", F.lit(f"[hH]{opened}+"), 0).alias("words"), F.translate(near, "WR", "").alias("near"))
+    each = F.arrays_zip(F.col("words").alias("w"), F.split("near", "").alias("n"))
+    flags = F.flatten(F.transform(F.slice(each, F.lit(1), F.size("words")), lambda x: F.array_repeat(x["n"] == "h", F.length(x["w"]) - 1)))
+    rows = rows.select("id", "n_words", F.arrays_zip(F.col("names").alias("term"), flags.alias("clean")).alias("found"))
+    own = lambda t: F.filter("found", lambda h: h["term"] == t)
+    some = F.transform(F.array_distinct(F.transform("found", lambda h: h["term"])), lambda t: F.struct(t.alias("term"), F.size(own(t)).cast("long").alias("hits"), F.size(F.filter(own(t), lambda h: F.coalesce(h["clean"], F.lit(True)))).cast("long").alias("clean_hits")))
+    rows = rows.select("id", "n_words", F.explode_outer(some).alias("t"))
     return rows.select("id", "n_words", "t.term", *(F.coalesce(f"t.{c}", F.lit(0)).alias(c) for c in ("hits", "clean_hits")))
 
 

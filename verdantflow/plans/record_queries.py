@@ -112,7 +112,7 @@ def news_labels(spark, d):
 
 
 @query("""select c_custkey, case when c_custkey % 3 = 0 then 'CU' when c_custkey % 3 = 1 then 'TO' else upper(left(cast(c_custkey as varchar), 2)) end as initials, case when c_custkey % 2 = 0 then len(['a', 'b']) else 0 end as n_parts,
-    round(greatest(0, least(c_acctbal * 5 / 100, 100)), 2) as fresh, case when c_custkey % 3 < 2 then cast(c_custkey % 3 as integer) end as flag, case when c_custkey % 5 = 0 then 'New' when c_custkey % 5 = 1 then 'Buy more' when c_custkey % 5 = 2 then 'Sell all' when c_custkey % 5 = 3 then 'Kept, not modeled' else 'Hold' end as label from customer""")
+    cast(round(greatest(0, least(cast(c_acctbal as decimal(18,4)) * cast(0.05 as decimal(9,4)), 100)), 2) as double) as fresh, case when c_custkey % 3 < 2 then cast(c_custkey % 3 as integer) end as flag, case when c_custkey % 5 = 0 then 'New' when c_custkey % 5 = 1 then 'Buy more' when c_custkey % 5 = 2 then 'Sell all' when c_custkey % 5 = 3 then 'Kept, not modeled' else 'Hold' end as label from customer""")
 def small_labels(spark, d):
     c = bridge.table(spark, d, "customer")
     k = F.col("c_custkey")

@@ -401,6 +401,19 @@ def streamed_events(spark, d):
     return spark.read.schema(schema).parquet(f"{run}/out").select("event_id")
 
 
+@query("select event_id, case when event_id % 97 = 0 then 2 else 1 end as attempts from events")
+def retried_events(spark, d):
+    """All events through a stream; some fail at first and are taken from state when their pause is over."""
+    run, path = new_path(spark, "stream"), f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    failing = F.when((F.col("event_id") % 97 == 0) & (F.col("_came.attempts") < 2), "not there yet")
+    attempt = lambda b: b.withColumn("error", failing).withColumn("attempts", F.col("_came.attempts"))
+    query = incremental.ingest(incremental.landed(spark, path, schema), attempt, f"{run}/out", f"{run}/failed", f"{run}/checkpoint", "event_id", pause=0.0)
+    if not incremental.settle(query, 600):
+        raise TimeoutError("failed events still wait")
+    return spark.read.schema(f"event_id {schema['event_id'].dataType.simpleString()}, attempts int").parquet(f"{run}/out").select("event_id", "attempts")
+
+
 @query("select event_id from events where event_id % 7 <> 0")
 def new_events_of_a_stream(spark, d):
     """Each event once within the watermark, failures kept apart and left out."""
