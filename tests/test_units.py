@@ -395,3 +395,31 @@ def test_stream_skips_what_it_saw_and_keeps_failures_apart(spark, tmp_path):
     assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["a", "c"] and [r.url for r in spark.read.parquet(bad).collect()] == ["b"]
     docs = spark.createDataFrame([("a",), ("b",)], "accession string")
     assert [r.accession for r in incremental.outdated(docs, docs.limit(1).withColumn("version", F.lit("2")), "2").collect()] == ["b"]
+
+
+def test_order_statistics_by_counts_of_ranges(spark, tmp_path):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, 1.0, 1.0, 2.5, rng.random()]), i) for i in range(400)] + [("lone", 4.0, 1), ("none", None, 2)]
+    spark.createDataFrame(rows, "g string, x double, i int").repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    groups = {g: [x for k, x, _ in rows if k == g and x is not None] for g, *_ in rows}
+    for r in ranks.with_medians_filled(df, {"m": "x"}, "g").collect():
+        want = r.x if r.x is not None else statistics.median(groups[r.g]) if groups[r.g] else None
+        assert r.m == want or math.isclose(r.m, want)
+    quantile = {r.g: r.q for r in ranks.group_quantiles(df, {"q": ("x", 0.7)}, "g").collect()}
+    assert set(quantile) == {"a", "b", None, "lone"} and all(math.isclose(q, np.quantile(groups[g], 0.7)) for g, q in quantile.items())
+    assert math.isclose(ranks.group_quantiles(df, {"q": ("x", 0.3)}).first().q, np.quantile([x for v in groups.values() for x in v], 0.3))
+    sides = ranks.with_terciles(df, "side", "x", "i", "g").collect()
+    for g in groups:
+        own = sorted((r for r in sides if r.g == g), key=lambda r: (r.x is not None, r.x or 0, r.i))
+        assert [r.side for r in own] == ["green" if (k + 1) / len(own) > 2 / 3 else "brown" if (k + 1) / len(own) <= 1 / 3 else "mid" for k in range(len(own))]
+    z = ranks.with_z_scores(df, {"z": "x"}, "g").collect()
+    for r in z:
+        v = groups[r.g]
+        assert (r.z is None) if len(v) < 2 or r.x is None else math.isclose(r.z, (r.x - statistics.mean(v)) / statistics.stdev(v), abs_tol=1e-9)
+    alike = spark.createDataFrame([("a", 1)] * 700, "g string, x int").repartition(3)
+    alike.write.parquet(str(tmp_path / "alike"))
+    assert sorted(r.place for r in ranks.with_places(spark.read.parquet(str(tmp_path / "alike")), ["g"], ["x"]).collect()) == list(range(700))

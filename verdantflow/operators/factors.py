@@ -24,7 +24,8 @@ def gmb_sorted(panel: DataFrame, g: str = "g", weight: str = "vw", least: int =
     Value weights take a null cap as 0; a side whose caps add up to nothing gets its plain mean.
     """
     df = panel.filter(F.col(g).isNotNull() & F.col("ret").isNotNull())
-    df = df.withColumns({"side": ranks.tercile(F.col(g), "firm_id", "month"), "cap": F.coalesce("mktcap", F.lit(0.0))})
+    df = written(df.select("month", "firm_id", g, "ret", F.coalesce("mktcap", F.lit(0.0)).alias("cap")), "panel")
+    df = ranks.with_terciles(df, "side", g, "firm_id", "month")
 
     def side(name: str):
         own = F.col("side") == name
@@ -167,8 +168,9 @@ def excess_talk(df: DataFrame, regressors: tuple[str, ...] = ("log_intensity", "
     d = df.withColumns({"log_talk": F.log1p(talk), "log_intensity": F.log1p("intensity"), "log_words": F.when(F.col("n_words") > 0, F.ln(F.col("n_words")))})
     out, fit = fixed_effects(d, "log_talk", list(regressors), [industry, "year"], "firm_id", least)
     out = out.withColumns({"talk_expected": F.expm1("fitted"), "excess_talk": F.col("residual")})
-    out = out.withColumns({"excess_talk_z": ranks.z_score(F.col("excess_talk"), "year", industry), "excess_talker": (ranks.percent_rank(F.col("excess_talk"), "year") >= top).cast("int")})
-    return out.drop("log_talk", "log_words", "fitted", "residual"), fit
+    out = written(out.drop("log_talk", "log_words", "fitted", "residual"), "excess")
+    out = ranks.with_percent_ranks(ranks.with_z_scores(out, {"excess_talk_z": "excess_talk"}, "year", industry), {"excess_talker": "excess_talk"}, "year")
+    return out.withColumn("excess_talker", (F.col("excess_talker") >= top).cast("int")), fit
 
 
 def predictive_regression(firm_year: DataFrame, outcomes: DataFrame, outcome: str, pillars: tuple[str, ...] = ("walk", "talk"), controls: tuple[str, ...] = ("log_revenue",), industry: str = "sector", least: int = 20) -> DataFrame:

@@ -154,8 +154,8 @@ def validated_holdings(holdings: DataFrame, candidates: DataFrame) -> DataFrame:
 def anchors(candidates: DataFrame, risk: int, green: int) -> DataFrame:
     """``vol_target, g_floor, lam`` for risk and green preferences of 1 to 5; no floor at green 1."""
     share = GREEN_PERCENTILE.get(green)
-    floor = F.percentile("g", share) if share else F.lit(None).cast("double")
-    return candidates.agg(F.lit(RISK_VOLATILITY[risk]).alias("vol_target"), floor.alias("g_floor"), F.lit(GREEN_TILT[green]).alias("lam"))
+    floor = ranks.group_quantiles(candidates, {"g_floor": ("g", share)}) if share else candidates.agg(F.lit(None).cast("double").alias("g_floor"))
+    return floor.select(F.lit(RISK_VOLATILITY[risk]).alias("vol_target"), "g_floor", F.lit(GREEN_TILT[green]).alias("lam"))
 
 
 def compare_holdings(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def walk_pillars(walk: DataFrame, emissions: DataFrame, carbon: DataFrame, weigh
     for name, (column, per_revenue, better) in PILLARS.items():
         x = F.col(column) if column in there else F.lit(None).cast("double")
         df = df.withColumn(f"{name}_metric", numbers.ratio(x, F.col("revenue")) if per_revenue else x)
-        df = df.withColumn(f"pillar_{name}", ranks.percent_score(F.col(f"{name}_metric"), "year", "rank_group", higher_is_better=better))
+    df = ranks.with_scores(written(df, "pillars"), {f"pillar_{name}": (f"{name}_metric", better) for name, (_, _, better) in PILLARS.items()}, "year", "rank_group")
     pairs = [(F.col(f"pillar_{p}"), w) for p, w in weights.items()]
     reported = F.coalesce(F.col("scope3") > 0, F.lit(False)) if "scope3" in there else F.lit(False)
     return df.withColumns({"walk_multi": numbers.weighted_available_mean(pairs), "walk_n_pillars": numbers.present(*(c for c, _ in pairs)), "scope3_reported": reported}).drop("revenue")
@@ -91,7 +91,8 @@ def industry_weight(df: DataFrame, emissions: str = "level", industry: str = "in
 def scores_from_walk(walk: DataFrame, industry: str = "sector", provider: str = "walk_hard") -> DataFrame:
     """``firm_id, year, provider, e_score, e_weight``; revenue is level / intensity, else its group's median."""
     df = walk.filter(F.col("walk").isNotNull() & F.col(industry).isNotNull()).withColumn("industry_grp", F.col(industry))
-    df = df.withColumn("revenue", ranks.median_filled(numbers.ratio(F.col("level"), F.col("intensity")), "year", "industry_grp"))
+    df = written(df.withColumn("_revenue", numbers.ratio(F.col("level"), F.col("intensity"))), "revenue")
+    df = ranks.with_medians_filled(df, {"revenue": "_revenue"}, "year", "industry_grp")
     weight = industry_weight(df)
     return df.join(weight, ["year", "industry_grp"], "left").select(*FIRM_YEAR, F.lit(provider).alias("provider"), F.col("walk").alias("e_score"), "e_weight")
 
@@ -153,37 +154,31 @@ def greenwashing_table(talk: DataFrame, walk: DataFrame) -> DataFrame:
 def diagnostics(table: DataFrame) -> DataFrame:
     """For each year: rows, rank correlations of talk and of unfiltered talk with walk, and flag counts."""
 
-    def both(x: str) -> tuple[Column, Column]:
-        known = F.col(x).isNotNull() & F.col("walk").isNotNull()
-        return tuple(ranks.average_rank(F.when(known, F.col(c)), "year") for c in (x, "walk"))
-
-    pairs = {"talk": both("talk"), "talk_unfiltered": both("talk_unfiltered")}
-    df = table.withColumns({f"_{x}_{k}": c for x, p in pairs.items() for k, c in enumerate(p)})
+    pairs = ("talk", "talk_unfiltered")
+    known = {f"_{x}_{k}": F.when(F.col(x).isNotNull() & F.col("walk").isNotNull(), F.col(c)) for x in pairs for k, c in enumerate((x, "walk"))}
+    df = written(table.select("year", "greenwasher", "greenhusher", *(c.alias(n) for n, c in known.items())), "pairs")
+    df = ranks.with_ranks(df, {f"{n}_rank": n for n in known}, "year")
     return df.groupBy("year").agg(
-        F.count("*").alias("n"), *(F.corr(f"_{x}_0", f"_{x}_1").alias(f"spearman_{x}") for x in pairs), F.sum("greenwasher").alias("greenwashers"), F.sum("greenhusher").alias("greenhushers")
+        F.count("*").alias("n"), *(F.corr(f"_{x}_0_rank", f"_{x}_1_rank").alias(f"spearman_{x}") for x in pairs), F.sum("greenwasher").alias("greenwashers"), F.sum("greenhusher").alias("greenhushers")
     )
 
 
-def residual_within(y: Column, x: Column, *group: str) -> Column:
-    """Residual of the line of y on x in each group; null below three complete rows or without spread in x."""
-    w = Window.partitionBy(*group)
-    known = y.isNotNull() & x.isNotNull()
-    a, b = F.when(known, y), F.when(known, x)
-    slope, intercept = F.regr_slope(a, b).over(w), F.regr_intercept(a, b).over(w)
-    enough = (F.count(a).over(w) >= 3) & (F.stddev_samp(b).over(w) > 0)
-    return F.when(known & enough, y - (intercept + slope * x))
+def with_residual(df: DataFrame, name: str, y: str, x: str, *group: str) -> DataFrame:
+    """``df`` with the residual of the line of y on x in each group; null below three complete rows or without spread in x."""
+    known = F.col(y).isNotNull() & F.col(x).isNotNull()
+    a, b = F.when(known, F.col(y)), F.when(known, F.col(x))
+    lines = df.groupBy(*group).agg(F.regr_slope(a, b).alias("_slope"), F.regr_intercept(a, b).alias("_intercept"), ((F.count(a) >= 3) & (F.stddev_samp(b) > 0)).alias("_enough"))
+    found = ranks.join_back(df, lines, *group)
+    return found.withColumn(name, F.when(known & F.col("_enough"), F.col(y) - (F.col("_intercept") + F.col("_slope") * F.col(x)))).drop("_slope", "_intercept", "_enough")
 
 
 def gap_variants(firm_year: DataFrame, firms: DataFrame, industry: str = "sector", talk_cut: float = 0.8, walk_cut: float = 1 / 3) -> DataFrame:
     """Raw, standardised and residual gaps, ranks within the year, and the flag of high talk with low walk."""
-    df = with_firm(firm_year, firms, industry)
-    df = df.withColumns({"talk_z": ranks.z_score(F.col("talk"), "year", industry), "walk_z": ranks.z_score(F.col("walk"), "year", industry)})
-    df = df.withColumns(
-        {
-            "gap_raw": F.col("talk") - F.col("walk"), "gap_z": F.col("talk_z") - F.col("walk_z"), "gap_resid": residual_within(F.col("talk"), F.col("walk"), "year", industry),
-            "talk_rank": ranks.percent_rank(F.col("talk"), "year"), "walk_rank": ranks.percent_rank(F.col("walk"), "year"),
-        }
-    )
+    df = written(with_firm(firm_year, firms, industry), "gaps")
+    df = ranks.with_percent_ranks(df, {"talk_rank": "talk", "walk_rank": "walk"}, "year")
+    df = ranks.with_z_scores(df, {"talk_z": "talk", "walk_z": "walk"}, "year", industry)
+    df = with_residual(df, "gap_resid", "talk", "walk", "year", industry)
+    df = df.withColumns({"gap_raw": F.col("talk") - F.col("walk"), "gap_z": F.col("talk_z") - F.col("walk_z")})
     return df.withColumn("greenwasher", _flag((F.col("talk_rank") >= talk_cut) & (F.col("walk_rank") <= walk_cut)))
 
 
@@ -192,13 +187,14 @@ def combine_talk(dictionary: DataFrame, model: DataFrame | None, firms: DataFram
     extra = [c for c in ("claim_per_1000", "risk_context_share") if c in dictionary.columns]
     d = dictionary.select(*FIRM_YEAR, F.col("talk").alias("talk_dict"), *extra)
     m = model.select(*FIRM_YEAR, F.col("talk").alias("talk_llm")) if model is not None else d.select(*FIRM_YEAR, F.lit(None).cast("double").alias("talk_llm")).limit(0)
-    df = with_firm(d.join(m, FIRM_YEAR, "full"), firms, industry).withColumn("rank_group", ranks.pooled_group(F.col(industry), min_group, "year"))
-    df = df.withColumns({"talk_dict_z": ranks.z_score(F.col("talk_dict"), "year", "rank_group"), "talk_llm_z": ranks.z_score(F.col("talk_llm"), "year")})
+    df = written(with_firm(d.join(m, FIRM_YEAR, "full"), firms, industry), "talk")
+    df = written(ranks.with_pooled_group(df, "rank_group", industry, min_group, "year"), "talk")
+    df = ranks.with_z_scores(ranks.with_z_scores(df, {"talk_dict_z": "talk_dict"}, "year", "rank_group"), {"talk_llm_z": "talk_llm"}, "year")
     z = [(F.col("talk_dict_z"), 1.0), (F.col("talk_llm_z"), 1.0)]
     has_d, has_m = (c.isNotNull() for c, _ in z)
     source = F.when(has_d & has_m, "both").when(has_d, "dict").when(has_m, "llm").otherwise("none")
     df = df.withColumns({"talk_combined_z": numbers.weighted_available_mean(z), "n_sources": numbers.present(*(c for c, _ in z)), "talk_source": source})
-    return df.withColumn("talk_combined", ranks.percent_score(F.col("talk_combined_z"), "year", "rank_group"))
+    return ranks.with_scores(written(df, "combined"), {"talk_combined": ("talk_combined_z", True)}, "year", "rank_group")
 
 
 def greenwashing_variants(combined: DataFrame, walk: DataFrame, industry: str = "sector") -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdantflow.functions import numbers, ranks
 from verdantflow.operators import scores
 from verdantflow.plans import bridge
+from verdantflow.shared import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,9 +116,8 @@ def greenness_by_sector(spark, d):
 @query(with_ctes("select year, sector, round(e_weight, 6) as e_weight from weight", GREEN_CTES))
 def industry_weights(spark, d):
     w = walk(spark, d).filter("walk is not null and sector is not null")
-    from verdantflow.functions import numbers, ranks
-
-    w = w.withColumn("revenue", ranks.median_filled(numbers.ratio(F.col("level"), F.col("intensity")), "year", "sector"))
+    w = written(w.withColumn("_revenue", numbers.ratio(F.col("level"), F.col("intensity"))), "revenue")
+    w = ranks.with_medians_filled(w, {"revenue": "_revenue"}, "year", "sector")
     return rounded(scores.industry_weight(w, industry="sector"))
 
 

@@ -10,7 +10,7 @@ from verdantflow.plans import bridge, text_sql
 from verdantflow.plans.score_queries import carbon, green, paired_walk, rounded, sql_rank, talk
 from verdantflow.plans.score_queries import GREEN_CTES, WASH_CTES, all_sql, with_ctes
 from verdantflow.quality import rules
-from verdantflow.shared import new_path
+from verdantflow.shared import new_path, written
 from verdantflow.sources import tables
 from verdantflow.streaming import incremental
 
@@ -444,4 +444,6 @@ def codes_and_hashes(spark, d):
 
 @query(bridge.sql(f"select firm_id, month, round({sql_rank('ret', 'month')} / count(ret) over (partition by month), 6) as pct, case when row_number() over (partition by month order by ret, firm_id) / count(*) over (partition by month)::double > 2 / 3::double then 'green' when row_number() over (partition by month order by ret, firm_id) / count(*) over (partition by month)::double <= 1 / 3::double then 'brown' else 'mid' end as side from prices", "prices"))
 def percentile_ranks(spark, d):
-    return bridge.prices(spark, d).select("firm_id", "month", F.round(ranks.percent_rank(F.col("ret"), "month"), 6).alias("pct"), ranks.tercile(F.col("ret"), "firm_id", "month").alias("side"))
+    p = written(bridge.prices(spark, d).select("firm_id", "month", "ret"), "returns")
+    p = ranks.with_terciles(ranks.with_percent_ranks(p, {"pct": "ret"}, "month").transform(lambda x: written(x, "ranked")), "side", "ret", "firm_id", "month")
+    return p.select("firm_id", "month", F.round("pct", 6).alias("pct"), "side")
