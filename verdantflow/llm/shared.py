@@ -23,8 +23,8 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about ``most`` bytes of text (one row at least), so that work arrays stay small."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``most`` bytes of text (one row at least) and at most ``rows`` rows, so that work arrays stay small."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -33,7 +33,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(at, to - at)
             at = to
     release()

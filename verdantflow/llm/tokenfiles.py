@@ -52,14 +52,17 @@ def _checksums(batches) -> Iterator[pa.RecordBatch]:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 64 << 10, page_rows: int = 1000) -> None:
     """Encode whole texts, append ``end_id`` and write them in order of the id, nulls first.
 
-    Null and empty texts have the end id only. Repeated ids are written next to each other, each in full.
+    Null and empty texts have the end id only. Repeated ids are written next to each other, each in full, and may
+    take several files, also where their texts are equal; rows alike in both are interchangeable. ``docs`` should be
+    a table, whose rows a lost task reads again in the same order.
     ``encoding``: ``dictionary``, or ``delta`` (delta binary packed ids).
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding: {encoding}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    salt = F.xxhash64("text")  # parts a null id, or one that repeats, over files
-    ordered = rows.withColumn("salt", salt).repartitionByRange("id", "salt").sortWithinPartitions("id", "salt").select("id", "text")
+    # parts a null id, or one that repeats, over files; a row's number does so for equal texts
+    salted = rows.withColumns({"salt": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = salted.repartitionByRange("id", "salt", "row").sortWithinPartitions("id", "salt", "row").select("id", "text")
     options = {
         "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "compression": "zstd",
         "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "PARQUET_2_0" if encoding == "delta" else "PARQUET_1_0", "maxRecordsPerFile": 0,
