@@ -47,9 +47,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near-duplicates; of rows that repeat an id, one.
+    """The document with the smallest id of each class of near-duplicates; of rows that repeat an id and its text, one.
 
-    Documents with a null id are kept: nothing tells which of them would stay.
+    Different texts that share the smallest id of a class all stay, as an id alone can't tell them apart; so do
+    documents with a null id: nothing tells which of them would stay.
     """
     joined = written(jaccard.ngram_jaccard_join(docs).select("id", "component"), "classes")
     others = _few(joined.filter("id != component").select(F.col("id").alias("doc_id")).distinct())
@@ -58,7 +59,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = written(repeated, "repeated")
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    digest = _unused(docs, "digest")
+    once = kept.join(repeated, "doc_id", "left_semi").withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", digest])
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
