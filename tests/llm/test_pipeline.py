@@ -59,3 +59,12 @@ def test_stages_take_effect(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_different_texts_of_one_id_are_kept(spark, tmp_path):
+    one, other, far = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "some other words that stand quite alone here")
+    rows = [(1, one, "en"), (1, other, "en"), (1, one, "en"), (2, one, "en"), (3, far, "en"), (4, far, "en"), (None, far, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    got = cp.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, one), (1, other), (3, far), (0, far)])
