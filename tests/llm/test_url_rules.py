@@ -74,3 +74,22 @@ def test_long_urls_and_clashing_names(spark):
     labels = spark.createDataFrame([(i, i < 120) for i in range(240)] + [(None, True), (1, None)], "id long, blocked boolean")
     got = {r.id: r.verdict for r in urls.filter_urls(pages, labels, []).collect()}
     assert got == {i: "block" if i < 120 else "allow" for i in range(len(urls_))}
+
+
+def test_a_pair_among_many_tokens_keeps_all_its_rows(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        bad = i < 158
+        own = ["left", "right"] if bad else [rng.choice(["left", "right", "none"])]
+        noise = [f"n{k}" for k in rng.sample(range(40), 9)] + [f"p{i}", f"common{i % 2}"]
+        rows.append((own + noise, bad or rng.random() < 0.1))
+    rules = urls.mine_rules(spark.createDataFrame(rows, "items array<string>, blocked boolean"), 0.002, 0.8).collect()
+    pair = [r for r in rules if sorted(x for g in r.tokens for x in g) == ["left", "right"]]
+    assert len(pair) == 1 and (pair[0].rows, pair[0].hits) == (158, 158)
+
+
+def test_no_pages_and_no_labels(spark):
+    pages = spark.createDataFrame([], "page_id long, url string")
+    labels = spark.createDataFrame([], "id long, blocked boolean")
+    assert urls.filter_urls(pages, labels, []).count() == 0

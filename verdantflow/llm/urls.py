@@ -13,15 +13,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdantflow.llm.components import join_counted
 from verdantflow.llm.shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "label=block"
-BROADCAST_RULES = 20_000
+BROADCAST_RULES = 8 << 20  # bytes of tokens
 BROADCAST_URLS = 200_000
 LEAST = 20
 RISK = 0.01
-MOST_TOKENS = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -66,19 +66,22 @@ def _tail(hits: Column, rows: Column, base: float) -> Column:
     return F.when(share <= base, F.lit(0.0)).otherwise(-rows * (share * F.log(share / base) + missed))
 
 
-def mine_rules(transactions: DataFrame, support: float, confidence: float, least: int = LEAST, risk: float = RISK, most_tokens: int = MOST_TOKENS) -> DataFrame:
+def mine_rules(transactions: DataFrame, support: float, confidence: float, least: int = LEAST, risk: float = RISK) -> DataFrame:
     """Rules tokens -> block from ``items array, blocked boolean``: ``key, tokens, confidence, support, rows, hits``.
 
     ``tokens`` is an array of groups; a URL matches if it has a token of each group. Tokens that are in just the
     same transactions form one group and are mined as one, so a frequent long URL has few combinations. ``key``
     holds the tokens of the rarest group. A rule has at least ``least`` blocked transactions and a share
     ``support`` of all, a ``confidence``, and a chance of at most ``risk`` that any of the combinations tried
-    would seem so without a relation. A token in more than 90 % of the transactions says nothing and is left out.
-
-    Rules have any number of groups. Transactions of more than ``most_tokens`` groups keep those that tell most
-    by themselves, as all subsets of a transaction can be frequent: a bound on memory, with no exact way beyond
-    it. Rules that contain a shorter rule of no less confidence are pruned. Without transactions, or with all or
-    none of them blocked, there are no rules.
+    would seem so without a relation (half of it for single groups, half for longer ones). A token in more than
+    90 % of the transactions says nothing and is left out.
+
+    Rules have any number of groups, and all groups of a transaction take part. FP-growth builds combinations of
+    blocked transactions alone, as a rule rests on them, and not of groups that are a rule without exception by
+    themselves, as no longer rule can say more; in how many of all transactions a combination is, the index by its
+    rarest group counts. Time grows with the number of combinations that ``least`` blocked transactions share.
+    Rules that contain a shorter rule of no less confidence are pruned. Without transactions, or with all or none
+    of them blocked, there are no rules.
     """
     spark = transactions.sparkSession
     none = "key array<string>, tokens array<array<string>>, confidence double, support double, rows long, hits long"
@@ -92,20 +95,29 @@ def mine_rules(transactions: DataFrame, support: float, confidence: float, least
     item = flat.groupBy("item").agg(F.count("*").alias("rows"), F.count_if("blocked").alias("hits"), *where)
     item = item.filter((F.col("rows") <= 0.9 * total) & (F.col("hits") >= least))
     groups = item.groupBy("rows", "hits", "where0", "where1").agg(F.array_sort(F.collect_list("item")).alias("group"))
-    groups = written(groups.select(F.element_at("group", 1).alias("item"), "group", "rows", _tail(F.col("hits"), F.col("rows"), base).alias("tail")), "groups")
-    useful = flat.join(groups.select("item", "rows", "tail"), "item").groupBy("row", "blocked").agg(F.array_sort(F.collect_list(F.struct("tail", "rows", "item"))).alias("items"))
-    baskets = useful.select("blocked", F.transform(F.slice("items", 1, most_tokens), lambda x: x["item"]).alias("items"))
-    baskets = written(baskets.select(F.when(F.col("blocked"), F.array_append("items", BLOCK)).otherwise(F.col("items")).alias("items")), "baskets")
-    known = baskets.count()
-    if not known:
-        return spark.createDataFrame([], none)
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / known, minConfidence=confidence).fit(baskets)
-    sets = written(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
-    met = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("tokens"), F.col("freq").alias("hits"))
-    tried = met.count()
-    rules = met.join(sets.select(F.col("items").alias("tokens"), F.col("freq").alias("rows")), "tokens").withColumn("confidence", F.col("hits") / F.col("rows"))
-    sound = (F.col("confidence") >= confidence) & (_tail(F.col("hits"), F.col("rows"), base) <= math.log(risk) - math.log(max(tried, 1)))
-    sized = written(rules.filter(sound), "rules")
+    groups = written(groups.select(F.element_at("group", 1).alias("item"), "group", "rows", "hits"), "groups")
+
+    def sound(tried: int):
+        share = F.col("hits") / F.col("rows")
+        return (share >= confidence) & (_tail(F.col("hits"), F.col("rows"), base) <= math.log(risk / 2) - math.log(max(tried, 1)))
+
+    alone = sound(groups.count())
+    useful = join_counted(flat, groups.select("item", "rows", (alone & (F.col("hits") == F.col("rows"))).alias("certain")), ["item"], "rows")
+    baskets = written(useful.filter("not certain").groupBy("row", "blocked").agg(F.sort_array(F.collect_list("item")).alias("items")), "baskets")
+    single_rules = groups.filter(alone).select(F.array("item").alias("tokens"), "hits", "rows")
+    ours = baskets.filter("blocked").select("items")
+    known = ours.count()
+    if known:
+        found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / known).fit(ours).freqItemsets.filter(F.size("items") > 1)
+        sets = written(found.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits")), "itemsets")
+        tried = sets.count()
+        able = sets.filter(F.col("hits") * math.log(base) <= math.log(risk / 2) - math.log(max(tried, 1)))  # none of its rows may be allowed yet
+        rarest = able.select("tokens", "hits", F.explode("tokens").alias("item")).join(groups.select("item", F.col("rows").alias("often")), "item")
+        rarest = rarest.groupBy("tokens", "hits").agg(F.min_by("item", F.struct("often", "item")).alias("key"))
+        met = baskets.select("items", F.explode("items").alias("key")).join(rarest, "key").filter(F.size(F.array_except("tokens", "items")) == 0)
+        counted = met.groupBy("tokens", "hits").agg(F.count("*").alias("rows"))
+        single_rules = single_rules.unionByName(counted.filter(sound(tried)))
+    sized = written(single_rules.withColumn("confidence", F.col("hits") / F.col("rows")), "rules")
     single = F.transform("tokens", lambda x: F.array(x))
     fewer = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.filter("tokens", lambda x, j: j != i))
     inner = sized.select("tokens", "confidence", F.explode(F.array_distinct(F.concat(single, fewer))).alias("inner")).filter("inner != tokens")
@@ -127,12 +139,11 @@ def mine_rules(transactions: DataFrame, support: float, confidence: float, least
 
 
 def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Those of ``url, tokens`` whose tokens hold all tokens of a rule: ``url``, distinct. The index has a list of rules for each token of a key."""
-    index = written(rules.select(F.explode("key").alias("key"), "tokens").groupBy("key").agg(F.collect_set("tokens").alias("rules")), "index")
-    index = F.broadcast(index) if index.count() <= BROADCAST_RULES else index
-    met = urls.select("url", "tokens", F.explode("tokens").alias("key")).join(index, "key")
-    fits = F.exists("rules", lambda r: F.forall(r, lambda group: F.arrays_overlap(group, F.col("tokens"))))
-    return met.filter(fits).select("url").distinct()
+    """Those of ``url, tokens`` whose tokens hold all tokens of a rule: ``url``, distinct. The index has a row for each token of a rule's key; it is broadcast if its bytes are few."""
+    index = written(rules.select(F.explode("key").alias("key"), F.col("tokens").alias("rule")), "index")
+    size = index.agg(F.sum(F.octet_length(F.to_json("rule")) + F.octet_length("key"))).first()[0] or 0
+    met = urls.select("url", "tokens", F.explode("tokens").alias("key")).join(F.broadcast(index) if size <= BROADCAST_RULES else index, "key")
+    return met.filter(F.forall("rule", lambda group: F.arrays_overlap(group, F.col("tokens")))).select("url").distinct()
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], support: float = 0.002, confidence: float = 0.8, least: int = LEAST, risk: float = RISK, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
