@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from verdantflow import schema
 from verdantflow.functions import numbers, ranks, text
-from verdantflow.operators import documents, factors, panel, portfolio, scores, selection
+from verdantflow.operators import documents, factors, panel, portfolio, solver, scores, selection
 from verdantflow.quality import rules
 from verdantflow.sources import tables
 from verdantflow.streaming import incremental
@@ -214,8 +214,10 @@ def test_panel_returns_turnover_and_cost(spark):
 
 def test_rebalancing_meets_constraints_and_the_analytic_optimum(spark):
     mu = np.array([0.02, 0.01, 0.0])
-    w = portfolio._optimal(mu, np.zeros((3, 1)), np.eye(1), np.full(3, 0.25), 1.0, 0.0, np.zeros(3), 1.0, 1.0, 0.0, np.zeros(3), None, 2000)
-    assert np.allclose(w, 1 / 3 + (mu - mu.mean()) / 0.25, atol=1e-5)
+    market = solver.Market(mu, np.zeros((3, 1)), np.eye(1), np.full(3, 0.25), np.zeros(3))
+    alone = solver.Accounts(np.zeros((1, 3)), np.ones(1), np.ones(1), np.full(1, -np.inf), 0.0)
+    w, gap = solver.solve(market, alone, np.ones(1))
+    assert np.allclose(w[0], 1 / 3 + (mu - mu.mean()) / 0.25, atol=1e-9) and abs(gap[0]) < 1e-12
     rng = np.random.default_rng(6)
     ids = [f"F{i}" for i in range(30)]
     model = {
@@ -224,7 +226,7 @@ def test_rebalancing_meets_constraints_and_the_analytic_optimum(spark):
     }
     books = spark.createDataFrame([(k, f"F{i}", float(10 + i)) for k in range(3) for i in range(k, 12)], "portfolio_id int, firm_id string, capital double")
     out = portfolio.rebalance(books, model, 0.16, cap=0.1, g_floor=20.0).toPandas()
-    assert set(out["sleeve"]) == {"modeled"}
+    assert set(out["sleeve"]) == {"modeled"} and out["gap"].abs().max() < 1e-6
     for _, own in out.groupby("portfolio_id"):
         assert abs(own["w"].sum() - 1) < 1e-6 and own["w"].max() <= 0.1 + 1e-6 and own["w"].min() >= -1e-9
         assert (own["w"] * own["firm_id"].str[1:].astype(float)).sum() >= 20 - 0.05

@@ -128,39 +128,59 @@ def fama_macbeth(df: DataFrame, y: str, x: list[str], period: str = "year", leas
     return out
 
 
-def fixed_effects(df: DataFrame, y: str, x: list[str], effect: list[str], cluster: str, least: int = 20) -> tuple[DataFrame, dict]:
-    """Least squares of y on x with effects for each group of ``effect``, errors clustered.
-
-    The rows are written once, as they are used several times; means of the effects are aggregated and joined
-    back, so no group is gathered. The only numbers that reach the driver are the sums
-    of a system of len(x) unknowns and of its clustered scores. Returns the rows with ``fitted`` and
-    ``residual``, and a fit: coef, t, p by name, n, clusters, r2 and r2_effects. ValueError below ``least``
-    complete rows.
+def panel_fits(table: DataFrame, outcomes: list[str], x: list[str], effect: list[str], cluster: str, least: int = 20) -> tuple[DataFrame, list[dict]]:
+    """Least squares of each outcome on x over its own complete rows, with effects for each group of ``effect``, errors clustered.
+
+    All outcomes share the passes: means of the effects, then cross products of each cluster (a row a cluster, in
+    a table), whose sums give the coefficients. Scores of a cluster follow from its cross products and the
+    coefficients, so residuals aren't computed for errors. Only systems of len(x) unknowns reach the driver.
+    Returns the rows with columns ``_d{i}_{j}``: outcome i (j = 0) and x less the means of their group, null where
+    a row isn't complete; and a fit for each outcome: beta, coef, t, p by name, n, clusters, r2 and r2_effects.
+    ``table`` has to be a table; ValueError if an outcome has fewer than ``least`` complete rows.
     """
-    df = df.filter(" and ".join(f"{c} is not null" for c in [y, *x, *effect]))
-    df, k = written(df, "effects"), len(x)
-    means = df.groupBy(*effect).agg(*(F.avg(c).alias(f"_mean_{c}") for c in [y, *x]))
-    demeaned = df.join(means, effect).withColumns({f"_{c}": F.col(c) - F.col(f"_mean_{c}") for c in [y, *x]}).select(*df.columns, *(f"_{c}" for c in [y, *x]))
-    sums = demeaned.agg(
-        *(F.sum(F.col(f"_{a}") * F.col(f"_{b}")).alias(f"{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x)), *(F.sum(F.col(f"_{a}") * F.col(f"_{y}")).alias(f"y_{i}") for i, a in enumerate(x)),
-        F.sum(F.col(f"_{y}") ** 2).alias("within"), (F.var_pop(y) * F.count("*")).alias("total"), F.count("*").alias("n"), F.count_distinct(*effect).alias("groups"), F.count_distinct(cluster).alias("clusters"),
-    ).first()
-    n = sums["n"]
-    if n < least:
-        raise ValueError(f"{n} complete rows; {least} are needed")
-    bread = np.linalg.pinv(np.array([[sums[f"{i}_{j}"] for j in range(k)] for i in range(k)]))
-    beta = bread @ np.array([sums[f"y_{i}"] for i in range(k)])
-    within = sum((F.col(f"_{c}") * float(b) for c, b in zip(x, beta)), F.lit(0.0))
-    out = demeaned.withColumn("residual", F.col(f"_{y}") - within).withColumn("fitted", F.col(y) - F.col("residual")).drop(*(f"_{c}" for c in [y, *x]))
-    score = demeaned.withColumn("e", F.col(f"_{y}") - within).groupBy(cluster).agg(*(F.sum(F.col(f"_{c}") * F.col("e")).alias(f"s{i}") for i, c in enumerate(x)), F.sum(F.col("e") ** 2).alias("ssr"))
-    meat = score.agg(*(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"{i}_{j}") for i in range(k) for j in range(k)), F.sum("ssr").alias("ssr")).first()
-    unknowns = k + sums["groups"]
-    g = sums["clusters"]
-    factor = g / (g - 1) * (n - 1) / (n - unknowns) if g > 1 and n > unknowns else float("nan")
-    cov = factor * bread @ np.array([[meat[f"{i}_{j}"] for j in range(k)] for i in range(k)]) @ bread
-    t = beta / np.sqrt(np.diag(cov))
-    fit = {name: {"coef": float(b), "t": float(v), "p": math.erfc(abs(v) / math.sqrt(2))} for name, b, v in zip(x, beta, t)}
-    return out, {"vars": fit, "n": n, "clusters": g, "r2": 1 - meat["ssr"] / sums["total"], "r2_effects": 1 - sums["within"] / sums["total"]}
+    k, size = len(x), range(len(x) + 1)
+    table = table.filter(" and ".join(f"{c} is not null" for c in effect))
+    known = [F.expr(" and ".join(f"`{c}` is not null" for c in [y, *x])) for y in outcomes]
+    value = lambda i, j: F.when(known[i], F.col([outcomes[i], *x][j]).cast("double"))
+    every = [(i, j) for i in range(len(outcomes)) for j in size]
+    means = table.groupBy(*effect).agg(*(F.avg(value(i, j)).alias(f"_m{i}_{j}") for i, j in every), *(F.count_if(c).alias(f"_n{i}") for i, c in enumerate(known)))
+    means = written(means, "means")
+    rows = table.join(means, effect).withColumns({f"_d{i}_{j}": value(i, j) - F.col(f"_m{i}_{j}") for i, j in every}).drop(*(c for c in means.columns if c.startswith("_")))
+    products = [(i, a, b) for i in range(len(outcomes)) for a in size for b in size if a <= b]
+    clusters = rows.groupBy(cluster).agg(*(F.coalesce(F.sum(F.col(f"_d{i}_{a}") * F.col(f"_d{i}_{b}")), F.lit(0.0)).alias(f"p{i}_{a}_{b}") for i, a, b in products), *(F.count(f"_d{i}_0").alias(f"n{i}") for i in range(len(outcomes))))
+    clusters = written(clusters, "clusters")
+    total = clusters.agg(*(F.sum(f"p{i}_{a}_{b}").alias(f"p{i}_{a}_{b}") for i, a, b in products), *(f.alias(f"{n}{i}") for i in range(len(outcomes)) for n, f in (("n", F.sum(f"n{i}")), ("g", F.count_if((F.col(f"n{i}") > 0) & F.col(cluster).isNotNull()))))).first()
+    spread = table.agg(*(F.coalesce(F.var_pop(value(i, 0)) * F.count(value(i, 0)), F.lit(0.0)).alias(f"v{i}") for i in range(len(outcomes)))).first()
+    groups = means.agg(*(F.count_if(F.col(f"_n{i}") > 0).alias(f"e{i}") for i in range(len(outcomes)))).first()
+    at = lambda i, a, b: f"p{i}_{min(a, b)}_{max(a, b)}"
+    breads, betas, scores = [], [], []
+    for i, y in enumerate(outcomes):
+        if (total[f"n{i}"] or 0) < least:
+            raise ValueError(f"{total[f'n{i}'] or 0} complete rows of {y}; {least} are needed")
+        breads.append(np.linalg.pinv(np.array([[total[at(i, a, b)] for b in range(1, k + 1)] for a in range(1, k + 1)])))
+        betas.append(breads[-1] @ np.array([total[at(i, 0, a)] for a in range(1, k + 1)]))
+        scores.append([F.col(at(i, 0, a)) - sum((F.col(at(i, a, b)) * float(betas[-1][b - 1]) for b in range(1, k + 1)), F.lit(0.0)) for a in range(1, k + 1)])
+    meats = clusters.agg(*(F.sum(own[a] * own[b]).alias(f"{i}_{a}_{b}") for i, own in enumerate(scores) for a in range(k) for b in range(k))).first()
+    fits = []
+    for i, (bread, beta) in enumerate(zip(breads, betas)):
+        n, g, unknowns = total[f"n{i}"], total[f"g{i}"], k + groups[f"e{i}"]
+        factor = g / (g - 1) * (n - 1) / (n - unknowns) if g > 1 and n > unknowns else float("nan")
+        cov = factor * bread @ np.array([[meats[f"{i}_{a}_{b}"] for b in range(k)] for a in range(k)]) @ bread
+        t = beta / np.sqrt(np.diag(cov))
+        within = total[at(i, 0, 0)]
+        ssr = within - sum(float(v) * total[at(i, 0, a + 1)] for a, v in enumerate(beta))
+        told = {name: {"coef": float(v), "t": float(w), "p": math.erfc(abs(w) / math.sqrt(2))} for name, v, w in zip(x, beta, t)}
+        fits.append({"beta": beta, "vars": told, "n": n, "clusters": g, "r2": 1 - ssr / spread[f"v{i}"] if spread[f"v{i}"] else float("nan"), "r2_effects": 1 - within / spread[f"v{i}"] if spread[f"v{i}"] else float("nan")})
+    return rows, fits
+
+
+def fixed_effects(df: DataFrame, y: str, x: list[str], effect: list[str], cluster: str, least: int = 20) -> tuple[DataFrame, dict]:
+    """Complete rows with ``fitted`` and ``residual`` of least squares of y on x with effects, and the fit (see :func:`panel_fits`)."""
+    df = written(df.filter(" and ".join(f"{c} is not null" for c in [y, *x, *effect])), "effects")
+    rows, (fit,) = panel_fits(df, [y], x, effect, cluster, least)
+    within = sum((F.col(f"_d0_{j}") * float(v) for j, v in enumerate(fit.pop("beta"), 1)), F.lit(0.0))
+    rows = rows.withColumn("residual", F.col("_d0_0") - within).withColumn("fitted", F.col(y) - F.col("residual"))
+    return rows.drop(*(f"_d0_{j}" for j in range(len(x) + 1))), fit
 
 
 def excess_talk(df: DataFrame, regressors: tuple[str, ...] = ("log_intensity", "d_log_intensity", "log_words"), talk: str = "claim_per_1000", industry: str = "sector", top: float = 0.8, least: int = 30) -> tuple[DataFrame, dict]:
@@ -173,18 +193,18 @@ def excess_talk(df: DataFrame, regressors: tuple[str, ...] = ("log_intensity", "
     return out.withColumn("excess_talker", (F.col("excess_talker") >= top).cast("int")), fit
 
 
-def predictive_regression(firm_year: DataFrame, outcomes: DataFrame, outcome: str, pillars: tuple[str, ...] = ("walk", "talk"), controls: tuple[str, ...] = ("log_revenue",), industry: str = "sector", least: int = 20) -> DataFrame:
-    """``outcome, var, coef, t, p, n`` of an outcome on the pillars, with industry-year effects and firm clusters."""
+def predictive_regression(firm_year: DataFrame, outcomes: DataFrame, outcome: str | list[str], pillars: tuple[str, ...] = ("walk", "talk"), controls: tuple[str, ...] = ("log_revenue",), industry: str = "sector", least: int = 20) -> DataFrame:
+    """``outcome, var, coef, t, p, n`` of one or more outcomes on the pillars, with industry-year effects and firm clusters; the panel is joined and read once."""
+    names, x, effect = [outcome] if isinstance(outcome, str) else list(outcome), [*pillars, *controls], [industry, "year"]
     df = firm_year.join(outcomes.drop(*(c for c in outcomes.columns if c in firm_year.columns and c not in ("firm_id", "year"))), ["firm_id", "year"])
-    _, fit = fixed_effects(df, outcome, [*pillars, *controls], [industry, "year"], "firm_id", least)
-    rows = [(outcome, v, s["coef"], s["t"], s["p"], fit["n"]) for v, s in fit["vars"].items()]
+    _, fits = panel_fits(written(df.select("firm_id", *effect, *x, *names), "panel"), names, x, effect, "firm_id", least)
+    rows = [(y, v, s["coef"], s["t"], s["p"], fit["n"]) for y, fit in zip(names, fits) for v, s in fit["vars"].items()]
     return df.sparkSession.createDataFrame(rows, "outcome string, var string, coef double, t double, p double, n long")
 
 
 def validation_table(firm_year: DataFrame, outcomes: DataFrame, industry: str = "sector") -> DataFrame:
     """Both emission outcomes, stacked."""
-    a, b = (predictive_regression(firm_year, outcomes, o, industry=industry) for o in ("d_log_scope1_next", "d_log_intensity_next"))
-    return a.unionByName(b)
+    return predictive_regression(firm_year, outcomes, ["d_log_scope1_next", "d_log_intensity_next"], industry=industry)
 
 
 def _alpha(frame: pd.DataFrame, names: list[str], lags: int) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,9 +13,12 @@ from pyspark.sql.window import Window
 from verdantflow.functions import numbers, ranks
 from verdantflow.functions import text as tx
 from verdantflow.functions.dictionaries import GREEN_PERCENTILE, GREEN_TILT, RISK_VOLATILITY
+from verdantflow.operators import solver
+from verdantflow.shared import written
 
 HELD = 1e-4
 MOST_CANDIDATES = 5000
+ACCOUNTS_TOGETHER = 64
 
 
 def capped_weights(df: DataFrame, weight: str, cap: float, *group: str) -> DataFrame:
@@ -198,50 +203,6 @@ def round_robin(firms: DataFrame, caps: DataFrame, n: int, keep: DataFrame | Non
     return picked if keep is None else picked.unionByName(keep.select("firm_id").distinct().join(picked, "firm_id", "left_anti"))
 
 
-def _project(v: np.ndarray, total: float, cap: float) -> np.ndarray:
-    """Nearest weights in [0, cap] that sum to ``total``: values less a shift, which is found on the line between two breakpoints."""
-    point = np.concatenate([v, v - cap])
-    order = np.argsort(-point, kind="stable")
-    point, slope = point[order], np.cumsum(np.where(order < len(v), 1.0, -1.0))
-    reached = np.concatenate([[0.0], np.cumsum(slope[:-1] * (point[:-1] - point[1:]))])
-    k = min(max(int(np.searchsorted(reached, total)) - 1, 0), len(point) - 2)
-    shift = point[k] - (total - reached[k]) / slope[k] if slope[k] > 0 else point[k + 1]
-    return np.clip(v - shift, 0, cap)
-
-
-def _optimal(mu, b, f, d, gamma, cost, w0, total, cap, z, g, floor, steps: int = 300) -> np.ndarray:
-    """Weights by accelerated proximal steps in factor form; a floor on mean g is held by a multiplier."""
-    size = np.linalg.norm(b @ f @ b.T, 2) if len(b) < 200 else np.linalg.norm(f, 2) * np.linalg.norm(b, 2) ** 2
-    rate = 1 / (gamma * (size + d.max()) + 1e-9)
-    multiplier, reach = 0.0, 1.0
-
-    def solve(lift: float) -> np.ndarray:
-        x = y = _project(w0, total, cap)
-        t = 1.0
-        for _ in range(steps):
-            gradient = mu + z + lift * g - gamma * (b @ (f @ (b.T @ y)) + d * y)
-            v = y + rate * gradient
-            v = w0 + np.sign(v - w0) * np.maximum(np.abs(v - w0) - rate * cost, 0)
-            new = _project(v, total, cap)
-            if np.abs(new - x).max() < 1e-9:
-                return new
-            s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            y, x, t = new + (t - 1) / s * (new - x), new, s
-        return x
-
-    w = solve(0.0)
-    if floor is None or g @ w >= floor * total - 1e-9:
-        return w
-    while g @ solve(reach) < floor * total and reach < 1e6:
-        reach *= 4
-    low = 0.0
-    for _ in range(30):
-        multiplier = (low + reach) / 2
-        w = solve(multiplier)
-        low, reach = (multiplier, reach) if g @ w < floor * total else (low, multiplier)
-    return solve(reach)
-
-
 def solver_model(firms: DataFrame, betas: DataFrame, factor_cov: DataFrame, most: int = MOST_CANDIDATES) -> dict[str, pd.DataFrame]:
     """The candidates of :func:`rebalance` on the driver: ``betas`` by firm, ``factor_cov``, and ``mu, idio_var, g`` by firm.
 
@@ -259,60 +220,56 @@ def solver_model(firms: DataFrame, betas: DataFrame, factor_cov: DataFrame, most
 
 
 def rebalance(accounts: DataFrame, model: dict[str, pd.DataFrame], vol_target: float, green_weight: float = 0.0, cost: float = 0.001, cap: float = 0.05, g_floor: float | None = None) -> DataFrame:
-    """Target weights of each account (``portfolio_id, firm_id, capital``): ``portfolio_id, firm_id, w_before, w, sleeve, ann_vol``.
+    """Target weights of each account (``portfolio_id, firm_id, capital``): ``portfolio_id, firm_id, w_before, w, sleeve, ann_vol, gap``.
 
     Maximises w'mu - gamma/2 w'Sw + lam w'z - cost |w - w0| with weights in [0, cap] and a mean g of at least
-    ``g_floor`` (or the greenest that the cap allows), gamma by bisection to the annual volatility target. Each
-    account is a task of its own over a book of holdings; the model (see :func:`solver_model`) is the set of
-    candidate firms and is broadcast. Holdings outside the candidates are a frozen sleeve: they keep their
-    weight, and the candidates' weights (sleeve ``modeled``) sum to what it leaves. An account without capital,
-    or all of it frozen, keeps its weights.
+    ``g_floor`` (or the greenest that the cap allows), gamma the least that meets the annual volatility target.
+    The accounts of an Arrow batch are solved together (see :mod:`solver`); ``gap`` bounds how far an account's
+    weights may be below the optimum for its gamma. The model (see :func:`solver_model`) is the set of candidate
+    firms and is broadcast; of an account only its holdings among them meet in a row. Holdings outside are a
+    frozen sleeve: they keep their weight, and the candidates' weights (sleeve ``modeled``) sum to what it
+    leaves. An account all frozen keeps its weights; one without capital has no rows.
     """
-    shared = accounts.sparkSession.sparkContext.broadcast(model)
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    spark = accounts.sparkSession
+    shared, key, kind = spark.sparkContext.broadcast(model), "portfolio_id", dict(accounts.dtypes)["portfolio_id"]
+    firms = list(model["betas"].index)
+    listed = F.broadcast(spark.createDataFrame(list(zip(firms, range(len(firms)))), "firm_id string, place int"))
+    held = accounts.groupBy(key, "firm_id").agg(F.sum("capital").alias("capital")).join(listed, "firm_id", "left")
+    held = written(held, "held")
+    own = F.col("place").isNotNull()
+    books = held.groupBy(key).agg(F.sum("capital").alias("total"), F.coalesce(F.sum(F.when(~own, F.col("capital"))), F.lit(0.0)).alias("outside"), F.collect_list(F.when(own, F.struct("place", "capital"))).alias("own"))
+    books = written(books.filter("total > 0").withColumn("left", 1 - F.col("outside") / F.col("total")), "books")
+    solvable = books.filter("left > 1e-9")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        firms = m["betas"].index
-        b, f, d = m["betas"].to_numpy(), m["factor_cov"].to_numpy(), m["firms"]["idio_var"].to_numpy()
-        mu, g = m["firms"]["mu"].to_numpy(), m["firms"]["g"].fillna(m["firms"]["g"].mean()).to_numpy()
-        z = green_weight * (g - g.mean()) / (g.std() or 1.0)
-        book = frame.groupby("firm_id")["capital"].sum()
-        total = float(book.sum())
-        outside = (book[~book.index.isin(firms)] / total if total > 0 else book[:0]).sort_index()
-        left = 1.0 - float(outside.sum()) if total > 0 else 0.0
-        held = book.reindex(firms).fillna(0.0).to_numpy()
-        w0 = held / total if total > 0 else np.zeros(len(firms))
-        frozen = pd.DataFrame({"portfolio_id": key[0], "firm_id": outside.index, "w_before": outside.to_numpy(), "w": outside.to_numpy(), "sleeve": "frozen", "ann_vol": np.nan})
-        if left <= 1e-9:
-            return frozen.assign(ann_vol=0.0)
-        limit = max(cap, left / len(firms))
-        best = np.sort(g)[::-1]
-        full = int(left / limit + 1e-9)
-        highest = (best[:full].sum() * limit + (best[full] * (left - full * limit) if full < len(best) else 0.0)) / left
-        floor = None if g_floor is None else min(g_floor, highest)
-
-        def at(gamma: float) -> tuple[np.ndarray, float]:
-            w = _optimal(mu, b, f, d, gamma, cost, w0, left, limit, z, g, floor)
-            x = b.T @ w
-            return w, float(np.sqrt(12 * (x @ f @ x + d @ (w * w))))
-
-        low, high = 0.0, 8.0
-        w, vol = at(1e-6)
-        if vol > vol_target:
-            while at(high)[1] > vol_target and high < 1e3:
-                low, high = high, high * 4
-            for _ in range(16):
-                middle = (low + high) / 2
-                w, vol = at(middle)
-                if abs(vol - vol_target) < 0.002:
-                    break
-                low, high = (middle, high) if vol > vol_target else (low, middle)
-        keep = (w > 1e-8) | (w0 > 0)
-        moved = pd.DataFrame({"portfolio_id": key[0], "firm_id": firms[keep], "w_before": w0[keep], "w": w[keep], "sleeve": "modeled", "ann_vol": vol})
-        return pd.concat([moved, frozen.assign(ann_vol=vol)])
-
-    kind = dict(accounts.dtypes)["portfolio_id"]
-    return accounts.groupBy("portfolio_id").applyInPandas(run, f"portfolio_id {kind}, firm_id string, w_before double, w double, sleeve string, ann_vol double")
+        ids = m["betas"].index.to_numpy()
+        score = m["firms"]["g"].fillna(m["firms"]["g"].mean()).to_numpy()
+        tilt = green_weight * (score - score.mean()) / (score.std() or 1.0)
+        market = solver.Market(m["firms"]["mu"].to_numpy() + tilt, m["betas"].to_numpy(), m["factor_cov"].to_numpy(), m["firms"]["idio_var"].to_numpy(), score)
+        greenest = np.sort(score)[::-1]
+        for frame in frames:
+            for at in range(0, len(frame), ACCOUNTS_TOGETHER):
+                part = frame.iloc[at : at + ACCOUNTS_TOGETHER]
+                w0 = np.zeros((len(part), len(ids)))
+                for i, (rows, total) in enumerate(zip(part["own"], part["total"])):
+                    for r in rows:
+                        w0[i, r["place"]] = r["capital"] / total
+                left = part["left"].to_numpy(float)
+                limit = np.maximum(cap, left / len(ids))
+                most = np.minimum(np.maximum(left[:, None] - limit[:, None] * np.arange(len(ids)), 0), limit[:, None]) @ greenest  # the greenest that the cap allows
+                floor = np.full(len(part), -np.inf) if g_floor is None else np.minimum(g_floor * left, most)
+                w, _, gaps = solver.solve_to_volatility(market, solver.Accounts(w0, left, limit, floor, cost), vol_target)
+                keep = [np.flatnonzero((x > 1e-8) | (y > 0)) for x, y in zip(w, w0)]
+                yield pd.DataFrame({key: part[key].to_numpy(), "firm_id": [ids[k].tolist() for k in keep], "w_before": [y[k].tolist() for y, k in zip(w0, keep)], "w": [x[k].tolist() for x, k in zip(w, keep)], "ann_vol": market.volatility(w), "gap": gaps})
+
+    tasks = max(spark.sparkContext.defaultParallelism, solvable.count() // ACCOUNTS_TOGETHER)  # few bytes, much work
+    schema = f"{key} {kind}, firm_id array<string>, w_before array<double>, w array<double>, ann_vol double, gap double"
+    solved = written(solvable.select(key, "total", "left", "own").repartition(tasks).mapInPandas(run, schema), "solved")
+    moved = solved.select(key, F.explode(F.arrays_zip("firm_id", "w_before", "w")).alias("x"), "ann_vol", "gap").select(key, "x.firm_id", "x.w_before", "x.w", F.lit("modeled").alias("sleeve"), "ann_vol", "gap")
+    weight = F.col("capital") / F.col("total")
+    frozen = held.filter(~own).join(books.select(key, "total"), key).join(solved.select(key, "ann_vol", "gap"), key, "left")
+    return moved.unionByName(frozen.select(key, "firm_id", weight.alias("w_before"), weight.alias("w"), F.lit("frozen").alias("sleeve"), F.coalesce("ann_vol", F.lit(0.0)).alias("ann_vol"), F.coalesce("gap", F.lit(0.0)).alias("gap")))
 
 
 def recommendations(holdings: DataFrame, targets: DataFrame, closes: DataFrame, model: dict[str, DataFrame], scores: DataFrame, preference: tuple[float, float | None, float], period: DataFrame) -> DataFrame:

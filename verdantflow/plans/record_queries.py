@@ -278,6 +278,22 @@ def recommendations(spark, d):
     return rounded(out).withColumns({c: F.round(c, 4) + 0.0 for c in ("total_capital", "target_capital", "new_capital")})
 
 
+@query("""with mu as (select s_nationkey as k, avg(s_acctbal) / 1e7::double as mu from supplier group by 1), a as (
+        select c_custkey, c_nationkey, abs(c_acctbal) + 1 as capital, (abs(c_acctbal) + 1) * (c_custkey % 5) / 4.0::double as cash from customer), b as (
+        select c_custkey, case when c_nationkey in (select k from mu) then capital else 0.0::double end as own, case when c_nationkey in (select k from mu) then cash else capital + cash end as outside from a)
+    select c_custkey, cast(k as varchar) as firm_id, round(own / (own + outside) / count(*) over (partition by c_custkey) + (mu - avg(mu) over (partition by c_custkey)) / 0.05::double, 7) + 0.0::double as w from b, mu where own > 0""")
+def rebalanced_in_closed_form(spark, d):
+    """Without costs, and where no bound is met, weights are known: an even share and what a firm is expected to do better, over aversion times variance."""
+    s = bridge.table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("firm_id")).agg((F.avg("s_acctbal") / 1e7).alias("mu"), F.lit(1.0).alias("idio_var"), F.lit(0.0).alias("g"))
+    betas = s.select("firm_id", F.lit("none").alias("factor"), F.lit(0.0).alias("beta"))
+    flat = spark.range(1).select(F.lit("none").alias("factor_a"), F.lit("none").alias("factor_b"), F.lit(1.0).alias("cov"))
+    c, capital = bridge.table(spark, d, "customer"), F.abs("c_acctbal") + 1
+    own = c.select(F.col("c_custkey").alias("portfolio_id"), F.col("c_nationkey").cast("string").alias("firm_id"), capital.alias("capital"))
+    cash = c.select(F.col("c_custkey").alias("portfolio_id"), F.lit("cash").alias("firm_id"), (capital * (F.col("c_custkey") % 5) / 4.0).alias("capital"))
+    out = portfolio.rebalance(own.unionByName(cash), portfolio.solver_model(s, betas, flat), vol_target=10.0, cost=0.0, cap=1.0)
+    return out.filter("sleeve = 'modeled'").select(F.col("portfolio_id").alias("c_custkey"), "firm_id", (F.round("w", 7) + 0.0).alias("w"))
+
+
 @query()
 def rebalanced_accounts(spark, d):
     """The last book of every account to a target volatility and a floor on greenness, over the largest suppliers by sector."""

@@ -34,11 +34,11 @@ def read_parts(spark: SparkSession, *paths: str, schema: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, by: str | None = "year", mode: str = "overwrite") -> None:
-    """Parquet or CSV by suffix, Parquet partitioned by a column where the table has it."""
+    """Parquet or CSV by suffix, Parquet partitioned by a column where the table has it; a large partition takes several files and tasks."""
     if path.endswith(".csv"):
         df.write.mode(mode).option("header", True).csv(path)
     elif by and by in df.columns:
-        df.repartition(by).write.mode(mode).partitionBy(by).parquet(path)
+        df.hint("rebalance", by).write.mode(mode).partitionBy(by).parquet(path)
     else:
         df.write.mode(mode).parquet(path)
 
