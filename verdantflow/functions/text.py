@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,15 +138,79 @@ def fiscal_year(title: Column, filed: Column) -> Column:
     return F.coalesce(told.cast("int"), F.year(filed) - 1)
 
 
+#: What follows the name of a tag: text and quoted values, in which a ``>`` closes nothing.
+_ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
+#: Elements by which an open one is known to be over, as they hold others.
+_HOLDERS = ("html", "body", "main", "div", "section", "article", "aside", "form", "table", "ul", "ol")
+
+
+def without_raw(html: Column, names: tuple[str, ...] = ("script", "style")) -> Column:
+    """Markup without comments and elements of raw text, in one pass, so that neither is looked for in the other; an unclosed one goes on to the end."""
+    raw = rf"|<({'|'.join(names)})\b[^>]*+>.*?(?:</\1\s*>|\z)" if names else ""
+    return F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z){raw}", "")
+
+
+def without_elements(html: Column, names: tuple[str, ...]) -> Column:
+    """Markup without some elements and all that is in them.
+
+    Markup is cut once before each tag of these and of holders, and a stack of open tags goes over the cuts: an
+    element ends with its own end tag, with that of an element it is in, or (a head) where the body begins; else
+    it goes on to the end. An end tag without a beginning is ignored.
+    """
+    if not names:
+        return html
+    tag = rf"(?i)<(/?)({'|'.join(dict.fromkeys((*names, *_HOLDERS)))})(?=[\s/>]){_ATTRIBUTES}>"
+    pieces = F.split(F.regexp_replace(F.translate(html, "\x01\x02", ""), tag, "\x01$1$2\x02$0"), "\x01")
+    cut, empty = "array<struct<a:int,b:int>>", F.array().cast("array<string>")
+
+    def step(s: Column, piece: Column) -> Column:
+        told = F.lower(F.substring_index(piece, "\x02", 1))
+        name, opens, at = F.replace(told, F.lit("/"), F.lit("")), ~F.startswith(told, F.lit("/")), s["at"]
+        inside, depth = F.size(s["stack"]) > 0, F.array_position(s["stack"], name).cast("int")
+        over = inside & ((opens & (name == "body") & (F.element_at(s["stack"], -1) == "head")) | (~opens & ((depth == 0) | (depth == F.size(s["stack"])))))
+        stack = F.when(over, empty).when(inside & opens, F.concat(F.array(name), s["stack"])).when(inside, F.slice(s["stack"], depth + 1, F.size(s["stack"])))
+        stack = stack.when(opens & name.isin(*names) & (at > 0), F.array(name)).otherwise(empty)
+        begin = F.when(~inside, at).otherwise(s["begin"])
+        cuts = F.when(over, F.array_append(s["cuts"], F.struct(s["begin"].alias("a"), at.alias("b")))).otherwise(s["cuts"])
+        return F.struct((at + 1).alias("at"), stack.alias("stack"), begin.alias("begin"), cuts.alias("cuts"))
+
+    start = F.struct(F.lit(0).alias("at"), empty.alias("stack"), F.lit(0).alias("begin"), F.array().cast(cut).alias("cuts"))
+    last = lambda s: F.when(F.size(s["stack"]) > 0, F.array_append(s["cuts"], F.struct(s["begin"].alias("a"), s["at"].alias("b")))).otherwise(s["cuts"])
+
+    def kept(x: Column) -> Column:
+        visible = lambda cuts: F.filter(F.transform(x, lambda p, i: F.when(~F.exists(cuts, lambda c: (i >= c["a"]) & (i < c["b"])), F.substring_index(p, "\x02", -1))), lambda p: p.isNotNull())
+        return bound(F.aggregate(x, start, step, last), lambda cuts: F.array_join(visible(cuts), ""))
+
+    return bound(pieces, kept)
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its character references as characters, in one pass: numbers, and names of the common table; unknown names stay."""
+    table = F.create_map(*(F.lit(v) for name, code in sorted(name2codepoint.items()) for v in (name, chr(code))), F.lit("apos"), F.lit("'"))
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", ""), r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?", "\x01$1\x02$0\x02")
+
+    def char(name: Column) -> Column:
+        code = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
+        wrong = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        return F.when(code.isNull(), F.element_at(table, name)).when(wrong, "�").otherwise(F.decode(F.unhex(F.lpad(F.hex(F.when(wrong, 0).otherwise(code)), 8, "0")), "UTF-32"))
+
+    decoded = lambda p: bound(F.split(p, "\x02", 3), lambda x: F.concat(F.coalesce(char(x[0]), x[1]), x[2]))
+    pieces = F.transform(F.split(marked, "\x01"), lambda p, i: F.when(i == 0, p).otherwise(decoded(p)))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
+def without_tags(html: Column, instead: str = "") -> Column:
+    """Text between tags; a tag ends where its quotes are closed, one with open quotes at the next ``>``, an unfinished one at the end."""
+    x = F.regexp_replace(html, rf"</?[A-Za-z!?]{_ATTRIBUTES}>", instead)
+    return F.regexp_replace(x, r"</?[A-Za-z!?][^>]*+(?:>|\z)", instead)
+
+
 def html_text(html: Column, dropped: tuple[str, ...] = ("script", "style", "head")) -> Column:
-    """Readable text of a page: a chain of replacements that approximates a DOM; broken markup may leave remains."""
-    x = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
-    for tag in dropped:
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    """Readable text of a page: blocks on lines of their own, without the dropped elements, character references read."""
+    raw = tuple(t for t in dropped if t in ("script", "style"))
+    x = without_elements(without_raw(html, raw), tuple(t for t in dropped if t not in raw))
     x = F.regexp_replace(x, r"(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table|section|article)\s*>", "\n")
-    x = F.regexp_replace(x, r"(?s)<[^>]+>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
+    x = unescaped(without_tags(x))
     x = F.regexp_replace(F.regexp_replace(x, r"[ \t\r\xA0]+", " "), r" ?\n ?", "\n")
     return F.trim(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 

@@ -152,9 +152,11 @@ def _without_dots(url: Column) -> Column:
 
 def site_links(pages: DataFrame, most: int | None = None) -> DataFrame:
     """``page_id, pos, url, text``: links of a page to its own site (the first ``most``, or all), in order, each address once, no fragments."""
-    anchor = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
+    anchor = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)(?:</a\s*>|(?=<a\s)|\z)"""
+    seen = pages.select("page_id", F.col("url").alias("base"), tx.without_raw(F.col("html")).alias("html"))
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), 1).alias("href"), F.regexp_extract_all("html", F.lit(anchor), 2).alias("text"))
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(pairs).alias("pos", "a")).select("page_id", "base", "pos", F.trim("a.href").alias("href"), F.col("a.text").alias("text"))
+    rows = seen.select("page_id", "base", F.posexplode(pairs).alias("pos", "a"))
+    rows = rows.select("page_id", "base", "pos", F.trim(tx.unescaped(F.regexp_replace("a.href", r"""^["']|["']$""", ""))).alias("href"), F.col("a.text").alias("text"))
     rows = rows.filter(~F.lower("href").rlike("^(" + "|".join(map(re.escape, words.SKIPPED_LINKS)) + ")") & (F.col("href") != ""))
     root, scheme = F.regexp_extract("base", r"^([a-zA-Z]+://[^/?#]+)", 1), F.regexp_extract("base", r"^([a-zA-Z]+):", 1)
     folder = F.when(F.col("base").rlike(r"^[a-zA-Z]+://[^/?#]+/"), F.regexp_extract("base", r"^([^?#]*/)", 1)).otherwise(F.concat(root, F.lit("/")))
@@ -164,7 +166,7 @@ def site_links(pages: DataFrame, most: int | None = None) -> DataFrame:
     host = lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, r"^[a-zA-Z]+://([^/?#]+)", 1)), r"^www\.", "")
     rows = rows.withColumn("link", _without_dots(full)).filter(host(F.col("link")) == host(F.col("base")))
     first = rows.groupBy("page_id", "link").agg(F.min_by(F.struct("pos", "text"), "pos").alias("f"))
-    label = F.left(F.trim(F.regexp_replace(F.regexp_replace("f.text", r"(?s)<[^>]+>", " "), r"\s+", " ")), F.lit(80))
+    label = F.left(F.trim(F.regexp_replace(tx.unescaped(tx.without_tags(F.col("f.text"), " ")), r"\s+", " ")), F.lit(80))
     out = first.select("page_id", "f.pos", F.col("link").alias("url"), label.alias("text"))
     if most is None:
         return out
@@ -173,7 +175,8 @@ def site_links(pages: DataFrame, most: int | None = None) -> DataFrame:
 
 def about_page(links: DataFrame, hints=words.ABOUT_HINTS) -> DataFrame:
     """The link of each page whose text or path has the earliest hint; pages without one have no row."""
-    where = F.lower(F.concat_ws(" ", "text", F.regexp_replace("url", r"^[a-zA-Z]+://[^/]+", "")))
+    path = F.translate(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "-_", "  ")
+    where = F.lower(F.concat_ws(" ", "text", path))
     rank = F.lit(None).cast("int")
     for i, h in reversed(list(enumerate(hints))):
         rank = F.when(F.contains(where, F.lit(h)), i).otherwise(rank)

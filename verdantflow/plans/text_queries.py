@@ -133,7 +133,7 @@ def site_links(spark, d):
 
 
 @query(f"""select page_id, arg_min(url, [k, pos]) as url, arg_min(text, [k, pos]) as text, cast(min(k) as integer) as rank from (select *, case when contains(w, 'contact') then 0 when contains(w, 'page') then 1 when contains(w, 'en') then 2 end as k from (
-    select *, lower(concat_ws(' ', text, regexp_replace(url, '^[a-zA-Z]+://[^/]+', ''))) as w from ({LINKS}))) where k is not null group by page_id""")
+    select *, lower(concat_ws(' ', text, translate(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '-_', '  '))) as w from ({LINKS}))) where k is not null group by page_id""")
 def about_pages(spark, d):
     return documents.about_page(documents.site_links(bridge.table(spark, d, "pages")), ("contact", "page", "en"))
 

@@ -113,7 +113,7 @@ def html_text(html: str, dropped=("script", "style", "head")) -> str:
         x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
     x = rf"regexp_replace({x}, '(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table|section|article)\s*>', chr(10), 'g')"
     x = f"regexp_replace({x}, '(?s)<[^>]+>', '', 'g')"
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     x = rf"regexp_replace(regexp_replace({x}, '[ \t\r\x{{A0}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
     return rf"trim(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ')"
