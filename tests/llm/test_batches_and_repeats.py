@@ -45,3 +45,29 @@ def test_equal_rows_are_parted_over_token_files(spark, tmp_path):
         assert start == at
         at += n
     assert [r[0] for r in got] == sorted(r[0] for r in got)
+
+
+def test_copies_of_a_vector_leave_few_survivors(spark, monkeypatch):
+    from verdantflow.llm import topk
+
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(-100, 100) for _ in range(6)]) for i in range(300)] + [(1000 + i, [90] * 6) for i in range(4000)] + [(50, [90] * 6)] * 9
+    seen = []
+    monkeypatch.setattr(topk, "written", lambda df, label, *a, f=topk.written: seen.append((label, f(df, label, *a))) or seen[-1][1])
+    schema = "id long, vector array<long>"
+    queries = [r for r in rows if r[0] % 50 == 0]
+    got = topk.exact_top_k(spark.createDataFrame(queries, schema), spark.createDataFrame(rows, schema), 3).collect()
+    want = sorted((q, r + 1, i, -s) for q, v in queries for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, e)), i) for i, e in rows if i != q)[:3]))
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == want
+    survivors = dict(seen)["survivors"].count()
+    assert survivors <= len(queries) * (300 + 4 + 3)
+
+
+def test_empty_texts_meet_in_no_window(spark, tmp_path):
+    from verdantflow.llm.mixing import mix_sources
+
+    rows = [(i, "", "empty") for i in range(3000)] + [(9000 + i, "a b c " * (i % 40), "full") for i in range(200)] + [(None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "docs"))
+    mixed = mix_sources(spark.read.parquet(str(tmp_path / "docs")), lambda i: 1).collect()
+    assert len(mixed) == len(rows) and all(r.taken == 0 for r in mixed if r.size == 0)
+    assert abs(sum(r.taken for r in mixed) - max(r.target for r in mixed if r.source == "full")) <= 1

@@ -1,7 +1,7 @@
 """Mix sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 The words of the mix go to sources by highest quotients, then to the shards of a source in the same way, so
-each shard has an integer quota of words. A shard is cut into blocks of an equal number of words, bounded at
+each shard has an integer quota of words. A shard is cut into blocks of an equal number of words, the same at
 any input size; a seeded order picks them, and the last one picked is taken in part, so quotas are met to the
 word. Only sizes are shuffled, never texts.
 """
@@ -18,7 +18,6 @@ from pyspark.sql.window import Window
 
 from verdantflow.llm.shared import written
 
-BLOCKS = 1 << 20
 BLOCK_WORDS = 256
 SHARD_WORDS = 8_000_000
 SHARD_BLOCKS = (64, 8192)
@@ -73,7 +72,7 @@ def capped_targets(size: np.ndarray, weight: np.ndarray, total: float, cap: floa
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Callable[[int], float], total_share: float = 1.5, most_repeats: int = 2, seed: int = 0, blocks: int = BLOCKS, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Callable[[int], float], total_share: float = 1.5, most_repeats: int = 2, seed: int = 0, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: ``id, size, source, source_size, target, taken`` (words, repeats counted).
 
     ``weights(i)`` is the weight of the i-th source by code point, a null source last. The sources share
@@ -92,7 +91,6 @@ def mix_sources(docs: DataFrame, weights: Callable[[int], float], total_share: f
         frame = frame.sort_values("key", ignore_index=True)
         size = frame["source_size"].to_numpy(np.int64)
         all_words = int(size.sum())
-        block = min(max(1, all_words // blocks), BLOCK_WORDS)
         target = capped_targets(size, [weights(i) for i in range(len(size))], total_share * all_words, most_repeats)
         words = min(max(shard_words, SHARD_BLOCKS[0] * block), SHARD_BLOCKS[1] * block)  # so neither words nor blocks of a shard pile up
         shards = np.maximum(1, -(-size // words))
@@ -108,8 +106,8 @@ def mix_sources(docs: DataFrame, weights: Callable[[int], float], total_share: f
     planned = base.groupBy("key").agg(F.sum("size").alias("source_size")).groupBy().applyInPandas(plan, "key string, source_size long, target double, block long, shards long, quota long")
     planned = written(planned, "sources")
     small = planned.count() <= BROADCAST_SOURCES
-    rows = base.join(F.broadcast(planned) if small else planned, "key")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "size", F.lit(seed)), "shards")).repartition("key", "shard")
+    every = base.join(F.broadcast(planned) if small else planned, "key")
+    rows = every.filter("size > 0").withColumn("shard", F.pmod(F.xxhash64("id", "size", F.lit(seed)), "shards")).repartition("key", "shard")
     placed = Window.partitionBy("key", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = written(rows.withColumn("begin", F.coalesce(F.sum("size").over(placed), F.lit(0))), "placed")
     cells = rows.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("quota").alias("quota"))
@@ -121,8 +119,10 @@ def mix_sources(docs: DataFrame, weights: Callable[[int], float], total_share: f
     drawn = Window.partitionBy("key", "shard").orderBy(F.xxhash64("key", "shard", "k", F.lit(seed + 2)), "k").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("rest", F.col("extra") - F.coalesce(F.sum("length").over(drawn), F.lit(0))).filter("rest > 0")
     chosen = spans.select("key", "shard", "k", F.least("length", "rest").alias("given"))
-    cut = rows.filter("size > 0").select("key", "shard", "begin", "size", "block", F.explode(F.expr("sequence(begin div block, (begin + size - 1) div block)")).alias("k"))
+    cut = rows.select("key", "shard", "begin", "size", "block", F.explode(F.expr("sequence(begin div block, (begin + size - 1) div block)")).alias("k"))
     overlap = F.least(F.col("begin") + F.col("size"), F.col("k") * F.col("block") + F.col("given")) - F.greatest(F.col("begin"), F.col("k") * F.col("block"))
     more = cut.join(chosen, ["key", "shard", "k"]).groupBy("key", "shard", "begin", "size").agg(F.sum(F.greatest(overlap, F.lit(0))).alias("more"))
     rows = rows.join(cells.select("key", "shard", "passes"), ["key", "shard"]).join(more, ["key", "shard", "begin", "size"], "left")
-    return rows.select("id", "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce("more", F.lit(0))).alias("taken"))
+    columns = ["id", "size", "source", "source_size", "target"]
+    taken = rows.select(*columns, (F.col("passes") * F.col("size") + F.coalesce("more", F.lit(0))).alias("taken"))
+    return taken.unionByName(every.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verdantflow.llm.shared import written
 
@@ -164,11 +165,15 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, cell_bits
     one that repeats among the queries gets results for each of its rows. Fewer than k candidates give fewer
     rows; empty tables give none. ``exact_read``: exact vectors that the query has read.
 
+    Copies of a vector tie, so all but the first few of them by id are left out before queries meet them.
     Cells (one byte a component) and blocks of queries meet in tiles of equal size, so no key is hot and what
     is sent grows with the work. Of exact vectors only those that may be among the first k move.
     """
     schema = "width int, block long, rows binary, ids binary, least binary, step binary, cells binary"
-    numbered = [written(x.select("id", "vector"), "vectors").select(F.monotonically_increasing_id().alias("row"), "id", "vector") for x in (queries, candidates)]
+    # of equal vectors only the rows of the k + 1 smallest ids, k of each, can be a result of any query
+    alike = candidates.select("id", "vector", F.row_number().over(Window.partitionBy("vector", "id").orderBy("id")).alias("copy")).filter(F.col("copy") <= k)
+    alike = alike.select("id", "vector", F.dense_rank().over(Window.partitionBy("vector").orderBy("id")).alias("place")).filter(F.col("place") <= k + 1)
+    numbered = [written(x.select("id", "vector"), "vectors").select(F.monotonically_increasing_id().alias("row"), "id", "vector") for x in (queries, alike)]
     q = written(numbered[0].mapInArrow(lambda b: _blocks(b, QUERIES, None), schema), "queries")
     c = written(numbered[1].mapInArrow(lambda b: _blocks(b, CANDIDATES, cell_bits), schema), "cells")
     across = [max(1, -(-n // TILE)) for n in (q.count(), c.count())]  # tiles by side
