@@ -99,7 +99,6 @@ def test_sources_come_near_their_targets(spark, block):
         sizes[source] += size
         taken[source] += take
     want = targets(sizes, lambda i: (3, 1, 2)[i % 3], 1.5 * sum(sizes.values()), 2)
-    block = max(1, sum(sizes.values()) // blocks)
     for i, size, source, source_size, target, take in got:
         assert source_size == sizes[source] and math.isclose(target, want[source], rel_tol=1e-9, abs_tol=1e-9)
     assert all(abs(taken[s] - want[s]) <= 3 * block for s in sizes)
