@@ -222,7 +222,7 @@ def quality_of_uploads(spark, d):
     g = annual(spark, d).withColumns({"flag": (F.col("g") > 5).cast("int") * 2, "note": F.repeat(F.lit("x"), (F.col("year") - 1990).cast("int"))})
     p = bridge.prices(spark, d).withColumn("observed", F.date_add("month", (F.col("firm_id").cast("long") % 45).cast("int")))
     return rules.all_of(
-        rules.flags(g, "greenness", ["firm_id", "year"], ["flag"]), rules.texts(g, "greenness", ["firm_id", "year"], ["note"], 6), rules.within_month(p, "prices_monthly", ["firm_id", "month"], "observed"),
+        rules.audit(g, "greenness", ["firm_id", "year"], rules.flag_test(["flag"]), rules.text_test(["note"], 6)), rules.within_month(p, "prices_monthly", ["firm_id", "month"], "observed"),
         rules.contract({"currency": "USD"}, {"currency": "HKD"}, "prices_monthly", spark), rules.columns(p, "prices_monthly", ["firm_id", "close"], None),
     )
 

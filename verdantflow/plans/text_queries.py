@@ -302,14 +302,14 @@ def date_ranges(spark, d):
     union all select 'orders', 'unique', cast(o_custkey as varchar), cast(count(*) as varchar) || ' rows' from orders group by o_custkey having count(*) > 1
     union all select 'firms', 'row_count', cast(count(*) as varchar), 'too many rows' from firms having count(*) > 10""", "firms", "firm_years"))
 def quality_report(spark, d):
+    """Rules over three tables, each table scanned once."""
     e, f, o = bridge.emissions(spark, d), bridge.firms(spark, d), bridge.table(spark, d, "orders")
+    tests = rules.range_test({"scope1": (1000.0, None), "scope2": (0.0, None)}), rules.null_test(["scope1", "scope2"]), rules.finite_test(["scope1"])
+    firm_rules = rules.audit(e, "emissions", ["firm_id", "year"], *tests, universe=f.filter("sector <> 'BUILDING'"))
     return rules.all_of(
-        rules.ranges(e, "emissions", ["firm_id", "year"], {"scope1": (1000.0, None), "scope2": (0.0, None)}),
-        rules.known_firms(e, "firms", f.filter("sector <> 'BUILDING'")),
-        rules.unique(o, "orders", ["o_custkey"]),
-        rules.row_count(f, "firms", 1, 10),
-        rules.not_null(e, "emissions", ["firm_id", "year"], ["scope1", "scope2"]),
-        rules.finite(e, "emissions", ["firm_id", "year"], ["scope1"]),
+        firm_rules.withColumn("table", F.when(F.col("rule") == "known_firms", "firms").otherwise(F.col("table"))),
+        rules.audit(o, "orders", ["o_custkey"], unique=["o_custkey"]),
+        rules.audit(f, "firms", ["firm_id"], count=(1, 10)),
     )
 
 
