@@ -9,6 +9,7 @@ from verdantflow.functions import numbers, ranks
 from verdantflow.operators import scores
 from verdantflow.plans import bridge
 from verdantflow.shared import written
+from verdantflow.sources import tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,6 +96,17 @@ def carbon_intensity(spark, d):
     return rounded(carbon(spark, d).select("firm_id", "year", "level", "intensity", "log_level", "log_intensity", "d_log_level"))
 
 
+#: Buckets of the tables that queries write by firm and year.
+BUCKETS = 32
+
+
+@query(ORACLE_SQL["carbon_intensity"])
+def bucketed_carbon_intensity(spark, d):
+    """The same table from emissions and fundamentals in buckets of firm and year, which meet without a shuffle."""
+    e, f = (tables.write_bucketed(t, ["firm_id", "year"], BUCKETS) for t in (bridge.emissions(spark, d), bridge.fundamentals(spark, d)))
+    return rounded(scores.carbon_intensity(e, f).select("firm_id", "year", "level", "intensity", "log_level", "log_intensity", "d_log_level"))
+
+
 _WALK = ["firm_id", "year", "sector", "rank_group", "walk_intensity_level", "walk_intensity_trend", "walk_emission_trend", "walk_n_components", "walk_composite", "walk"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdantflow.functions import numbers, ranks, text
-from verdantflow.operators import documents, scores, selection
+from verdantflow.operators import documents, scores, selection, trigrams
 from verdantflow.plans import bridge, text_sql
 from verdantflow.plans.score_queries import carbon, green, paired_walk, rounded, sql_rank, talk
 from verdantflow.plans.score_queries import GREEN_CTES, WASH_CTES, all_sql, with_ctes
@@ -222,6 +222,30 @@ def search_all_words(spark, d):
     return selection.search_all_words(bridge.firms(spark, d), "1 Build", ["name", "firm_id", "sector"]).select("firm_id")
 
 
+_INDEXED = ["firm_id", "name", "sector", "industry"]
+
+
+@query(bridge.sql("select firm_id, name from firms where contains(firm_id, '12') or contains(lower(name), '12') order by firm_id limit 20", "firms"))
+def indexed_search(spark, d):
+    """A search of two characters: all grams that begin with them."""
+    return trigrams.search(trigrams.build(bridge.firms(spark, d), ["firm_id", "name"]), "12").select("firm_id", "name")
+
+
+@query(bridge.sql("select firm_id from firms where contains(lower(concat_ws(' ', firm_id, name, sector, industry)), '001') and contains(lower(concat_ws(' ', firm_id, name, sector, industry)), 'build')", "firms"))
+def indexed_search_all_words(spark, d):
+    return trigrams.search_all_words(trigrams.build(bridge.firms(spark, d), _INDEXED), "001 Build").select("firm_id")
+
+
+@query(bridge.sql("select query_id, firm_id from (select s_name as query_id, right(s_name, 4) as q from supplier union all select n_name, n_name from nation union all select n_name || ' key', right('_' || n_nationkey, 2) from nation) join firms on contains(firm_id, lower(q)) or contains(lower(name), lower(q)) or contains(lower(sector), lower(q)) or contains(lower(industry), lower(q))", "firms"))
+def searches_at_once(spark, d):
+    """Firms for the number of each supplier, the name of each nation, and the end of its key (two characters)."""
+    s, n = bridge.table(spark, d, "supplier"), bridge.table(spark, d, "nation")
+    key = F.right(F.concat(F.lit("_"), F.col("n_nationkey").cast("string")), F.lit(2))
+    asked = s.select(F.col("s_name").alias("query_id"), F.right("s_name", F.lit(4)).alias("q"))
+    asked = asked.unionByName(n.select(F.col("n_name").alias("query_id"), F.col("n_name").alias("q"))).unionByName(n.select(F.concat("n_name", F.lit(" key")).alias("query_id"), key.alias("q")))
+    return trigrams.search_many(trigrams.build(bridge.firms(spark, d), _INDEXED), asked).select("query_id", F.col("id").alias("firm_id"))
+
+
 @query("""select distinct request_id, 'sector' as dimension, sector as value, regexp_matches(before, '\\b(no|not|without|avoid|exclude|excluding)( \\w+)?$') as negated from (
     select request_id, sector, p[1:strpos(p, v) - 1] as before from (select conv_id || '-' || turn as request_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text || ' no Automobile, but ' || role), '[^\\pL\\pN]+'), lambda w: w <> ''), ' ') || ' ' as p from conversations),
         (select distinct c_mktsegment as sector, ' ' || lower(c_mktsegment) || ' ' as v from customer) where contains(p, v))""")

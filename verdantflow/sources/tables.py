@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 
 from verdantflow.functions import numbers, text
 from verdantflow.operators.documents import first_of
+from verdantflow.shared import new_path
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,6 +46,34 @@ def write_table(df: DataFrame, path: str, by: str | None = "year", mode: str = "
         df.write.mode(mode).parquet(path)
 
 
+def write_bucketed(df: DataFrame, keys: list[str], buckets: int, by: str | None = None, name: str | None = None, path: str | None = None) -> DataFrame:
+    """``df`` as a table in ``buckets`` buckets of its keys (in each value of ``by``, if given), read back.
+
+    Tables with the same keys and number of buckets meet in a join on the keys, and are grouped by them, without a
+    shuffle: what is joined again and again is shuffled once, here. A bucket is one file (of each ``by``), so a year is split over
+    ``buckets`` files, and takes as many tasks as it has buckets; choose them so that a bucket fits a task. All rows of one
+    key are in one bucket, so keys should not be hot by themselves: a firm and its year rather than a firm. Null keys are values like any other.
+    ``name`` is the table's in the session's catalogue, ``path`` its folder (one in the shared folder unless given).
+    """
+    spark = df.sparkSession
+    name = name or f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (dealt.partitionBy(by) if by else dealt).option("path", path or new_path(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int, by: str | None = None, name: str | None = None) -> DataFrame:
+    """A table that ``write_bucketed`` wrote, in a session whose catalogue doesn't know it; the arguments are those of the write."""
+    name = name or f"bucketed_{uuid.uuid4().hex}"
+    named = ", ".join(f"`{k}`" for k in keys)
+    split = f"partitioned by (`{by}`) " if by else ""
+    place = path.replace("'", "\\'")
+    spark.sql(f"create table `{name}` ({schema}) using parquet {split}clustered by ({named}) sorted by ({named}) into {buckets} buckets location '{place}'")
+    if by:
+        spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
 def read_factor_file(spark: SparkSession, path: str) -> DataFrame:
     """Monthly block of a published factor file: ``month`` and the factors as decimals.
 
