@@ -278,6 +278,12 @@ def test_statistics_in_factor_form_match_the_full_matrix(spark):
     r = portfolio.portfolio_stats(make([(1, i, float(v)) for i, v in zip(ids, w)], "portfolio_id int, firm_id string, w double"), make([(i, float(v)) for i, v in zip(ids, mu)], "firm_id string, mu double"), betas, cov, idio, make([(i, 1.0) for i in ids], "firm_id string, g double")).first()
     s = b @ f @ b.T + np.diag(d)
     assert math.isclose(r.ann_vol, math.sqrt(12 * w @ s @ w)) and math.isclose(r.ann_ret, 12 * w @ mu) and math.isclose(r.n_effective, 1 / (w @ w), rel_tol=1e-6)
+    assert math.isclose(r.exposures["x"], w @ b[:, 0])
+    odd = make([(1, "F0", 0.5), (1, "none", 0.5), (2, "none", 1.0), (3, None, None)], "portfolio_id int, firm_id string, w double")  # firms without a model, null weights
+    more = betas.unionByName(make([("F0", "no moments", 2.0)], "firm_id string, factor string, beta double"))
+    got = {r.portfolio_id: r for r in portfolio.portfolio_stats(odd, make([("F0", 0.01)], "firm_id string, mu double"), more, cov, idio, make([], "firm_id string, g double")).collect()}
+    assert math.isclose(got[1].exposures["no moments"], 1.0) and math.isclose(got[1].ann_vol, math.sqrt(12 * 0.25 * s[0, 0])) and math.isclose(got[1].ann_ret, 0.06) and got[1].g_avg is None
+    assert got[2].exposures is None and got[2].ann_vol == 0 and got[2].ann_ret is None and got[3].n_positions == 0
     got = factors.covariances(betas, cov, idio).toPandas().pivot(index="firm_a", columns="firm_b", values="cov").loc[ids, ids].to_numpy()
     assert np.allclose(got, s)
 

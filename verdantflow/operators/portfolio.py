@@ -19,6 +19,7 @@ from verdantflow.shared import written
 HELD = 1e-4
 MOST_CANDIDATES = 5000
 ACCOUNTS_TOGETHER = 64
+MOST_FACTORS = 200
 
 
 def capped_weights(df: DataFrame, weight: str, cap: float, *group: str) -> DataFrame:
@@ -122,28 +123,52 @@ def covered_means(holdings: DataFrame, scores: DataFrame, columns: list[str]) ->
     return df.groupBy("portfolio_id").agg(*out)
 
 
+def _factors(betas: DataFrame, factor_cov: DataFrame) -> tuple[list[str], dict[tuple[str, str], float]]:
+    """The factors of a model, a few, and their covariances; more than ``MOST_FACTORS`` raise ValueError."""
+    told = {(r["factor_a"], r["factor_b"]): r["cov"] for r in factor_cov.select("factor_a", "factor_b", "cov").limit(MOST_FACTORS**2 + 1).collect()}
+    seen = {r["factor"] for r in betas.select("factor").filter("factor is not null").distinct().limit(MOST_FACTORS + 1).collect()}
+    names = sorted(seen | {f for pair in told for f in pair})
+    if len(names) > MOST_FACTORS:
+        raise ValueError(f"more than {MOST_FACTORS} factors")
+    return names, told
+
+
+def _firm_rows(mu: DataFrame, betas: DataFrame, idio: DataFrame, g: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each firm of the model: ``firm_id, mu, modeled, idio_var, g`` and its betas as ``_b0, _b1, ...``."""
+    wide = betas.groupBy("firm_id").agg(*(F.sum(F.when(F.col("factor") == f, F.col("beta"))).alias(f"_b{k}") for k, f in enumerate(names)), F.lit(True).alias("_any"))
+    out = mu.select("firm_id", "mu", F.lit(True).alias("modeled")).join(wide.drop("_any"), "firm_id", "full")
+    return out.join(idio.select("firm_id", "idio_var"), "firm_id", "full").join(g.select("firm_id", "g"), "firm_id", "full")
+
+
+def _stats(df: DataFrame, key: list[str], names: list[str], told: dict[tuple[str, str], float]) -> DataFrame:
+    """Statistics by ``key`` of weights that have met their firms' rows: one aggregate, then arithmetic of its row. ``told``: covariances of the factors."""
+    held, scored = F.when(F.col("w") > HELD, F.col("w")), F.when(F.col("g").isNotNull(), F.col("w"))
+    out = df.groupBy(*key).agg(
+        (12 * F.sum(F.col("w") * F.col("mu"))).alias("ann_ret"), F.sum(F.col("w") ** 2 * F.col("idio_var")).alias("_special"), (F.sum(scored * F.col("g")) / F.sum(scored)).alias("g_avg"),
+        F.count(held).alias("n_positions"), F.max("w").alias("top_w"), (F.sum(held) ** 2 / F.sum(held**2)).alias("n_effective"),
+        F.array(*(F.sum(F.col("w") * F.col(f"_b{k}")) for k in range(len(names)))).cast("array<double>").alias("_x"),
+    )
+    x = F.transform("_x", lambda v: F.coalesce(v, F.lit(0.0)))
+    rows = F.array(*(F.array(*(F.lit(float(told.get((a, b)) or 0.0)) for b in names)) for a in names)).cast("array<array<double>>")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    out = out.withColumn("_x0", x)
+    common = total(F.zip_with(F.transform(rows, lambda row: total(F.zip_with(row, F.col("_x0"), lambda c, v: c * v))), F.col("_x0"), lambda c, v: c * v))
+    loads = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)).cast("array<string>"), F.col("_x")), lambda _, v: v.isNotNull())
+    var = 12 * (common + F.coalesce("_special", F.lit(0.0)))
+    out = out.withColumns({"exposures": F.when(F.size(loads) > 0, loads), "ann_vol": F.sqrt(F.greatest(var, F.lit(0.0)))})
+    return out.drop("_special", "_x", "_x0")
+
+
 def portfolio_stats(weights: DataFrame, mu: DataFrame, betas: DataFrame, factor_cov: DataFrame, idio: DataFrame, g: DataFrame) -> DataFrame:
     """Annual return and volatility, mean g, positions, top weight, effective names and ``exposures`` (factor to beta) of each portfolio.
 
     Variance by exposures: x_f = sum of w beta, then x' F x plus the sum of w^2 idiosyncratic variances; no
-    firm by firm matrix is built. Monthly inputs.
+    firm by firm matrix is built. Weights meet one row a firm and are aggregated once. Monthly inputs; a row a firm in ``mu``,
+    ``idio`` and ``g``.
     """
-    w = weights.select("portfolio_id", "firm_id", "w")
-    x = w.join(betas, "firm_id").groupBy("portfolio_id", "factor").agg(F.sum(F.col("w") * F.col("beta")).alias("x"))
-    c = F.broadcast(factor_cov.select("factor_a", "factor_b", "cov"))
-    left, right = x.select("portfolio_id", F.col("factor").alias("factor_a"), F.col("x").alias("xa")), x.select("portfolio_id", F.col("factor").alias("factor_b"), F.col("x").alias("xb"))
-    common = left.join(c, "factor_a").join(right, ["portfolio_id", "factor_b"]).groupBy("portfolio_id").agg(F.sum(F.col("xa") * F.col("cov") * F.col("xb")).alias("common"))
-    own = w.join(mu, "firm_id", "left").join(idio, "firm_id", "left").join(g, "firm_id", "left")
-    held = F.when(F.col("w") > HELD, F.col("w"))
-    scored = F.when(F.col("g").isNotNull(), F.col("w"))
-    own = own.groupBy("portfolio_id").agg(
-        (12 * F.sum(F.col("w") * F.col("mu"))).alias("ann_ret"), F.sum(F.col("w") ** 2 * F.col("idio_var")).alias("special"), (F.sum(scored * F.col("g")) / F.sum(scored)).alias("g_avg"),
-        F.count(held).alias("n_positions"), F.max("w").alias("top_w"), (F.sum(held) ** 2 / F.sum(held**2)).alias("n_effective"),
-    )
-    loads = x.groupBy("portfolio_id").agg(F.map_from_entries(F.collect_list(F.struct("factor", "x"))).alias("exposures"))
-    out = own.join(common, "portfolio_id", "left").join(loads, "portfolio_id", "left")
-    var = 12 * (F.coalesce("common", F.lit(0.0)) + F.coalesce("special", F.lit(0.0)))
-    return out.withColumn("ann_vol", F.sqrt(F.greatest(var, F.lit(0.0)))).drop("common", "special")
+    names, told = _factors(betas, factor_cov)
+    df = weights.select("portfolio_id", "firm_id", "w").join(_firm_rows(mu, betas, idio, g, names), "firm_id", "left")
+    return _stats(df, ["portfolio_id"], names, told)
 
 
 def validated_holdings(holdings: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -282,20 +307,26 @@ def recommendations(holdings: DataFrame, targets: DataFrame, closes: DataFrame,
     ``model``: ``mu``, ``betas``, ``factor_cov``, ``idio`` and ``g`` as :func:`portfolio_stats` takes them.
     """
     key = ["portfolio_id"]
+    holdings, targets = written(holdings, "holdings"), written(targets, "targets")  # each used several times
     old = holdings.groupBy(*key).agg(F.sum(F.col("capital").cast("decimal(28,4)")).cast("double").alias("total_capital"))
     new = targets.groupBy(*key).agg(F.max("total").alias("target_capital"))
     t = trades(holdings, targets).join(closes.select("firm_id", "close"), "firm_id", "left")
     t = t.withColumns({"shares": numbers.whole_shares(F.abs("d_capital"), F.col("close")), "label": tx.trade_label(F.col("side"), F.col("w_before"), F.col("w_after"))})
     moved = F.filter(F.array_sort(F.collect_list(F.struct("dw", "firm_id", "side", "label", "d_capital", "shares"))), lambda x: x["side"] != "hold")
     out = t.groupBy(*key).agg((F.sum(F.abs("dw")) / 2).alias("turnover"), moved.alias("trades"))
-    modeled = model["mu"].select("firm_id").distinct()
     book = holdings.join(old, key).withColumn("w", F.col("capital") / F.col("total_capital"))
-    for name, weights in (("before", book), ("after", targets)):
-        stats = portfolio_stats(weights.select(*key, "firm_id", "w").join(modeled, "firm_id", "left_semi"), *(model[k] for k in ("mu", "betas", "factor_cov", "idio", "g")))
-        out = out.join(stats.select(*key, F.struct(*(c for c in stats.columns if c != key[0])).alias(name)), key, "left")
-    rest = book.join(modeled, "firm_id", "left_anti").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("firm_id", "capital", "w"))).alias("unmodeled"))
+    names, told = _factors(model["betas"], model["factor_cov"])
+    firms = written(_firm_rows(*(model[k] for k in ("mu", "betas", "idio", "g")), names), "firms")
+    # both times in one pass; firms without a model count in neither
+    both = book.select(*key, "firm_id", "w", F.lit("before").alias("_side")).unionByName(targets.select(*key, "firm_id", "w", F.lit("after").alias("_side")))
+    stats = _stats(both.join(firms, "firm_id").filter("modeled"), [*key, "_side"], names, told)
+    row = F.struct(*(c for c in stats.columns if c not in (*key, "_side")))
+    stats = stats.groupBy(*key).agg(*(F.first(F.when(F.col("_side") == name, row), ignorenulls=True).alias(name) for name in ("before", "after")))
+    rest = book.join(firms.filter("modeled"), "firm_id", "left_anti").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("firm_id", "capital", "w"))).alias("unmodeled"))
     cover = covered_aggregates(targets, scores, ["g"]).select(*key, "coverage_pct")
-    out = out.join(old, key, "left").join(new, key).join(rest, key, "left").join(cover, key, "left")
+    for more in (stats, old, rest, cover):
+        out = out.join(more, key, "left")
+    out = out.join(new, key)
     span = period.first()
     wish = F.struct(*(F.lit(v).cast("double").alias(n) for v, n in zip(preference, ("vol_target", "g_floor", "lam"))))
     model_period = F.struct(*(F.lit(span[c]).alias(c) for c in ("first", "last", "n")))

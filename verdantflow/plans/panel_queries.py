@@ -405,7 +405,7 @@ def covered_portfolio_means(spark, d):
 def _model(spark, d):
     e = written(fac.exposures(bridge.prices(spark, d), bridge.factors(spark, d), FACTORS), "exposures")  # used several times
     betas = e.unpivot(["firm_id"], [f"b_{f}" for f in FACTORS], "factor", "beta").withColumn("factor", F.substring("factor", 3, 20))
-    return e, betas, panel.factor_moments(bridge.factors(spark, d), FACTORS)
+    return e, betas, written(panel.factor_moments(bridge.factors(spark, d), FACTORS), "moments")
 
 
 @query(bridge.sql("select firm_id, round(mu, 9) + 0.0::double as mu from mus", "prices", "factors", **MODEL))
