@@ -161,6 +161,21 @@ ORACLE_SQL: dict[str, str] = {
         )
         select query_id, rank, vec_id, score from r where rank <= 5
     """,
+    # Mining isn't SQL: of the labels of the given tables no combination of tokens is a sound rule (README), so what no listed rule decides is allowed.
+    "op9_url_filters": r"""
+        with t as (
+            select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+        ), p as (
+            select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from t
+        ), f as (
+            select *, case
+                when ends_with('.' || host, '.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+                when ends_with('.' || host, '.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+                when ends_with('.' || host, '.org') and starts_with(path, '/fr/') then 'org/fr/'
+                when ends_with('.' || host, '.net') and starts_with(path, '/') then 'net/' end as rule from p
+        )
+        select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from f
+    """,
     "op12_conversation_prefix_trie": rf"""
         with recursive t as (
             select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, md5(own)) - 1 as place, own, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
