@@ -141,6 +141,34 @@ def test_betas_are_recovered_and_use_no_later_month(spark):
     assert np.allclose(own[["b_mkt_rf", "b_gmb"]].iloc[-1].astype(float), want[1:])
 
 
+def test_alphas_match_plain_formulas_without_python_by_firm(spark):
+    p, f, plain = known_panel(spark)
+    short = p.filter("firm_id = 'F1'").orderBy("month").limit(23).withColumn("firm_id", F.lit("short"))
+    flat = f.select(F.lit("flat").alias("firm_id"), "month", F.col("rf").alias("ret"), F.lit(1.0).alias("mktcap"))
+    odd = p.filter("firm_id = 'F2'").withColumn("firm_id", F.lit(None).cast("string"))
+    holes = p.filter("firm_id = 'F4'").withColumns({"firm_id": F.lit("holes"), "ret": F.when(F.month("month") != 3, F.col("ret"))})
+    alike = f.withColumn("again", F.col("mkt_rf"))  # a factor twice: least squares of least norm
+    table = factors.exposures(p.unionByName(short).unionByName(flat).unionByName(odd).unionByName(holes), alike, ["mkt_rf", "gmb", "again"])
+    fits = {r.firm_id: r for r in table.collect()}
+    assert set(fits) == {f"F{i}" for i in range(5)} | {"flat", "holes"} and fits["holes"].n == 66
+    for name in ("F0", "F3", "holes"):
+        x = p.filter(F.col("firm_id") == (name if name != "holes" else "F4")).toPandas().merge(plain, on="month").sort_values("month")
+        x = x if name != "holes" else x[[m.month != 3 for m in x["month"]]]
+        a, y = np.column_stack([np.ones(len(x)), x[["mkt_rf", "gmb", "mkt_rf"]].to_numpy()]), (x["ret"] - x["rf"]).to_numpy()
+        inverse = np.linalg.pinv(a.T @ a)
+        beta = inverse @ a.T @ y
+        e = y - a @ beta
+        s = a * e[:, None]
+        meat = s.T @ s + sum((1 - lag / 7) * (c + c.T) for lag in range(1, 7) for c in [s[lag:].T @ s[:-lag]])
+        own = fits[name]
+        assert np.allclose([own.alpha, own.b_mkt_rf, own.b_gmb, own.b_again], beta) and math.isclose(own.alpha_t, beta[0] / math.sqrt((inverse @ meat @ inverse)[0, 0]), rel_tol=1e-6)
+        assert math.isclose(own.idio_var, e @ e / (len(y) - 4)) and math.isclose(own.r2, 1 - e @ e / ((y - y.mean()) ** 2).sum())
+    assert fits["flat"].r2 is None and fits["flat"].n == 72
+    assert factors.exposures(p.limit(0), f, ["gmb"]).count() == 0 and factors.exposures(p.limit(30), f, [], least=40).count() == 0
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
 def test_newey_west_and_fixed_effects_match_plain_formulas(spark):
     v = [0.1, 0.3, -0.2, 0.4, 0.25, 0.1]
     df = spark.createDataFrame([(2000 + i, x) for i, x in enumerate(v)], "year int, v double")

@@ -207,42 +207,44 @@ def validation_table(firm_year: DataFrame, outcomes: DataFrame, industry: str =
     return predictive_regression(firm_year, outcomes, ["d_log_scope1_next", "d_log_intensity_next"], industry=industry)
 
 
-def _alpha(frame: pd.DataFrame, names: list[str], lags: int) -> dict:
-    y, x = frame["exret"].to_numpy(float), np.column_stack([np.ones(len(frame)), frame[names].to_numpy(float)])
-    n, k = x.shape
-    bread = np.linalg.pinv(x.T @ x)
-    beta = bread @ x.T @ y
-    e = y - x @ beta
-    s = x * e[:, None]
-    meat = s.T @ s
-    for lag in range(1, min(lags, n - 1) + 1):
-        cross = s[lag:].T @ s[:-lag]
-        meat += (1 - lag / (lags + 1)) * (cross + cross.T)
-    cov = bread @ meat @ bread
-    total = ((y - y.mean()) ** 2).sum()
-    return {
-        "alpha": beta[0], "alpha_t": beta[0] / math.sqrt(cov[0, 0]) if cov[0, 0] > 0 else None, "r2": 1 - (e @ e) / total if total > 0 else None, "n": n,
-        "idio_var": (e @ e) / (n - k) if n > k else None, **{f"b_{c}": b for c, b in zip(names, beta[1:])},
-    }
-
-
 def exposures(panel: DataFrame, factors: DataFrame, names: list[str], by: str = "firm_id", least: int = 24, lags: int = 6) -> DataFrame:
     """Alpha regression of each firm with ``least`` excess returns: alpha, its Newey-West t, r2, n, betas, idio_var.
 
-    A firm has a row a month, so a group of its history is small.
+    The panel is shuffled once, by firm. Cross products of a firm are sums, and batches of small systems are solved;
+    what a row adds to alpha meets that of the ``lags`` rows before it in a window. Rows of a month that repeats count
+    each, in any order. t is null where its variance is not above 0, r2 where returns don't vary; rows without a key take no part.
     """
     df = panel.join(F.broadcast(factors.select("month", "rf", *names)), "month").withColumn("exret", F.col("ret") - F.col("rf"))
-    df = df.filter(" and ".join(f"{c} is not null" for c in ["exret", *names])).select(by, "month", "exret", *names)
-    kind = dict(panel.dtypes)[by]
+    df = df.filter(" and ".join(f"{c} is not null" for c in ["exret", *names, by])).select(by, "month", "exret", *names).repartition(by)
+    x, y = [F.lit(1.0), *(F.col(c) for c in names)], F.col("exret")
+    k = len(x)
+    sums = df.groupBy(by).agg(
+        F.count("*").alias("_n"), (F.var_pop(y) * F.count("*")).alias("_total"),
+        F.array(*(F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k))).alias("_xx"), F.array(*(F.sum(c * y) for c in x)).alias("_xy"),
+    )
 
-    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) < least:
-            return pd.DataFrame(columns=[by, *schema_names])
-        return pd.DataFrame([{by: key[0], **_alpha(frame.sort_values("month"), names, lags)}])[[by, *schema_names]]
-
-    schema_names = ["alpha", "alpha_t", "r2", "n", "idio_var", *(f"b_{c}" for c in names)]
-    schema = f"{by} {kind}, alpha double, alpha_t double, r2 double, n long, idio_var double, " + ", ".join(f"b_{c} double" for c in names)
-    return df.groupBy(by).applyInPandas(fit, schema)
+    @F.pandas_udf("array<double>")
+    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
+        if not len(xx):
+            return pd.Series([], dtype=object)
+        inverse = panels.inverse_grams(xx, k)
+        beta = (inverse @ np.stack(xy.to_numpy())[:, :, None])[:, :, 0]
+        return pd.Series(list(np.concatenate([beta, inverse[:, 0]], 1)))
+
+    fits = sums.filter(F.col("_n") >= least).withColumn("_fit", solve("_xx", "_xy"))
+    told = ["_n", "_total", *(f"_b{i}" for i in range(k))]
+    fits = fits.select(by, "_n", "_total", *(F.col("_fit")[i].alias(f"_b{i}") for i in range(k)), *(F.col("_fit")[k + i].alias(f"_q{i}") for i in range(k)))
+    added = lambda letter: sum((x[i] * F.col(f"{letter}{i}") for i in range(1, k)), F.col(f"{letter}0"))
+    rows = df.join(fits, by).withColumn("_e", y - added("_b")).withColumn("_u", F.col("_e") * added("_q"))
+    before = Window.partitionBy(by).orderBy("month")
+    lagged = sum((F.coalesce(F.lag("_u", lag).over(before), F.lit(0.0)) * (1 - lag / (lags + 1)) for lag in range(1, lags + 1)), F.lit(0.0))
+    rows = rows.withColumn("_v", F.col("_u") * (F.col("_u") + 2 * lagged))
+    out = rows.groupBy(by).agg(*(F.any_value(c).alias(c) for c in told), F.sum(F.col("_e") * F.col("_e")).alias("_ssr"), F.sum("_v").alias("_var"))
+    n, total, ssr, var = (F.col(c) for c in ("_n", "_total", "_ssr", "_var"))
+    return out.select(
+        by, F.col("_b0").alias("alpha"), F.when(var > 0, F.col("_b0") / F.sqrt(var)).alias("alpha_t"), F.when(total > 0, 1 - ssr / total).alias("r2"), n.alias("n"),
+        F.when(n > k, ssr / (n - k)).alias("idio_var"), *(F.col(f"_b{i}").alias(f"b_{c}") for i, c in enumerate(names, 1)),
+    )
 
 
 def expected_returns(betas: DataFrame, means: DataFrame) -> DataFrame:

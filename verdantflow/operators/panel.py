@@ -129,6 +129,14 @@ def rolling_market_beta(panel: DataFrame, factors: DataFrame, window: int = 60,
     return df.withColumn("beta_m", F.when(enough, F.covar_samp(y, x).over(w) / F.var_samp("mkt_rf").over(w)))
 
 
+def inverse_grams(upper: pd.Series, k: int) -> np.ndarray:
+    """Pseudoinverses of k x k cross products, each given as its upper triangle by rows; there is at least one."""
+    gram = np.zeros((len(upper), k, k))
+    rows, cols = np.triu_indices(k)
+    gram[:, rows, cols] = gram[:, cols, rows] = np.stack(upper.to_numpy())
+    return np.linalg.pinv(gram)
+
+
 def rolling_betas(panel: DataFrame, factors: DataFrame, names: list[str], window: int = 36, least: int = 24) -> DataFrame:
     """Betas of each firm and month by least squares over the ``window`` complete rows before it.
 
@@ -151,12 +159,7 @@ def rolling_betas(panel: DataFrame, factors: DataFrame, names: list[str], window
         out = np.full((len(n), k), np.nan)
         use = (n >= least).to_numpy()
         if use.any():
-            gram = np.zeros((int(use.sum()), k, k))
-            rows, cols = np.triu_indices(k)
-            flat = np.stack(xx[use].to_numpy())
-            gram[:, rows, cols] = flat
-            gram[:, cols, rows] = flat
-            out[use] = (np.linalg.pinv(gram) @ np.stack(xy[use].to_numpy())[:, :, None])[:, :, 0]
+            out[use] = (inverse_grams(xx[use], k) @ np.stack(xy[use].to_numpy())[:, :, None])[:, :, 0]
         return pd.Series([None if np.isnan(r).any() else r for r in out])
 
     solved = df.filter(F.col("all") >= least).withColumn("b", solve("n", "xx", "xy"))
