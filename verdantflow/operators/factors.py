@@ -219,7 +219,7 @@ def exposures(panel: DataFrame, factors: DataFrame, names: list[str], by: str =
     x, y = [F.lit(1.0), *(F.col(c) for c in names)], F.col("exret")
     k = len(x)
     sums = df.groupBy(by).agg(
-        F.count("*").alias("_n"), (F.var_pop(y) * F.count("*")).alias("_total"),
+        F.count("month").alias("_n"), (F.var_pop(y) * F.count("month")).alias("_total"),  # the same columns as below, so that the shuffle serves both
         F.array(*(F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k))).alias("_xx"), F.array(*(F.sum(c * y) for c in x)).alias("_xy"),
     )
 
@@ -235,7 +235,7 @@ def exposures(panel: DataFrame, factors: DataFrame, names: list[str], by: str =
     told = ["_n", "_total", *(f"_b{i}" for i in range(k))]
     fits = fits.select(by, "_n", "_total", *(F.col("_fit")[i].alias(f"_b{i}") for i in range(k)), *(F.col("_fit")[k + i].alias(f"_q{i}") for i in range(k)))
     added = lambda letter: sum((x[i] * F.col(f"{letter}{i}") for i in range(1, k)), F.col(f"{letter}0"))
-    rows = df.join(fits, by).withColumn("_e", y - added("_b")).withColumn("_u", F.col("_e") * added("_q"))
+    rows = df.join(fits.hint("merge"), by).withColumn("_e", y - added("_b")).withColumn("_u", F.col("_e") * added("_q"))
     before = Window.partitionBy(by).orderBy("month")
     lagged = sum((F.coalesce(F.lag("_u", lag).over(before), F.lit(0.0)) * (1 - lag / (lags + 1)) for lag in range(1, lags + 1)), F.lit(0.0))
     rows = rows.withColumn("_v", F.col("_u") * (F.col("_u") + 2 * lagged))
