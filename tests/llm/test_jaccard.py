@@ -49,7 +49,7 @@ def check(spark, rows, **kw):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("block,long", [(7, 1 << 17), (256, 1 << 17), (7, 1), (256, 20)])
+@pytest.mark.parametrize("block,long", [(1, 1 << 17), (7, 1 << 17), (256, 1 << 17), (7, 1), (256, 20)])
 def test_families_match_brute_force(spark, block, long, monkeypatch):
     monkeypatch.setattr(components, "HEAVY", 5 if block == 7 else 1000)
     rng = random.Random(5)

@@ -20,7 +20,7 @@ def alike(a, b):
     return bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
 
 
-@pytest.mark.parametrize("block", [7, 256])
+@pytest.mark.parametrize("block", [1, 2, 7, 256])  # blocks of 1 and 2 meet in tiles
 def test_every_link_is_counted_once(spark, block):
     rng = random.Random(15)
     rows = []

@@ -37,6 +37,9 @@ from verdantflow.llm.words import shingle_sets
 
 SKETCH_BITS = 23
 BLOCK = 256
+#: Blocks of a tile at most, and bytes of their differences.
+TILE = 16
+TILE_BYTES = 16 << 20
 LONG_LIST = 1 << 17
 BROADCAST_ROLES = 500_000
 _U = np.uint64
@@ -209,14 +212,15 @@ def _forest(x: np.ndarray, y: np.ndarray, size: int, joined: np.ndarray) -> list
 
 
 def _compare(batches, percent: int, counted: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, left, right): links between the members of two blocks, from their differences.
+    """Rows sorted by (hub, left, right, block): links between the members of two tiles, block by block, from their differences.
 
-    Links (a, b) that join classes and, if ``counted``, for each member (f1, f2) the documents that it links to.
+    Links (a, b) that join classes and, if ``counted``, for each member (f1, f2) the documents that it links to,
+    summed over the two tiles. A tile has at most ``TILE`` blocks and ``TILE_BYTES`` of differences (or is one block).
     """
     schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "f1", "f2", "n")])
 
     def links(rows: list[tuple]) -> tuple[list[tuple[int, int]], np.ndarray | None]:
-        ids, n, less, linked, block, diffs, _, _, copies, lower = zip(*rows)
+        ids, n, less, linked, block, diffs, _, _, copies, lower, _ = zip(*rows)
         n, less, linked, block = np.array(n), np.array(less), np.array(linked), np.array(block)
         token, count = np.concatenate([np.frombuffer(d, _U) for d in diffs]), np.array([len(d) // 8 for d in diffs])
         value, code, times = np.unique(token, return_inverse=True, return_counts=True)
@@ -253,16 +257,27 @@ def _compare(batches, percent: int, counted: bool) -> Iterator[pa.RecordBatch]:
         return [(ids[a], ids[b]) for a, b in _forest(x, y, len(ids), linked)], sums
 
     def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found, sums = links(rows) if len(rows) > 1 else ([], None)
-        made = [(a, b, None, None, None) for a, b in found]
-        if sums is not None:
-            made += [(None, None, x[6], x[7], k) for x, k in zip(rows, sums.tolist()) if k]
+        begins = [i for i, r in enumerate(rows) if not i or r[4] != rows[i - 1][4]]
+        spans = [range(a, b) for a, b in zip(begins, [*begins[1:], len(rows)])]
+        settled = [not counted and all(rows[i][3] for i in s) for s in spans]
+        totals, made = np.zeros(len(rows), np.int64), []
+        for p, one in enumerate(spans):
+            for q, two in enumerate(spans[p:], p):
+                if (key[2] != key[3] and rows[one[0]][10] == rows[two[0]][10]) or (settled[p] and settled[q]):
+                    continue  # blocks of one tile meet where it meets itself
+                own = [*one] if p == q else [*one, *two]
+                if len(own) > 1:
+                    found, sums = links([rows[i] for i in own])
+                    made += [(a, b, None, None, None) for a, b in found]
+                    if sums is not None:
+                        totals[own] += sums
+        made += [(None, None, r[6], r[7], k) for r, k in zip(rows, totals.tolist()) if k]
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], schema=schema)
 
     key, rows, rows_hub_n = None, [], 0
     for batch in batches:
-        for h1, h2, left, right, *row, hub_n in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "left", "right", "id", "n", "less", "linked", "block", "diff", "f1", "f2", "copies", "lower", "hub_n"))):
+        for h1, h2, left, right, *row, hub_n in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "left", "right", "id", "n", "less", "linked", "block", "diff", "f1", "f2", "copies", "lower", "tile", "hub_n"))):
             if key != (h1, h2, left, right):
                 yield from out(rows)
                 key, rows, rows_hub_n = (h1, h2, left, right), [], hub_n
@@ -279,7 +294,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the class of its own text (rows of one id count as linked); ids are cast to long, and a null id is kept
     with a null class and links nothing. Other columns
     of ``docs`` play no part, whatever their names. With ``count_links`` there is a column ``n_links long``: with
-    how many other rows this one's text links, equal texts among them.
+    how many other rows this one's text links, equal texts among them. Shingles and sets are told apart by hashes of
+    64 and 128 bits, so results are exact up to a collision.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -299,13 +315,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = lists.mapInArrow(_hubs, "h1 long, f1 long")
     if (level >= long).any():
         edges = edges.unionByName(_long_hubs(posted(True)))
-    edges = edges.distinct().join(classes.select("f1", "f2", F.col("representative").alias("id")), "f1")
-    hubs = classes.select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), F.col("representative").alias("hub"))
-    edges = written(edges.join(hubs, "h1").select("h1", "h2", "hub", "f1", "f2", "id"), "edges")
+    edges = written(edges.distinct().join(classes.select("f1", "f2", F.col("representative").alias("id")), "f1"), "members")
 
     group = ["h1", "h2"]  # both halves of the hub's fingerprint
-    sized = edges.groupBy(*group, "hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = edges.join(sized.drop("hub"), group).select(*group, "hub", F.pmod(F.xxhash64("f1", "f2"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "id", "f1", "f2")
+    hubs = classes.select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), F.col("representative").alias("hub"))
+    sized = edges.groupBy("h1").agg(F.count("*").alias("edges"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sized = written(hubs.join(sized, "h1"), "hubs")
+    edges = written(join_counted(edges, sized, ["h1"], "edges").select(*group, "hub", "f1", "f2", "id", "blocks"), "edges")
+    members = edges.select(*group, "hub", F.pmod(F.xxhash64("f1", "f2"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "id", "f1", "f2")
     heads = sized.select(*group, "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("hub").alias("id"), F.col("h1").alias("f1"), F.col("h2").alias("f2"))
     # each role with the set of its class; the text of a class is that of its representative
     roles = written(members.unionByName(heads), "roles")
@@ -323,15 +340,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     faced = faced.repartition(*group, "block").sortWithinPartitions(*group, "block", "role", "id", "f1", "f2")
     answers = written(faced.mapInArrow(lambda b: _answers(b, percent), "h1 long, h2 long, hub long, block int, id long, n long, less long, hub_n long, linked boolean, diff binary, f1 long, f2 long, copies long, hub_copies long, owned boolean, lower binary"), "answers")
 
-    # pairs of blocks of one hub of which at least one member hasn't answered the hub; all pairs to count links
+    # Pairs of tiles of blocks of one hub of which at least one member hasn't answered the hub; all pairs to count links.
+    # A row meets each tile once: at most 9 times in hubs of up to 8 * TILE blocks, and a TILE-th of the blocks beyond.
     still = F.lit(True) if count_links else ~F.col("linked")
-    state = answers.groupBy(*group, "block").agg(F.sum(still.cast("long")).alias("open"), F.count("*").alias("rows"))
-    unsettled = state.groupBy(*group).agg(F.sum("open").alias("open"), F.sum("rows").alias("rows")).filter("open > 0 and rows > 1").select(*group)
-    state = state.join(unsettled, group, "left_semi")
-    other = state.select(*group, F.col("block").alias("right"), F.col("open").alias("open2"))
-    pairs = state.select(*group, F.col("block").alias("left"), "open").join(other, group).filter("left <= right and open + open2 > 0").select(*group, "left", "right")
-    ends = pairs.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    compared = answers.join(ends, [*group, "block"]).select(*group, "left", "right", "id", "n", "less", "linked", "block", "diff", "f1", "f2", "copies", "lower", "hub_n")
+    length = 8 * F.sum(F.col("n") - F.col("hub_n") + 2 * F.col("less"))  # of the differences
+    state = answers.groupBy(*group, "block").agg(F.sum(still.cast("long")).alias("open"), F.count("*").alias("rows"), length.alias("bytes"))
+    unsettled = state.groupBy(*group).agg(F.sum("open").alias("open"), F.sum("rows").alias("rows"), F.max("bytes").alias("bytes"), F.max("block").alias("last")).filter("open > 0 and rows > 1")
+    width = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor((F.col("last") + 1) / 8), F.floor(TILE_BYTES / F.greatest("bytes", F.lit(1)))))
+    state = written(state.join(unsettled.select(*group, width.alias("width")), group).select(*group, "block", F.floor(F.col("block") / F.col("width")).cast("int").alias("tile"), "open"), "blocks")
+    tiles = state.groupBy(*group, "tile").agg(F.sum("open").alias("open"))
+    other = tiles.select(*group, F.col("tile").alias("right"), F.col("open").alias("open2"))
+    pairs = tiles.select(*group, F.col("tile").alias("left"), "open").join(other, group).filter("left <= right and open + open2 > 0").select(*group, "left", "right")
+    ends = pairs.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("tile")).join(state.drop("open"), [*group, "tile"])
+    compared = answers.join(ends, [*group, "block"]).select(*group, "left", "right", "id", "n", "less", "linked", "block", "diff", "f1", "f2", "copies", "lower", "tile", "hub_n")
     compared = compared.repartition(*group, "left", "right").sortWithinPartitions(*group, "left", "right", "block")
     derived = compared.mapInArrow(lambda b: _compare(b, percent, count_links), "a long, b long, f1 long, f2 long, n long")
     if count_links:
