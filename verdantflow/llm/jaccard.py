@@ -341,7 +341,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     answers = written(faced.mapInArrow(lambda b: _answers(b, percent), "h1 long, h2 long, hub long, block int, id long, n long, less long, hub_n long, linked boolean, diff binary, f1 long, f2 long, copies long, hub_copies long, owned boolean, lower binary"), "answers")
 
     # Pairs of tiles of blocks of one hub of which at least one member hasn't answered the hub; all pairs to count links.
-    # A row meets each tile once: at most 9 times in hubs of up to 8 * TILE blocks, and a TILE-th of the blocks beyond.
+    # A row is sent once for each tile: at most 15 times in hubs of up to 8 * TILE blocks, and for a TILE-th of the blocks
+    # beyond, unless long differences make tiles smaller.
     still = F.lit(True) if count_links else ~F.col("linked")
     length = 8 * F.sum(F.col("n") - F.col("hub_n") + 2 * F.col("less"))  # of the differences
     state = answers.groupBy(*group, "block").agg(F.sum(still.cast("long")).alias("open"), F.count("*").alias("rows"), length.alias("bytes"))
