@@ -13,6 +13,8 @@ from verdantflow.functions import numbers, ranks, text
 from verdantflow.operators.documents import first_of
 
 SIZES = {"small": (0.0, 1 / 3), "mid": (1 / 3, 2 / 3), "large": (2 / 3, 1.0)}
+#: Values of a screen that are broadcast, more of them are joined by a shuffle.
+MOST_VALUES = 100_000
 
 
 @dataclass(frozen=True)
@@ -57,18 +59,30 @@ def known_values(requested: DataFrame, universe: DataFrame, column: str) -> Data
     return requested.join(universe.select(F.col(column).alias("value")).distinct(), "value", "left_semi")
 
 
-def keyword_screen(requests: DataFrame, values: DataFrame) -> DataFrame:
+def keyword_screen(requests: DataFrame, values: DataFrame, most: int = MOST_VALUES) -> DataFrame:
     """``request_id, dimension, value, negated`` for each value that a free text names by whole words.
 
-    ``values``: the distinct values of a universe by dimension, a small table. A value is negated if the words
-    before it say so. Words of the text meet words of the values by a hash join; whole values are checked after.
+    ``values``: the distinct values of a universe by dimension. A value is negated if the words before it say so. Words of the text
+    meet first words of the values by a hash join, and whole values are checked after. Up to ``most`` values (counted first) are
+    broadcast; more are met by a shuffle of words without their texts. Texts, which the planner takes for no larger than
+    their files, are never broadcast.
     """
-    word = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("word")
-    first = F.element_at(F.filter(F.split(F.lower("value"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1)
-    met = requests.select("request_id", "text", word).join(values.withColumn("word", first), "word")
-    padded = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " "), F.lit(" "))
-    whole = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower("value"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " "), F.lit(" "))
-    found = met.withColumns({"p": padded, "v": whole}).filter(F.contains("p", F.col("v")))
+
+    def split(c: str) -> Column:
+        return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def padded(c: str) -> Column:
+        return F.concat(F.lit(" "), F.array_join(split(c), " "), F.lit(" "))
+
+    word = F.explode(F.array_distinct(split("text"))).alias("word")
+    named = values.select("dimension", "value", padded("value").alias("v"), F.try_element_at(split("value"), F.lit(1)).alias("word")).filter("word is not null")
+    if named.limit(most + 1).count() <= most:
+        met = requests.select("request_id", "text", word).join(F.broadcast(named), "word")
+    else:
+        ids = requests.select("request_id", word).distinct().join(named.hint("merge"), "word").drop("word")
+        texts = requests.select(F.col("request_id").alias("_id"), "text").filter("text is not null")
+        met = ids.join(texts.hint("merge"), F.col("request_id").eqNullSafe(F.col("_id"))).drop("_id")
+    found = met.withColumn("p", padded("text")).filter(F.contains("p", F.col("v")))
     before = F.expr("substring(p, 1, instr(p, v) - 1)")
     return found.select("request_id", "dimension", "value", before.rlike(r"\b(no|not|without|avoid|exclude|excluding)( \w+)?$").alias("negated")).distinct()
 
