@@ -184,10 +184,13 @@ def without_elements(html: Column, names: tuple[str, ...]) -> Column:
     return bound(pieces, kept)
 
 
-def unescaped(text: Column) -> Column:
-    """Text with its character references as characters, in one pass: numbers, and names of the common table; unknown names stay."""
+def unescaped(text: Column, unclosed: bool = True) -> Column:
+    """Text with its character references as characters, in one pass: numbers, and names of the common table; unknown names stay.
+
+    ``unclosed``: also references without their semicolon, as browsers read them; else these stay, too.
+    """
     table = F.create_map(*(F.lit(v) for name, code in sorted(name2codepoint.items()) for v in (name, chr(code))), F.lit("apos"), F.lit("'"))
-    marked = F.regexp_replace(F.translate(text, "\x01\x02", ""), r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?", "\x01$1\x02$0\x02")
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", ""), r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});" + "?" * unclosed, "\x01$1\x02$0\x02")
 
     def char(name: Column) -> Column:
         code = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
@@ -205,19 +208,19 @@ def without_tags(html: Column, instead: str = "") -> Column:
     return F.regexp_replace(x, r"</?[A-Za-z!?][^>]*+(?:>|\z)", instead)
 
 
-def html_text(html: Column, dropped: tuple[str, ...] = ("script", "style", "head")) -> Column:
-    """Readable text of a page: blocks on lines of their own, without the dropped elements, character references read."""
+def html_text(html: Column, dropped: tuple[str, ...] = ("script", "style", "head"), unclosed: bool = True) -> Column:
+    """Readable text of a page: blocks on lines of their own, without the dropped elements, character references read (see ``unescaped``)."""
     raw = tuple(t for t in dropped if t in ("script", "style"))
     x = without_elements(without_raw(html, raw), tuple(t for t in dropped if t not in raw))
     x = F.regexp_replace(x, r"(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table|section|article)\s*>", "\n")
-    x = unescaped(without_tags(x))
+    x = unescaped(without_tags(x), unclosed)
     x = F.regexp_replace(F.regexp_replace(x, r"[ \t\r\xA0]+", " "), r" ?\n ?", "\n")
     return F.trim(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
-def page_lines(html: Column, most: int | None = None) -> Column:
+def page_lines(html: Column, most: int | None = None, unclosed: bool = True) -> Column:
     """Text of a page without navigation: its lines that aren't empty, all or cut to ``most`` characters."""
-    lines = F.split(html_text(html, ("script", "style", "head", "nav", "footer", "header")), "\n")
+    lines = F.split(html_text(html, ("script", "style", "head", "nav", "footer", "header"), unclosed), "\n")
     text = F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
     return text if most is None else F.left(text, F.lit(most))
 
