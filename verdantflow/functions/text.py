@@ -65,13 +65,15 @@ def occurrences(text: Column, term: str) -> Column:
 
 
 def contexts(text: Column, terms, reach: int = 10) -> Column:
-    """The words around each word that contains a term, joined by spaces, lower-cased."""
+    """The words around each word that contains a term, joined by spaces, lower-cased. A text without a term isn't cut into words."""
+    one = term_trie(terms) if terms and all(terms) else alternation(terms, False)
 
     def around(w: Column) -> Column:
-        found = F.filter(F.transform(w, lambda x, i: F.when(x.rlike(alternation(terms, False)), i)), lambda i: i.isNotNull())
+        found = F.filter(F.transform(w, lambda x, i: F.when(x.rlike(one), i)), lambda i: i.isNotNull())
         return F.transform(found, lambda i: F.array_join(F.slice(w, F.greatest(i + 1 - reach, F.lit(1)), F.least(i + 1 + reach, F.size(w)) - F.greatest(i + 1 - reach, F.lit(1)) + 1), " "))
 
-    return bound(F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda x: x != ""), around)
+    cut = bound(F.lower(F.trim(text)), lambda t: F.when(t.rlike(one), F.filter(F.split(t, r"\s+"), lambda x: x != "")).otherwise(F.array().cast("array<string>")))
+    return bound(cut, around)
 
 
 def _mean(parts: Column, value) -> Column:
@@ -84,16 +86,45 @@ def _mean(parts: Column, value) -> Column:
 
 def windowed_sentiment(text: Column, terms=words.ENV_TERMS, positive=words.POSITIVE, negative=words.NEGATIVE, reach: int = 10) -> Column:
     """Positive less negative occurrences in the context of a hit, mean over hits; 0 without a hit."""
+    return context_measures(text, terms, positive, negative, reach)["tone"]
+
+
+def context_share(text: Column, marks, terms=words.ENV_TERMS, reach: int = 10) -> Column:
+    """Share of hits with any of the marks in their context: forward-looking or realised talk."""
+    return context_measures(text, terms, None, None, reach, share=marks)["share"]
+
+
+def context_measures(text: Column, terms=words.ENV_TERMS, positive=words.POSITIVE, negative=words.NEGATIVE, reach: int = 10, **shares) -> Column:
+    """A struct of ``tone`` (unless ``positive`` is None) and the share of hits near each list of marks, from contexts that are cut once."""
 
     def tone(c: Column) -> Column:
         return sum((occurrences(c, p) for p in positive), F.lit(0.0)) - sum((occurrences(c, n) for n in negative), F.lit(0.0))
 
-    return _mean(contexts(text, terms, reach), tone)
+    def measures(found: Column) -> Column:
+        own = [] if positive is None else [_mean(found, tone).alias("tone")]
+        return F.struct(*own, *(_mean(found, lambda c, m=marks: c.rlike(alternation(m, False)).cast("int")).alias(name) for name, marks in shares.items()))
 
+    return bound(contexts(text, terms, reach), measures)
 
-def context_share(text: Column, marks, terms=words.ENV_TERMS, reach: int = 10) -> Column:
-    """Share of hits with any of the marks in their context: forward-looking or realised talk."""
-    return _mean(contexts(text, terms, reach), lambda c: c.rlike(alternation(marks, False)).cast("int"))
+
+def cosine(text: Column, vocabulary: dict[str, float]) -> Column:
+    """Cosine of a text's token counts with a weighted vocabulary, within the row; 0 if either is empty.
+
+    Equal tokens are neighbours once they are sorted, so the sum of squared counts grows by 2 n + 1 with the next of n equal ones.
+    """
+    norm = sum(v * v for v in vocabulary.values()) ** 0.5
+    if not norm:
+        return F.lit(0.0)
+    weight = F.create_map(*(F.lit(x) for pair in vocabulary.items() for x in (pair[0], float(pair[1]))))
+
+    def of(t: Column) -> Column:
+        dot = F.aggregate(F.filter(t, lambda x: x.isin(*vocabulary)), F.lit(0.0), lambda s, x: s + F.try_element_at(weight, x))
+        start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
+        same = lambda s, x: F.when(s["t"] == x, s["n"]).otherwise(F.lit(0).cast("long"))
+        squares = F.aggregate(F.array_sort(t), start, lambda s, x: F.struct(x.alias("t"), (same(s, x) + 1).alias("n"), (s["s"] + 2 * same(s, x) + 1).alias("s")), lambda s: s["s"])
+        return F.when(F.size(t) > 0, dot / (F.sqrt(squares) * F.lit(norm))).otherwise(0.0)
+
+    return bound(tokens(text), of)
 
 
 def segments(text: Column, separator: str = r"\n\s*\n", least: int = 20) -> Column:

@@ -89,7 +89,8 @@ def document_metrics(docs: DataFrame, version: str = "1") -> DataFrame:
     counts = dictionary_counts(hits)
     listed = hits.filter("term is not null").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("o"), "term", "hits", "clean_hits"))), lambda s: F.struct(s["term"].alias("term"), s["hits"].alias("hits"), s["clean_hits"].alias("clean_hits"))).alias("terms"))
     rate = lambda c: F.when(F.col("n_words") > 0, 1000 * F.col(c) / F.col("n_words")).otherwise(0.0)
-    tone = docs.select(F.col("accession").alias("id"), tx.windowed_sentiment(F.col("text")).alias("env_sentiment"), tx.context_share(F.col("text"), words.FORWARD_TERMS).alias("forward_looking_share"), tx.context_share(F.col("text"), words.REALISED_TERMS).alias("realised_share"))
+    near = docs.select(F.col("accession").alias("id"), tx.context_measures(F.col("text"), forward=words.FORWARD_TERMS, realised=words.REALISED_TERMS).alias("m"))
+    tone = near.select("id", F.col("m.tone").alias("env_sentiment"), F.col("m.forward").alias("forward_looking_share"), F.col("m.realised").alias("realised_share"))
     out = counts.join(listed, "id", "left").join(tone, "id")
     risk = F.when(F.col("n_claim_all") > 0, 1 - F.col("n_claim") / F.col("n_claim_all"))
     return out.select(F.col("id").alias("accession"), F.struct("n_words", "n_green", "n_claim_all", "n_claim").alias("counts"), F.struct(rate("n_green").alias("green_per_1000"), rate("n_claim").alias("claim_per_1000"), risk.alias("risk_context_share")).alias("intensity"), F.struct("env_sentiment", "forward_looking_share", "realised_share").alias("tone"), "terms", F.lit(version).alias("version"))
