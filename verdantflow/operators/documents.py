@@ -26,14 +26,17 @@ def vocabulary_cosine(docs: DataFrame, vocabulary: dict[str, float], id_col: str
 
 
 def glossiness(docs: DataFrame, vocabulary: dict[str, float], separator: str = r"\n\s*\n", least_cosine: float = 0.01, **sentiment) -> DataFrame:
-    """``accession, n_segments, share, tone, glossiness``: share of segments near the vocabulary times their tone, 0 at least."""
-    parts = docs.select("accession", F.posexplode(tx.segments(F.col("text"), separator)).alias("pos", "segment"))
-    keyed = parts.withColumn("key", F.struct("accession", "pos"))
-    near = keyed.join(vocabulary_cosine(keyed, vocabulary, "key", "segment").withColumnRenamed("id", "key"), "key")
-    kept = F.when(F.col("cosine") > least_cosine, F.struct("pos", "segment"))
-    out = near.groupBy("accession").agg(F.count("*").alias("n_segments"), F.count(kept).alias("n_near"), F.array_sort(F.collect_list(kept)).alias("near"))
-    out = out.withColumns({"share": F.col("n_near") / F.col("n_segments"), "tone": tx.windowed_sentiment(F.array_join(F.transform("near", lambda s: s["segment"]), " "), **sentiment)})
-    out = docs.select("accession").join(out.drop("near", "n_near"), "accession", "left").fillna(0)
+    """``accession, n_segments, share, tone, glossiness``: share of segments near the vocabulary times their tone, 0 at least.
+
+    A document is worked out within its row: no segment and no token is shuffled.
+    """
+    near = lambda parts: F.filter(parts, lambda s: tx.cosine(s, vocabulary) > least_cosine)
+    found = tx.bound(tx.segments(F.col("text"), separator), lambda parts: F.struct(F.size(parts).alias("n"), near(parts).alias("near")))
+    out = docs.select("accession", found.alias("_f"))
+    n = F.when(F.col("_f.n") > 0, F.col("_f.n")).otherwise(0).cast("long")
+    share = F.coalesce(F.try_divide(F.size("_f.near"), n), F.lit(0.0))
+    tone = F.coalesce(tx.windowed_sentiment(F.array_join("_f.near", " "), **sentiment), F.lit(0.0))
+    out = out.select("accession", n.alias("n_segments"), share.alias("share"), tone.alias("tone"))
     return out.withColumn("glossiness", F.col("share") * F.greatest(F.col("tone"), F.lit(0.0)))
 
 
