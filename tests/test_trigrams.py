@@ -1,6 +1,7 @@
 """Searches by the trigram index find what a scan of all texts finds."""
 
 import itertools
+import re
 
 import pyarrow.parquet as pq
 import pytest
@@ -68,3 +69,18 @@ def test_many_candidates_are_joined(monkeypatch, firms, index):
     few = sorted(map(str, trigrams.search(index, "hk", 100).collect()))
     monkeypatch.setattr(trigrams, "LOOKED_UP", 0)
     assert sorted(map(str, trigrams.search(index, "hk", 100).collect())) == few and len(few) == len(NAMES) + 1
+
+
+def test_more_rows_make_more_tasks_not_larger_ones(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(trigrams, "PIECE", 2_000, raising=False)
+    ids = spark.range(2_000).select((F.col("id") % 1_900).cast("string").alias("firm_id"), F.concat(F.lit("all "), F.md5(F.col("id").cast("string"))).alias("name"))
+    index = trigrams.build(ids, ["name"], folder=str(tmp_path))
+    n = index.postings.count()
+    assert n == index.postings.distinct().count() and len(list(tmp_path.glob("postings/*.parquet"))) >= n // 4_000  # some ids are repeated
+    assert not (tmp_path / "grams").exists()
+    asked = spark.createDataFrame([(k, f"{k:02x}") for k in range(256)] + [(k, "all") for k in range(300, 310)], "query_id int, q string")
+    found = trigrams.search_many(index, asked)
+    parts = [int(k) for k in re.findall(r"hashpartitioning\(id#\d+, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())]
+    assert max(parts) >= 20  # some 60,000 pairs
+    want = ids.crossJoin(asked).filter(F.contains("name", "q")).select("query_id", F.col("firm_id").alias("id")).distinct()
+    assert found.count() == want.count() and found.exceptAll(want).count() == 0

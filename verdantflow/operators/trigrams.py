@@ -12,16 +12,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdantflow.shared import new_path
+from verdantflow.shared import new_path, written
 
 GRAM = 3
 #: Between the columns of a row, so that no gram of a text without it spans two of them.
 BETWEEN = "\u0001"
 #: Candidates up to this number are looked up in the table of rows by a pushed filter, more of them by a join.
 LOOKED_UP = 1_000
+#: Grams, postings or pairs that one task sorts or tells apart: more rows make more tasks, not larger ones.
+PIECE = 1_000_000
+#: Up to so many partitions Spark's shuffle writes rows to their files at once, beyond it holds them in memory first.
+MOST = 200
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,10 @@ class Index:
     id_col: str
 
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // PIECE))
+
+
 def _text(columns) -> Column:
     return F.lower(F.concat_ws(BETWEEN, *(F.col(c).cast("string") for c in columns)))
 
@@ -52,13 +60,20 @@ def build(df: DataFrame, columns: list[str], id_col: str = "firm_id", folder: st
     """Write the index of ``columns`` to ``folder`` (one in the shared folder unless given).
 
     Null columns hold no text; rows without text have no postings and match nothing; rows without an id are kept in ``rows`` but aren't
-    found. Repeated ids share postings, and every one of their rows is compared by itself.
+    found. Repeated ids share postings, and every one of their rows is compared by itself. Rows of an id come together before their
+    texts are cut, so their grams are told apart within tasks of about ``PIECE`` places.
     """
     spark, path = df.sparkSession, folder or new_path(df.sparkSession, "trigrams")
     df.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/rows")
     rows = spark.read.schema(df.schema).parquet(f"{path}/rows")
-    grams = rows.filter(F.col(id_col).isNotNull()).select(F.explode(_grams(_text(columns))).alias("gram"), F.col(id_col).alias("id")).distinct()
-    grams.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    texts = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _text(columns).alias("text"))
+    places = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = texts.repartition(_tasks(spark, places), "id")
+    texts.select(F.explode(_grams(F.col("text"))).alias("gram"), "id").distinct().write.mode("overwrite").parquet(f"{path}/grams")
+    grams = spark.read.parquet(f"{path}/grams")  # cut once, though ranges are sampled first
+    grams.repartitionByRange(min(MOST, _tasks(spark, grams.count())), "gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    unsorted = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/grams")
+    unsorted.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(unsorted, True)
     return read(df, columns, path, id_col)
 
 
@@ -128,7 +143,7 @@ def search_many(index: Index, queries: DataFrame, query_id: str = "query_id", qu
     Each query looks up the counts of its grams, keeps the rarest (all grams that begin with it, if it is shorter than one), and
     meets the postings of that gram alone; the pairs are then compared with the texts. Null and empty queries find
     nothing. A gram that many queries and rows share is split by adaptive skew handling, as its postings are rows. Equal texts
-    are searched once.
+    are searched once. Counts tell how many pairs there will be, and so the number of tasks that compare them.
     """
     q = F.lower(F.col(query))
     asked = queries.filter(F.length(q) > 0).select(F.col(query_id).alias("query_id"), q.alias("q"))
@@ -136,10 +151,14 @@ def search_many(index: Index, queries: DataFrame, query_id: str = "query_id", qu
     long = texts.filter(F.length("q") >= GRAM)
     # grams at the end of the text are shorter, and no row needs to have them
     own = long.select("q", F.explode(F.filter(_grams(F.col("q")), lambda g: F.length(g) == GRAM)).alias("gram"))
-    rarest = own.join(index.counts, "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    begins = index.counts.select("gram", F.explode(F.array(*(F.substring("gram", 1, k) for k in range(1, GRAM)))).alias("q")).distinct()
+    rarest = own.join(index.counts, "gram", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("q", "r.gram", "r.n")
+    begins = index.counts.select("gram", "n", F.explode(F.array(*(F.substring("gram", 1, k) for k in range(1, GRAM)))).alias("q")).distinct()
     short = texts.filter(F.length("q") < GRAM).join(begins, "q")
-    met = rarest.select("q", "gram").unionByName(short.select("q", "gram")).join(index.postings, "gram").select("q", "id").distinct()
-    parts = index.rows.select(F.col(index.id_col).alias("id"), F.array(*(F.lower(F.col(c).cast("string")) for c in index.columns)).alias("parts"))
-    found = met.join(parts, "id").filter(F.exists("parts", lambda p: F.contains(p, F.col("q")))).select("q", "id").distinct()
+    sought = written(rarest.unionByName(short.select("q", "gram", "n")), "sought")  # its size is known, so if small it is sent to the postings
+    pairs = sought.agg(F.sum("n")).first()[0] or 0
+    tasks = min(MOST, _tasks(queries.sparkSession, pairs + index.rows.count()))
+    met = sought.join(index.postings, "gram").select("q", "id").repartition(tasks, "id")
+    parts = index.rows.select(F.col(index.id_col).alias("id"), F.array(*(F.lower(F.col(c).cast("string")) for c in index.columns)).alias("parts")).repartition(tasks, "id")
+    # several grams of a short text, and several rows of an id, meet in one task: it keeps each pair once
+    found = met.join(parts.hint("merge"), "id").filter(F.exists("parts", lambda p: F.contains(p, F.col("q")))).select("q", "id").distinct()
     return asked.join(found, "q").select("query_id", "id")
