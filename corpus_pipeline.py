@@ -1,11 +1,16 @@
 """A corpus pipeline: language ID, near-duplicate removal, source mixing and packing, in this order.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept. All but the last
-return the columns of ``documents``; the last returns the packed pieces.
+return the columns of ``documents``; the last returns the packed pieces. Rows go to Python in batches of about
+``BATCH_BYTES``: Spark's own bound of 64 MB is held several times, by an executor and by each of its workers. It is a
+setting of the session and stays, as a stage's result may be lazy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ from verdantflow.llm.queries import MIX_WEIGHTS
 from verdantflow.llm.shared import written
 
 BROADCAST_IDS = 500_000
+BATCH_BYTES = 4 << 20
 SEED = 7
 
 
@@ -31,6 +37,16 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, a missing ``lang`` filled in; null texts and texts without a letter go.
 
@@ -46,6 +62,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.withColumn("lang", F.coalesce("lang", predicted)).select(docs.columns)
 
 
+@_in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near-duplicates; of rows that repeat an id and its text, one.
 
@@ -64,6 +81,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
+@_in_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, none to two copies each, so that each source comes near its target in words.
 
@@ -79,6 +97,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.coalesce(number, F.lit(1))))).select(docs.columns)
 
 
+@_in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in sequences of at most 1024 tokens; copies of a document are packed like any other."""
     return packing.best_fit_packing(docs, "byte_bpe_50k.json", kind="byte", end_id=2, capacity=1024)

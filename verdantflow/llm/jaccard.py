@@ -56,13 +56,13 @@ def _fingerprints(batches, n: int, bits: int) -> Iterator[pa.RecordBatch]:
             counts[place] += n.astype(np.uint32)
             waiting.clear()
 
-    for piece in slices(batches, "text"):
+    for piece in slices(batches, "text", 1 << 20):
         sizes, prints = [], []
         for own in shingle_sets(piece.column("text"), n):
             sizes.append(len(own))
             prints.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else bytes(16))
             waiting.append((own >> _U(64 - bits)).astype(np.int32))
-        if sum(map(len, waiting)) > 1 << 20:
+        if sum(map(len, waiting)) > 1 << 18:
             count()
         f = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], schema=schema)
@@ -83,7 +83,7 @@ def _postings(batches, n: int, percent: int, bits: int, levels, long: int, wante
     two members to whoever looks it up, so it may stand for a set here.
     """
     level, seen = levels.value, set()
-    for piece in slices(batches, "text"):
+    for piece in slices(batches, "text", 1 << 20):
         out, size, one, most = [], [], [], []
         for own in shingle_sets(piece.column("text"), n):
             if not len(own):
@@ -141,7 +141,7 @@ def _long_hubs(posted: DataFrame) -> DataFrame:
 
 
 def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches, "text"):
+    for piece in slices(batches, "text", 1 << 20):
         rows = [own.tobytes() for own in shingle_sets(piece.column("text"), n)]
         f = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in rows), "<i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(rows, pa.binary())], names=["f1", "f2", "tokens"])
@@ -168,7 +168,7 @@ def _answers(batches, percent: int) -> Iterator[pa.RecordBatch]:
     hub_lower, hub_copies = np.zeros(0, np.int64), 0
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("hub", pa.int64()), ("block", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("less", pa.int64()), ("hub_n", pa.int64()), ("linked", pa.bool_()), ("diff", pa.binary()),
                         ("f1", pa.int64()), ("f2", pa.int64()), ("copies", pa.int64()), ("hub_copies", pa.int64()), ("owned", pa.bool_()), ("lower", pa.binary())])
-    for piece in slices(batches, "tokens"):
+    for piece in slices(batches, "tokens", 1 << 20):
         rows = []
         for h1, h2, h, block, role, i, tokens, f1, f2, copies, known in zip(*(piece.column(c).to_pylist() for c in ("h1", "h2", "hub", "block", "role", "id", "tokens", "f1", "f2", "copies", "known"))):
             own = np.frombuffer(tokens, _U)

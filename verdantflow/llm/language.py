@@ -53,7 +53,7 @@ def _grams(texts: list[str], bits: int, sizes: tuple[int, ...]) -> Iterator[tupl
 
 def _count(batches, bits: int, sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", 1 << 18):
         langs, texts = batch.column("lang").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
         for lang in set(langs):
             own = [t for t, x in zip(texts, langs) if x == lang]
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     kept = docs.drop(lang, score)
 
     def scored(batches):
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col, 1 << 18):
             labels, found = score_texts(batch.column(text_col).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(found)], names=[*batch.schema.names, lang, score])
 

@@ -18,7 +18,7 @@ SPAN = 512
 
 def _lengths(batches, tokenizer: str, kind: str, end: bool) -> Iterator[pa.RecordBatch]:
     encode = encoder(tokenizer, kind)
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 2 << 20, hold=True):
         length, docs = np.unique(np.diff(encode.ids(batch.column("text"))[1]) + end, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(docs.astype(np.int64))], names=["length", "docs"])
 

@@ -79,7 +79,7 @@ def best_fit_decreasing(length: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def _pieces(batches, tokenizer: str, kind: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(tokenizer, kind)
     last = end.to_bytes(4, "little")
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 20, hold=True):
         rows = []
         ids, at = encode.ids(batch.column("text"))
         data = memoryview(ids.astype("<u4", copy=False).view(np.uint8))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,30 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about ``most`` bytes of text (one row at least) and at most ``rows`` rows, so that work arrays stay small."""
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """``make()``, once for as long as a worker's tasks ask for ``key`` alone: a worker holds one such thing, and ``drop_held`` lets it go."""
+    if key not in _held:
+        drop_held()
+        _held[key] = make()
+    return _held[key]
+
+
+def drop_held() -> None:
+    if _held:
+        _held.clear()
+        release()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 16, hold: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``most`` bytes of text (one row at least) and at most ``rows`` rows, so that work arrays stay small.
+
+    Unless told to ``hold`` it, what an earlier task of the worker held (a tokenizer and its known units) goes first.
+    """
+    if not hold:
+        drop_held()
     for batch in batches:
         if not batch.num_rows:
             continue

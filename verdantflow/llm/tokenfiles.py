@@ -24,7 +24,7 @@ SCHEMA = "doc_id long, at long, n_tokens long, ids array<int>"
 
 def _encode(batches, tokenizer: str, kind: str, end: int) -> Iterator[pa.RecordBatch]:
     encode, at = encoder(tokenizer, kind), 0
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 2 << 20, hold=True):
         ids, cuts = encode.ids(batch.column("text"))
         ends = cuts[1:] + np.arange(1, len(cuts))
         begins = np.concatenate(([0], ends[:-1]))

@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from verdantflow.llm.shared import held
 from verdantflow.llm.words import buffers, mixed, word_spans
 
 KEPT = 1 << 19
@@ -25,7 +26,6 @@ KEPT = 1 << 19
 _WIDE_SPACE = "[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
 _WIDE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 _MARKS = frozenset(".,;:!?")
-_encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -183,8 +183,5 @@ class Encoder:
 
 
 def encoder(tokenizer: str, kind: str) -> Encoder:
-    """One encoder for each worker process; ``tokenizer`` is a path, or the name of an installed public file."""
-    key = (tokenizer, kind)
-    if key not in _encoders:
-        _encoders[key] = Encoder(tokenizer, kind)
-    return _encoders[key]
+    """One encoder for each worker process, until its tasks are others; ``tokenizer`` is a path, or the name of an installed public file."""
+    return held((tokenizer, kind), lambda: Encoder(tokenizer, kind))

@@ -20,7 +20,7 @@ _BYTE[65:91] = _BYTE[97:123]
 _BASE = _U(0x9E3779B97F4A7C15)
 _UNBASE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = _U(0xD6E8FEB86659FD93)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
 
 
